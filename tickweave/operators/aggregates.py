@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import normal_cdf
-from tickweave.series import Series
+from tickweave.series import Series, lay_out
 
 
 def merge_trades(df: DataFrame, keys: Sequence[str], ts: str, price: str, qty: str) -> DataFrame:
@@ -197,28 +197,43 @@ def word_pmf(series: Series, symbol: Column, width: int) -> DataFrame:
 
 
 def threshold_grid(df: DataFrame, ret: str, prob: str, step: float = 0.01, one_sided: bool = False) -> DataFrame:
-    """P&L, Sharpe and win ratio for each probability threshold, all in one pass.
+    """P&L, Sharpe and win ratio for each probability threshold.
 
-    Every threshold is a set of conditional sums, so rows are never copied
-    per threshold.
+    A row is long at the thresholds up to its probability and short at those
+    from its complement on, so rows are first summed per pair of grid
+    indices; only that small table meets the grid.
     """
     low = 0.0 if one_sided else 0.5
-    count = int((1 - low) / step + 1e-9) + 1
-    grid = [low + (1 - low) * i / (count - 1) for i in range(count)]
-    r, p = F.col(ret), F.col(prob)
+    last = int((1 - low) / step + 1e-9)
+
+    def at(i: Column) -> Column:
+        return low + (1 - low) * i / float(last)
 
-    def one(th):
-        up = p >= th
-        down = F.lit(False) if one_sided else (1 - p) <= th
-        picked = F.when(up | down, r)
-        won = F.count(F.when(up & (r > 0), 1)) + F.count(F.when(down & (r < 0), 1))
-        sides = F.count(F.when(up, 1)) + F.count(F.when(down, 1))
-        n = F.count(picked)
-        return F.struct(
-            F.lit(th).alias("threshold"), n.alias("n_bets"), F.coalesce(F.sum(picked), F.lit(0.0)).alias("pnl"),
-            F.when(n < 2, 0.0).otherwise(F.avg(picked) / F.stddev_pop(picked)).alias("sharpe"),
-            F.when(sides == 0, 0.0).otherwise(won / sides).alias("won_ratio"))
-    return df.agg(F.array(*[one(th) for th in grid]).alias("_g")).select(F.inline("_g"))
+    def exact_floor(x: Column) -> Column:
+        guess = F.floor((x - low) / ((1 - low) / last)).cast("long")
+        return F.when(at(guess + 1) <= x, guess + 1).when(at(guess) > x, guess - 1).otherwise(guess)
+
+    r, p = F.col(ret), F.col(prob)
+    up_to = exact_floor(p)
+    below = exact_floor(1 - p)
+    down_from = F.lit(last + 1).cast("long") if one_sided else F.when(at(below) == 1 - p, below).otherwise(below + 1)
+    parts = df.groupBy(up_to.alias("_up"), F.greatest(down_from, F.lit(0)).alias("_down")).agg(
+        F.count(r).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_ss"),
+        F.count(F.when(r > 0, 1)).alias("_won"), F.count(F.when(r < 0, 1)).alias("_lost"))
+    rows = parts.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    up, down = F.col("_i") <= F.col("_up"), F.col("_i") >= F.col("_down")
+
+    def total(cond, value):
+        return F.sum(F.when(cond, F.col(value)).otherwise(0))
+    n, s, ss = (total(up | down, c) for c in ("_n", "_s", "_ss"))
+    out = rows.groupBy("_i").agg(n.alias("n_bets"), s.alias("pnl"), ss.alias("_ss"),
+                                 (total(up, "_won") + total(down, "_lost")).alias("_w"),
+                                 (total(up, "_n") + total(down, "_n")).alias("_sides"))
+    mean = F.col("pnl") / F.col("n_bets")
+    sharpe = mean / F.sqrt(F.col("_ss") / F.col("n_bets") - mean * mean)
+    return out.select(at(F.col("_i")).alias("threshold"), "n_bets", F.col("pnl").cast("double").alias("pnl"),
+                      F.when(F.col("n_bets") < 2, 0.0).otherwise(sharpe).alias("sharpe"),
+                      F.when(F.col("_sides") == 0, 0.0).otherwise(F.col("_w") / F.col("_sides")).alias("won_ratio"))
 
 
 def required_precision(profit: Column, loss: Column, freq: float, target: float, risk_free: float = 0.0) -> Column:
@@ -279,27 +294,20 @@ def class_table(df: DataFrame, stock: str, actual: str, predicted: str, classes:
     return sets.agg(*scores)
 
 
-def score_curve(scores: Series, actual: str) -> DataFrame:
-    """Cumulative counts at each distinct score, best score first.
-
-    ``scores`` is a series laid out by descending score with one row per
-    distinct score (columns ``pos_n`` and ``neg_n``).
-    """
-    return scores.running({"tp": ("sum", F.col("pos_n")), "fp": ("sum", F.col("neg_n"))})
-
-
-def curve_points(df: DataFrame, score: str, actual: str, chunk_rows: int | None = None) -> DataFrame:
-    """ROC and precision-recall points, one per distinct score, and trapezoid area parts."""
-    from tickweave.series import lay_out
-    per = df.groupBy(score).agg(F.sum(F.col(actual).cast("long")).alias("pos_n"),
-                                F.sum(1 - F.col(actual).cast("long")).alias("neg_n"))
+def curve_points(df: DataFrame, score: str, actual: str, group: Sequence[str] = (),
+                 chunk_rows: int | None = None) -> DataFrame:
+    """ROC and precision-recall points, one per distinct score (best first), and trapezoid area parts."""
+    group = list(group)
+    per = df.groupBy(*group, score).agg(F.sum(F.col(actual).cast("long")).alias("pos_n"),
+                                        F.sum(1 - F.col(actual).cast("long")).alias("neg_n"))
     per = per.withColumn("_down", -F.col(score))
-    run = score_curve(lay_out(per, [], ["_down"], chunk_rows), actual)
-    totals = per.agg(F.sum("pos_n").alias("_p"), F.sum("neg_n").alias("_n"))
-    out = run.crossJoin(F.broadcast(totals))  # one row
+    run = lay_out(per, group, ["_down"], chunk_rows).running(
+        {"tp": ("sum", F.col("pos_n")), "fp": ("sum", F.col("neg_n"))})
+    totals = per.groupBy(*group).agg(F.sum("pos_n").alias("_p"), F.sum("neg_n").alias("_n"))
+    out = run.join(totals, group) if group else run.crossJoin(F.broadcast(totals))  # one row
     tpr, fpr = F.col("tp") / F.col("_p"), F.col("fp") / F.col("_n")
     area = F.col("neg_n") / F.col("_n") * (2 * F.col("tp") - F.col("pos_n")) / (2 * F.col("_p"))
-    return out.select(score, "tp", "fp", tpr.alias("tpr"), fpr.alias("fpr"),
+    return out.select(*group, score, "tp", "fp", tpr.alias("tpr"), fpr.alias("fpr"),
                       (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), area.alias("area"))
 
 

@@ -14,7 +14,7 @@ def epoch_to_micros(value: Column) -> Column:
     """Epoch digits to microseconds: 13 digits are milliseconds, 19 nanoseconds."""
     n = F.length(value.cast("string"))
     v = value.cast("long")
-    return F.when(n == 13, v * 1000).when(n == 19, F.floor(v / 1000).cast("long"))
+    return F.when(n == 13, v * 1000).when(n == 19, F.call_function("div", v, F.lit(1000)))
 
 
 def micros_to_millis(value: Column) -> Column:

@@ -30,13 +30,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: s
     near = right.select(*keys, (F.col(right_on) * sign).alias("_at"), F.lit(0).alias("_src"),
                         tie_col.alias("_tie"), F.struct(*take).alias("_near"))
     rank = 1 if allow_exact else -1
-    probe = left.withColumns({"_at": F.col(left_on) * sign, "_src": F.lit(rank),
+    stashed = left.withColumnRenamed("_pos", "_left_pos")  # the joint layout numbers rows anew
+    probe = stashed.withColumns({"_at": F.col(left_on) * sign, "_src": F.lit(rank),
                               "_tie": F.lit(0).cast("long")})
     both = probe.unionByName(near, allowMissingColumns=True)
     series = lay_out(both, keys, ["_at", "_src", "_tie"], chunk_rows)
     joined = series.running({"_hit": ("last", F.col("_near"))})
     return (joined.filter(F.col("_src") == rank)
-            .select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in take]))
+            .select(*[F.col("_left_pos" if c == "_pos" else c).alias(c) for c in left.columns],
+                    *[F.col(f"_hit.{c}").alias(c) for c in take]))
 
 
 def trades_with_book(trades: DataFrame, book: DataFrame, keys: Sequence[str], ts: str,
