@@ -62,14 +62,14 @@ def _expanding_sql(d):
     return f"""WITH RECURSIVE {_USERS_SQL}, m AS (SELECT max(pos) + 1 AS n FROM u),
 wt AS (SELECT CAST(0 AS BIGINT) AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * ({d} - k) / (k + 1) FROM wt, m WHERE k + 1 < n),
 sk AS (SELECT k, sum(abs(w)) OVER (ORDER BY k) / sum(abs(w)) OVER () AS share FROM wt),
-s AS (SELECT count(*) FILTER (share > 0.9) AS skip FROM sk)
+s AS (SELECT count(*) FILTER (share > 0.98) AS skip FROM sk)
 SELECT a.user_id, a.id, round(sum(w * ln(b.price)), 6) + 0.0 AS frac_diff FROM u a JOIN u b ON a.user_id = b.user_id AND b.pos <= a.pos
 JOIN wt ON wt.k = a.pos - b.pos, s WHERE a.pos >= skip GROUP BY ALL"""
 
 
 @query("frac_diff_expanding", _expanding_sql(0.4))
 def frac_diff_expanding(spark, folder):
-    out = X.frac_diff_expanding(_users(spark, folder), "logp", 0.4, loss=0.9)
+    out = X.frac_diff_expanding(_users(spark, folder), "logp", 0.4, loss=0.98)
     return out.select("user_id", "id", r("frac_diff").alias("frac_diff"))
 
 

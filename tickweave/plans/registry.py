@@ -34,10 +34,11 @@ def r(column: Column | str, digits: int = 6) -> Column:
 
 
 # Ticks: one series per event type.
-TICKS_SQL = """ticks AS (
+RAW_TICKS_SQL = """ticks AS (
   SELECT event_type AS symbol, epoch_us(ts) AS ts, event_id AS id, value AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty
-  FROM events),
+  FROM events)"""
+TICKS_SQL = RAW_TICKS_SQL + """,
 t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, id) - 1 AS pos,
              count(*) OVER (PARTITION BY symbol) AS n FROM ticks)"""
 
