@@ -104,6 +104,7 @@ def top_of_book(updates: DataFrame, keys: Sequence[str], side: str, price: str,
     alive = (spans.filter(until > F.col("_chunk"))
              .withColumn("_into", F.explode(F.sequence(F.col("_chunk") + 1, until)))
              .select(*keys, F.col("_into").alias("_chunk"), side, price, F.col("_q").alias(qty)))
+    alive = alive.toDF(*alive.columns)  # fresh column identities: both sides of the cogroup share a source
     fields = "".join(f"`{c}` {t}, " for c, t in updates.select(*keys).dtypes)
 
     def replay(history: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators.aggregates import binary_scores
 from tickweave.series import Series, lay_out
+from tickweave.session import settle
 
 
 def position_clock(min_prob: float):
@@ -127,11 +128,11 @@ def fold_scores(splits: DataFrame, features: Sequence[str], label: str, make_mod
                 fold: str = "fold", on_test: Callable | None = None) -> DataFrame:
     """Fit per fold on its train rows, score its test rows (weighted on both sides).
 
-    ``splits`` is a (fold, role) table with features; folds share one scan
-    of it each, and every fit is a distributed one.
+    ``splits`` is a (fold, role) table with features; every fit is a
+    distributed one.
     """
     from pyspark.ml.functions import vector_to_array
-    ready = assembled(splits, features, label, weight, [fold, "role"])
+    ready = settle(assembled(splits, features, label, weight, [fold, "role"]))  # every fit reads it many times
     folds = sorted(row[0] for row in ready.select(fold).distinct().collect())
     pieces = None
     for number in folds:
@@ -150,7 +151,7 @@ def grid_search(splits: DataFrame, features: Sequence[str], label: str, make_mod
                 weight: str | None = None, fold: str = "fold", metric: str = "log_loss") -> DataFrame:
     """Mean fold score of every parameter setting, best first."""
     from functools import reduce
-    pieces = []
+    pieces, splits = [], settle(splits)
     for i, params in enumerate(grid):
         scores = fold_scores(splits, features, label, lambda p=params: make_model(**p), weight, fold)
         pieces.append(scores.agg(F.avg(metric).alias("score")).select(
@@ -194,6 +195,7 @@ def permutation_importance(splits: DataFrame, features: Sequence[str], label: st
 
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
+    splits = settle(splits)
     folds = sorted(row[0] for row in splits.select(fold).distinct().collect())
     pieces = []
     for number in folds:
@@ -218,7 +220,7 @@ def single_feature_importance(splits: DataFrame, features: Sequence[str], label:
                               fold: str = "fold", metric: str = "log_loss") -> DataFrame:
     """Fold score of a model that sees one feature only, for each feature."""
     from functools import reduce
-    sign = -1 if metric == "log_loss" else 1
+    sign, splits = (-1 if metric == "log_loss" else 1), settle(splits)
     pieces = [fold_scores(splits, [c], label, make_model, fold=fold).agg(
         (sign * F.avg(metric)).alias("mean"), (F.stddev_samp(metric) / F.sqrt(F.count(F.lit(1)))).alias("std")
     ).select(F.lit(c).alias("feature"), "mean", "std") for c in features]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.arrays import one_hot
 from tickweave.operators.joins import first_touch, price_at
 from tickweave.series import Series
+from tickweave.session import settle
 
 
 def barrier_touches(series: Series, events: DataFrame, ids: Sequence[str], price: str, ts: str,
@@ -36,7 +37,8 @@ def barrier_events(series: Series, events: DataFrame, ids: Sequence[str], price:
     for name, filler in (("p1", F.lit(None).cast("long")), ("t1", F.lit(None).cast("long")), ("side", F.lit(1))):
         if name not in events.columns:
             events = events.withColumn(name, filler)
-    chosen = events.filter(F.col("trgt") > min_target)
+    # sampled events are few next to the bars but costly to derive, and are read several times below
+    chosen = settle(events.filter(F.col("trgt") > min_target))
     touches = barrier_touches(series, chosen, ids, price, ts, stop, profit)
     out = chosen.join(touches, [*keys, *ids])
     end = F.least("t_lower", "t_upper", "t1")
