@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def _phi(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v != v else 0.5 * math.erfc(-v / math.sqrt(2)) for v in x.to_numpy(dtype=float)],
-                     dtype="float64")
+def ratio(a: Column, b: Column) -> Column:
+    """Quotient that is null where the divisor is zero (ANSI mode would raise)."""
+    return F.try_divide(a, b)
 
 
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function."""
-    return _phi(x.cast("double"))
+    @F.pandas_udf("double")
+    def phi(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v else 0.5 * math.erfc(-v / math.sqrt(2)) for v in values.to_numpy(dtype=float)],
+                         dtype="float64")
+    return phi(x.cast("double"))
 
 
 def discrete_signal(signal: Column, step: float) -> Column:
@@ -29,7 +31,7 @@ def discrete_signal(signal: Column, step: float) -> Column:
 def bet_z(prob: Column, classes: int = 2, root: bool = False) -> Column:
     """Test statistic of a probability; 0 and 1 map to -1 and 1."""
     spread = prob * (1 - prob)
-    z = (prob - 1.0 / classes) / (F.sqrt(spread) if root else spread)
+    z = ratio(prob - 1.0 / classes, F.sqrt(spread) if root else spread)
     return F.when(prob == 1, 1.0).when(prob == 0, -1.0).otherwise(z)
 
 
@@ -54,7 +56,7 @@ def truncate_decimal(x: Column, digits: int) -> Column:
 
 # dynamic sizing from the divergence of forecast and market price
 def sigmoid_size(width: Column, divergence: Column) -> Column:
-    return divergence / F.sqrt(width + divergence * divergence)
+    return ratio(divergence, F.sqrt(width + divergence * divergence))
 
 
 def width_for(size: Column, divergence: Column) -> Column:
@@ -88,7 +90,3 @@ def budget_size(active_long: Column, max_long: Column, active_short: Column, max
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
-
-
-def erf_array(values: np.ndarray) -> np.ndarray:
-    return np.array([math.erf(v) for v in values])

@@ -9,19 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.functions.scalars import normal_cdf
+from tickweave.functions.scalars import normal_cdf, ratio
 from tickweave.series import Series, lay_out
 
 
 def merge_trades(df: DataFrame, keys: Sequence[str], ts: str, price: str, qty: str) -> DataFrame:
     """One row per (key, time): volume-weighted price and total volume."""
-    return df.groupBy(*keys, ts).agg((F.sum(F.col(price) * F.col(qty)) / F.sum(qty)).alias("vwap"),
+    return df.groupBy(*keys, ts).agg(ratio(F.sum(F.col(price) * F.col(qty)), F.sum(qty)).alias("vwap"),
                                      F.sum(qty).alias("volume"))
 
 
 def merge_book_levels(df: DataFrame, keys: Sequence[str], ts: str, level: str, price: str, qty: str) -> DataFrame:
     """Per (key, time, level): quantity is the mean, price the quantity-weighted mean."""
-    return df.groupBy(*keys, ts, level).agg((F.sum(F.col(price) * F.col(qty)) / F.sum(qty)).alias("price"),
+    return df.groupBy(*keys, ts, level).agg(ratio(F.sum(F.col(price) * F.col(qty)), F.sum(qty)).alias("price"),
                                             F.avg(qty).alias("qty"))
 
 
@@ -73,14 +73,15 @@ def asset_moments(returns: DataFrame, time: str, asset: str, value: str, assets:
 
 def inverse_variance(returns: DataFrame, asset: str, value: str) -> DataFrame:
     var = returns.groupBy(asset).agg(F.var_samp(value).alias("variance"))
-    return var.withColumn("weight", (1 / F.col("variance")) / F.sum(1 / F.col("variance")).over(
+    inverse = ratio(F.lit(1.0), F.col("variance"))
+    return var.withColumn("weight", inverse / F.sum(inverse).over(
         Window.partitionBy(F.lit(0))))  # one row per asset
 
 
 def cluster_variance(moments: DataFrame, members: Sequence[str]) -> DataFrame:
     """w' S w of a group of assets under inverse-variance weights."""
     inside = moments.filter(F.col("asset_a").isin(list(members)) & F.col("asset_b").isin(list(members)))
-    diag = inside.filter("asset_a = asset_b").select(F.col("asset_a").alias("_m"), (1 / F.col("cov")).alias("_iv"))
+    diag = inside.filter("asset_a = asset_b").select(F.col("asset_a").alias("_m"), ratio(F.lit(1.0), F.col("cov")).alias("_iv"))
     weights = diag.withColumn("_w", F.col("_iv") / F.sum("_iv").over(Window.partitionBy(F.lit(0)))).drop("_iv")
     a = weights.select(F.col("_m").alias("asset_a"), F.col("_w").alias("_wa"))
     b = weights.select(F.col("_m").alias("asset_b"), F.col("_w").alias("_wb"))
@@ -141,7 +142,7 @@ def risk_parity(moments: DataFrame, group: Sequence[str]) -> DataFrame:
 def return_statistics(series: Series, price: str) -> DataFrame:
     """Per key: count, lag-1 autocorrelation, population variance and Jarque-Bera of percent changes."""
     def build(df, w):
-        df = df.withColumn("_r", F.col(price) / F.lag(price).over(w) - 1)
+        df = df.withColumn("_r", ratio(F.col(price), F.lag(price).over(w)) - 1)
         return df.withColumn("_l", F.lag("_r").over(w))
     rows = series.windowed(build, before=2).filter("_r IS NOT NULL")
     out = rows.groupBy(*series.keys).agg(
@@ -229,11 +230,11 @@ def threshold_grid(df: DataFrame, ret: str, prob: str, step: float = 0.01, one_s
     out = rows.groupBy("_i").agg(n.alias("n_bets"), s.alias("pnl"), ss.alias("_ss"),
                                  (total(up, "_won") + total(down, "_lost")).alias("_w"),
                                  (total(up, "_n") + total(down, "_n")).alias("_sides"))
-    mean = F.col("pnl") / F.col("n_bets")
-    sharpe = mean / F.sqrt(F.col("_ss") / F.col("n_bets") - mean * mean)
+    mean = ratio(F.col("pnl"), F.col("n_bets"))
+    sharpe = ratio(mean, F.sqrt(F.greatest(ratio(F.col("_ss"), F.col("n_bets")) - mean * mean, F.lit(0.0))))
     return out.select(at(F.col("_i")).alias("threshold"), "n_bets", F.col("pnl").cast("double").alias("pnl"),
                       F.when(F.col("n_bets") < 2, 0.0).otherwise(sharpe).alias("sharpe"),
-                      F.when(F.col("_sides") == 0, 0.0).otherwise(F.col("_w") / F.col("_sides")).alias("won_ratio"))
+                      F.when(F.col("_sides") == 0, 0.0).otherwise(ratio(F.col("_w"), F.col("_sides"))).alias("won_ratio"))
 
 
 def required_precision(profit: Column, loss: Column, freq: float, target: float, risk_free: float = 0.0) -> Column:
@@ -242,7 +243,7 @@ def required_precision(profit: Column, loss: Column, freq: float, target: float,
     a = (freq + target ** 2) * diff * diff
     b = diff * (2 * freq * (loss - risk_free) - target ** 2 * diff)
     c = freq * (loss - risk_free) * (loss - risk_free)
-    return (-b + F.sqrt(b * b - 4 * a * c)) / (2 * a)
+    return ratio(-b + F.sqrt(b * b - 4 * a * c), 2 * a)
 
 
 def failure_probability(df: DataFrame, keys: Sequence[str], ret: str, freq: float, target: float) -> DataFrame:
@@ -253,7 +254,7 @@ def failure_probability(df: DataFrame, keys: Sequence[str], ret: str, freq: floa
         (F.count(F.when(r > 0, 1)) / F.count(r)).alias("precision"))
     out = out.withColumn("required", required_precision(F.col("mean_win"), F.col("mean_loss"), freq, target))
     scale = F.col("precision") * (1 - F.col("precision"))
-    return out.withColumn("failure", normal_cdf((F.col("required") - F.col("precision")) / scale))
+    return out.withColumn("failure", normal_cdf(ratio(F.col("required") - F.col("precision"), scale)))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, group: Sequence[str] = ()) -> DataFrame:
@@ -305,8 +306,8 @@ def curve_points(df: DataFrame, score: str, actual: str, group: Sequence[str] =
         {"tp": ("sum", F.col("pos_n")), "fp": ("sum", F.col("neg_n"))})
     totals = per.groupBy(*group).agg(F.sum("pos_n").alias("_p"), F.sum("neg_n").alias("_n"))
     out = run.join(totals, group) if group else run.crossJoin(F.broadcast(totals))  # one row
-    tpr, fpr = F.col("tp") / F.col("_p"), F.col("fp") / F.col("_n")
-    area = F.col("neg_n") / F.col("_n") * (2 * F.col("tp") - F.col("pos_n")) / (2 * F.col("_p"))
+    tpr, fpr = ratio(F.col("tp"), F.col("_p")), ratio(F.col("fp"), F.col("_n"))
+    area = ratio(F.col("neg_n") * (2 * F.col("tp") - F.col("pos_n")), F.col("_n") * 2 * F.col("_p"))
     return out.select(*group, score, "tp", "fp", tpr.alias("tpr"), fpr.alias("fpr"),
                       (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), area.alias("area"))
 

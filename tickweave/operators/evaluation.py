@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import ratio
 from tickweave.operators.aggregates import binary_scores
 from tickweave.series import Series, lay_out
 from tickweave.session import settle
@@ -54,7 +55,7 @@ def cash_path(ledger: DataFrame, keys: Sequence[str], cash: float, fee: float) -
     (log-sum, sign count and zero count).
     """
     bet = F.col("side") * F.col("size")
-    move = F.col("close_price") / F.col("open_price")
+    move = ratio(F.col("close_price"), F.col("open_price"))
     factor = F.when(F.col("side") > 0, 1 - bet * (1 + fee) + bet * move * (1 - fee)).otherwise(
         1 - bet * (1 - fee) + bet * move * (1 + fee))
     closed = ledger.filter(F.col("close_price").isNotNull()).withColumn("factor", factor)
@@ -68,9 +69,9 @@ def cash_path(ledger: DataFrame, keys: Sequence[str], cash: float, fee: float) -
 
 def round_trips(ledger: DataFrame) -> DataFrame:
     """Profit ratio of each closed long (close / open) or short (open / close) position."""
-    ratio = F.when(F.col("side") > 0, F.col("close_price") / F.col("open_price")).otherwise(
-        F.col("open_price") / F.col("close_price"))
-    return ledger.filter(F.col("close_price").isNotNull()).withColumn("ratio", ratio)
+    profit = F.when(F.col("side") > 0, ratio(F.col("close_price"), F.col("open_price"))).otherwise(
+        ratio(F.col("open_price"), F.col("close_price")))
+    return ledger.filter(F.col("close_price").isNotNull()).withColumn("ratio", profit)
 
 
 def daily_returns(df: DataFrame, keys: Sequence[str], ts: str, ret: str) -> DataFrame:
@@ -87,7 +88,7 @@ def daily_returns(df: DataFrame, keys: Sequence[str], ts: str, ret: str) -> Data
     w = Window.partitionBy(*keys).orderBy("day")
     full = grid.join(per, [*keys, "day"], "left")
     growth = F.exp(F.sum(F.coalesce("_l", F.lit(0.0))).over(w))
-    return full.withColumn("_g", growth).withColumn("daily_ret", F.col("_g") / F.lag("_g").over(w) - 1).drop("_l", "_g")
+    return full.withColumn("_g", growth).withColumn("daily_ret", ratio(F.col("_g"), F.lag("_g").over(w)) - 1).drop("_l", "_g")
 
 
 def key_figures(daily: DataFrame, keys: Sequence[str], day: str, ret: str, periods: int = 252) -> DataFrame:
@@ -101,7 +102,7 @@ def key_figures(daily: DataFrame, keys: Sequence[str], day: str, ret: str, perio
     return curve.groupBy(*keys).agg(
         (total - 1).alias("total_return"), (F.pow(total, periods / n) - 1).alias("annual_return"),
         (F.stddev_samp(ret) * float(np.sqrt(periods))).alias("annual_volatility"),
-        (F.avg(ret) / F.stddev_samp(ret) * float(np.sqrt(periods))).alias("sharpe"), F.min("_dd").alias("max_drawdown"))
+        (ratio(F.avg(ret), F.stddev_samp(ret)) * float(np.sqrt(periods))).alias("sharpe"), F.min("_dd").alias("max_drawdown"))
 
 
 def meta_dataset(df: DataFrame, primary: str, actual: str) -> DataFrame:
@@ -178,7 +179,7 @@ def impurity_importance(forest_model, features: Sequence[str], spark, root: bool
     value = F.nullif(F.col("value"), F.lit(0.0))
     out = table.groupBy("feature").agg(F.avg(value).alias("mean"), (F.stddev_samp(value) * n ** (0.5 if root else -0.5)).alias("std"))
     total = F.sum("mean").over(Window.partitionBy(F.lit(0)))  # one row per feature
-    return out.withColumns({"std": F.col("std") / total, "mean": F.col("mean") / total})
+    return out.withColumns({"std": ratio(F.col("std"), total), "mean": ratio(F.col("mean"), total)})
 
 
 def permute(df: DataFrame, column: str, ids: Sequence[str], seed: int) -> DataFrame:
@@ -212,7 +213,7 @@ def permutation_importance(splits: DataFrame, features: Sequence[str], label: st
             pieces.append(scored)
     scores = binary_scores(reduce(DataFrame.unionByName, pieces), "actual", "predicted", "prob", group=[fold, "feature"])
     base = scores.filter("feature = ''").select(fold, F.col("log_loss").alias("_base"))
-    drop = scores.filter("feature <> ''").join(base, fold).withColumn("_d", 1 - F.col("_base") / F.col("log_loss"))
+    drop = scores.filter("feature <> ''").join(base, fold).withColumn("_d", 1 - ratio(F.col("_base"), F.col("log_loss")))
     return drop.groupBy("feature").agg(F.avg("_d").alias("mean"), (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))).alias("std"))
 
 

@@ -78,7 +78,7 @@ def return_moves():
         side = np.zeros(len(arrays["_price"]), dtype="int32")
         for i, (p, h) in enumerate(zip(arrays["_price"].tolist(), arrays["_h"].tolist())):
             if seen >= 1:
-                ret = p / last - 1
+                ret = p / last - 1 if last else last_ret
                 if seen >= 2 and h is not None and h == h:
                     move = ret - last_ret
                     up, down = max(0.0, up + move), min(0.0, down + move)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import ratio
 from tickweave.operators.windows import decay_of, ewm, rolling
 from tickweave.series import Series, lay_out
 
@@ -236,8 +237,8 @@ def difference_scan(series: Series, value: str, orders: Sequence[float], thresho
     sums = parts.groupBy(*keys, "d").agg(F.array(*[F.sum(F.col("_p")[i]) for i in range(total_size)]).alias("_m"))
     cell = lambda i: F.col("_m")[2 + size + size * size + i]
     n = cell(0)
-    corr = (n * cell(5) - cell(1) * cell(2)) / F.sqrt(
-        (n * cell(3) - cell(1) * cell(1)) * (n * cell(4) - cell(2) * cell(2)))
+    corr = ratio(n * cell(5) - cell(1) * cell(2), F.sqrt(
+        (n * cell(3) - cell(1) * cell(1)) * (n * cell(4) - cell(2) * cell(2))))
     corr_table = sums.select(*keys, "d", corr.alias("corr"))
     stats = _solve_adf(sums.withColumn("_m", F.slice("_m", 1, 2 + size + size * size)), [*keys, "d"], size, 1, lags)
     return stats.join(corr_table, [*keys, "d"])
@@ -315,7 +316,7 @@ def directional_index(series: Series, high: str, low: str, span: int) -> DataFra
     up = ewm(base, "_up", keep, mean="_pos_di", std=None, min_periods=span)
     both = ewm(Series(up, series.laid, series.keys, series.order, series.total, series.chunk_rows), "_dn", keep,
                mean="_neg_di", std=None, min_periods=span)
-    return both.withColumn("rsi", F.bround(F.col("_pos_di") * 100.0 / (F.col("_pos_di") + F.col("_neg_di")))).drop(
+    return both.withColumn("rsi", F.bround(ratio(F.col("_pos_di") * 100.0, F.col("_pos_di") + F.col("_neg_di")))).drop(
         "_up", "_dn", "_pos_di", "_neg_di")
 
 
@@ -341,8 +342,8 @@ def feature_matrix(series: Series, price: str, momenta: Sequence[int] = (1, 2, 3
 
     def build(df, w):
         p = F.col(price)
-        df = df.withColumn("_lr", F.log(p / F.lag(p).over(w)))
-        made = {f"mom_{k}": p / F.lag(p, k).over(w) - 1 for k in momenta}
+        df = df.withColumn("_lr", F.log(ratio(p, F.lag(p).over(w))))
+        made = {f"mom_{k}": ratio(p, F.lag(p, k).over(w)) - 1 for k in momenta}
         made |= {f"log_t{k}": F.lag("_lr", k).over(w) for k in lags}
         made |= {f"vol_{k}": rolling(F.col("_lr"), w, k, F.stddev_samp) for k in vols}
         df = df.withColumns(made)
@@ -353,7 +354,7 @@ def feature_matrix(series: Series, price: str, momenta: Sequence[int] = (1, 2, 3
 def quantile_bins(series: Series, value: str, bins: int) -> DataFrame:
     """Quantile bin of percent changes (exact quantiles) and its one-hot array."""
     moved = series.windowed(lambda df, w: df.withColumn(
-        "change", F.col(value) / F.lag(value).over(w) - 1), before=1).filter("change IS NOT NULL")
+        "change", ratio(F.col(value), F.lag(value).over(w)) - 1), before=1).filter("change IS NOT NULL")
     keys = list(series.keys)
     cuts = moved.groupBy(*keys).agg(F.percentile("change", [i / bins for i in range(bins + 1)]).alias("_q"))
     out = moved.join(cuts, keys) if keys else moved.crossJoin(F.broadcast(cuts))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import ratio
 from tickweave.series import Series, lay_out
 
 
@@ -93,7 +94,7 @@ def lookback_return(bars: DataFrame, keys: Sequence[str], ts: str, price: str, d
         out = out.filter(F.col("ref_pos") > 0)
         firsts = out.groupBy(*keys, "ref_pos").agg(F.min("_pos").alias("_pos"))
         out = out.join(firsts, [*keys, "ref_pos", "_pos"], "left_semi")
-    return out.withColumn("ret", F.col(price) / F.col("ref_price") - 1).drop("_due")
+    return out.withColumn("ret", ratio(F.col(price), F.col("ref_price")) - 1).drop("_due")
 
 
 def overlap_anti_join(train: DataFrame, test: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import ratio
 from tickweave.functions.arrays import one_hot
 from tickweave.operators.joins import first_touch, price_at
 from tickweave.series import Series
@@ -56,7 +57,7 @@ def barrier_labels(bars: DataFrame, events: DataFrame, keys: Sequence[str], pric
     ``min_ret`` gets ``zero_label``; else only moves within +-min_ret do.
     """
     done = price_at(bars, events.filter(F.col("t_end").isNotNull()), keys, ts, "t_end", price, "_exit", tie)
-    ret = F.col("_exit") / F.col("entry") - 1
+    ret = ratio(F.col("_exit"), F.col("entry")) - 1
     ret = ret * F.col("side") if sided else ret
     out = done.withColumn("ret", ret)
     flat = F.col("ret") <= min_ret if sided else F.abs(F.col("ret")) <= min_ret
@@ -91,7 +92,7 @@ def smoothed_movement(series: Series, price: str, horizon: int, min_return: floa
         past = F.avg(price).over(w.rowsBetween(-horizon, 0))
         ahead = F.avg(price).over(w.rowsBetween(1, horizon - 1))
         n_ahead = F.count(price).over(w.rowsBetween(1, horizon))
-        move = (ahead - past) / past
+        move = ratio(ahead - past, past)
         label = F.when(move > min_return, 1).when(move < -min_return, -1).otherwise(0)
         return df.withColumns({"movement": move, "label": label, "_ahead": n_ahead})
     done = series.windowed(build, before=horizon, after=horizon)
@@ -100,7 +101,7 @@ def smoothed_movement(series: Series, price: str, horizon: int, min_return: floa
 
 def horizon_label(df: DataFrame, w, price: str, horizon: int, threshold: Column) -> DataFrame:
     """Return after ``horizon`` rows against +-threshold."""
-    ret = (F.lead(price, horizon).over(w) - F.col(price)) / F.col(price)
+    ret = ratio(F.lead(price, horizon).over(w) - F.col(price), F.col(price))
     df = df.withColumn("fwd_ret", ret)
     return df.withColumn("label", F.when(F.col("fwd_ret").isNull() | threshold.isNull(), None)
                          .when(F.col("fwd_ret") > threshold, 1).when(F.col("fwd_ret") < -threshold, -1).otherwise(0))
@@ -117,7 +118,7 @@ def meta_barrier(series: Series, price: str, horizon: int, threshold: Column, pr
         df = df.withColumn("_w", F.collect_list(price).over(w.rowsBetween(0, horizon - 1)))
         return df.withColumn("_th", threshold)
     rows = series.windowed(build, after=horizon - 1).filter((F.size("_w") == horizon) & F.col("_th").isNotNull())
-    rows = rows.withColumn("_d", F.transform("_w", lambda p: (p - F.col(price)) / F.col(price)))
+    rows = rows.withColumn("_d", F.transform("_w", lambda p: ratio(p - F.col(price), F.col(price))))
     up_at = F.array_position(F.transform("_d", lambda d: d >= F.col("_th")), True)
     down_at = F.array_position(F.transform("_d", lambda d: d < -F.col("_th")), True)
     rows = rows.withColumns({"_up": F.nullif(up_at, F.lit(0)), "_dn": F.nullif(down_at, F.lit(0))})
@@ -136,7 +137,7 @@ def window_barrier(series: Series, price: str, horizon: int, profit: float, stop
     """+1 if the next ``horizon`` rows exceed the profit level, else -1 if they fall below the stop, else 0."""
     def build(df, w):
         f = w.rowsBetween(0, horizon)
-        up, down = F.max(price).over(f) / F.col(price) - 1, F.min(price).over(f) / F.col(price) - 1
+        up, down = (ratio(e.over(f), F.col(price)) - 1 for e in (F.max(price), F.min(price)))
         return df.withColumn("label", F.when(up > profit, 1).when(down < stop, -1).otherwise(0))
     return series.windowed(build, after=horizon)
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import ratio
 from tickweave.operators.aggregates import tensor_stats
 from tickweave.series import Series
 
@@ -118,7 +119,7 @@ def global_minmax(df: DataFrame, columns: Sequence[str], low: float | None = Non
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         lo, hi = F.lit(low), F.lit(high)
-    return df.withColumns({c: (F.col(c) - lo) / (hi - lo) for c in columns}).drop("_lo", "_hi")
+    return df.withColumns({c: ratio(F.col(c) - lo, hi - lo) for c in columns}).drop("_lo", "_hi")
 
 
 def rescale(df: DataFrame, column: str, low: float, high: float) -> DataFrame:

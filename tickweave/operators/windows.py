@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.functions.scalars import ratio
 from tickweave.functions.arrays import dot, mean_of, median_of, std_pop_of, transpose
 from tickweave.series import Series
 
@@ -25,15 +26,15 @@ def shifts(series: Series, price: str, lags: Sequence[int] = (1, 2, 3), leads: S
         p = F.col(price)
         out = {f"lag_{k}": F.lag(p, k).over(w) for k in lags}
         out |= {f"lead_{k}": F.lead(p, k).over(w) for k in leads}
-        out |= {"diff": p - F.lag(p).over(w), "log_ret": F.log(p / F.lag(p).over(w))}
-        out |= {f"pct_{k}": p / F.lag(p, k).over(w) - 1 for k in lags}
+        out |= {"diff": p - F.lag(p).over(w), "log_ret": F.log(ratio(p, F.lag(p).over(w)))}
+        out |= {f"pct_{k}": ratio(p, F.lag(p, k).over(w)) - 1 for k in lags}
         return df.withColumns(out)
     return series.windowed(build, before=max(lags), after=max(leads, default=0))
 
 
 def forward_return(series: Series, price: str, rows: int) -> DataFrame:
     return series.windowed(lambda df, w: df.withColumn(
-        "fwd_ret", F.lead(price, rows).over(w) / F.col(price) - 1), after=rows)
+        "fwd_ret", ratio(F.lead(price, rows).over(w), F.col(price)) - 1), after=rows)
 
 
 def rolling_stats(series: Series, value: str, width: int) -> DataFrame:
@@ -54,7 +55,7 @@ def strided_rolling(series: Series, value: str, width: int, stride: int) -> Data
 def rolling_autocorr(series: Series, price: str, width: int, lags: Sequence[int]) -> DataFrame:
     """Autocorrelation of log returns inside a ``width``-row frame."""
     def build(df, w):
-        df = df.withColumn("_r", F.log(F.col(price) / F.lag(price).over(w)))
+        df = df.withColumn("_r", F.log(ratio(F.col(price), F.lag(price).over(w))))
         df = df.withColumns({f"_l{k}": F.lag("_r", k).over(w) for k in lags})
         full = F.count("_r").over(w.rowsBetween(-(width - 1), 0)) >= width
         return df.withColumns({
@@ -101,7 +102,7 @@ def ewm(series: Series, value: str, keep: float, skip: int = 0, mean: str = "ewm
     if std:
         m2 = F.sum(F.col("_x") * F.col("_x") * F.col("_s")).over(frame) / F.col("_s") / weight
         spread = F.greatest(m2 - F.col("_m1") * F.col("_m1"), F.lit(0.0))
-        fix = weight * weight / (weight * weight - weight2)
+        fix = ratio(weight * weight, weight * weight - weight2)
         df = df.withColumn(std, F.when(enough & (n > 1), F.sqrt(spread * fix)))
     df = df.withColumn(mean, F.when(enough, F.col("_c") + F.col("_m1")))
     return df.filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk", "_c", "_x", "_s", "_m1")
@@ -112,7 +113,7 @@ def volatility_level(df: DataFrame, w, price: str, width: int, name: str = "vol_
 
     Moves are divided by the later price; null for the first ``width`` rows.
     """
-    move = F.abs((F.col(price) - F.lag(price).over(w)) / F.col(price))
+    move = F.abs(ratio(F.col(price) - F.lag(price).over(w), F.col(price)))
     frame = w.rowsBetween(-(width - 1), -1)
     df = df.withColumn("_mv", move)
     level = F.stddev_pop("_mv").over(frame) + F.avg("_mv").over(frame)
@@ -126,7 +127,7 @@ def volatility_threshold(df: DataFrame, w, price: str, width: int, name: str = "
     Without the current row the window covers the ``width`` rows before it;
     the deviation is a sample deviation only in the including variant.
     """
-    df = df.withColumn("_mv", F.abs(F.col(price) / F.lag(price).over(w) - 1))
+    df = df.withColumn("_mv", F.abs(ratio(F.col(price), F.lag(price).over(w)) - 1))
     if include_current:
         frame = w.rowsBetween(-(width - 2), 0)
         level = F.stddev_samp("_mv").over(frame) + F.avg("_mv").over(frame)
@@ -225,8 +226,8 @@ def normalised_window(window: Column, mode: str = "zscore_first") -> Column:
     first = F.element_at(window, 1)
     if mode == "zscore_first":
         sd = std_pop_of(window)
-        return F.transform(window, lambda x: (x - first) / sd)
-    return F.transform(window, lambda x: x / first - 1)
+        return F.transform(window, lambda x: ratio(x - first, sd))
+    return F.transform(window, lambda x: ratio(x, first) - 1)
 
 
 def interval_features(window: Column, intervals: Sequence[tuple[int, int]]) -> Column:
@@ -246,7 +247,7 @@ def window_acf(window: Column, width: int, lags: Sequence[int]) -> Column:
     mean = mean_of(window)
     centred = F.transform(window, lambda x: x - mean)
     total = dot(centred, centred)
-    return F.array(*[dot(F.slice(centred, 1, width - k), F.slice(centred, k + 1, width - k)) / total for k in lags])
+    return F.array(*[ratio(dot(F.slice(centred, 1, width - k), F.slice(centred, k + 1, width - k)), total) for k in lags])
 
 
 def acf(series: Series, value: str, lags: Sequence[int]) -> DataFrame:
@@ -261,7 +262,7 @@ def acf(series: Series, value: str, lags: Sequence[int]) -> DataFrame:
     sums = products.groupBy(*keys).agg(
         F.sum(F.col("_d") * F.col("_d")).alias("_v"),
         *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_p{k}") for k in lags])
-    pairs = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), (F.col(f"_p{k}") / F.col("_v")).alias("acf"))
+    pairs = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), ratio(F.col(f"_p{k}"), F.col("_v")).alias("acf"))
                       for k in lags])
     return sums.select(*keys, F.inline(pairs))
 

@@ -332,7 +332,7 @@ w AS (SELECT sp.symbol, sp.id, abs(sum(lr.lr / c)) AS w FROM sp JOIN cc ON sp.sy
 SELECT symbol, id, round(w * count(*) OVER (PARTITION BY symbol) / sum(w) OVER (PARTITION BY symbol), 6) + 0.0 AS weight FROM w""")
 def return_attribution_weights(spark, folder):
     series, sp = spans(spark, folder)
-    logs = series.windowed(lambda df, w: df.withColumn("lr", F.log(F.col("price") / F.lag("price").over(w))), before=1)
+    logs = series.windowed(lambda df, w: df.withColumn("lr", F.log(F.try_divide(F.col("price"), F.lag("price").over(w)))), before=1)
     base = Series(logs, series.laid, series.keys, series.order, series.total, series.chunk_rows)
     return WT.return_weights(base, sp, F.col("lr")).select("symbol", "id", r("weight").alias("weight"))
 

@@ -353,7 +353,7 @@ def two_stage_side_then_size(spark, folder):
     # stage one predicts a side; stage two labels whether trading that side paid
     rows = _ticks(spark, folder).windowed(lambda df, w: df.withColumn("_nx", F.lead("price", 5).over(w)), after=5)
     sided = rows.filter("_nx IS NOT NULL").withColumn("side", F.when(F.col("qty").cast("long") % 4 == 0, -1).otherwise(1))
-    sided = sided.withColumn("ret", (F.col("_nx") / F.col("price") - 1) * F.col("side"))
+    sided = sided.withColumn("ret", (F.try_divide(F.col("_nx"), F.col("price")) - 1) * F.col("side"))
     return L.event_bins(sided, True).select("symbol", "id", "side", "bin")
 
 
