@@ -135,7 +135,7 @@ def risk_parity(moments: DataFrame, group: Sequence[str]) -> DataFrame:
             out[c] = pdf[c].iloc[0]
         return out[[*group, "asset", "weight"]]
 
-    grouped = moments.groupBy(*group) if group else moments.groupBy(F.lit(0))
+    grouped = moments.groupBy(*group)
     return grouped.applyInPandas(solve, f"{fields}{', ' if group else ''}asset string, weight double")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,36 +144,47 @@ def window_barrier(series: Series, price: str, horizon: int, profit: float, stop
     return series.windowed(build, after=horizon)
 
 
-def trend_scan(series: Series, price: str, shortest: int = 10, longest: int = 20, split: float = 3.0) -> DataFrame:
+def trend_scan(series: Series, price: str, shortest: int = 10, longest: int = 20, split: float = 3.0,
+               keep: Sequence[str] = ()) -> DataFrame:
     """t value of the strongest linear trend over the next ``shortest``..``longest`` rows, and its class.
 
     Classes: 0 below -split, 1 between, 2 above. Rows without ``longest`` rows
-    ahead are left out. Sums of the frames give every regression in closed form.
+    ahead are left out. Every regression is closed-form from cumulative sums
+    along the window, for all windows of a chunk at once.
     """
-    def build(df, w):
-        y, x = F.col(price), (F.col("_pos") - F.col("_chunk") * F.lit(series.chunk_rows)).cast("double")
-        df = df.withColumn("_x", x).withColumn("_n", F.count(y).over(w.rowsBetween(0, longest - 1)))
-        made = {}
-        for n in range(shortest, longest + 1):
-            f = w.rowsBetween(0, n - 1)
-            sy, syy = F.sum(y).over(f), F.sum(y * y).over(f)
-            sxy = F.sum(F.col("_x") * y).over(f) - F.col("_x") * sy
-            made |= {f"_sy{n}": sy, f"_syy{n}": syy, f"_sxy{n}": sxy}
-        return df.withColumns(made)
-    rows = series.windowed(build, after=longest - 1).filter(F.col("_n") == longest)
-    tests = []
-    for n in range(shortest, longest + 1):
-        sx, sxx = n * (n - 1) / 2, n * (n * n - 1) / 12
-        cxy = F.col(f"_sxy{n}") - F.col(f"_sy{n}") * sx / n
-        cyy = F.col(f"_syy{n}") - F.col(f"_sy{n}") * F.col(f"_sy{n}") / n
-        rss = cyy - cxy * cxy / sxx
-        t = F.when(rss <= 1e-12 * F.abs(cyy), 0.0).otherwise(cxy / sxx / F.sqrt(rss / (n - 2) / sxx))
-        tests.append(F.struct(F.abs(t).alias("a"), F.lit(-n).alias("n"), t.alias("t")))
-    best = F.array_max(F.array(*tests))
-    rows = rows.withColumn("t_value", best["t"]).withColumn("trend_rows", (-best["n"]).cast("int"))
-    cls = F.when(F.col("t_value") < -split, 0).when(F.col("t_value") > split, 2).otherwise(1)
-    drop = [f"{p}{n}" for p in ("_sy", "_syy", "_sxy") for n in range(shortest, longest + 1)]
-    return rows.withColumn("label", cls).drop("_x", "_n", *drop)
+    keys, carried = list(series.keys), list(dict.fromkeys([*series.order, *keep]))
+    fields = "".join(f"`{c}` {t}, " for c, t in series.df.select(*keys, *carried).dtypes)
+    sizes = np.arange(shortest, longest + 1, dtype=float)
+    sx, sxx = sizes * (sizes - 1) / 2, sizes * (sizes * sizes - 1) / 12
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, own = pdf[price].to_numpy(dtype=float), pdf["_own"].to_numpy()
+        t_value, rows_used = np.zeros(len(y)), np.zeros(len(y), dtype="int32")
+        whole = np.zeros(len(y), dtype=bool)
+        if len(y) >= longest:
+            windows = np.lib.stride_tricks.sliding_window_view(y, longest)
+            for lo in range(0, len(windows), 65_536):
+                w = windows[lo:lo + 65_536]
+                w = w - w[:, :1]  # a trend test is blind to the level
+                tail = slice(shortest - 1, longest)
+                sy = np.cumsum(w, 1)[:, tail]
+                syy = np.cumsum(w * w, 1)[:, tail]
+                cxy = np.cumsum(w * np.arange(longest), 1)[:, tail] - sy * sx / sizes
+                cyy = syy - sy * sy / sizes
+                rss = cyy - cxy * cxy / sxx
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = np.where(rss <= 1e-12 * np.abs(cyy), 0.0, cxy / sxx / np.sqrt(rss / (sizes - 2) / sxx))
+                best = np.abs(t).argmax(1)
+                at = slice(lo, lo + len(w))
+                t_value[at], rows_used[at], whole[at] = t[range(len(w)), best], sizes[best].astype("int32"), True
+        use = own & whole
+        out = pdf.loc[use, [*keys, *carried]].copy()
+        out["t_value"], out["trend_rows"] = t_value[use], rows_used[use]
+        out["label"] = np.where(t_value[use] < -split, 0, np.where(t_value[use] > split, 2, 1)).astype("int32")
+        return out
+
+    return series.per_chunk(scan, list(dict.fromkeys([*carried, price])), f"{fields}t_value double, trend_rows int, label int",
+                            after=longest - 1)
 
 
 def zero_based(label: Column) -> Column:

@@ -53,14 +53,31 @@ def strided_rolling(series: Series, value: str, width: int, stride: int) -> Data
 
 
 def rolling_autocorr(series: Series, price: str, width: int, lags: Sequence[int]) -> DataFrame:
-    """Autocorrelation of log returns inside a ``width``-row frame."""
+    """Autocorrelation of log returns inside a ``width``-row frame.
+
+    Sliding sums are differences of running sums inside the chunk, so the cost
+    per row does not depend on the width.
+    """
     def build(df, w):
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_r", F.log(ratio(F.col(price), F.lag(price).over(w))))
-        df = df.withColumns({f"_l{k}": F.lag("_r", k).over(w) for k in lags})
-        full = F.count("_r").over(w.rowsBetween(-(width - 1), 0)) >= width
-        return df.withColumns({
-            f"autocorr_{k}": F.when(full, F.corr("_r", f"_l{k}").over(w.rowsBetween(-(width - 1) + k, 0)))
-            for k in lags}).drop("_r", *[f"_l{k}" for k in lags])
+        df = df.withColumns({"_x": F.coalesce("_r", F.lit(0.0)), "_seen": F.col("_r").isNotNull().cast("int"),
+                             **{f"_x{k}": F.coalesce(F.col("_r") * F.lag("_r", k).over(w), F.lit(0.0)) for k in lags}})
+        df = df.withColumns({"_p1": F.sum("_x").over(upto), "_p2": F.sum(F.col("_x") * F.col("_x")).over(upto),
+                             "_pn": F.sum("_seen").over(upto), **{f"_c{k}": F.sum(f"_x{k}").over(upto) for k in lags}})
+
+        def back(name, rows):
+            return F.coalesce(F.lag(name, rows).over(w), F.lit(0)) if rows else F.col(name)
+        full = F.col("_pn") - back("_pn", width) >= width
+        out = {}
+        for k in lags:
+            m = width - k  # pairs inside the frame
+            sx, sxx = F.col("_p1") - back("_p1", m), F.col("_p2") - back("_p2", m)
+            sy, syy = back("_p1", k) - back("_p1", width), back("_p2", k) - back("_p2", width)
+            sxy = F.col(f"_c{k}") - back(f"_c{k}", m)
+            spread = (m * sxx - sx * sx) * (m * syy - sy * sy)
+            out[f"autocorr_{k}"] = F.when(full, ratio(m * sxy - sx * sy, F.sqrt(F.greatest(spread, F.lit(0.0)))))
+        return df.withColumns(out).drop("_r", "_x", "_seen", "_p1", "_p2", "_pn", *[f"_x{k}" for k in lags], *[f"_c{k}" for k in lags])
     return series.windowed(build, before=width + max(lags) + 1)
 
 
@@ -290,7 +307,7 @@ def pacf(acf_table: DataFrame, keys: Sequence[str]) -> DataFrame:
         out["pacf"] = made
         return out
 
-    grouped = acf_table.groupBy(*keys) if keys else acf_table.groupBy(F.lit(0))
+    grouped = acf_table.groupBy(*keys)
     return grouped.applyInPandas(solve, f"{fields}{', ' if keys else ''}lag long, pacf double")
 
 
