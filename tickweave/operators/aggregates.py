@@ -193,7 +193,7 @@ def word_pmf(series: Series, symbol: Column, width: int) -> DataFrame:
     words = rows.windowed(build, before=width).filter("word IS NOT NULL")
     pmf = words.groupBy(*series.keys, "word").agg(F.count(F.lit(1)).alias("c"))
     totals = pmf.groupBy(*series.keys).agg(F.sum("c").alias("_n"))
-    joined = pmf.join(totals, list(series.keys)) if series.keys else pmf.crossJoin(F.broadcast(totals))
+    joined = series.attach(pmf, totals)
     return joined.select(*series.keys, "word", (F.col("c") / F.col("_n")).alias("p"))
 
 

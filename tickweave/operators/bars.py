@@ -90,7 +90,7 @@ def tick_rule(series: Series, price: str, tolerance: float = 1e-3, name: str = "
             F.lit(1e-9) * F.greatest(F.abs(move), F.lit(0.0)), F.lit(tolerance))
         return df.withColumn("_move", F.when(~flat, F.signum(move)))
     moved = series.windowed(build, before=1)
-    carried = Series(moved, series.laid, series.keys, series.order, series.total, series.chunk_rows)
+    carried = series.derive(moved)
     return carried.running({name: ("last", F.col("_move"))}).withColumn(
         name, F.coalesce(F.col(name), F.lit(0.0))).drop("_move")
 
@@ -109,7 +109,7 @@ def segments(series: Series, value: str, max_delta: float, persist: int = 0) ->
             jump = jump & (F.abs(ahead - behind) > max_delta)
         return df.withColumn("_cut", F.when(jump, 1).otherwise(0))
     cut = series.windowed(build, before=persist + 1, after=persist)
-    marked = Series(cut, series.laid, series.keys, series.order, series.total, series.chunk_rows)
+    marked = series.derive(cut)
     return marked.running({"segment": ("sum", F.col("_cut"))}).drop("_cut")
 
 
@@ -192,7 +192,8 @@ def flow_clock(first_length: float, flow_span: int, length_span: int, run: bool)
 
     Imbalance: close when |sum b*v| >= E[T] * |E[b*v]|. Run: close when the
     larger one-sided sum >= E[T] * max(P(buy) E[v|buy], (1-P(buy)) E[v|sell]).
-    The first ``first_length`` ticks of a key only warm up the expectations.
+    The first ``first_length`` ticks of a key only warm up the expectations
+    and belong to no bar.
     """
     a_flow, a_len = 2 / (flow_span + 1), 2 / (length_span + 1)
 
@@ -200,6 +201,7 @@ def flow_clock(first_length: float, flow_span: int, length_span: int, run: bool)
         seen, e_len, e_up, e_down, up, down, last, sign, length = state
         prices, amounts = arrays["_price"].tolist(), arrays["_amount"].tolist()
         hits = np.zeros(len(prices), dtype="int32")
+        live = np.zeros(len(prices), dtype="int32")
         for i, (p, v) in enumerate(zip(prices, amounts)):
             if seen > 0:
                 move = (p > last) - (p < last)
@@ -214,6 +216,7 @@ def flow_clock(first_length: float, flow_span: int, length_span: int, run: bool)
                 e_down += a_flow * (sell - e_down)
             if seen <= first_length:
                 continue
+            live[i] = 1
             up += buy
             down += sell
             length += 1
@@ -225,7 +228,7 @@ def flow_clock(first_length: float, flow_span: int, length_span: int, run: bool)
                 hits[i] = 1
                 e_len += a_len * (length - e_len)
                 up, down, length = 0.0, 0.0, 0
-        return (seen, e_len, e_up, e_down, up, down, last, sign, length), {"_hits": hits}
+        return (seen, e_len, e_up, e_down, up, down, last, sign, length), {"_hits": hits, "_live": live}
     return kernel
 
 
@@ -235,7 +238,7 @@ def flow_bars(series: Series, ts: str, price: str, qty: str, amount: Column, run
     keys = list(series.keys)
     rows = series.with_columns({"_price": F.col(price), "_amount": amount.cast("double")}).fold(
         flow_clock(first_length, flow_span, length_span, run), (0.0,) * 9, ["_price", "_amount"],
-        {"_hits": "int"}, keep=[*series.order, price, qty])
+        {"_hits": "int", "_live": "int"}, keep=[*series.order, price, qty]).filter("_live = 1")
     at = F.struct(*series.order)
     bars = rows.groupBy(*keys, F.col("_seq").alias("bar")).agg(
         *_ohlcv(price, qty, at), F.max(ts).alias("bar_ts"), F.count(F.lit(1)).alias("n_ticks"),

@@ -47,7 +47,7 @@ def sequence_gaps(series: Series, first: str, last: str, previous: str, chained:
         ok = F.col(previous) == before if chained == "previous" else F.col(first) == before + 1
         return df.withColumn("gap", F.when(F.col("_pos") == 0, 0).otherwise((~ok).cast("int")))
     flagged = series.windowed(build, before=1)
-    base = Series(flagged, series.laid, series.keys, series.order, series.total, series.chunk_rows)
+    base = series.derive(flagged)
     return base.running({"segment": ("sum", F.col("gap"))})
 
 
@@ -99,7 +99,7 @@ def top_of_book(updates: DataFrame, keys: Sequence[str], side: str, price: str,
     w = Window.partitionBy(*keys, side, price).orderBy("_chunk")
     spans = touched.withColumn("_next", F.lead("_chunk").over(w)).filter("_q > 0")
     ends = rows.groupBy(*keys).agg(F.max("_chunk").alias("_end"))
-    spans = spans.join(ends, keys) if keys else spans.crossJoin(F.broadcast(ends))
+    spans = series.attach(spans, ends)
     until = F.coalesce(F.col("_next"), F.col("_end"))
     alive = (spans.filter(until > F.col("_chunk"))
              .withColumn("_into", F.explode(F.sequence(F.col("_chunk") + 1, until)))

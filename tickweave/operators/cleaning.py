@@ -62,7 +62,7 @@ def spread_duplicates(series: Series, ts: str, name: str = "unique_ts") -> DataF
     flagged = series.windowed(lambda df, w: df.withColumn(
         "_start", F.when(F.lag(ts).over(w).eqNullSafe(F.col(ts)) & (F.col("_pos") > 0), None)
         .otherwise(F.col("_pos"))), before=1)
-    run = Series(flagged, series.laid, series.keys, series.order, series.total, series.chunk_rows).running(
+    run = series.derive(flagged).running(
         {"_first": ("max", F.col("_start"))})
     return run.withColumn(name, F.col(ts) + F.col("_pos") - F.col("_first")).drop("_start", "_first")
 

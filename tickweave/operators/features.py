@@ -164,10 +164,9 @@ def adf(df: DataFrame, series: Series, value: str, lags: int = 1, constant: bool
     """
     keys = list(series.keys)
     means = series.df.groupBy(*keys).agg(F.avg(value).alias("_mu"))
-    centred = series.df.join(means, keys) if keys else series.df.crossJoin(F.broadcast(means))
+    centred = series.attach(series.df, means)
     shift = F.col("_mu") if constant else F.lit(0.0)
-    base = Series(centred.withColumn("_y", F.col(value) - shift), series.laid, series.keys, series.order,
-                  series.total, series.chunk_rows)
+    base = series.derive(centred.withColumn("_y", F.col(value) - shift))
 
     def build(d, w):
         d = d.withColumns({"_l": F.lag("_y").over(w)}).withColumn("_dy", F.col("_y") - F.col("_l"))
@@ -253,11 +252,10 @@ def cointegration(pairs: Series, a: str, b: str, lags: int = 1) -> DataFrame:
     """Engle-Granger: regress a on b, then test the residual for a unit root."""
     keys = list(pairs.keys)
     fit = pairs.df.groupBy(*keys).agg(F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"))
-    joined = pairs.df.join(fit, keys) if keys else pairs.df.crossJoin(F.broadcast(fit))
-    rest = Series(joined.withColumn("_resid", F.col(a) - F.col("slope") * F.col(b) - F.col("intercept")), pairs.laid,
-                  pairs.keys, pairs.order, pairs.total, pairs.chunk_rows)
+    joined = pairs.attach(pairs.df, fit)
+    rest = pairs.derive(joined.withColumn("_resid", F.col(a) - F.col("slope") * F.col(b) - F.col("intercept")))
     tested = adf(rest.df, rest, "_resid", lags, constant=False, n_series=2)
-    return tested.join(fit, keys) if keys else tested.crossJoin(F.broadcast(fit))
+    return pairs.attach(tested, fit)
 
 
 def backward_sup_adf(series: Series, value: str, ts: str, shortest: int, constant: str = "c", lags: int = 1) -> DataFrame:
@@ -297,7 +295,7 @@ def backward_sup_adf(series: Series, value: str, ts: str, shortest: int, constan
     ends = series.df.groupBy(*keys).agg(F.max(ts).alias("end_ts"))
     best = tested.filter(F.col("_t").isNotNull() & ~F.isnan("_t")).groupBy(*keys).agg(
         F.max("_t").alias("bsadf"), F.count(F.lit(1)).alias("n_starts"))
-    return best.join(ends, keys) if keys else best.crossJoin(F.broadcast(ends))
+    return series.attach(best, ends)
 
 
 # -- indicators -----------------------------------------------------------------------
@@ -311,10 +309,10 @@ def directional_index(series: Series, high: str, low: str, span: int) -> DataFra
             "_up": F.when((up > down) & (up > 0), up).otherwise(0.0),
             "_dn": F.when((down > up) & (down > 0), down).otherwise(0.0)})
     moves = series.windowed(build, before=1)
-    base = Series(moves, series.laid, series.keys, series.order, series.total, series.chunk_rows)
+    base = series.derive(moves)
     keep = decay_of(span=span)
     up = ewm(base, "_up", keep, mean="_pos_di", std=None, min_periods=span)
-    both = ewm(Series(up, series.laid, series.keys, series.order, series.total, series.chunk_rows), "_dn", keep,
+    both = ewm(series.derive(up), "_dn", keep,
                mean="_neg_di", std=None, min_periods=span)
     return both.withColumn("rsi", F.bround(ratio(F.col("_pos_di") * 100.0, F.col("_pos_di") + F.col("_neg_di")))).drop(
         "_up", "_dn", "_pos_di", "_neg_di")
@@ -357,7 +355,7 @@ def quantile_bins(series: Series, value: str, bins: int) -> DataFrame:
         "change", ratio(F.col(value), F.lag(value).over(w)) - 1), before=1).filter("change IS NOT NULL")
     keys = list(series.keys)
     cuts = moved.groupBy(*keys).agg(F.percentile("change", [i / bins for i in range(bins + 1)]).alias("_q"))
-    out = moved.join(cuts, keys) if keys else moved.crossJoin(F.broadcast(cuts))
+    out = series.attach(moved, cuts)
     index = F.size(F.filter(F.slice("_q", 2, bins - 1), lambda q: q < F.col("change")))
     return out.withColumn("bin", index.cast("long")).withColumn(
         "one_hot", F.array(*[(F.col("bin") == i).cast("int") for i in range(bins)])).drop("_q")
@@ -436,7 +434,7 @@ def entropy_rate(series: Series, symbol: Column, ts: str, span_us: int) -> DataF
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts).rangeBetween(-span_us, 0)
     windows = spread.withColumn("_w", F.collect_list("_symbol").over(w)).filter("_home = _bucket").drop("_home", "_bucket")
     starts = series.df.groupBy(*keys).agg(F.min(ts).alias("_start"))
-    ready = (windows.join(starts, keys) if keys else windows.crossJoin(F.broadcast(starts))).filter(
+    ready = series.attach(windows, starts).filter(
         F.col(ts) >= F.col("_start") + span_us)
 
     @F.pandas_udf("double")

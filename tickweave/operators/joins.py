@@ -121,8 +121,7 @@ def concurrency(series: Series, spans: DataFrame, start: str = "p0", end: str =
     ups = spans.select(*keys, F.col(start).alias("_pos"), F.lit(1).alias("_d"))
     downs = spans.select(*keys, (F.col(end) + 1).alias("_pos"), F.lit(-1).alias("_d"))
     steps = ups.unionByName(downs).groupBy(*keys, "_pos").agg(F.sum("_d").alias("_d"))
-    stepped = Series(series.df.join(steps, [*keys, "_pos"], "left"), series.laid, series.keys,
-                     series.order, series.total, series.chunk_rows)
+    stepped = series.derive(series.df.join(steps, [*keys, "_pos"], "left"))
     return stepped.running({"n_active": ("sum", F.coalesce(F.col("_d"), F.lit(0)))}).drop("_d")
 
 

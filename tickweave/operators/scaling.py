@@ -60,7 +60,7 @@ def number_days(series: Series, ts: str, length_us: int, anchored: bool, keep: S
             keep=list(dict.fromkeys([*series.order, *keep])))
         return rows.withColumnRenamed("_seq", "day").drop("_hits")
     first = series.df.groupBy(*series.keys).agg(F.min(F.floor(F.col(ts) / length_us)).alias("_d0"))
-    rows = series.df.join(first, list(series.keys)) if series.keys else series.df.crossJoin(F.broadcast(first))
+    rows = series.attach(series.df, first)
     return rows.withColumn("day", (F.floor(F.col(ts) / length_us) - F.col("_d0")).cast("long")).drop("_d0")
 
 

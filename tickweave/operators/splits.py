@@ -40,7 +40,7 @@ def _with_folds(series: Series, start: str, end: str, folds: int) -> DataFrame:
         F.min_by(start, "_pos").alias("t0"), F.max(end).alias("t1"))
     packed = table.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct(F.col("_fold").alias("fold"), "first", "stop", "t0", "t1"))).alias("_folds"))
-    return rows.join(packed, keys) if keys else rows.crossJoin(F.broadcast(packed))  # one row per key
+    return series.attach(rows, packed)  # one row per key
 
 
 def purged_kfold(series: Series, start: str, end: str, folds: int, embargo: float = 0.0,
@@ -56,7 +56,7 @@ def purged_kfold(series: Series, start: str, end: str, folds: int, embargo: floa
     ends = rows.select(*keys, F.col(start).alias("_s"), F.explode("_folds").alias("_f")).filter(F.col("_s") < F.col("_f.t1"))
     reach = ends.groupBy(*keys, F.col("_f.fold").alias("fold")).agg(F.count(F.lit(1)).alias("_reach"))
     packed = reach.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("fold", "_reach"))).alias("_reach"))
-    rows = rows.join(packed, keys, "left") if keys else rows.crossJoin(F.broadcast(packed))
+    rows = series.attach(rows, packed, "left")
     wide = rows.withColumn("_f", F.explode("_folds"))
     gap = F.floor(F.col("_n") * embargo)
     before = (F.col(end) < F.col("_f.t0")) if purge else (F.col(end) <= F.col("_f.t0"))
@@ -150,7 +150,7 @@ def walk_forward(series: Series, start: str, end: str, folds: int, tests: int =
     rows = series.with_length().df
     if by_time:
         span = rows.groupBy(*keys).agg(F.min(start).alias("_lo"), F.max(start).alias("_hi"))
-        rows = rows.join(span, keys) if keys else rows.crossJoin(F.broadcast(span))
+        rows = series.attach(rows, span)
         edge = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(i) / folds
         fold = F.lit(-1)
         for i in range(folds):
@@ -161,7 +161,7 @@ def walk_forward(series: Series, start: str, end: str, folds: int, tests: int =
     firsts = rows.groupBy(*keys, "_fold").agg(F.min(start).alias("_t0"))
     # a fold without rows starts where the next fold with rows does
     packed = firsts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_fold", "_t0"))).alias("_starts"))
-    rows = rows.join(packed, keys) if keys else rows.crossJoin(F.broadcast(packed))
+    rows = series.attach(rows, packed)
     rounds = []
     for c in range(min_train, folds - tests + 1):
         low = c - max_train if c > max_train else 0
@@ -193,7 +193,7 @@ def embargo_times(series: Series, ts: str, share: float) -> DataFrame:
     ahead = rows.select(*keys, (F.col("_pos") - F.col("_step")).alias("_pos"), F.col(ts).alias("_ahead")).filter("_pos >= 0")
     last = rows.groupBy(*keys).agg(F.max(ts).alias("_last"))
     out = rows.join(ahead, [*keys, "_pos"], "left")
-    out = out.join(last, keys) if keys else out.crossJoin(F.broadcast(last))
+    out = series.attach(out, last)
     return out.withColumn("embargo_ts", F.coalesce("_ahead", "_last")).drop("_step", "_n", "_ahead", "_last")
 
 

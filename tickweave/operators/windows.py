@@ -271,9 +271,8 @@ def acf(series: Series, value: str, lags: Sequence[int]) -> DataFrame:
     """Autocorrelation function of each whole series, long form."""
     keys = list(series.keys)
     means = series.df.groupBy(*keys).agg(F.avg(value).alias("_mu"))
-    centred = series.df.join(means, keys) if keys else series.df.crossJoin(F.broadcast(means))
-    shifted = Series(centred.withColumn("_d", F.col(value) - F.col("_mu")), series.laid, series.keys, series.order,
-                     series.total, series.chunk_rows)
+    centred = series.attach(series.df, means)
+    shifted = series.derive(centred.withColumn("_d", F.col(value) - F.col("_mu")))
     products = shifted.windowed(lambda df, w: df.withColumns(
         {f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in lags}), before=max(lags))
     sums = products.groupBy(*keys).agg(
@@ -325,7 +324,7 @@ def seasonal_decompose(series: Series, value: str, period: int) -> DataFrame:
     trended = series.windowed(build, before=half, after=half).withColumn("phase", F.col("_pos") % period)
     means = trended.groupBy(*keys, "phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_m"))
     centre = means.groupBy(*keys).agg(F.avg("_m").alias("_mm"))
-    seasonal = (means.join(centre, keys) if keys else means.crossJoin(F.broadcast(centre))).select(
+    seasonal = series.attach(means, centre).select(
         *keys, "phase", (F.col("_m") - F.col("_mm")).alias("seasonal"))
     return trended.join(seasonal, [*keys, "phase"]).withColumn(
         "resid", F.col(value) - F.col("trend") - F.col("seasonal"))

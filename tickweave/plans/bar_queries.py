@@ -137,17 +137,78 @@ def seconds_since_previous_bar(spark, folder):
     return B.since_previous(series, "bar_ts").select("symbol", "bar_ts", "seconds_since")
 
 
-@query("tick_imbalance_bars")
+_MOVES = """mv AS (SELECT *, CAST(sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY pos)) AS DOUBLE) AS mv FROM t),
+m AS (SELECT *, coalesce(last_value(nullif(mv, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos), 0) AS sg FROM mv)"""
+_CLOSED = """SELECT symbol, bar, arg_min(price, pos) AS open, max(price) AS high, min(price) AS low, arg_max(price, pos) AS close,
+  VOLUME AS volume, max(ts) AS bar_ts, count(*) AS n_ticks FROM f JOIN t USING (symbol, pos) WHERE live GROUP BY symbol, bar HAVING bool_or(hit)"""
+
+
+def _flow_sql(amount, run):
+    a, b = repr(2 / 1001), repr(2 / 4)
+    reached = "greatest(up, dn) >= el * greatest(eu, ed)" if run else "abs(up - dn) >= el * abs(eu - ed)"
+    return f"""WITH RECURSIVE {TICKS_SQL}, {_MOVES},
+x AS (SELECT symbol, pos, CASE WHEN sg > 0 THEN {amount} ELSE 0 END::DOUBLE AS buy, CASE WHEN sg < 0 THEN {amount} ELSE 0 END::DOUBLE AS sell FROM m),
+f AS (SELECT symbol, pos, 50.0::DOUBLE AS el, buy AS eu, sell AS ed, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, CAST(0 AS BIGINT) AS ln, false AS hit, false AS live, CAST(0 AS BIGINT) AS bar
+      FROM x WHERE pos = 0
+  UNION ALL
+  SELECT symbol, pos, CASE WHEN hit THEN el + {b}::DOUBLE * (ln - el) ELSE el END, eu, ed, up, dn, ln, hit, live, bar FROM (
+    SELECT *, live AND {reached} AS hit FROM (
+      SELECT x.symbol, x.pos, f.el, f.eu + {a}::DOUBLE * (x.buy - f.eu) AS eu, f.ed + {a}::DOUBLE * (x.sell - f.ed) AS ed, x.pos >= 50 AS live,
+        CASE WHEN x.pos >= 50 THEN CASE WHEN f.hit THEN 0 ELSE f.up END + x.buy ELSE 0 END AS up,
+        CASE WHEN x.pos >= 50 THEN CASE WHEN f.hit THEN 0 ELSE f.dn END + x.sell ELSE 0 END AS dn,
+        CASE WHEN x.pos >= 50 THEN CASE WHEN f.hit THEN 0 ELSE f.ln END + 1 ELSE 0 END AS ln, f.bar + CAST(f.hit AS BIGINT) AS bar
+      FROM f JOIN x ON x.symbol = f.symbol AND x.pos = f.pos + 1)))
+{_CLOSED.replace("VOLUME", "sum(qty)")}"""
+
+
+_TICK_SQL = f"""WITH RECURSIVE {TICKS_SQL}, {_MOVES},
+f AS (SELECT symbol, pos, 0.0::DOUBLE AS el, 0.0::DOUBLE AS es, 0.0::DOUBLE AS sh, 0.0::DOUBLE AS th, 0.0::DOUBLE AS sg, 0 AS ln, 0 AS op, false AS hit, false AS live, CAST(0 AS BIGINT) AS bar
+      FROM m WHERE pos = 0
+  UNION ALL
+  SELECT symbol, pos, CASE WHEN hit THEN el + {2 / 11!r}::DOUBLE * (op - el) ELSE el END, CASE WHEN hit THEN sh ELSE es END, sh, th, sg, ln,
+    CASE WHEN live AND NOT hit THEN op + 1 ELSE op END, hit, live, bar FROM (
+    SELECT *, live AND ln >= 10 AND (abs(th) >= el * abs(es) OR ln > 1000) AS hit FROM (
+      SELECT symbol, pos, live, bar, op, sg, CASE WHEN pos = 100 THEN 100.0 ELSE el END AS el,
+        CASE WHEN live THEN es WHEN pos = 1 THEN sg ELSE es + {2 / 101!r}::DOUBLE * (sg - es) END AS es,
+        CASE WHEN live AND pos = 100 THEN es WHEN live AND l0 > 0 THEN sh + {2 / 101!r}::DOUBLE * (sg - sh) ELSE sh END AS sh,
+        CASE WHEN live AND l0 > 0 THEN t0 + sg ELSE 0 END AS th, CASE WHEN live THEN l0 + 1 ELSE 0 END AS ln FROM (
+        SELECT *, CASE WHEN live AND l0 = 0 THEN 0 WHEN mv <> 0 THEN mv ELSE s0 END AS sg FROM (
+          SELECT m.symbol, m.pos, m.mv, m.pos >= 100 AS live, f.bar + CAST(f.hit AS BIGINT) AS bar, f.el, f.es, f.sh,
+            CASE WHEN f.hit OR m.pos = 100 THEN 0 ELSE f.ln END AS l0, CASE WHEN f.hit OR m.pos = 100 THEN 0 ELSE f.sg END AS s0,
+            CASE WHEN f.hit OR m.pos = 100 THEN 0 ELSE f.th END AS t0, CASE WHEN f.hit OR m.pos = 100 THEN 0 ELSE f.op END AS op
+          FROM f JOIN m ON m.symbol = f.symbol AND m.pos = f.pos + 1)))))
+{_CLOSED.replace("VOLUME", "coalesce(sum(qty) FILTER (NOT hit), 0)")}"""
+
+
+@query("tick_imbalance_bars", _TICK_SQL)
 def tick_imbalance_bars(spark, folder):
     return B.tick_imbalance_bars(_ticks(spark, folder), "ts", "price", "qty", warmup=100)
 
 
-@query("dollar_imbalance_bars")
+def _flow(spark, folder, amount, run=False):
+    return B.flow_bars(_ticks(spark, folder), "ts", "price", "qty", amount, run=run, first_length=50)
+
+
+@query("dollar_imbalance_bars", _flow_sql("price * qty", False))
 def dollar_imbalance_bars(spark, folder):
-    return B.flow_bars(_ticks(spark, folder), "ts", "price", "qty", F.col("price") * F.col("qty"), first_length=50)
+    return _flow(spark, folder, F.col("price") * F.col("qty"))
 
 
-@query("dollar_run_bars")
+@query("dollar_run_bars", _flow_sql("price * qty", True))
 def dollar_run_bars(spark, folder):
-    return B.flow_bars(_ticks(spark, folder), "ts", "price", "qty", F.col("price") * F.col("qty"), run=True,
-                       first_length=50)
+    return _flow(spark, folder, F.col("price") * F.col("qty"), run=True)
+
+
+@query("volume_imbalance_bars", _flow_sql("qty", False))
+def volume_imbalance_bars(spark, folder):
+    return _flow(spark, folder, F.col("qty"))
+
+
+@query("volume_run_bars", _flow_sql("qty", True))
+def volume_run_bars(spark, folder):
+    return _flow(spark, folder, F.col("qty"), run=True)
+
+
+@query("tick_run_bars", _flow_sql("1.0", True))
+def tick_run_bars(spark, folder):
+    return _flow(spark, folder, F.lit(1.0), run=True)

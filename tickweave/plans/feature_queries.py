@@ -90,6 +90,17 @@ def unit_root_statistic_no_lags(spark, folder):
     return X.adf(s.df, s, "logp", lags=0).select("symbol", "n_obs", r("adf_stat").alias("adf_stat"))
 
 
+@query("unit_root_statistic_one_lag", f"""WITH {TICKS_SQL}, y AS (SELECT symbol, pos, ln(price) AS y FROM t),
+a AS (SELECT symbol, pos, y - lag(y) OVER {OW} AS dy, lag(y) OVER {OW} AS l FROM y), b AS (SELECT *, lag(dy) OVER {OW} AS d1 FROM a),
+c AS (SELECT * FROM b WHERE d1 IS NOT NULL), r AS (SELECT symbol, count(*) AS n, regr_slope(dy, d1) AS p, regr_intercept(dy, d1) AS q, regr_slope(l, d1) AS u, regr_intercept(l, d1) AS v FROM c GROUP BY symbol),
+e AS (SELECT c.symbol, n, dy - q - p * d1 AS ey, l - v - u * d1 AS el FROM c JOIN r ON r.symbol = c.symbol),
+g AS (SELECT symbol, any_value(n) AS n, sum(ey * el) / sum(el * el) AS b, sum(ey * ey) AS syy, sum(el * el) AS sll FROM e GROUP BY symbol)
+SELECT symbol, n AS n_obs, round(b / sqrt((syy - b * b * sll) / (n - 3) / sll), 6) + 0.0 AS adf_stat FROM g""")
+def unit_root_statistic_one_lag(spark, folder):
+    s = _logs(spark, folder)
+    return X.adf(s.df, s, "logp", lags=1).select("symbol", "n_obs", r("adf_stat").alias("adf_stat"))
+
+
 @query("unit_root_test")
 def unit_root_test(spark, folder):
     s = _logs(spark, folder)

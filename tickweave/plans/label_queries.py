@@ -333,7 +333,7 @@ SELECT symbol, id, round(w * count(*) OVER (PARTITION BY symbol) / sum(w) OVER (
 def return_attribution_weights(spark, folder):
     series, sp = spans(spark, folder)
     logs = series.windowed(lambda df, w: df.withColumn("lr", F.log(F.try_divide(F.col("price"), F.lag("price").over(w)))), before=1)
-    base = Series(logs, series.laid, series.keys, series.order, series.total, series.chunk_rows)
+    base = series.derive(logs)
     return WT.return_weights(base, sp, F.col("lr")).select("symbol", "id", r("weight").alias("weight"))
 
 

@@ -19,7 +19,7 @@ No task ever holds a whole key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -55,11 +55,26 @@ class Series:
     order: tuple[str, ...]
     total: int
     chunk_rows: int
+    span_count: int  # (key, partition) pairs: never fewer than the number of keys
 
     # -- shape ---------------------------------------------------------
+    def derive(self, df: DataFrame) -> "Series":
+        """The same series with other columns; rows and ``_pos`` must be unchanged."""
+        return replace(self, df=df)
+
     def with_columns(self, columns: dict[str, Column]) -> "Series":
-        return Series(self.df.withColumns(columns), self.laid.withColumns(columns),
-                      self.keys, self.order, self.total, self.chunk_rows)
+        return replace(self, df=self.df.withColumns(columns), laid=self.laid.withColumns(columns))
+
+    def attach(self, df: DataFrame, per_key: DataFrame, how: str = "inner") -> DataFrame:
+        """Join a table with one row per key.
+
+        It is broadcast when the layout has shown the number of keys to be
+        small, so rows of a hot key stay where they are.
+        """
+        if not self.keys:
+            return df.crossJoin(F.broadcast(per_key))  # one row
+        small = F.broadcast(per_key) if self.span_count <= BROADCAST_SPAN_LIMIT else per_key
+        return df.join(small, list(self.keys), how)
 
     def lengths(self) -> DataFrame:
         return self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -67,10 +82,8 @@ class Series:
     def with_length(self) -> "Series":
         """Add ``_n``, the number of rows of the key."""
         if not self.keys:
-            return Series(self.df.withColumn("_n", F.lit(self.total).cast("long")), self.laid,
-                          self.keys, self.order, self.total, self.chunk_rows)
-        return Series(self.df.join(self.lengths(), list(self.keys)), self.laid,
-                      self.keys, self.order, self.total, self.chunk_rows)
+            return self.derive(self.df.withColumn("_n", F.lit(self.total).cast("long")))
+        return self.derive(self.attach(self.df, self.lengths()))
 
     # -- bounded frames ------------------------------------------------
     def chunked(self, before: int = 0, after: int = 0, rows: int | None = None) -> DataFrame:
@@ -310,4 +323,4 @@ def lay_out(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("ts
                 .withColumn("_pos", F.col("_mid") + F.col("_shift")).drop("_span", "_shift", "_mid"))
     if chunk_rows is None:
         chunk_rows = fit_chunk_rows(total, df.sparkSession.sparkContext.defaultParallelism)
-    return Series(numbered, laid.drop("_mid"), keys, order, total, chunk_rows)
+    return Series(numbered, laid.drop("_mid"), keys, order, total, chunk_rows, count)
