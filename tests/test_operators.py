@@ -240,3 +240,59 @@ def test_threshold_grid_edges(spark):
     assert grid["threshold"].tolist() == [0.5, 0.75, 1.0]
     # 0.5: rows 1, 3 are long (and 1, 3 short); 0.75: complements 0.5 and 0 are short; 1: every complement is
     assert grid["n_bets"].tolist() == [2, 2, 3]
+
+
+def _windows(spark, series, width):
+    return series.windowed(lambda df, w: W.sliding_window(df, w, F.col("price"), width), width - 1).filter("window IS NOT NULL")
+
+
+def test_warping_matches_brute_force(spark, series):
+    refs = [("up", [100.0, 104.0, 108.0, 112.0]), ("flat", [105.0] * 5)]
+    rows = X.nearest_by_warping(_windows(spark, series, 5), "window", ["symbol", "id", "window"], refs).limit(40).toPandas()
+
+    def dtw(a, b):
+        table = np.full((len(a) + 1, len(b) + 1), np.inf)
+        table[0, 0] = 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(table[i - 1, j], table[i, j - 1], table[i - 1, j - 1])
+        return math.sqrt(table[-1, -1])
+    for row in rows.itertuples():
+        want = {name: dtw(row.window, ref) for name, ref in refs}
+        assert row.distance == pytest.approx(min(want.values())) and want[row.nearest] == pytest.approx(row.distance)
+
+
+def test_kernel_features_match_brute_force(spark, series):
+    kernels = X.random_kernels(16, 6, seed=2)
+    rows = X.kernel_features(_windows(spark, series, 16), "window", ["id", "window"], kernels).limit(10).toPandas()
+    for row in rows.itertuples():
+        for k, (w, bias, dilation, pad) in enumerate(kernels):
+            x = np.r_[np.zeros(pad), row.window, np.zeros(pad)]
+            out = [bias + sum(w[i] * x[t + i * dilation] for i in range(len(w))) for t in range(len(x) - (len(w) - 1) * dilation)]
+            assert row.features[2 * k] == pytest.approx(max(out))
+            assert row.features[2 * k + 1] == pytest.approx(np.mean(np.array(out) > 0))
+
+
+def test_rolling_entropy_rate_matches_brute_force(series, hot):
+    span = 40_000_000
+    got = X.entropy_rate(series, F.floor(F.col("price") / 5), "ts", span).filter("symbol = 'hot'").toPandas().set_index("id")["entropy_rate"]
+    for row in hot.iloc[::97].itertuples():
+        part = hot[(hot["ts"] >= row.ts - span) & (hot["ts"] <= row.ts)]
+        if row.ts < hot["ts"].min() + span:
+            assert row.id not in got.index
+            continue
+        h, _, _ = X.match_entropy((part["price"] // 5).astype(int).tolist())
+        same_time = hot[hot["ts"] == row.ts]["id"].tolist()
+        assert any(abs(got[i] - h) < 1e-9 for i in same_time)
+
+
+def test_synthetic_rows_lie_between_minority_neighbours(spark):
+    rng = np.random.default_rng(1)
+    pts = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, int(i % 6 == 0), p.tolist()) for i, p in enumerate(pts)], "id long, y int, v array<double>")
+    out = WT.synthetic_minority(df, "v", "y", 1, "id", k=3, per_row=2).toPandas()
+    assert len(out) == 20
+    for row in out.itertuples():
+        a, b = pts[row.id], pts[row.neighbour]
+        g = (np.array(row.v) - a) / (b - a)
+        assert row.neighbour % 6 == 0 and np.allclose(g, g[0]) and 0 <= g[0] <= 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import normal_cdf, ratio
 from tickweave.series import Series, lay_out
+from tickweave.session import settle
 
 
 def merge_trades(df: DataFrame, keys: Sequence[str], ts: str, price: str, qty: str) -> DataFrame:
@@ -319,6 +320,7 @@ def mean_curve(points: DataFrame, fold: str, grid_points: int = 100) -> DataFram
     look-ups run as an as-of join on both sides.
     """
     from tickweave.operators.joins import asof_join
+    points = settle(points.select(fold, "fpr", "tpr"))  # read four times below
     folds = points.select(fold).distinct()
     grid = folds.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1)))).withColumn(
         "x", F.col("g") / F.lit(float(grid_points - 1)))

@@ -520,7 +520,7 @@ def kernel_features(df: DataFrame, array: str, keep: Sequence[str], kernels: lis
             res = pdf[list(keep)].copy()
             res[name] = list(made)
             yield res
-    return df.select(*keep, array).mapInPandas(convolve, f"{fields}, {name} array<double>")
+    return df.select(*dict.fromkeys([*keep, array])).mapInPandas(convolve, f"{fields}, {name} array<double>")
 
 
 def nearest_by_warping(df: DataFrame, array: str, keep: Sequence[str], exemplars: list[tuple[str, list[float]]],
@@ -555,4 +555,4 @@ def nearest_by_warping(df: DataFrame, array: str, keep: Sequence[str], exemplars
             out["nearest"] = [exemplars[b][0] for b in best]
             out["distance"] = table[range(len(best)), best]
             yield out
-    return df.select(*keep, array).mapInPandas(score, f"{fields}, nearest string, distance double")
+    return df.select(*dict.fromkeys([*keep, array])).mapInPandas(score, f"{fields}, nearest string, distance double")

@@ -260,10 +260,16 @@ def roc_auc(spark, folder):
     return G.curve_points(predictions(spark, folder), "prob", "actual").agg(r(F.sum("area")).alias("auc"))
 
 
-@query("mean_roc_over_folds")
+@query("mean_roc_over_folds", f"""WITH {PRED_SQL}, s AS (SELECT stock, prob, sum(actual) AS p, sum(1 - actual) AS n FROM pred GROUP BY ALL),
+c AS (SELECT stock, sum(p) OVER w / sum(p) OVER (PARTITION BY stock) AS tpr, sum(n) OVER w / sum(n) OVER (PARTITION BY stock) AS fpr FROM s WINDOW w AS (PARTITION BY stock ORDER BY prob DESC)),
+k AS (SELECT stock, fpr, max(tpr) AS hi, min(tpr) AS lo FROM (SELECT * FROM c UNION ALL SELECT DISTINCT stock, 0, 0 FROM c) GROUP BY ALL),
+g AS (SELECT stock, g, g / 99.0::DOUBLE AS x FROM (SELECT DISTINCT stock FROM c), range(0, 100) r(g)),
+a AS (SELECT g.stock, g.g, g.x, k.fpr AS x0, k.hi AS y0 FROM g ASOF JOIN k ON g.stock = k.stock AND g.x >= k.fpr),
+b AS (SELECT a.*, k.fpr AS x1, k.lo AS y1 FROM a ASOF LEFT JOIN k ON a.stock = k.stock AND a.x <= k.fpr)
+SELECT CAST(g AS INTEGER) AS g, round(avg(CASE WHEN g = 0 THEN 0 WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (x - x0) / (x1 - x0) * (y1 - y0) END), 6) + 0.0 AS mean_tpr FROM b GROUP BY g""")
 def mean_roc_over_folds(spark, folder):
     points = G.curve_points(predictions(spark, folder), "prob", "actual", ["stock"])
-    return G.mean_curve(points, "stock")
+    return G.mean_curve(points, "stock").withColumn("mean_tpr", r("mean_tpr"))
 
 
 @query("prediction_correlation", f"""WITH {PRED_SQL}, a AS (SELECT stock, ret, prob, lead(prob) OVER (PARTITION BY stock ORDER BY ts, id) AS nx FROM pred)

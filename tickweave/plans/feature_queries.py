@@ -214,14 +214,34 @@ def change_quantile_bins(spark, folder):
     return X.quantile_bins(_ticks(spark, folder), "price", 4).select("symbol", "id", "bin")
 
 
-@query("block_sequence_entropy")
+def _match_sql(points, reach, log_arg):
+    """Match lengths by the first mismatch of each pair of start points in a block."""
+    return f"""WITH {TICKS_SQL}, d AS (SELECT symbol, pos // 100 AS block, pos % 100 AS i, CAST(floor(price / 50) AS BIGINT) AS s, count(*) OVER (PARTITION BY symbol, pos // 100) AS m FROM t),
+p AS (SELECT d.*, {reach} AS w FROM d), q AS (SELECT * FROM p WHERE {points}),
+x AS (SELECT q.symbol, q.block, q.i, q.w, j, coalesce(min(l) FILTER (u.s <> v.s), q.w) AS len FROM q, range(0, 100) gj(j), range(0, 50) gl(l), d u, d v
+  WHERE j < q.i AND j >= q.i - q.w AND l < q.w AND u.symbol = q.symbol AND u.block = q.block AND u.i = q.i + l AND v.symbol = q.symbol AND v.block = q.block AND v.i = j + l GROUP BY q.symbol, q.block, q.i, q.w, j),
+y AS (SELECT symbol, block, i, w, max(len) + 1 AS best FROM x GROUP BY ALL), z AS (SELECT symbol, block, avg(log2({log_arg} + 1) / best) AS h, count(*) AS n_points FROM y GROUP BY ALL)
+SELECT z.symbol, z.block, round(h, 6) + 0.0 AS entropy, round(1 - h / log2(m), 6) + 0.0 AS redundancy, n_points FROM z JOIN (SELECT DISTINCT symbol, block, m FROM d) k USING (symbol, block)"""
+
+
+def _block_entropy(spark, folder, window=None):
+    out = X.block_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), 100, window).filter("n_points > 0")
+    return out.select("symbol", "block", r("entropy").alias("entropy"), r("redundancy").alias("redundancy"), "n_points")
+
+
+@query("block_sequence_entropy", _match_sql("i BETWEEN 1 AND m // 2", "d.i", "i"))
 def block_sequence_entropy(spark, folder):
-    return X.block_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), 100)
+    return _block_entropy(spark, folder)
 
 
-@query("windowed_sequence_entropy")
+@query("windowed_sequence_entropy", _match_sql("i BETWEEN w AND m - w AND w > 0", "least(20, m // 2)", "w"))
 def windowed_sequence_entropy(spark, folder):
-    return X.block_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), 100, window=20)
+    return _block_entropy(spark, folder, 20)
+
+
+@query("block_dictionary_size")
+def block_dictionary_size(spark, folder):
+    return X.block_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), 100).select("symbol", "block", "n_phrases")
 
 
 @query("rolling_entropy_rate")
