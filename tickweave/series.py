@@ -35,7 +35,7 @@ BROADCAST_SPAN_LIMIT = 200_000
 FREE_REPAIR_ROUNDS = 6
 
 
-def _gap_free_total(spans: DataFrame) -> tuple[int, int]:
+def _count_and_total(spans: DataFrame) -> tuple[int, int]:
     row = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
@@ -59,7 +59,11 @@ class Series:
 
     # -- shape ---------------------------------------------------------
     def derive(self, df: DataFrame) -> "Series":
-        """The same series with other columns; rows and ``_pos`` must be unchanged."""
+        """The same series with other columns; rows and ``_pos`` must be unchanged.
+
+        ``fold`` reads the layout itself, so it only sees columns added by
+        ``with_columns``.
+        """
         return replace(self, df=df)
 
     def with_columns(self, columns: dict[str, Column]) -> "Series":
@@ -313,7 +317,7 @@ def lay_out(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("ts
     part = F.shiftright("_mid", 33)
     spans = settle(laid.groupBy(*keys, part.alias("_span"))
                    .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows")))
-    count, total = _gap_free_total(spans)
+    count, total = _count_and_total(spans)
     earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     shift = spans.select(*keys, "_span", (
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
