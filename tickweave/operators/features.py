@@ -363,31 +363,29 @@ def quantile_bins(series: Series, value: str, bins: int) -> DataFrame:
 
 # -- entropy of symbol sequences ----------------------------------------------------------
 
-def _match(data: np.ndarray, i: int, n: int) -> int:
-    """Longest run starting at ``i`` that also starts inside the ``n`` entries before it, plus one."""
-    best = 0
-    for j in range(max(i - n, 0), i):
-        length = 0
-        while length < n and i + length < len(data) and data[j + length] == data[i + length]:
-            length += 1
-        best = max(best, length)
-    return best + 1
-
-
 def match_entropy(data: Sequence, window: int | None = None) -> tuple[float, float, int]:
-    """Entropy rate from match lengths, redundancy, and the number of points used."""
+    """Entropy rate from match lengths, redundancy, and the number of points used.
+
+    The match length of a point is one plus the longest run starting there
+    that also starts in the entries before it (all, or the last ``window``).
+    Common run lengths are built from the end backwards, a row at a time.
+    """
     data = np.asarray(data)
-    if len(data) < 2:
+    n = len(data)
+    if n < 2:
         return float("nan"), float("nan"), 0
-    if window is None:
-        points = range(1, len(data) // 2 + 1)
-    else:
-        window = min(window, len(data) // 2)
-        points = range(window, len(data) - window + 1)
-    total = sum(math.log2((i if window is None else window) + 1) / _match(data, i, i if window is None else window)
-                for i in points)
-    h = total / len(points)
-    return h, 1 - h / math.log2(len(data)), len(points)
+    width = None if window is None else min(window, n // 2)
+    first, last = (1, n // 2) if width is None else (width, n - width)
+    runs, total = np.zeros(n + 1, dtype=np.int64), 0.0
+    for i in range(n - 1, first - 1, -1):
+        runs = np.where(data[:i] == data[i], runs[1:i + 1] + 1, 0)
+        if i <= last:
+            reach = i if width is None else width
+            best = min(int(runs[max(i - reach, 0):].max()), reach)
+            total += math.log2(reach + 1) / (best + 1)
+    points = last - first + 1
+    h = total / points
+    return h, 1 - h / math.log2(n), points
 
 
 def dictionary_size(data: Sequence) -> int:
