@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import query, table
+from tickweave.llm.common import ORACLES, QUERIES, query, table
 from tickweave.llm.similarity import near_duplicate_classes
 
 
