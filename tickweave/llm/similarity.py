@@ -227,19 +227,19 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     singles = alive.select("sid", "tokens").mapInPandas(unpack, "token long, sid binary")
     df = singles.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     weighed = singles.join(df, "token").groupBy("sid").agg(F.collect_list(F.struct("token", "df")).alias("held"))
+    weighed = weighed.select("sid", F.col("held.token").alias("held"), F.col("held.df").alias("df"))    # plain arrays reach numpy
 
     def sign(frames):
         for f in frames:
             sids, sizes, out = [], [], []
-            for sid, n, held in zip(f["sid"], f["n"], f["held"], strict=True):
-                tokens = np.array([h["token"] for h in held], np.int64).view(np.uint64)
-                marks = prefix_signatures(tokens, np.array([h["df"] for h in held], np.int64), n, percent)
+            for sid, n, held, df in zip(f["sid"], f["n"], f["held"], f["df"], strict=True):
+                marks = prefix_signatures(np.asarray(held, np.int64).view(np.uint64), np.asarray(df, np.int64), n, percent)
                 out.extend(marks)
                 sids.extend([sid] * len(marks))
                 sizes.extend([n] * len(marks))
             yield pd.DataFrame({"sig": np.array(out, np.uint64).view(np.int64), "sid": sids, "n": sizes})
 
-    signed = stored(weighed.join(alive.select("sid", "n"), "sid").select("sid", "n", "held")
+    signed = stored(weighed.join(alive.select("sid", "n"), "sid").select("sid", "n", "held", "df")
                     .mapInPandas(sign, "sig long, sid binary, n int"))
     crowded = signed.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
     signed = stored(signed.join(crowded, "sig"))
