@@ -25,9 +25,17 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Documents are long rows: hand Python workers a thousand at a time, not Spark's ten thousand, unless the user chose a number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
@@ -63,7 +71,7 @@ def odd_multipliers(count: int, seed: int) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash; words seen lately are kept, never more than ``most``."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -100,3 +108,29 @@ def batches(frames: Iterator, size: Callable, most: int) -> Iterator[list]:
 def parts_for(total: int, each: int, least: int = 1) -> int:
     """Number of parts of about ``each`` units that ``total`` units are dealt into."""
     return max(least, -(-int(total or 0) // each))
+
+
+BROADCAST_ROWS = 400_000     # key rows of a few dozen bytes that may be broadcast; more are joined by a shuffle
+
+
+def small_enough(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """``df`` stored, marked for broadcast when its counted rows are at most ``most``; and the count."""
+    df = stored(df)
+    rows = df.count()
+    return (F.broadcast(df) if rows <= most else df), rows
+
+
+def joined_by_key(docs: DataFrame, keys: DataFrame, how: str, text_col: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with text keys (a, b): by broadcast when these are counted to be few, else by a shuffle."""
+    keys, _ = small_enough(keys.select(F.col("a").alias("_key_a"), F.col("b").alias("_key_b")))
+    own = text_key(text_col)
+    return docs.join(keys, (own["a"] == F.col("_key_a")) & (own["b"] == F.col("_key_b")), how)
+
+
+def shared(spark: SparkSession, value) -> Callable:
+    """Broadcast ``value``; calling the result in a task gives it back. Its classes travel along, so workers need not have the package."""
+    import pickle
+
+    from pyspark import cloudpickle
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)  # noqa: S301

@@ -4,12 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import ORACLES, QUERIES, query, table
-from tickweave.llm.similarity import near_duplicate_classes
+from tickweave.llm import decontamination, language, mixing, neighbours, quality, repeats, scoring, sharding, similarity, token_files
+from tickweave.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
+
+SHARDS = 24
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+@query("op1_vector_bin_packing")
+def vector_bin_packing(spark, folder):
+    """All documents in 24 shards of near equal bytes, tokens and rows; copies stay together."""
+    rows, _ = sharding.sharded(table(spark, folder, "documents"), SHARDS)
+    return sharding.with_slots(rows, SHARDS).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), F.col("tokens").alias("n_tokens"))
+
+
+@query("op2_kneser_ney_language")
+def kneser_ney_language(spark, folder):
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    out = language.held_out("doc_id", 4, 2)
+    models = language.fit(docs, ~out)
+    got = docs.select("doc_id", out.alias("held_out"), language.predictor(spark, models)(F.col("text")).alias("p"))
+    return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.bits", "p.accepted")
+
+
+@query("op3_rans_token_files")
+def rans_token_files(spark, folder):
+    """Token ids of all documents written as coded blocks, and read back."""
+    import public_tokenizers
+    path = token_files.fresh_folder(spark)
+    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.read_token_files(spark, path)
+
+
+@query("op4_pruned_graph_neighbours")
+def pruned_graph_neighbours(spark, folder):
+    """Ten nearest of each vector whose id is divisible by 100, against all vectors."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query("op5_raked_mixture", mixing.oracle())
+def raked_mixture(spark, folder):
+    """Every document with its mixture probability and whether the draw keeps it."""
+    mixed = mixing.mixed(table(spark, folder, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
+
+
+@query("op6_spaced_seed_decontamination")
+def spaced_seed_decontamination(spark, folder):
+    """Documents that contain a benchmark item, with the item and the extent of the overlap."""
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.col("n_windows").cast("long").alias("n_windows"),
+                        F.col("best").alias("best_match"), "first_at")
+
+
+@query("op7_bloom_filter_scores")
+def bloom_filter_scores(spark, folder):
+    """Word-pair model scores of all documents, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    return scoring.score_texts(docs, language.held_out("doc_id", 7, 2)).withColumnRenamed("id", "doc_id")
 
 
 @query("op8_ngram_jaccard_join")
 def ngram_jaccard_join(spark, folder):
     """Components of all documents under Jaccard 0.8 of five-word shingles."""
-    classes = near_duplicate_classes(table(spark, folder, "documents"))
+    classes = similarity.near_duplicate_classes(table(spark, folder, "documents"))
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op9_run_length_repeats")
+def run_length_repeats(spark, folder):
+    """What of every document stays when all strings of 400 bytes that occur twice are cut out."""
+    kept = repeats.without_repeats(table(spark, folder, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op10_co_trained_quality")
+def co_trained_quality(spark, folder):
+    """Quality of every document from the co-trained views."""
+    scores = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scores.withColumnRenamed("id", "doc_id")

@@ -35,12 +35,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import (WordHashes, batches, lowered_words, mix, odd_multipliers, parts_for, stored, text_key)
+from tickweave.llm.common import (WordHashes, batches, joined_by_key, lowered_words, mix, odd_multipliers, parts_for,
+                                  small_enough, stored, text_key)
 from tickweave.llm.graph import connected_components
 from tickweave.session import settle
 
-PART_HASHES = 3_000_000      # hashes that one task of the repeat count holds
-BLOCK_HASHES = 1_000_000     # hashes that one task gathers before it deals them out
+PART_HASHES = 2_000_000      # hashes that one task of the repeat count holds
+BLOCK_HASHES = 500_000     # hashes that one task gathers before it deals them out
 RARE_DF = 32                 # hashes in at most so many sets are indexed singly
 
 
@@ -286,7 +287,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             got = [(a, b, xxhash.xxh3_128_digest(t.tobytes()), len(t), t.tobytes()) for a, b, t in to_sets([f])]
             yield pd.DataFrame(got, columns=["a", "b", "sid", "n", "tokens"])
 
-    texts = rows.join(likely.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("a", "b", "text")
+    texts = joined_by_key(rows, likely, "left_semi", "text").dropDuplicates(["a", "b"]).select("a", "b", "text")
     packed = stored(texts.mapInPandas(pack, "a long, b long, sid binary, n int, tokens binary"))
     roots, _ = similar_sets(packed.dropDuplicates(["sid"]).select("sid", "n", "tokens"), percent)
     classes = packed.select("a", "b", "sid").join(roots, "sid", "left").select("a", "b", F.coalesce("root", "sid").alias("root"))
@@ -316,4 +317,5 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.withColumns({"_own_a": text_key(text_col)["a"], "_own_b": text_key(text_col)["b"]})
     match = ((F.col(id_col).eqNullSafe(F.col("_kept_id"))) & (F.col("_own_a") == F.col("_kept_a"))
              & (F.col("_own_b") == F.col("_kept_b")))
+    chosen, _ = small_enough(chosen)
     return keyed.join(chosen, match, "left_semi").dropDuplicates([id_col, "_own_a", "_own_b"]).select(*docs.columns)
