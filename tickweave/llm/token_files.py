@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickweave.llm.common import batches, parts_for, shared, stored
 from tickweave.session import checkpoint_folder
@@ -301,7 +302,7 @@ def _read(table_of):
     return run
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _whole_crc(crcs: pd.Series, lengths: pd.Series) -> pd.Series:
     out = []
     for c, n in zip(crcs, lengths, strict=True):
