@@ -11,10 +11,10 @@ from tickweave.session import settle
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node of its component.
 
-    Each round every edge offers its ends the smaller of their two roots, and
-    roots that learned a smaller root pass it on to everything hanging below
-    them (pointer jumping), so long chains close in a logarithmic number of
-    rounds. Ends when no root changes.
+    Each round every label that has a smaller neighbour hooks onto its
+    smallest one, the forest is flattened by pointer jumping, and the edges
+    are contracted to the roots of its trees; it ends when no edge is left.
+    Chains close in a logarithmic number of steps.
 
     Nulls at either end drop the edge; loops and repeated edges do no harm; an
     empty edge table gives an empty result.
@@ -23,10 +23,14 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     roots = settle(ends.select(F.explode(F.array("_u", "_v")).alias("node")).distinct().withColumn("root", F.col("node")))
     links = settle(ends.where("_u <> _v").select(F.greatest("_u", "_v").alias("_u"), F.least("_u", "_v").alias("_v")).distinct())
     while not links.isEmpty():
-        # every label hooks onto its smallest neighbour, then follows one more step of that forest
-        hook = links.groupBy(F.col("_u").alias("from")).agg(F.min("_v").alias("to"))
-        step = hook.select(F.col("from").alias("to"), F.col("to").alias("to2"))
-        moved = settle(hook.join(step, "to", "left").select("from", F.coalesce("to2", "to").alias("to")))
+        # every label hooks onto its smallest neighbour; the forest's paths are halved until all lead to a tree's root
+        moved = settle(links.groupBy(F.col("_u").alias("from")).agg(F.min("_v").alias("to")))
+        while True:
+            step = moved.select(F.col("from").alias("to"), F.col("to").alias("further"))
+            joined = settle(moved.join(step, "to", "left"))
+            moved = joined.select("from", F.coalesce("further", "to").alias("to"))
+            if joined.where("further is not null").isEmpty():
+                break
         roots = settle(roots.join(moved.withColumnRenamed("from", "root"), "root", "left")
                        .select("node", F.coalesce("to", "root").alias("root")))
         links = (links.join(moved.select(F.col("from").alias("_u"), F.col("to").alias("_p")), "_u", "left")

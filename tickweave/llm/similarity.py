@@ -273,7 +273,7 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                            percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, text key (a, b), n_shingles and component_id (smallest id reachable by links)."""
+    """One row per row of ``docs``: id, text key (a, b), n_shingles, component_id (smallest id reachable by links), class label (null: empty set)."""
     key = text_key(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key["a"].alias("a"), key["b"].alias("b"))
     expected = (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // 6
@@ -298,7 +298,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = stored(labelled)
     named = labelled.groupBy("label").agg(F.min("id").alias("component_id")).where("label is not null")
     return (labelled.join(named, "label", "left")
-            .select("id", "a", "b", "n_shingles", F.coalesce("component_id", "id").alias("component_id")))
+            .select("id", "a", "b", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "label"))
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -310,8 +310,8 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     classes = near_duplicate_classes(docs, id_col, text_col, shingle, percent)
     chosen = (classes.where("n_shingles > 0 and id <=> component_id")
-              .groupBy("component_id").agg(F.min(F.struct("a", "b")).alias("k"))
-              .select(F.col("component_id").alias("_kept_id"), F.col("k.a").alias("_kept_a"), F.col("k.b").alias("_kept_b"))
+              .groupBy("label").agg(F.min(F.struct("id", "a", "b")).alias("k"))
+              .select(F.col("k.id").alias("_kept_id"), F.col("k.a").alias("_kept_a"), F.col("k.b").alias("_kept_b"))
               .unionByName(classes.where("n_shingles = 0").select(F.col("id").alias("_kept_id"), F.col("a").alias("_kept_a"),
                                                                   F.col("b").alias("_kept_b")).distinct()))
     keyed = docs.withColumns({"_own_a": text_key(text_col)["a"], "_own_b": text_key(text_col)["b"]})
