@@ -137,7 +137,9 @@ class RunLengthIndex:
 
     STEP = 7        # symbols of nine bits packed into one number
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], least: int = 0):
+        """``least``: shared lengths below it need not be exact (they stay too small)."""
+        self.least = least
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         self.starts = np.cumsum(lengths + 1) - (lengths + 1)
         symbols = np.zeros(int((lengths + 1).sum()) + self.STEP, np.int64)      # 0 ends a string
@@ -167,7 +169,7 @@ class RunLengthIndex:
     def _sorted_suffixes(self, packed: np.ndarray) -> np.ndarray:
         """Suffix order by prefix doubling; only suffixes that still tie are sorted again. Ends order by string."""
         n = self.n
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         flag = np.concatenate([[True], packed[order][1:] != packed[order][:-1]])
         start = np.maximum.accumulate(np.where(flag, np.arange(n), 0))
         rank = np.empty(n, np.int64)
@@ -179,7 +181,7 @@ class RunLengthIndex:
             inside = follow <= self.ends[open_]
             second = np.where(inside, strings + rank[np.minimum(follow, n - 1)], self.owner[open_])
             key = rank[open_].astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
-            o = np.argsort(key, kind="stable")
+            o = np.argsort(key)
             open_, key = open_[o], key[o]
             old = rank[open_]
             at = np.arange(len(open_))
@@ -202,7 +204,7 @@ class RunLengthIndex:
             ok[ok] = self.packed[i[ok]] == self.packed[j[ok]]
             live = live[ok]
             out[live] += self.STEP
-        live = np.arange(len(x))
+        live = np.flatnonzero(out + self.STEP >= self.least)
         for _ in range(self.STEP):                          # then the rest one by one
             i, j = x[live] + out[live], y[live] + out[live]
             live = live[(self.symbols[i] == self.symbols[j]) & (self.symbols[i] != 0)]
@@ -214,9 +216,10 @@ class RunLengthIndex:
         best = np.zeros(self.n, np.int64)
         places = np.arange(self.n)
         for sampled, shared in ((self.head_places, self.head_shared), (self.tail_places, self.tail_shared)):
-            o = np.argsort(sampled)
-            at = np.searchsorted(sampled[o], places, side="right") - 1
-            best = np.maximum(best, np.where(at >= 0, shared[o][at] - (places - sampled[o][at]), 0))
+            by_place = np.full(self.n, -1)
+            by_place[sampled] = shared
+            at = np.maximum.accumulate(np.where(by_place >= 0, places, 0))      # every string's start is sampled
+            best = np.maximum(best, by_place[at] - (places - at))
         return best
 
     def long_matches(self, length: int) -> list[list[tuple[int, int]]]:
@@ -237,7 +240,7 @@ _SPANS = "anchor long, context long, spans array<struct<start:int,stop:int>>"
 def _index_shard(length: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["anchor", "context"], ignore_index=True)
-        found = RunLengthIndex(list(frame["body"])).long_matches(length)
+        found = RunLengthIndex(list(frame["body"]), length).long_matches(length)
         some = [i for i, spans in enumerate(found) if spans]
         return pd.DataFrame({"anchor": frame["anchor"].iloc[some], "context": frame["context"].iloc[some],
                              "spans": [[{"start": s, "stop": e} for s, e in found[i]] for i in some]})
