@@ -138,7 +138,7 @@ def test_sup_statistic_matches_brute_force(series, hot):
     trend = np.arange(len(dep))
     best = -np.inf
     for start in range(0, len(dep) - 1900 + 1):
-        x = np.column_stack([lag1, lev, np.ones(len(dep)), trend])[start:]
+        x = np.column_stack([lev, lag1, np.ones(len(dep)), trend])[start:]
         inv = np.linalg.inv(x.T @ x)
         beta = inv @ x.T @ dep[start:]
         err = dep[start:] - x @ beta

@@ -99,3 +99,21 @@ def test_no_plan_puts_a_whole_key_in_one_window(spark, skewed):
     out = series.windowed(lambda df, w: df.withColumn("m", F.lag("price").over(w)), 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(symbol" in plan and "_chunk" in plan.split("hashpartitioning(symbol")[1].split(")")[0]
+
+
+@pytest.mark.parametrize("quantity", ["qty", "one"])
+def test_amount_clock_reads_the_layout_twice_whatever_the_partitions(spark, skewed, monkeypatch, quantity):
+    from tickweave.operators import bars as B
+    rows = skewed.withColumn("one", F.lit(1.0))
+    DataFrame = type(rows)
+    results, calls = [], []
+    plain = DataFrame.mapInPandas
+    for parts in (1, 12, 24):
+        series = lay_out(rows, ["symbol"], ["ts", "id"], parts=parts)
+        seen = []
+        monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, *a, **k: (seen.append(1), plain(self, *a, **k))[1])
+        bars = B.amount_bars(series, "ts", "price", "qty", F.col(quantity), 700.0)
+        monkeypatch.setattr(DataFrame, "mapInPandas", plain)
+        results.append(sorted(tuple(r) for r in bars.select("symbol", "bar", "open", "high", "low", "close", "bar_ts").collect()))
+        calls.append(len(seen))
+    assert calls == [2, 2, 2] and results[0] == results[1] == results[2] and results[0]

@@ -59,6 +59,57 @@ def amount_clock(threshold: float):
     return kernel
 
 
+class AmountExits:
+    """What an amount clock does to the state over a run of rows, as a function of the state before it.
+
+    The state decides the first row that reaches the threshold; from there on
+    nothing depends on it. Reached rows follow from running sums: the row that
+    closes a bar begun at row i is the first whose running sum exceeds the
+    one before i by the threshold. Amounts must not be negative.
+    """
+
+    def __init__(self, threshold: float, reach: np.ndarray, states: np.ndarray, hits: np.ndarray, total: float):
+        self.threshold, self.reach, self.states, self.hits, self.total = threshold, reach, states, hits, total
+
+    def __call__(self, state: float) -> tuple[float, int]:
+        at = int(np.searchsorted(self.reach, self.threshold - state))
+        return (state + self.total, 0) if at == len(self.reach) else (float(self.states[at]), int(self.hits[at]))
+
+    def packed(self) -> tuple:
+        return self.threshold, self.reach, self.states, self.hits, self.total
+
+    @staticmethod
+    def unpacked(parts: tuple) -> "AmountExits":
+        return AmountExits(*parts)
+
+
+class amount_exits:
+    """Describes rows of an amount clock (see ``Series.fold``)."""
+
+    unpacked = staticmethod(AmountExits.unpacked)
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def __call__(self, arrays: dict) -> AmountExits:
+        values = arrays["_amount"].astype(float)
+        if not (values >= 0).all():
+            raise ValueError("amounts of a bar clock must not be negative or missing")
+        n, sums = len(values), np.cumsum(values)
+        before = np.concatenate([[0.0], sums])                      # sum before a bar that begins at row i
+        closing = np.searchsorted(sums, before + self.threshold)    # its closing row; n: none
+        closing = np.maximum(closing, np.arange(n + 1))
+        last, hits = np.where(closing < n, closing + 1, np.arange(n + 1)), (closing < n).astype(np.int64)
+        while True:                                                 # pointer jumping to the bar that stays open
+            further = last[last]
+            if (further == last).all():
+                break
+            hits, last = hits + hits[last], further
+        # rows that can close the first bar: up to the one that does so from state zero
+        rows = np.unique(np.searchsorted(sums, sums[:min(n, int(closing[0]) + 1)]))
+        return AmountExits(self.threshold, sums[rows], sums[-1] - before[last[rows + 1]], 1 + hits[rows + 1], float(sums[-1]))
+
+
 def amount_bars(series: Series, ts: str, price: str, qty: str, amount: Column, threshold: float) -> DataFrame:
     """Volume bars (``amount`` = quantity) and dollar bars (price times quantity).
 
@@ -67,7 +118,7 @@ def amount_bars(series: Series, ts: str, price: str, qty: str, amount: Column, t
     keys = list(series.keys)
     rows = series.with_columns({"_amount": amount}).fold(
         amount_clock(threshold), (0.0,), ["_amount"], {"_hits": "int"},
-        keep=[*series.order, price, qty, "_amount"])
+        keep=[*series.order, price, qty, "_amount"], exits=amount_exits(threshold))
     at = F.struct(*series.order)
     bars = rows.groupBy(*keys, F.col("_seq").alias("bar")).agg(
         *_ohlcv(price, qty, at), F.sum("_amount").alias("amount"), F.max(ts).alias("bar_ts"),
@@ -78,7 +129,7 @@ def amount_bars(series: Series, ts: str, price: str, qty: str, amount: Column, t
 def amount_samples(series: Series, amount: Column, threshold: float, keep: Sequence[str]) -> DataFrame:
     """Row sampling: the rows at which the accumulated amount reached the threshold."""
     rows = series.with_columns({"_amount": amount}).fold(
-        amount_clock(threshold), (0.0,), ["_amount"], {"_hits": "int"}, keep=keep)
+        amount_clock(threshold), (0.0,), ["_amount"], {"_hits": "int"}, keep=keep, exits=amount_exits(threshold))
     return rows.filter("_hits = 1").drop("_hits").withColumnRenamed("_seq", "bar")
 
 

@@ -258,20 +258,32 @@ def cointegration(pairs: Series, a: str, b: str, lags: int = 1) -> DataFrame:
     return pairs.attach(tested, fit)
 
 
-def backward_sup_adf(series: Series, value: str, ts: str, shortest: int, constant: str = "c", lags: int = 1) -> DataFrame:
-    """Largest ADF statistic over all start points of windows ending at the last row.
-
-    Suffix moments come from one running sum over the reversed series; every
-    start point is then an independent small solve.
+def backward_sup_adf(series: Series, value: str, ts: str, shortest: int, constant: str = "c",
+                     lags: int | Sequence[int] = 1, as_written: bool = False) -> DataFrame:
+    """Largest ADF statistic of the level over all start points of windows ending at the last row.
+
+    ``lags`` is the number of lagged differences or a list of their lags;
+    ``as_written`` gives the t value of the first lagged difference instead
+    (the literal form). Suffix moments come from one running sum over the
+    reversed series; every start point is then an independent small solve.
+    With a constant, level and trend are centred and the trend is scaled per
+    key, which changes no t value but keeps the moments well conditioned.
     """
     keys = list(series.keys)
+    lags = list(range(1, lags + 1)) if isinstance(lags, int) else sorted(lags)
+    longest = max(lags, default=0)
 
     def build(d, w):
         d = d.withColumn("_dy", F.col(value) - F.lag(value).over(w)).withColumn("_lv", F.lag(value).over(w))
-        return d.withColumns({f"_d{k}": F.lag("_dy", k).over(w) for k in range(1, lags + 1)})
-    rows = series.windowed(build, before=lags + 2).dropna(subset=[f"_d{lags}" if lags else "_dy"])
-    trend = (F.col("_pos") - (lags + 1)).cast("double")
-    x = [F.col(f"_d{k}") for k in range(1, lags + 1)] + [F.col("_lv")]
+        return d.withColumns({f"_d{k}": F.lag("_dy", k).over(w) for k in lags})
+    rows = series.windowed(build, before=longest + 2).dropna(subset=[f"_d{longest}" if lags else "_dy"])
+    level, trend = F.col("_lv"), (F.col("_pos") - (longest + 1)).cast("double")
+    if constant != "nc":
+        middle = series.df.groupBy(*keys).agg(F.avg(value).alias("_mid_level"), F.max("_pos").alias("_last"))
+        rows = series.attach(rows, middle)
+        level, trend = level - F.col("_mid_level"), (2 * trend - F.col("_last")) / F.greatest("_last", F.lit(1))
+    x = [F.col(f"_d{k}") for k in lags]
+    x = [*x, level] if as_written else [level, *x]
     if constant != "nc":
         x.append(F.lit(1.0))
     if constant.startswith("ct"):

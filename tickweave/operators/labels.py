@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -208,13 +209,18 @@ def tune_target(df: DataFrame, target: str, min_ret: float, scale: float = 10.0)
     driver; a non-positive minimum is left unscaled.
     """
     low = df.agg(F.min(target)).first()[0]
-    factor = 1.0
-    if low is not None and low > 0:
-        factor, rising = scale, False
-        while low * factor < min_ret:
-            factor, rising = factor * 1.05, True
-        while low * factor > min_ret and not rising:
-            factor *= 0.95
-        while low * factor < min_ret:
-            factor *= 1.01
+    if low is None or low <= 0:
+        return df
+    gap = min_ret / (low * scale)
+    if gap > 1:
+        factor = scale * 1.05 ** _steps_over(gap, 1.05)
+    else:
+        below = 0.95 ** _steps_over(1 / gap, 1 / 0.95)
+        factor = scale * below * 1.01 ** _steps_over(gap / below, 1.01)
     return df.withColumn(target, F.col(target) * factor)
+
+
+def _steps_over(gap: float, ratio: float) -> int:
+    """Smallest number of multiplications by ``ratio`` (above 1) that reaches ``gap``."""
+    near = max(0, round(math.log(gap) / math.log(ratio)))
+    return next(k for k in (near - 1, near, near + 1) if k >= 0 and ratio ** k >= gap * (1 - 1e-12))

@@ -407,7 +407,10 @@ def stream_ingest_batches(spark, folder):
 
 @query("stream_time_bars", f"""WITH {TICKS_SQL} SELECT symbol, (ts // {HOUR} + 1) * {HOUR} AS bar_ts, {OHLC_SQL}, sum(qty) AS volume FROM t GROUP BY symbol, ts // {HOUR}""")
 def stream_time_bars(spark, folder):
-    return _drained(spark, stateful.time_bars(_stream(spark, folder), ["symbol"], "at", "id", "price", "qty", "1 hour", "10 minutes"), "complete")
+    path = _scratch(spark, "stream")
+    ingest.drain_windows(_stream(spark, folder), "at", lambda live: stateful.time_bars(live, ["symbol"], "at", "id", "price", "qty", "1 hour", "10 minutes"),
+                         path, path + "-state", path + "-beat")
+    return spark.read.parquet(path).drop("batch")
 
 
 @query("stream_volume_bars", _bars_sql("qty", 500))

@@ -390,20 +390,19 @@ def purged_grid_search(spark, folder):
 @query("impurity_importance")
 def impurity_importance(spark, folder):
     from pyspark.ml.classification import RandomForestClassifier
-    ready = EV.assembled(_model_splits(spark, folder).filter("fold = 0 AND role = 'train'"), _FEATURES, "target", None, [])
+    ready = EV.assembled(_model_splits(spark, folder).filter("fold = 0"), _FEATURES, "target", None, [])
     model = RandomForestClassifier(numTrees=10, maxDepth=4, seed=1, featureSubsetStrategy="1").fit(ready)
     return EV.impurity_importance(model, _FEATURES, spark)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, folder):
-    splits = _model_splits(spark, folder).filter("fold < 2")
-    return EV.permutation_importance(splits, _FEATURES[:2], "target", _logistic, ["ts", "id"])
+    return EV.permutation_importance(_model_splits(spark, folder), _FEATURES, "target", _logistic, ["ts", "id"])
 
 
 @query("single_feature_importance")
 def single_feature_importance(spark, folder):
-    return EV.single_feature_importance(_model_splits(spark, folder).filter("fold < 2"), _FEATURES[:2], "target", _logistic)
+    return EV.single_feature_importance(_model_splits(spark, folder), _FEATURES, "target", _logistic)
 
 
 @query("importance_by_kind", """WITH p AS (SELECT p_brand AS feature, avg(p_retailprice) AS mean FROM part GROUP BY 1), k AS (SELECT substr(feature, 1, 1) AS kind, sum(mean) AS total, avg(mean) AS average FROM p GROUP BY 1)

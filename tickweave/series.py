@@ -18,11 +18,14 @@ No task ever holds a whole key.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,9 +174,17 @@ class Series:
 
     # -- recurrences ---------------------------------------------------
     def fold(self, kernel: Callable, start: tuple, columns: Sequence[str],
-             outputs: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+             outputs: dict[str, str], keep: Sequence[str] = (),
+             exits: Callable | None = None) -> DataFrame:
         """Run a reset recurrence over every key and return its per-row outputs.
 
+        ``exits(arrays)``, for kernels with one number of state, describes all
+        rows of one key in one partition without knowing the state they start
+        from: a function of that state that gives state and hits at the end
+        (see ``bars.AmountExits``). Then the hand-over states of all partitions
+        follow from these descriptions, and the layout is read twice whatever
+        the number of partitions.
+
         ``kernel(state, fresh, arrays) -> (state, dict of output arrays)``
         processes consecutive rows of one key; ``fresh`` tells that the first
         row is the key's first. ``_hits`` in the outputs (0/1) is counted and
@@ -229,6 +240,38 @@ class Series:
         probe_schema = "part int, first_tag string, last_tag string, state array<double>, hits long, single boolean"
         thin = laid.select("_tag", "_part", *probe_cols)
 
+        def describe(batches):
+            held: dict[str, list] = {}
+            part = None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                part = int(pdf["_part"].iloc[0])
+                tags = pdf["_tag"].to_numpy()
+                cuts = np.flatnonzero(tags[1:] != tags[:-1]) + 1
+                for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(tags)]):
+                    if tags[lo] not in held and len(held) == 2:
+                        held.pop(list(held)[1])     # only the first and the last key reach over the borders
+                    held.setdefault(tags[lo], []).append({c: pdf[c].to_numpy()[lo:hi] for c in probe_cols})
+            if held:
+                ends = [exits({c: np.concatenate([a[c] for a in pieces]) for c in probe_cols}) for pieces in held.values()]
+                yield pd.DataFrame([(part, list(held)[0], list(held)[-1], len(held) == 1, cloudpickle.dumps(ends[0].packed()),
+                                     cloudpickle.dumps(ends[-1].packed()))],
+                                   columns=["part", "first_tag", "last_tag", "single", "first_exit", "last_exit"])
+
+        def described() -> dict:
+            """One row per partition, states handed on from partition to partition by the described functions."""
+            rows = thin.mapInPandas(describe, "part int, first_tag string, last_tag string, single boolean, "
+                                              "first_exit binary, last_exit binary").collect()
+            done, before = {}, None
+            for row in sorted(rows, key=lambda r: r.part):
+                joined = before is not None and before.last_tag == row.first_tag
+                entry = before.state[0] if joined and row.single else start[0]
+                state, hits = exits.unpacked(pickle.loads(row.last_exit))(entry)
+                before = done[row.part] = SimpleNamespace(part=row.part, first_tag=row.first_tag, last_tag=row.last_tag,
+                                                          state=[state], hits=hits, single=row.single)
+            return done
+
         def summaries(given: dict, parts: list[int] | None) -> dict:
             source = thin if parts is None else thin.filter(F.col("_part").isin(parts))
             rows = source.mapInPandas(probe(given), probe_schema).collect()  # one row per partition
@@ -240,11 +283,11 @@ class Series:
             return all(x == y or (x != x and y != y) for x, y in zip(a, b))
 
         used: dict[int, tuple | None] = {}
-        known = summaries({}, None)
+        known = described() if exits else summaries({}, None)
         for part in known:
             used[part] = None
         rounds = 0
-        while True:
+        while not exits:
             wanted, previous = {}, None
             for part in sorted(known):
                 row = known[part]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickweave.sources import sinks
@@ -35,3 +36,22 @@ def to_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now and stop."""
     to_batches(df, path, checkpoint, mode).awaitTermination()
+
+
+def drain_windows(source: DataFrame, ts: str, build, path: str, checkpoint: str, beat: str) -> None:
+    """Write the windows of a finished source in append mode, each once, the last ones included.
+
+    ``build`` turns the stream into windowed rows. Windows close when the
+    watermark passes them, so state stays bounded; after the source is drained
+    one row far ahead in time, with nulls elsewhere, goes through the same
+    query from the folder ``beat`` and closes those that are still open.
+    Groups with a null key are the beat's and are never closed.
+    """
+    spark = source.sparkSession
+    spark.createDataFrame([], source.schema).write.parquet(beat)
+    query = build(source.unionByName(files(spark, beat, source.schema)))
+    drain(query, path, checkpoint)
+    row = spark.range(1).select(*[(F.lit("9999-01-01").cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name)
+                                  for f in source.schema.fields])
+    row.write.mode("append").parquet(beat)
+    drain(query, path, checkpoint)
