@@ -22,8 +22,10 @@ table gives a data set without blocks.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.llm.common import batches, parts_for, shared, stored
+from tickweave.llm.common import parts_for, shared, stored
 from tickweave.session import checkpoint_folder
 
 PRECISION = 20                 # the table's frequencies add up to 2**20
@@ -40,50 +42,103 @@ LANES, STEPS, CHECKPOINT = 16, 1024, 256
 BLOCK = LANES * STEPS
 TOGETHER = 96                  # blocks that a task codes side by side
 FILE_CHARS = 24_000_000        # characters of text for each file
-HELD_WORDS, HELD_LENGTH = 300_000, 64
+HELD_WORDS, HELD_LENGTH = 400_000, 64
 _HEADER = "<4sIHHI"      # magic, ids, lanes, checkpoints, words
 
 
+class _Pieces(dict):
+    """Ids of the tokenizer's own pieces of words."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= HELD_LENGTH:
+            if len(self) >= HELD_WORDS:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes; words met lately are remembered.
+    """Ids of a text as little-endian 32-bit bytes; words and pieces met lately are remembered.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids one after the other.
+    A tokenizer that lower-cases, drops white space and codes the matches of
+    its split pattern one by one (read from its file) gives a text's ids as
+    those of its words, and a word's as those of its pieces. Words with marks
+    of special tokens, or with letters whose lower case depends on their
+    neighbours, are coded whole; texts of any other tokenizer as well.
     """
 
     def __init__(self, path: str, end_id: int):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True
+        self.pattern = regex.compile(split["pattern"]["Regex"]) if self.by_word else None
+        self.pieces = _Pieces(self.tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or "\u03a3" in text or "\u0130" in text:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.pattern.findall(unicodedata.normalize("NFC", text).lower())))
         if len(word) <= HELD_LENGTH:
             if len(self) >= HELD_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def words(self, text: str | None) -> list[bytes]:
+        """What the ids of a text are put together from."""
+        raw = (text or "").encode("utf-8", "replace")
+        return raw.split() if self.by_word else [raw]
+
+    def word_ids(self, word: bytes) -> bytes:
+        if self.by_word:
+            return self[word]
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: str | None) -> bytes:
-        words = text.encode("utf-8", "replace").split() if text else []
-        return b"".join(map(self.__getitem__, words)) + self.end
+        return b"".join(map(self.__getitem__ if self.by_word else self.word_ids, self.words(text))) + self.end
 
 
 def count_ids(docs: DataFrame, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(symbol, n): occurrences of each id over all texts."""
+    """(symbol, n): occurrences of each id over all texts. Words are counted first, so each distinct word is coded once."""
+    def tally(frames):
+        encoder, texts, held = Encoder(tokenizer, end_id), 0, Counter()
+        for frame in frames:
+            for text in frame["text"]:
+                held.update(encoder.words(text))
+                texts += 1
+            if len(held) > HELD_WORDS:
+                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                held = Counter()
+        yield pd.DataFrame({"word": [*held, None], "n": [*held.values(), texts]})       # null: ends of texts
+
     def count(frames):
-        encoder, totals = Encoder(tokenizer, end_id), np.zeros(1, np.int64)
+        encoder, totals = Encoder(tokenizer, end_id), np.zeros(end_id + 1, np.int64)
         for frame in frames:
-            for texts in batches(iter(frame["text"]), lambda t: len(t or "") + 20, 2_000_000):
-                more = np.bincount(np.frombuffer(b"".join(map(encoder.ids, texts)), "<u4"))
-                if len(more) > len(totals):
-                    more, totals = totals, more
-                totals[:len(more)] += more
+            coded = [encoder.end if w is None else encoder.word_ids(w) for w in frame["word"]]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+            more = np.bincount(np.frombuffer(b"".join(coded), "<u4"), np.repeat(frame["n"].to_numpy(np.float64), sizes)).astype(np.int64)
+            totals = np.concatenate([totals, np.zeros(max(0, len(more) - len(totals)), np.int64)])
+            totals[:len(more)] += more
         used = np.flatnonzero(totals)
         yield pd.DataFrame({"symbol": used, "n": totals[used]})
-    return (docs.select(F.col(text_col).alias("text")).mapInPandas(count, "symbol long, n long")
-            .groupBy("symbol").agg(F.sum("n").alias("n")))
+    words = (docs.select(F.col(text_col).alias("text")).mapInPandas(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return words.mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def scaled_frequencies(counts: np.ndarray) -> np.ndarray:
