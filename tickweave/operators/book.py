@@ -147,7 +147,3 @@ def top_of_book(updates: DataFrame, keys: Sequence[str], side: str, price: str,
     # one row per update id: the state after its last level change
     return replayed.groupBy(*keys, "seq").agg(F.max_by(
         F.struct("best_bid", "bid_qty", "best_ask", "ask_qty"), "_pos").alias("_s")).select(*keys, "seq", "_s.*")
-
-
-def nested_to_flat(bids: Column) -> Column:
-    return flat_from_pairs(bids)

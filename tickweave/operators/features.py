@@ -29,7 +29,7 @@ def fraction_weights(d: float, threshold: float | None = None, size: int | None
     return np.array(made)
 
 
-def frac_diff(series: Series, value: str, d: float, threshold: float = 1e-4, limit: int = 10_000,
+def frac_diff(series: Series, value: str, d: float, threshold: float = 1e-4, limit: int | None = None,
               pad: bool = False, name: str = "frac_diff") -> DataFrame:
     """Fixed-width fractional difference; the first ``width`` rows are null (zero with ``pad``)."""
     weights = fraction_weights(d, threshold, limit)
@@ -195,7 +195,7 @@ def _solve_adf(packed: DataFrame, keys: Sequence[str], size: int, n_series: int,
     return packed.mapInPandas(solve, f"{fields}adf_stat double, p_value double, lags int, n_obs long, critical_5pct double")
 
 
-def difference_scan(series: Series, value: str, orders: Sequence[float], threshold: float = 1e-4, limit: int = 10_000,
+def difference_scan(series: Series, value: str, orders: Sequence[float], threshold: float = 1e-4, limit: int | None = None,
                     lags: int = 1, pad: bool = True) -> DataFrame:
     """ADF of the fractional difference for every order, plus correlation with the original.
 

@@ -88,10 +88,15 @@ def parquet_round_trip(spark, folder):
     return spark.read.parquet(path)
 
 
-@query("append_round_trip", "SELECT event_id AS id, value AS price FROM events WHERE event_type IN ('click', 'view')")
+def _kinds(t):
+    """Event types: a handful, one file each."""
+    return sorted(row[0] for row in t.select("symbol").distinct().collect())
+
+
+@query("append_round_trip", "SELECT event_id AS id, value AS price FROM events")
 def append_round_trip(spark, folder):
     path, t = _scratch(spark, "append"), ticks(spark, folder)
-    for kind in ("click", "view"):
+    for kind in _kinds(t):
         sinks.append(t.filter(F.col("symbol") == kind).select("id", "price"), path)
     return spark.read.parquet(path)
 
@@ -112,12 +117,13 @@ def dataset_bundle_round_trip(spark, folder):
     return spark.read.parquet(path).select("split", "id", "value")
 
 
-@query("csv_round_trip_by_file", "SELECT event_type AS bar_type, event_id AS id, value AS price FROM events WHERE event_type IN ('click', 'error')")
+@query("csv_round_trip_by_file", "SELECT event_type AS bar_type, event_id AS id, value AS price FROM events")
 def csv_round_trip_by_file(spark, folder):
     path, t = _scratch(spark, "csv"), ticks(spark, folder)
-    for kind in ("click", "error"):
+    kinds = _kinds(t)
+    for kind in kinds:
         sinks.csv(t.filter(F.col("symbol") == kind).select("id", "price"), f"{path}/{kind}")
-    return scans.csv_by_file(spark, [f"{path}/click", f"{path}/error"], "id long, price double").select("bar_type", "id", "price")
+    return scans.csv_by_file(spark, [f"{path}/{kind}" for kind in kinds], "id long, price double").select("bar_type", "id", "price")
 
 
 @query("array_store_append", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0.0 AS total FROM embeddings")

@@ -100,7 +100,7 @@ def event_filter_pass_through(spark, folder):
 EVENTS_SQL = f"""v AS (SELECT *, abs((price - lag(price) OVER {OW}) / price) AS mv FROM t),
 g AS (SELECT *, CASE WHEN pos >= 20 THEN stddev_pop(mv) OVER f + avg(mv) OVER f END AS trgt FROM v
   WINDOW f AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)),
-e AS (SELECT x.symbol, x.id, x.ts, x.pos AS p0, x.price AS entry, CASE WHEN x.trgt IS NOT NULL THEN least(x.trgt, 5) END AS trgt, b.ts AS t1, b.pos AS p1,
+e AS (SELECT x.symbol, x.id, x.ts, x.pos AS p0, x.price AS entry, x.trgt AS trgt, b.ts AS t1, b.pos AS p1,
     CASE WHEN x.id % 2 = 0 THEN 1 ELSE -1 END AS side
   FROM (SELECT *, ts + {24 * HOUR} AS due FROM g WHERE pos % 5 = 0) x ASOF LEFT JOIN t b ON x.symbol = b.symbol AND x.due <= b.ts),
 c AS (SELECT e.*, t.ts AS bt, (t.price / e.entry - 1) * SIDE AS ret FROM e JOIN t ON t.symbol = e.symbol AND t.pos >= e.p0 AND (e.p1 IS NULL OR t.pos <= e.p1)
@@ -115,7 +115,7 @@ def _events(spark, folder, sided, vertical=True):
     series = _ticks(spark, folder)
     picked = series.windowed(lambda df, w: W.volatility_level(df, w, "price", 20, "trgt"), before=21).filter("_pos % 5 = 0")
     start = picked.select("symbol", "ts", "id", F.col("_pos").alias("p0"), F.col("price").alias("entry"),
-                          F.least(F.col("trgt"), F.when(F.col("trgt").isNotNull(), F.lit(5.0))).alias("trgt"),
+                          "trgt",
                           F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("side"))
     if not sided:
         start = start.withColumn("side", F.lit(1))

@@ -295,14 +295,14 @@ def seasonal_decomposition(spark, folder):
 WITH {TICKS_SQL}, d AS (SELECT symbol, pos, price - avg(price) OVER (PARTITION BY symbol) AS d FROM t),
 v AS (SELECT symbol, sum(d * d) AS v FROM d GROUP BY ALL)
 SELECT a.symbol, k AS lag, {R('sum(a.d * b.d) / any_value(v)')} AS acf
-FROM range(1, 11) g(k), d a JOIN d b ON a.symbol = b.symbol AND b.pos = a.pos - k JOIN v ON v.symbol = a.symbol GROUP BY a.symbol, k""")
+FROM range(1, 49) g(k), d a JOIN d b ON a.symbol = b.symbol AND b.pos = a.pos - k JOIN v ON v.symbol = a.symbol GROUP BY a.symbol, k""")
 def autocorrelation_function(spark, folder):
-    return W.acf(_ticks(spark, folder), "price", range(1, 11)).withColumn("acf", r("acf"))
+    return W.acf(_ticks(spark, folder), "price", range(1, 49)).withColumn("acf", r("acf"))
 
 
 @query("partial_autocorrelation_function")
 def partial_autocorrelation_function(spark, folder):
-    return W.pacf(W.acf(_ticks(spark, folder), "price", range(1, 11)), TICK_KEYS)
+    return W.pacf(W.acf(_ticks(spark, folder), "price", range(1, 49)), TICK_KEYS)
 
 
 @query("percent_rank_of_price", f"""

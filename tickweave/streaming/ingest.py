@@ -23,6 +23,7 @@ def rocksdb(spark: SparkSession) -> None:
     """Keep operator state on local disk with a changelog instead of in the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def to_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append", interval: str | None = None) -> StreamingQuery:
