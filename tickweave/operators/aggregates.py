@@ -56,20 +56,22 @@ def tensor_stats(df: DataFrame, tensor: str) -> DataFrame:
                                                 F.max("v").alias("max"), F.min("v").alias("min"))
 
 
-def asset_moments(returns: DataFrame, time: str, asset: str, value: str, assets: Sequence[str],
+def asset_moments(returns: DataFrame, time: str, asset: str, value: str, assets: Sequence[str] | None = None,
                   group: Sequence[str] = ()) -> DataFrame:
-    """Covariance, correlation and correlation distance of every asset pair.
+    """Covariance, correlation and correlation distance of every asset pair with common times.
 
-    Returns are turned to one row per time by a conditional aggregate over the
-    (small, given) list of assets, and all pair moments come from one pass.
+    Assets come from the data unless listed. Values of one time meet in a join
+    on the time; pairs are summed up before they are shuffled, and only one
+    order of each pair is worked out.
     """
-    wide = returns.groupBy(*group, time).agg(*[F.max(F.when(F.col(asset) == a, F.col(value))).alias(f"a{i}")
-                                              for i, a in enumerate(assets)])
-    pairs = F.array(*[F.struct(F.lit(a).alias("asset_a"), F.lit(b).alias("asset_b"),
-                               F.covar_samp(f"a{i}", f"a{j}").alias("cov"), F.corr(f"a{i}", f"a{j}").alias("corr"))
-                      for i, a in enumerate(assets) for j, b in enumerate(assets)])
-    out = wide.groupBy(*group).agg(pairs.alias("_p")).select(*group, F.inline("_p"))
-    return out.withColumn("distance", F.sqrt((1 - F.least(F.col("corr"), F.lit(1.0))) / 2))
+    rows = returns if assets is None else returns.filter(F.col(asset).isin(list(assets)))
+    one = rows.groupBy(*group, time, asset).agg(F.max(value).alias("_x"))
+    left = one.select(*group, time, F.col(asset).alias("asset_a"), "_x")
+    right = one.select(*group, time, F.col(asset).alias("asset_b"), F.col("_x").alias("_y"))
+    upper = (left.join(right, [*group, time]).filter("asset_a <= asset_b").groupBy(*group, "asset_a", "asset_b")
+             .agg(F.covar_samp("_x", "_y").alias("cov"), F.corr("_x", "_y").alias("corr")))
+    lower = upper.filter("asset_a < asset_b").withColumns({"asset_a": F.col("asset_b"), "asset_b": F.col("asset_a")})
+    return upper.unionByName(lower).withColumn("distance", F.sqrt((1 - F.least(F.col("corr"), F.lit(1.0))) / 2))
 
 
 def inverse_variance(returns: DataFrame, asset: str, value: str) -> DataFrame:

@@ -91,7 +91,7 @@ def _daily(spark, folder):
 SELECT a.asset AS asset_a, b.asset AS asset_b, round(covar_samp(a.ret, b.ret), 6) + 0.0 AS cov, round(corr(a.ret, b.ret), 6) + 0.0 AS corr,
   round(sqrt((1 - least(corr(a.ret, b.ret), 1)) / 2), 4) + 0.0 AS distance FROM d a JOIN d b USING (day) GROUP BY ALL""")
 def asset_correlation(spark, folder):
-    out = G.asset_moments(_daily(spark, folder), "day", "asset", "ret", KINDS)
+    out = G.asset_moments(_daily(spark, folder), "day", "asset", "ret")
     return out.withColumns({"cov": r("cov"), "corr": r("corr"), "distance": r("distance", 4)})
 
 
@@ -106,7 +106,7 @@ w AS (SELECT asset, 1 / var_samp(ret) / sum(1 / var_samp(ret)) OVER () AS w FROM
 c AS (SELECT a.asset AS x, b.asset AS y, covar_samp(a.ret, b.ret) AS cov FROM s a JOIN s b USING (day) GROUP BY ALL)
 SELECT round(sum(p.w * cov * q.w), 6) + 0.0 AS variance FROM c JOIN w p ON p.asset = x JOIN w q ON q.asset = y""")
 def cluster_variance(spark, folder):
-    m = G.asset_moments(_daily(spark, folder), "day", "asset", "ret", KINDS)
+    m = G.asset_moments(_daily(spark, folder), "day", "asset", "ret")
     return G.cluster_variance(m, ["click", "view", "error"]).withColumn("variance", r("variance"))
 
 
