@@ -501,16 +501,20 @@ def relevant_features(df: DataFrame, columns: Sequence[str], label: str, rate: f
 
 
 def random_kernels(length: int, count: int, sizes: Sequence[int] = (7, 9, 11), seed: int = 7) -> list[tuple]:
-    """Seeded (weights, bias, dilation, padding) kernels."""
+    """Seeded (weights, bias, dilation, padding) kernels, none longer than the array.
+
+    A padded kernel gets half its reach at either side, so its output is as long as the array.
+    """
     rng = np.random.default_rng(seed)
+    fitting = [s for s in sizes if s <= length] or [length]
     made = []
     for _ in range(count):
-        size = int(rng.choice(sizes))
+        size = int(rng.choice(fitting))
         w = rng.normal(size=size)
-        room = max((length - 1) // (size - 1), 1)
+        room = max((length - 1) // max(size - 1, 1), 1)
         dilation = int(2 ** rng.uniform(0, math.log2(room)))
         pad = (size - 1) * dilation // 2 if rng.integers(2) else 0
-        made.append((w - w.mean(), float(rng.uniform(-1, 1)), dilation, 2 * pad))
+        made.append((w - w.mean(), float(rng.uniform(-1, 1)), dilation, pad))
     return made
 
 

@@ -283,7 +283,7 @@ def _windows(spark, folder, width):
 
 @query("random_kernel_features")
 def random_kernel_features(spark, folder):
-    out = X.kernel_features(_windows(spark, folder, 32), "window", ["symbol", "id"], X.random_kernels(32, 20))
+    out = X.kernel_features(_windows(spark, folder, 32), "window", ["symbol", "id"], X.random_kernels(32, 1000))
     return out.select("symbol", "id", F.size("features").alias("n_features"), sum_of(F.col("features")).alias("total"))
 
 
