@@ -17,9 +17,9 @@ exact, the method only avoids looking at pairs that cannot link:
    proves a common signature once n - (k - 1) of them are shared.
 3. *Verification.* Within a signature each class is first compared with one
    leader; links merge classes into components. Only pairs whose classes are
-   still in different components are compared afterwards, so a large group of
-   near copies costs one comparison a member. Such leftover pairs are all
-   compared: nothing is capped.
+   still in different components matter afterwards; while they are many, other
+   leaders are tried, so a large group of near copies costs a few comparisons a
+   member. The pairs left over are all compared: nothing is capped.
 
 Nulls and texts without words give an empty set that links with nothing; rows
 repeated in full are equal sets and link; a null id takes part, but is never
@@ -35,13 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import (WordHashes, batches, joined_by_key, lowered_words, mix, odd_multipliers, parts_for,
+from tickweave.llm.common import (BROADCAST_ROWS, WordHashes, batches, joined_by_key, lowered_words, mix, odd_multipliers, parts_for,
                                   small_enough, stored, text_key)
 from tickweave.llm.graph import connected_components
 from tickweave.session import settle
 
 PART_HASHES = 2_000_000      # hashes that one task of the repeat count holds
 BLOCK_HASHES = 500_000     # hashes that one task gathers before it deals them out
+BUCKET_HASHES = 20_000_000   # hashes of the sets whose credits one task adds up
 RARE_DF = 32                 # hashes in at most so many sets are indexed singly
 
 
@@ -95,7 +96,7 @@ def _repeat_messages(sets: Iterator[tuple[int, int, np.ndarray]], parts: int) ->
 _MESSAGE = "part int, keys binary, held binary, hashes binary, known binary, sizes binary, local binary"
 
 
-def _credit(frame: pd.DataFrame) -> pd.DataFrame:
+def _credit(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     keys, held, hashes, known, out = [], [], [], [], []
     for row in frame.itertuples(index=False):
         k = np.frombuffer(row.keys, np.int64).reshape(2, -1)
@@ -114,9 +115,17 @@ def _credit(frame: pd.DataFrame) -> pd.DataFrame:
         credit = np.bincount(owner[counts[inverse[:len(singles)]] > 1], minlength=names.shape[1])
         some = credit > 0
         out.append((names[:, some], np.zeros(int(some.sum()), np.int64), credit[some]))
-    names = np.concatenate([o[0] for o in out], axis=1) if out else np.empty((2, 0), np.int64)
-    return pd.DataFrame({"a": names[0], "b": names[1], "n": np.concatenate([o[1] for o in out]) if out else [],
-                         "credit": np.concatenate([o[2] for o in out]) if out else []}).astype("int64")
+    names = np.concatenate([o[0] for o in out], axis=1)
+    numbers = np.stack([np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out])]).astype(np.int64)
+    bucket = (names[0].astype(np.int64) & 0xFFFFFFF) % buckets
+    rows = [(int(k), np.concatenate([names[:, bucket == k], numbers[:, bucket == k]]).tobytes()) for k in np.unique(bucket)]
+    return pd.DataFrame(rows, columns=["bucket", "credits"])
+
+
+def _total(frame: pd.DataFrame) -> pd.DataFrame:
+    got = np.concatenate([np.frombuffer(c, np.int64).reshape(4, -1) for c in frame["credits"]], axis=1)
+    got = pd.DataFrame({"a": got[0], "b": got[1], "n": got[2], "credit": got[3]})
+    return got.groupby(["a", "b"], as_index=False).agg({"n": "max", "credit": "sum"})
 
 
 def repeat_credit(df: DataFrame, columns: list[str], to_sets, expected: int) -> DataFrame:
@@ -132,8 +141,9 @@ def repeat_credit(df: DataFrame, columns: list[str], to_sets, expected: int) ->
         yield from _repeat_messages(to_sets(frames), parts)
 
     messages = df.select(columns).mapInPandas(deal, _MESSAGE)
-    credited = messages.groupBy("part").applyInPandas(_credit, "a long, b long, n long, credit long")
-    return credited.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"))
+    buckets = parts_for(expected, BUCKET_HASHES, least=8)
+    credited = messages.groupBy("part").applyInPandas(lambda frame: _credit(frame, buckets), "bucket int, credits binary")
+    return credited.groupBy("bucket").applyInPandas(_total, "a long, b long, n long, credit long")
 
 
 def _sets_of_texts(size: int):
@@ -251,23 +261,42 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
                       .mapInPandas(_links(percent), "u binary, v binary"))
 
     near = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    leader = signed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), F.col("sid"), F.col("n"))).alias("lead"))
-    stars = stored(signed.join(leader, "sig").select(F.col("lead.sid").alias("u"), F.col("sid").alias("v"),
-                                                     F.col("lead.n").alias("nu"), F.col("n").alias("nv"))
-                   .where("u <> v").where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = verified(stars)
-    roots = connected_components(links, "u", "v")
-    # leftover pairs: a common signature, but no common component yet
-    placed = signed.join(roots, signed.sid == roots.node, "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    placed = stored(placed.join(mixed, "sig"))
-    other = placed.select("sig", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    rest = (placed.select("sig", F.col("sid").alias("u"), F.col("n").alias("nu"), "root").join(other, "sig")
-            .where("root <> rv and u < v").where(near).select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"))
-    more = verified(rest)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = connected_components(links, "u", "v")
+    links = roots = tried = None
+    for turn in range(2**31):
+        # only signatures that still join different components matter
+        placed = signed.withColumn("root", F.col("sid"))
+        if roots is not None:
+            known = roots.select(F.col("node").alias("sid"), "root")
+            known = F.broadcast(known) if roots.count() <= BROADCAST_ROWS else known
+            placed = signed.join(known, "sid", "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+        placed = stored(placed.join(mixed, "sig"))
+        sizes = placed.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        rows, pairs_left = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+        if not rows:
+            break
+        last = pairs_left <= 4 * rows or not found_any if turn else pairs_left <= rows
+        if last:
+            other = placed.select("sig", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+            pairs = (placed.select("sig", F.col("sid").alias("u"), F.col("n").alias("nu"), "root").join(other, "sig")
+                     .where("root <> rv and u < v").where(near).select("u", "v").distinct())
+        else:
+            lead = F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), F.col("sid"), F.col("n"), F.col("root"))).alias("lead")
+            pairs = (placed.join(placed.groupBy("sig").agg(lead), "sig").where("root <> lead.root")
+                     .select(F.least("lead.sid", "sid").alias("u"), F.greatest("lead.sid", "sid").alias("v"), F.col("lead.n").alias("nu"), F.col("n").alias("nv"))
+                     .where(near).select("u", "v").distinct())
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        more = verified(pairs)
+        found_any = not more.isEmpty()
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = more if links is None else links.unionByName(more)
+        if found_any:
+            roots = connected_components(links, "u", "v")
+        if last:
+            break
+    if roots is None:
+        nothing = alive.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
+        links, roots = nothing, nothing.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.withColumnRenamed("node", "sid"), links
 
 
