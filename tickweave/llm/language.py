@@ -44,6 +44,7 @@ ORDER = 5
 FIT_DOCS = 3000             # expected documents of each language that the models are counted on
 CALIBRATION_DOCS = 800      # expected documents of each language that the calibration looks at
 HELD_WORDS = 150_000        # distinct words whose costs a task keeps
+CHARACTERS = 500_000        # scored at a time
 START, END = 1, 2
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -203,6 +204,12 @@ class Scorer:
 
     def entropies(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) bits for each symbol, infinite for texts without letters; number of symbols."""
+        parts = [self._entropies(part) for part in batches(iter(texts), lambda t: len(t or "") + 20, CHARACTERS)]
+        if not parts:
+            return np.empty((0, len(self.models.languages))), np.empty(0)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _entropies(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         lists = [[w for w in _WORD.findall(t.lower())] if t else [] for t in texts]
         if len(self.codes) > HELD_WORDS:
             self.codes, self.costs = _Codes(), self.costs[:0]
