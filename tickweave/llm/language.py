@@ -16,8 +16,8 @@ each distinct word that a task holds and looked up for all others.
 
 Calibration, on labelled documents kept out of the fit: a temperature turns
 cross-entropy differences into a probability (``score``), and each language's
-upper bound of cross-entropy decides which texts are rejected as no text of
-that language.
+upper bound of cross-entropy, wider for short texts, decides which texts are
+rejected as no text of that language.
 
 Null texts and texts without letters are ``und`` with score 0 and rejected;
 rows with a null language do not teach; equal cross-entropies go to the
@@ -45,6 +45,7 @@ FIT_DOCS = 3000             # expected documents of each language that the model
 CALIBRATION_DOCS = 800      # expected documents of each language that the calibration looks at
 HELD_WORDS = 150_000        # distinct words whose costs a task keeps
 CHARACTERS = 500_000        # scored at a time
+SHORT_SLACK = 8.0           # bits by which one symbol's text may exceed its language's bound; falls with the root of the length
 START, END = 1, 2
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -308,7 +309,7 @@ def predictor(spark, models: LanguageModels | None):
                 pred += list(np.where(known, np.array(m.languages, dtype=object)[best], "und"))
                 score += list(np.where(known, _posterior(h, m.temperature).max(axis=1), 0.0))
                 bits += list(np.where(known, low, np.nan))
-                good += list(known & (low <= m.ceiling[best]))
+                good += list(known & (low <= m.ceiling[best] + SHORT_SLACK / np.sqrt(np.maximum(symbols, 1))))
             yield pd.DataFrame({"lang_pred": pred, "score": score, "bits": bits, "accepted": good})
 
     return predict
