@@ -3,7 +3,10 @@ from collections import Counter
 
 import numpy as np
 
-from tickweave.llm import queries
+from pyspark.sql import functions as F
+
+from tickweave.llm import queries, repeats
+from tickweave.llm.common import text_key
 from tickweave.llm.repeats import RunLengthIndex, contexts_of, without_repeats
 
 
@@ -45,6 +48,16 @@ def test_shared_passages_periods_and_crowded_anchors(spark):
     assert got_of(without_repeats(docs)) == brute(rows)
 
 
+def test_copies_of_a_text_are_cut_once(spark):
+    docs = spark.createDataFrame([(i, "copy " * 100) for i in range(40)] + [(90, "other " * 90), (91, "not wanted")], "doc_id long, text string").repartition(4)
+    rows = docs.select(text_key("text")["a"].alias("a"), text_key("text")["b"].alias("b"), "text")
+    wanted = rows.where("text <> 'not wanted'").distinct().select(
+        "a", "b", F.lit(1).cast("long").alias("anchor"), F.col("a").alias("context"), F.lit(0).alias("first"), F.lit(400).alias("size"))
+    for most in (30_000, 0):                    # lists broadcast, lists joined by a shuffle
+        got = repeats._texts_with(rows, wanted, most).collect()
+        assert sorted((r.text, len(r.wanted)) for r in got) == [("copy " * 100, 1), ("other " * 90, 1)]
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert got_of(without_repeats(odd_docs)) == brute(rows)

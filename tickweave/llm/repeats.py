@@ -257,11 +257,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _texts_with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text, wanted): one row for each text that any of the ``wanted`` contexts is to be cut from."""
+def _texts_with(rows: DataFrame, wanted: DataFrame, most: int = 30_000) -> DataFrame:
+    """(text, wanted): one row for each text that any of the ``wanted`` contexts is to be cut from, however many rows hold it."""
     lists = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "context", "first", "size")).alias("wanted"))
-    lists, _ = small_enough(lists, 30_000)     # lists are longer than keys
-    return rows.join(lists, ["a", "b"]).select("text", "wanted")
+    lists, n = small_enough(lists, most)       # lists are longer than keys
+    if n <= most:
+        rows = rows.join(lists.select("a", "b"), ["a", "b"], "left_semi")
+    # copies are folded before the shuffle, so those of a frequent text never meet in one task
+    return rows.dropDuplicates(["a", "b"]).join(lists, ["a", "b"]).select("text", "wanted")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
