@@ -97,3 +97,30 @@ def test_quality_of_odd_documents(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count()
     assert quality.quality_scores(no_docs, labels).count() == 0
     assert {r.quality for r in quality.quality_scores(odd_docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_every_unlabelled_document_may_be_passed_on(spark):
+    rng = np.random.default_rng(8)
+    plain = lambda good: [0.0] * 7 + [1.0 if good else 2.0, 0.0, 0.3]
+    bag = lambda good, extra: np.array(sorted({5 if good else 6, 7, extra}), np.int32).tobytes()
+    import pandas as pd
+    goods = rng.random(400) < 0.5
+    sample = pd.DataFrame({"bag": [bag(g, 9) for g in goods], "plain": [plain(g) for g in goods], "good": goods})
+    rows = [(bytearray(bag(i % 2 == 0, 50 if i % 2 else 51)), plain(i % 2 == 0)) for i in range(12_000)]
+    pool = spark.createDataFrame(rows, "bag binary, plain array<double>").repartition(5)
+    model = quality.co_train(sample, pool)
+    assert model.words[50] >= 0 and model.words[51] >= 0       # words no labelled document holds
+    words = quality.choose_words(quality.bucket_counts([np.frombuffer(b, np.int32) for b in sample["bag"]], goods), float((~goods).sum()), float(goods.sum()))
+    models = {view: quality.Logistic().fit(quality._matrix(view, sample, words), goods.astype(float), 1.0) for view in ("text", "page")}
+    passed = quality.surest(pool, models, words, 0.05, 0.5)
+    assert passed.where("text_label is not null").count() == passed.where("page_label is not null").count() == 12_000      # ties pass together
+    assert passed.where("text_label <> page_label").count() == 0
+
+
+def test_newton_sums_over_rows_elsewhere_fit_the_same_model():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + rng.normal(size=600) > 0).astype(float)
+    whole = quality.Logistic().fit(x, y, 2.0)
+    split = quality.Logistic().fit(x[:200], y[:200], 2.0, lambda sums: sums(x[200:], y[200:]))
+    assert np.allclose(whole.logit(x), split.logit(x), atol=1e-6)
