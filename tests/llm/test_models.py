@@ -124,3 +124,35 @@ def test_newton_sums_over_rows_elsewhere_fit_the_same_model():
     whole = quality.Logistic().fit(x, y, 2.0)
     split = quality.Logistic().fit(x[:200], y[:200], 2.0, lambda sums: sums(x[200:], y[200:]))
     assert np.allclose(whole.logit(x), split.logit(x), atol=1e-6)
+
+
+def language_texts():
+    """Texts of two languages; ten documents of gibberish and two of a language nobody learned are planted under either label."""
+    rng = np.random.default_rng(12)
+    words = {"en": "the quick brown fox jumps over lazy dogs while seven small children walk home from school and talk about their friends".split(),
+             "de": "der schnelle braune fuchs springt ueber den faulen hund und sieben kleine kinder gehen nach hause von ihrer schule".split(),
+             "xx": ["".join(rng.choice("ка то ри ме но шу ля ве зо пи".split(), 3)) for _ in range(400)]}
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    noise = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzqxzwvk"), 7)) for _ in range(n))
+    clean = [(lang, say(lang, int(rng.choice([3, 25, 90])))) for lang in ("en", "de") for _ in range(1000)]
+    planted = [(lang, noise(60)) for lang in ("en", "de") for _ in range(10)] + [(lang, say("xx", 60)) for lang in ("en", "de") for _ in range(2)]
+    return [(i, lang, text) for i, (lang, text) in enumerate(clean + planted)], len(clean)
+
+
+def test_planted_gibberish_goes_and_short_clean_texts_stay(spark):
+    rows, n_clean = language_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    kept = {r.doc_id for r in language.accepted_languages(docs).collect()}
+    gone = set(range(len(rows))) - kept
+    assert len(gone & set(range(n_clean))) == 0
+    assert len(gone - set(range(n_clean))) >= 20                        # of 24; one that taught may look known
+
+
+def test_bounds_ignore_mislabelled_documents():
+    rng = np.random.default_rng(13)
+    own = np.column_stack([rng.normal(2, 0.1, 800), rng.normal(4, 0.1, 800)])
+    own[:6] = [7.5, 7.8]                                                 # garbage that looks least unlike the language
+    bound = language.ceilings(own, np.zeros(800, int), np.full(800, 300))
+    assert (bound[0] < 4).all() and (bound[0] > own[6:, 0].max()).all() and np.isinf(bound[1]).all()
+    own[:6] = [7.5, 3.0]                                                 # of another language
+    assert (language.ceilings(own, np.zeros(800, int), np.full(800, 300))[0] < 4).all()

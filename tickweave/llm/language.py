@@ -16,8 +16,10 @@ each distinct word that a task holds and looked up for all others.
 
 Calibration, on labelled documents kept out of the fit: a temperature turns
 cross-entropy differences into a probability (``score``), and each language's
-upper bound of cross-entropy, wider for short texts, decides which texts are
-rejected as no text of that language.
+upper bound of cross-entropy by class of length, wider for short texts, decides
+which texts are rejected as no text of that language. The bounds come from
+median and quartiles of the documents that the models give their own label, so
+mislabelled and garbage documents among them do not move the bounds.
 
 Null texts and texts without letters are ``und`` with score 0 and rejected;
 rows with a null language do not teach; equal cross-entropies go to the
@@ -46,6 +48,9 @@ CALIBRATION_DOCS = 800      # expected documents of each language that the calib
 HELD_WORDS = 150_000        # distinct words whose costs a task keeps
 CHARACTERS = 500_000        # scored at a time
 SHORT_SLACK = 8.0           # bits by which one symbol's text may exceed its language's bound; falls with the root of the length
+LENGTHS = np.array([64, 512])   # symbols at which a class of length with a bound of its own begins
+SPREADS, LEAST_SPREAD = 4, 0.25   # bound above the median, in interquartile ranges of that many bits at least
+ENOUGH = 30                 # documents below which a class takes its language's figures, and a language all languages' spread
 START, END = 1, 2
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,7 +66,7 @@ class LanguageModels:
     base: np.ndarray                    # by language: weight of the uniform distribution below the unigrams
     symbols: int
     temperature: float = 1.0
-    ceiling: np.ndarray | None = None   # by language: highest accepted cross-entropy
+    ceiling: np.ndarray | None = None   # by language and class of length: highest accepted cross-entropy
 
 
 def _padded(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,6 +249,27 @@ def _entropy_rows(models_of):
     return run
 
 
+def ceilings(h: np.ndarray, truth: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Highest accepted cross-entropy by language and class of length; infinite where no document is given its label."""
+    agreed, low = h.argmin(axis=1) == truth, h[np.arange(len(h)), truth]
+    kind = np.digitize(symbols, LENGTHS)
+    quartiles = lambda x: (np.median(x), np.subtract(*np.quantile(x, [0.75, 0.25])))
+    out = np.full((h.shape[1], len(LENGTHS) + 1), np.inf)
+    usual = np.median([quartiles(low[agreed & (truth == i)])[1] for i in np.unique(truth[agreed])]) if agreed.any() else 0.0
+    for i in np.unique(truth[agreed]):
+        own = agreed & (truth == i)
+        middle, spread = quartiles(low[own])
+        if own.sum() < ENOUGH:
+            spread = max(spread, usual)
+        out[i] = middle + SPREADS * max(spread, LEAST_SPREAD)
+        for c in range(out.shape[1]):
+            some = own & (kind == c)
+            if some.sum() >= ENOUGH:
+                middle, spread = quartiles(low[some])
+                out[i, c] = middle + SPREADS * max(spread, LEAST_SPREAD)
+    return out
+
+
 def fit(docs: DataFrame, may_teach: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModels | None:
     """Models and calibration from the rows of ``docs`` that ``may_teach`` allows; None without labelled rows.
@@ -267,7 +293,7 @@ def fit(docs: DataFrame, may_teach: Column, id_col: str = "doc_id", text_col: st
     models = _joined(fitted, ORDER)
     seen = (rows.where(half(1) & (F.col("draw") < 2 * rate(calibration_docs))).select("lang", "text")
             .mapInPandas(_entropy_rows(shared(docs.sparkSession, models)), "lang string, h array<double>, symbols double").toPandas())
-    models.ceiling = np.full(len(models.languages), np.inf)
+    models.ceiling = np.full((len(models.languages), len(LENGTHS) + 1), np.inf)
     seen = seen[seen["lang"].isin(models.languages) & (seen["symbols"] > 0)]
     if len(seen):
         h = np.stack(seen["h"].to_numpy())
@@ -275,11 +301,7 @@ def fit(docs: DataFrame, may_teach: Column, id_col: str = "doc_id", text_col: st
         grid = 2.0 ** np.arange(-2, 7)
         losses = [-np.log(_posterior(h, t)[np.arange(len(h)), truth] + 1e-12).mean() for t in grid]
         models.temperature = float(grid[int(np.argmin(losses))])
-        for i in range(len(models.languages)):
-            own = h[truth == i, i]
-            if len(own):
-                top = np.quantile(own, 0.995)
-                models.ceiling[i] = top + 2 * max(top - np.median(own), 0.25)
+        models.ceiling = ceilings(h, truth, seen["symbols"].to_numpy())
     return models
 
 
@@ -309,7 +331,7 @@ def predictor(spark, models: LanguageModels | None):
                 pred += list(np.where(known, np.array(m.languages, dtype=object)[best], "und"))
                 score += list(np.where(known, _posterior(h, m.temperature).max(axis=1), 0.0))
                 bits += list(np.where(known, low, np.nan))
-                good += list(known & (low <= m.ceiling[best] + SHORT_SLACK / np.sqrt(np.maximum(symbols, 1))))
+                good += list(known & (low <= m.ceiling[best, np.digitize(symbols, LENGTHS)] + SHORT_SLACK / np.sqrt(np.maximum(symbols, 1))))
             yield pd.DataFrame({"lang_pred": pred, "score": score, "bits": bits, "accepted": good})
 
     return predict
