@@ -156,3 +156,13 @@ def test_bounds_ignore_mislabelled_documents():
     assert (bound[0] < 4).all() and (bound[0] > own[6:, 0].max()).all() and np.isinf(bound[1]).all()
     own[:6] = [7.5, 3.0]                                                 # of another language
     assert (language.ceilings(own, np.zeros(800, int), np.full(800, 300))[0] < 4).all()
+
+
+def test_rare_languages_teach_with_all_documents(spark):
+    rows, n_clean = language_texts()
+    few = [(5000 + i, f"l{i}", f"{w} " * 8) for i, w in enumerate("alpha bravo charlie delta echo foxtrot golf hotel".split())]
+    models = language.fit(spark.createDataFrame(rows[:n_clean] + few, "doc_id long, lang string, text string"), F.lit(True))
+    assert models.languages == sorted({"de", "en", *(lang for _, lang, _ in few)})
+    h, _ = language.Scorer(models).entropies([text for _, _, text in few])
+    assert [models.languages[i] for i in h.argmin(axis=1)] == [lang for _, lang, _ in few]
+    assert np.isfinite(models.ceiling[[models.languages.index("de"), models.languages.index("en")]]).all()

@@ -14,7 +14,9 @@ the whole text and divided by the number of symbols; the lowest cross-entropy
 wins. A word's cost depends on the word alone, so it is worked out once for
 each distinct word that a task holds and looked up for all others.
 
-Calibration, on labelled documents kept out of the fit: a temperature turns
+Calibration, on labelled documents kept out of the fit (a language of which
+half are fewer than ``FIT_DOCS`` is calibrated with a model of that half, then
+fitted again on all, so that none is lost): a temperature turns
 cross-entropy differences into a probability (``score``), and each language's
 upper bound of cross-entropy by class of length, wider for short texts, decides
 which texts are rejected as no text of that language. The bounds come from
@@ -130,6 +132,11 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _fitted(sample: DataFrame) -> pd.DataFrame:
+    return (_word_counts(sample.select("lang", "text")).groupBy("lang")
+            .applyInPandas(_fit_group, "lang string, k int, keys binary, value binary, contexts binary, passes binary").toPandas())
+
+
 def _fit_group(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("word")
     rows = []
@@ -274,8 +281,10 @@ def fit(docs: DataFrame, may_teach: Column, id_col: str = "doc_id", text_col: st
         fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModels | None:
     """Models and calibration from the rows of ``docs`` that ``may_teach`` allows; None without labelled rows.
 
-    The fit reads an expected ``fit_docs`` documents of each language and the
-    calibration ``calibration_docs`` others, drawn by a hash of the id.
+    The fit reads an expected ``fit_docs`` documents of each language, all if
+    it has no more, drawn by a hash of the id. Calibration reads an expected
+    ``calibration_docs`` that the models it judges by were not fitted on; a
+    language of which all are too few for both keeps an open bound.
     """
     labelled = docs.where(may_teach & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
@@ -285,14 +294,30 @@ def fit(docs: DataFrame, may_teach: Column, id_col: str = "doc_id", text_col: st
         return None
     rate = lambda most: F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, most / n * 1_000_003)])[F.col("lang")]
     half = lambda parity: (F.col("draw") % 2 == parity)
-    sample = rows.where(half(0) & (F.col("draw") < 2 * rate(fit_docs)))
-    fitted = (_word_counts(sample.select("lang", "text")).groupBy("lang")
-              .applyInPandas(_fit_group, "lang string, k int, keys binary, value binary, contexts binary, passes binary").toPandas())
-    if fitted.empty:
+    fitted = _fitted(rows.where(half(0) & (F.col("draw") < 2 * rate(fit_docs))))
+    small = [lang for lang, n in sizes.items() if n < 2 * fit_docs]         # half of the documents are not enough
+    final = fitted
+    if small:
+        again = _fitted(rows.where(F.col("lang").isin(small) & (F.col("draw") < rate(fit_docs))))
+        final = pd.concat([fitted[~fitted["lang"].isin(again["lang"])], again], ignore_index=True)
+    if final.empty:
         return None
-    models = _joined(fitted, ORDER)
-    seen = (rows.where(half(1) & (F.col("draw") < 2 * rate(calibration_docs))).select("lang", "text")
-            .mapInPandas(_entropy_rows(shared(docs.sparkSession, models)), "lang string, h array<double>, symbols double").toPandas())
+    models = _joined(final, ORDER)
+    if fitted.empty:
+        models.ceiling = np.full((len(models.languages), len(LENGTHS) + 1), np.inf)
+        return models
+    first = _joined(fitted, ORDER) if small else models
+    _calibrate(first, rows.where(half(1) & (F.col("draw") < 2 * rate(calibration_docs))))
+    models.temperature = first.temperature
+    bounds = dict(zip(first.languages, first.ceiling, strict=True))
+    models.ceiling = np.stack([bounds.get(lang, np.full(len(LENGTHS) + 1, np.inf)) for lang in models.languages])
+    return models
+
+
+def _calibrate(models: LanguageModels, rows: DataFrame) -> None:
+    """Temperature and bounds from labelled rows that ``models`` were not fitted on."""
+    seen = (rows.select("lang", "text")
+            .mapInPandas(_entropy_rows(shared(rows.sparkSession, models)), "lang string, h array<double>, symbols double").toPandas())
     models.ceiling = np.full((len(models.languages), len(LENGTHS) + 1), np.inf)
     seen = seen[seen["lang"].isin(models.languages) & (seen["symbols"] > 0)]
     if len(seen):
@@ -302,7 +327,6 @@ def fit(docs: DataFrame, may_teach: Column, id_col: str = "doc_id", text_col: st
         losses = [-np.log(_posterior(h, t)[np.arange(len(h)), truth] + 1e-12).mean() for t in grid]
         models.temperature = float(grid[int(np.argmin(losses))])
         models.ceiling = ceilings(h, truth, seen["symbols"].to_numpy())
-    return models
 
 
 OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
