@@ -130,6 +130,16 @@ def test_difference_scan_equals_single_tests(series):
     assert scan.at[1.0, "adf_stat"] < scan.at[0.0, "adf_stat"]
 
 
+def test_smallest_order_scans_the_whole_grid(monkeypatch):
+    from tickweave.plans import feature_queries as Q
+    seen = []
+    monkeypatch.setattr(Q, "_logs", lambda spark, folder: None)
+    monkeypatch.setattr(X, "difference_scan", lambda s, value, orders, threshold: seen.append((orders, threshold)))
+    monkeypatch.setattr(X, "smallest_order", lambda scan, keys: None)
+    Q.smallest_stationary_order(None, None)
+    assert np.allclose(seen[0][0], np.linspace(0, 1, 100)) and seen[0][1] == 1e-5
+
+
 def test_sup_statistic_matches_brute_force(series, hot):
     row = X.backward_sup_adf(series, "price", "ts", 1900, "ct", lags=1).filter("symbol = 'hot'").first()
     y = hot["price"].to_numpy()

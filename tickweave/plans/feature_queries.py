@@ -117,7 +117,7 @@ def smallest_difference_scan(spark, folder):
 
 @query("smallest_stationary_order")
 def smallest_stationary_order(spark, folder):
-    scan = X.difference_scan(_logs(spark, folder), "logp", [i / 25 for i in range(26)], threshold=1e-3)
+    scan = X.difference_scan(_logs(spark, folder), "logp", [i / 99 for i in range(100)], threshold=1e-5)
     return X.smallest_order(scan, TICK_KEYS)
 
 
