@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -92,6 +93,16 @@ def lowered_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def pieces(text: str, size: int, border: re.Pattern) -> Iterator[str]:
+    """``text`` in pieces of ``size`` characters or a little more, cut only before a match of ``border``."""
+    at = 0
+    while at < len(text):
+        cut = border.search(text, at + size) if len(text) - at > size else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def batches(frames: Iterator, size: Callable, most: int) -> Iterator[list]:
     """Regroup an iterator of items into lists whose summed ``size`` passes ``most`` only by the last item."""
     held, total = [], 0

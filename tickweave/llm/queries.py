@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontamination, language, mixing, neighbours, quality, repeats, scoring, sharding, similarity, token_files
+from tickweave.llm import decontamination, language, mixing, neighbours, prefix_trie, quality, repeats, scoring, sharding, similarity, spelling, token_files
 from tickweave.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 SHARDS = 24
@@ -87,3 +87,16 @@ def co_trained_quality(spark, folder):
     """Quality of every document from the co-trained views."""
     scores = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scores.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_bloom_guided_spelling")
+def bloom_guided_spelling(spark, folder):
+    """Near words, form and root of every word of all documents, some occurrences of which lost a letter."""
+    return spelling.variant_groups(table(spark, folder, "documents"), shortest=7, least=2, stronger=10, damaged=31)
+
+
+@query("op13_parenthesis_prefix_trie")
+def parenthesis_prefix_trie(spark, folder):
+    """All nodes of the trie of conversations that share the first turns of every hundredth."""
+    paths = prefix_trie.sequences(table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(paths, period=100, heads=6))
