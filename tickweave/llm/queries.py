@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontamination, language, mixing, neighbours, prefix_trie, quality, repeats, scoring, sharding, similarity, spelling, token_files
+from tickweave.llm import (
+    decontamination, language, mixing, neighbours, prefix_trie, quality, repeats, scoring, sharding, similarity, spelling, token_files, toxicity,
+)
 from tickweave.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 SHARDS = 24
@@ -95,6 +97,14 @@ def bloom_guided_spelling(spark, folder):
     return spelling.variant_groups(table(spark, folder, "documents"), shortest=7, least=2, stronger=10, damaged=31)
 
 
+@query("op12_subword_bag_toxicity")
+def subword_bag_toxicity(spark, folder):
+    """Toxicity of every document, learned from the labelled documents that are not held out."""
+    out = language.held_out("doc_id", 5, 0)
+    scores = toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), ~out)
+    return scores.withColumnRenamed("id", "doc_id").select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @query("op13_parenthesis_prefix_trie")
 def parenthesis_prefix_trie(spark, folder):
     """All nodes of the trie of conversations that share the first turns of every hundredth."""
