@@ -117,3 +117,42 @@ def test_amount_clock_reads_the_layout_twice_whatever_the_partitions(spark, skew
         results.append(sorted(tuple(r) for r in bars.select("symbol", "bar", "open", "high", "low", "close", "bar_ts").collect()))
         calls.append(len(seen))
     assert calls == [2, 2, 2] and results[0] == results[1] == results[2] and results[0]
+
+
+@pytest.mark.parametrize("rows", [50, 1 << 20])
+def test_relay_reads_every_row_once_whatever_the_partitions(spark, skewed, rows):
+    results = []
+    for parts in (1, 12, 24):
+        series = lay_out(skewed, KEYS, ORDER, parts=parts).with_columns({"_amount": F.col("qty")})
+        read = spark.sparkContext.accumulator(0)
+        plain = amount_clock(50)
+
+        def kernel(state, fresh, arrays, read=read):
+            read.add(len(arrays["_amount"]))
+            return plain(state, fresh, arrays)
+        out = frame(series.relay(kernel, (0.0,), ["_amount"], {"_hits": "int"}, keep=ORDER + ["qty"], rows=rows))
+        assert read.value == 3000
+        results.append(out)
+    for out in results:
+        for _, g in out.groupby("symbol"):
+            hits = scalar_clock(g["qty"], 50)
+            assert g["_hits"].tolist() == hits and g["_seq"].tolist() == (np.cumsum(hits) - hits).tolist()
+
+
+def test_relay_without_keys_and_without_rows(spark):
+    df = spark.range(300).select(F.col("id").alias("ts"), "id", F.lit(1.0).alias("_amount"))
+    out = lay_out(df, [], ORDER).relay(amount_clock(7), (0.0,), ["_amount"], {"_hits": "int"}, keep=ORDER, rows=40)
+    assert out.columns == ["ts", "id", "_hits", "_seq"] and out.agg(F.sum("_hits"), F.count("*")).first() == (42, 300)
+    assert lay_out(df.limit(0), [], ORDER).relay(amount_clock(7), (0.0,), ["_amount"], {"_hits": "int"}, rows=40).count() == 0
+
+
+def test_bars_longer_than_partitions_keep_their_descriptions_in_storage(spark, monkeypatch):
+    """A bar outlasts several partitions; only small rows come to the driver."""
+    from tickweave.operators import bars as B
+    monkeypatch.setattr("tickweave.series.SMALL_EXIT_BYTES", 600)
+    df = spark.range(6000).select(F.lit("x").alias("symbol"), F.col("id").alias("ts"), "id", (F.col("id") % 7 + 1.0).alias("qty"), F.lit(1.0).alias("price"))
+    series = lay_out(df, KEYS, ORDER, parts=12)
+    for threshold in (8000.0, 1500.0, 60.0):
+        got = B.amount_samples(series, F.col("qty"), threshold, ["id"]).orderBy("bar").collect()
+        hits = scalar_clock([i % 7 + 1.0 for i in range(6000)], threshold)
+        assert [r["id"] for r in got] == [i for i, h in enumerate(hits) if h] and [r["bar"] for r in got] == list(range(sum(hits)))

@@ -91,6 +91,10 @@ class amount_exits:
     def __init__(self, threshold: float):
         self.threshold = threshold
 
+    def untouched(self, state: float, total: float) -> bool:
+        """Whether rows that sum up to ``total`` close no bar after ``state``."""
+        return total < self.threshold - state
+
     def __call__(self, arrays: dict) -> AmountExits:
         values = arrays["_amount"].astype(float)
         if not (values >= 0).all():
@@ -228,7 +232,7 @@ def tick_imbalance_bars(series: Series, ts: str, price: str, qty: str, warmup: i
                         min_bar: int = 10, max_bar: int = 1000) -> DataFrame:
     """Volume leaves out the closing row, as the rule defines it."""
     keys = list(series.keys)
-    rows = series.with_columns({"_price": F.col(price)}).fold(
+    rows = series.with_columns({"_price": F.col(price)}).relay(
         tick_imbalance_clock(warmup, min_bar, max_bar), (0.0,) * 9, ["_price"],
         {"_hits": "int", "_live": "int"}, keep=[*series.order, price, qty]).filter("_live = 1")
     at = F.struct(*series.order)
@@ -287,7 +291,7 @@ def flow_bars(series: Series, ts: str, price: str, qty: str, amount: Column, run
               first_length: int = 100, flow_span: int = 1000, length_span: int = 3) -> DataFrame:
     """Tick, volume or dollar imbalance/run bars; ``amount`` picks which."""
     keys = list(series.keys)
-    rows = series.with_columns({"_price": F.col(price), "_amount": amount.cast("double")}).fold(
+    rows = series.with_columns({"_price": F.col(price), "_amount": amount.cast("double")}).relay(
         flow_clock(first_length, flow_span, length_span, run), (0.0,) * 9, ["_price", "_amount"],
         {"_hits": "int", "_live": "int"}, keep=[*series.order, price, qty]).filter("_live = 1")
     at = F.struct(*series.order)

@@ -55,7 +55,7 @@ def anchored_days(length_us: int):
 def number_days(series: Series, ts: str, length_us: int, anchored: bool, keep: Sequence[str]) -> DataFrame:
     """Calendar periods, or periods anchored at the first row after the last one closed."""
     if anchored:
-        rows = series.with_columns({"_time": F.col(ts)}).fold(
+        rows = series.with_columns({"_time": F.col(ts)}).relay(
             anchored_days(length_us), (0.0, 0.0), ["_time"], {"_hits": "int"},
             keep=list(dict.fromkeys([*series.order, *keep])))
         return rows.withColumnRenamed("_seq", "day").drop("_hits")

@@ -11,6 +11,9 @@ key. On top of that layout there are four ways to compute:
   table of chunk totals, and the chunk-local frame;
 * ``fold``      recurrences with resets, run per partition from a guessed
   state and repaired until every hand-over state is the true one;
+* ``relay``     recurrences whose state follows from all earlier rows: runs of
+  positions are stored apart and the state is handed from run to run, all
+  keys side by side, each run read once;
 * ``per_chunk`` vectorised numpy over chunk plus neighbours.
 
 No task ever holds a whole key.
@@ -19,23 +22,25 @@ No task ever holds a whole key.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.session import settle
+from tickweave.session import checkpoint_folder, settle, stored
 
 MAX_CHUNK_ROWS = 1 << 20
 MIN_CHUNK_ROWS = 1 << 10
 BROADCAST_SPAN_LIMIT = 200_000
 FREE_REPAIR_ROUNDS = 6
+RELAY_ROWS = 1 << 20        # rows of a key that one step of a relay works on
+SMALL_EXIT_BYTES = 4096     # longer descriptions of a partition stay in storage
 
 
 def _count_and_total(spans: DataFrame) -> tuple[int, int]:
@@ -250,24 +255,36 @@ class Series:
                 tags = pdf["_tag"].to_numpy()
                 cuts = np.flatnonzero(tags[1:] != tags[:-1]) + 1
                 for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(tags)]):
-                    if tags[lo] not in held and len(held) == 2:
-                        held.pop(list(held)[1])     # only the first and the last key reach over the borders
+                    if tags[lo] not in held:
+                        held = {t: [] for t in list(held)[:1]}      # only the last key reaches over the border; of the first, the name counts
                     held.setdefault(tags[lo], []).append({c: pdf[c].to_numpy()[lo:hi] for c in probe_cols})
             if held:
-                ends = [exits({c: np.concatenate([a[c] for a in pieces]) for c in probe_cols}) for pieces in held.values()]
-                yield pd.DataFrame([(part, list(held)[0], list(held)[-1], len(held) == 1, cloudpickle.dumps(ends[0].packed()),
-                                     cloudpickle.dumps(ends[-1].packed()))],
-                                   columns=["part", "first_tag", "last_tag", "single", "first_exit", "last_exit"])
+                end = exits({c: np.concatenate([a[c] for a in list(held.values())[-1]]) for c in probe_cols})
+                state, hits = end(start[0])
+                yield pd.DataFrame([(part, list(held)[0], list(held)[-1], len(held) == 1, state, hits, end.total, pickle.dumps(end.packed()))],
+                                   columns=["part", "first_tag", "last_tag", "single", "state", "hits", "total", "exit"])
 
         def described() -> dict:
-            """One row per partition, states handed on from partition to partition by the described functions."""
-            rows = thin.mapInPandas(describe, "part int, first_tag string, last_tag string, single boolean, "
-                                              "first_exit binary, last_exit binary").collect()
+            """One row per partition, states handed on from partition to partition by the described functions.
+
+            A partition is looked into only where a state comes in that makes a hit in it. Long descriptions stay in
+            storage and are fetched one at a time.
+            """
+            table = stored(thin.mapInPandas(describe, "part int, first_tag string, last_tag string, single boolean, state double, "
+                                                      "hits long, total double, exit binary"))
+            rows = table.withColumn("exit", F.when(F.length("exit") <= SMALL_EXIT_BYTES, F.col("exit"))).collect()
+
+            def left(part: int, held: bytes | None, state: float) -> tuple[float, int]:
+                if held is None:
+                    held = table.filter(F.col("part") == part).select("exit").first()[0]
+                return exits.unpacked(pickle.loads(held))(state)
+
             done, before = {}, None
             for row in sorted(rows, key=lambda r: r.part):
-                joined = before is not None and before.last_tag == row.first_tag
-                entry = before.state[0] if joined and row.single else start[0]
-                state, hits = exits.unpacked(pickle.loads(row.last_exit))(entry)
+                state, hits = row.state, row.hits
+                if row.single and before is not None and before.last_tag == row.first_tag and before.state[0] != start[0]:
+                    entry = before.state[0]
+                    state, hits = (entry + row.total, 0) if exits.untouched(entry, row.total) else left(row.part, row.exit, entry)
                 before = done[row.part] = SimpleNamespace(part=row.part, first_tag=row.first_tag, last_tag=row.last_tag,
                                                           state=[state], hits=hits, single=row.single)
             return done
@@ -299,13 +316,7 @@ class Series:
                 break
             rounds += 1
             if rounds > FREE_REPAIR_ROUNDS:
-                # guesses do not settle: hand the state on one partition per key at a time
-                leaders, seen = [], set()
-                for p in wrong:
-                    if known[p].first_tag not in seen:
-                        seen.add(known[p].first_tag)
-                        leaders.append(p)
-                wrong = leaders
+                return self.relay(kernel, start, columns, outputs, keep)    # guesses do not settle
             given = {p: (wanted[p], 0) for p in wrong if wanted[p] is not None}
             known.update(summaries(given, wrong))
             for p in wrong:
@@ -343,6 +354,64 @@ class Series:
 
         return laid.select("_tag", "_part", *dict.fromkeys([*probe_cols, *kept])).mapInPandas(emit, schema)
 
+    def relay(self, kernel: Callable, start: tuple, columns: Sequence[str], outputs: dict[str, str], keep: Sequence[str] = (),
+              rows: int | None = None) -> DataFrame:
+        """``fold`` for recurrences that never fall into step: the state passes from run to run of ``rows`` positions.
+
+        The rows are stored once, in one folder for each run number. Step by step the next folder is read, each key's
+        state is joined to its run, and outputs and new states are stored. Every row is read once, whatever the number
+        of partitions; there are as many steps as the longest key has runs. The state may be anything that pickles.
+        """
+        keys, rows = list(self.keys) or ["_all"], rows or RELAY_ROWS
+        probe_cols = list(dict.fromkeys(columns))
+        kept = [*keys, *[c for c in keep if c not in keys]]
+        base = self.df if self.keys else self.df.withColumn("_all", F.lit(0))
+        wanted = base.select(*dict.fromkeys([*kept, *probe_cols, "_pos"]), F.floor(F.col("_pos") / rows).alias("_run"))
+        spark = base.sparkSession
+        folder = f"{checkpoint_folder(spark)}/relay-{uuid.uuid4().hex}"
+        wanted.write.partitionBy("_run").parquet(f"{folder}/rows")
+        stored_rows = spark.read.schema(wanted.schema).parquet(f"{folder}/rows")
+        runs = (wanted.agg(F.max("_run")).first()[0] or 0) + 1
+        names = [n for n in outputs if n != "_hits"]
+        fields = list(wanted.select(*kept).schema.fields) + [T.StructField(n, T.StructType.fromDDL(f"x {outputs[n]}")[0].dataType) for n in names]
+        if "_hits" in outputs:
+            fields += T.StructType.fromDDL("_hits int, _seq long").fields
+        schema = T.StructType([*fields, T.StructField("_handed", T.BinaryType())])
+        columns_out = [f.name for f in schema]
+
+        def advance(pdf: pd.DataFrame, handed: bytes | None) -> pd.DataFrame:
+            pdf = pdf.sort_values("_pos", kind="stable").reset_index(drop=True)
+            state, hits = (tuple(start), 0) if handed is None else pickle.loads(handed)
+            state, made = kernel(state, handed is None, {c: pdf[c].to_numpy() for c in probe_cols})
+            out = pdf[kept].copy()
+            for n in names:
+                out[n] = made[n]
+            if "_hits" in outputs:
+                out["_hits"], out["_seq"] = made["_hits"], hits + np.cumsum(made["_hits"]) - made["_hits"]
+                hits += int(np.sum(made["_hits"]))
+            out["_handed"] = pd.Series([None] * (len(out) - 1) + [pickle.dumps((state, hits)) if len(out) == rows else None], dtype=object)
+            return out[columns_out]
+
+        def first(pdf: pd.DataFrame) -> pd.DataFrame:
+            return advance(pdf, None)
+
+        def later(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+            return advance(pdf, bytes(states["_handed"].iloc[0])) if len(pdf) else pd.DataFrame(columns=columns_out)
+
+        done = None
+        for run in range(runs):
+            now = stored_rows.filter(F.col("_run") == run).drop("_run").groupBy(*keys)
+            if done is None:
+                made = now.applyInPandas(first, schema)
+            else:
+                handed = done.filter("_handed IS NOT NULL").select(*keys, "_handed").groupBy(*keys)
+                made = now.cogroup(handed).applyInPandas(later, schema)
+            path = f"{folder}/made/run={run}"
+            made.write.parquet(path)
+            done = spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(*[f"{folder}/made/run={run}" for run in range(runs)]).drop(
+            "_handed", *([] if self.keys else ["_all"]))
+
 
 def lay_out(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("ts",),
             chunk_rows: int | None = None, parts: int | None = None) -> Series:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder.
+
+    Like ``settle``, and columnar. Nothing of the plan that made it is kept, which matters in loops: a checkpoint
+    remembers constraints and size estimates, and these multiply from round to round.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def micros(column: Column | str) -> Column:
     """Epoch microseconds of a timestamp or timestamp_ntz column."""
     column = F.col(column) if isinstance(column, str) else column
