@@ -105,7 +105,7 @@ def test_frac_diff_forms_agree(series, hot):
     x = hot["price"].to_numpy()
     want = [np.dot(w, x[i - len(w) + 1:i + 1][::-1]) if i >= len(w) - 1 else np.nan for i in range(len(x))]
     assert np.allclose(got, want, equal_nan=True)
-    wide = X.frac_diff_expanding(series, "price", 0.4, loss=1.0, block=64).filter("symbol = 'hot'").orderBy("_pos").toPandas()
+    wide = X.frac_diff_expanding(series, "price", 0.4, loss=1.0).filter("symbol = 'hot'").orderBy("_pos").toPandas()
     full = np.convolve(x, X.fraction_weights(0.4, size=len(x)))[:len(x)]
     assert np.allclose(wide["frac_diff"], full[wide["_pos"]])
 

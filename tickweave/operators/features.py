@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
+from tickweave.operators.convolution import convolve, fractional_lags, rows_to_skip
 from tickweave.operators.windows import decay_of, ewm, rolling
 from tickweave.series import Series, lay_out
 
@@ -50,64 +51,20 @@ def frac_diff(series: Series, value: str, d: float, threshold: float = 1e-4, lim
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
-def frac_diff_expanding(series: Series, value: str, d: float, loss: float = 0.01, block: int = 512,
-                        name: str = "frac_diff") -> DataFrame:
-    """Expanding-window fractional difference.
+def frac_diff_expanding(series: Series, value: str, d: float, loss: float = 0.01, name: str = "frac_diff") -> DataFrame:
+    """Expanding-window fractional difference: every row uses its whole past.
 
-    Every row uses its whole past, which is quadratic by definition; the work
-    is split into block pairs, each one convolution, added up per row. Rows
-    whose cumulative absolute weight still changes by more than ``loss`` are
-    left out. ``frac_diff`` is the linear-cost form.
+    Rows whose cumulative absolute weight still changes by more than ``loss``
+    are left out. ``frac_diff`` is the fixed-width form.
     """
-    keys = list(series.keys)
-    n_max = int(series.lengths().agg(F.max("_n")).first()[0] or 0)
-    weights = fraction_weights(d, size=max(n_max, 1))
-    share = np.cumsum(np.abs(weights))
-    skip = int((share / share[-1] > loss).sum()) if n_max else 0
-    home = F.floor(F.col("_pos") / block).cast("long")
-    packed = series.df.groupBy(*keys, home.alias("_block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).cast("double").alias("v")))),
-                    lambda e: e["v"]).alias("_x"))
-    targets = packed.select(*keys, F.col("_block").alias("_target"))
-    pairs = packed.join(targets, keys) if keys else packed.crossJoin(targets)
-    pairs = pairs.filter(F.col("_block") <= F.col("_target"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in series.df.select(*keys).dtypes)
-
-    def multiply(batches):
-        for pdf in batches:
-            pieces = []
-            for row in pdf.itertuples(index=False):
-                x, gap = np.asarray(row[-2], dtype=float), int(row[-1] - row[-3]) * block
-                lags = weights[max(0, gap - len(x) + 1):gap + block]
-                lead = max(0, len(x) - 1 - gap)
-                kernel = np.r_[np.zeros(lead), lags]
-                part = np.convolve(x, kernel)[len(x) - 1:len(x) - 1 + block]
-                pieces.append(pd.DataFrame({**{k: row[i] for i, k in enumerate(keys)},
-                                            "_pos": int(row[-1]) * block + np.arange(len(part)), "part": part}))
-            if pieces:
-                yield pd.concat(pieces)
-
-    parts = pairs.select(*keys, "_block", "_x", "_target").mapInPandas(
-        multiply, f"{fields}{', ' if keys else ''}_pos long, part double")
-    sums = parts.groupBy(*keys, "_pos").agg(F.sum("part").alias(name))
-    return series.df.join(sums, [*keys, "_pos"]).filter(F.col("_pos") >= skip)
-
-
-def frac_diff_fft(series: Series, value: str, d: float, block: int = 4096, name: str = "frac_diff") -> DataFrame:
-    """Expanding fractional difference of fixed blocks of a series by FFT, each block on its own."""
-    keys = list(series.keys)
-    fields = ", ".join(f"`{c}` {t}" for c, t in series.df.select(*keys).dtypes)
+    skip = rows_to_skip(series.lengths(), d, loss)
+    sums = convolve(series, F.col(value), fractional_lags(d), name)
+    return series.df.join(sums, [*series.keys, "_pos"]).filter(F.col("_pos") >= skip)
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(dtype=float)
-        size = 1 << (2 * len(x) - 1).bit_length()
-        w = fraction_weights(d, size=len(x))
-        made = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(w, size), size)[:len(x)]
-        out = pdf[[*keys, "_pos"]].copy()
-        out[name] = made
-        return out
 
-    return series.per_chunk(transform, [value], f"{fields}{', ' if keys else ''}_pos long, {name} double", rows=block)
+def frac_diff_fft(series: Series, value: str, d: float, name: str = "frac_diff") -> DataFrame:
+    """Fractional difference of whole keys: keys, ``_pos`` and the sum over each row's whole past, by Fourier transforms."""
+    return convolve(series, F.col(value), fractional_lags(d), name)
 
 
 # -- unit-root tests ---------------------------------------------------------------
@@ -411,22 +368,32 @@ def dictionary_size(data: Sequence) -> int:
     return len(phrases)
 
 
-def block_entropy(series: Series, symbol: Column, block: int, window: int | None = None) -> DataFrame:
-    """Match-length entropy, redundancy and dictionary size of consecutive blocks of a series."""
-    keys = list(series.keys)
-    rows = series.with_columns({"_symbol": symbol.cast("long")})
-    fields = "".join(f"`{c}` {t}, " for c, t in series.df.select(*keys).dtypes)
+def phrase_clock():
+    """Greedy incremental dictionary: a row hits where its symbol ends a new phrase.
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf["_symbol"].to_numpy()
-        h, red, n = match_entropy(data, window)
-        out = pdf[keys].head(1).copy()
-        out["block"] = int(pdf["_pos"].iloc[0]) // block
-        out["entropy"], out["redundancy"], out["n_points"] = h, red, n
-        out["n_phrases"] = dictionary_size(data.tolist())
-        return out
-    return rows.per_chunk(measure, ["_symbol"], f"{fields}block long, entropy double, redundancy double, n_points long, n_phrases long",
-                          rows=block)
+    State: the trie of phrases as (node, symbol number) to node, the symbol numbers, and the node of the open phrase.
+    """
+    def kernel(state, fresh, arrays):
+        trie, numbers, node = state if state else ({}, {}, 0)
+        hits = np.zeros(len(arrays["_symbol"]), dtype="int32")
+        for i, symbol in enumerate(arrays["_symbol"].tolist()):
+            step = node << 40 | numbers.setdefault(symbol, len(numbers))
+            node = trie.get(step, 0)
+            if not node:
+                trie[step] = len(trie) + 1
+                hits[i] = 1
+        return (trie, numbers, node), {"_hits": hits}
+    return kernel
+
+
+def dictionary_of(series: Series, symbol: Column, rows: int | None = None) -> DataFrame:
+    """``n_phrases``: size of the greedy dictionary of each key's whole sequence. A null is a symbol of its own.
+
+    A phrase depends on all before it, so a key is read in order; runs of ``rows`` positions hand the trie on.
+    """
+    marked = series.with_columns({"_symbol": F.coalesce(symbol.cast("long"), F.lit(-(1 << 63)))}).relay(
+        phrase_clock(), (), ["_symbol"], {"_hits": "int"}, rows=rows)
+    return marked.groupBy(*series.keys).agg(F.sum("_hits").cast("long").alias("n_phrases"))
 
 
 def entropy_rate(series: Series, symbol: Column, ts: str, span_us: int) -> DataFrame:

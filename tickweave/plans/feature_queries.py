@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.arrays import sum_of
 from tickweave.operators import bars as B
 from tickweave.operators import features as X
+from tickweave.operators import matching as M
 from tickweave.operators import windows as W
 from tickweave.plans.registry import TICK_KEYS, TICK_ORDER, TICKS_SQL, query, r, table, ticks
 from tickweave.series import lay_out
@@ -73,12 +74,12 @@ def frac_diff_expanding(spark, folder):
     return out.select("user_id", "id", r("frac_diff").alias("frac_diff"))
 
 
-@query("frac_diff_by_fft", f"""WITH RECURSIVE {TICKS_SQL},
-wt AS (SELECT CAST(0 AS BIGINT) AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.3 - k) / (k + 1) FROM wt WHERE k + 1 < 128)
+@query("frac_diff_by_fft", f"""WITH RECURSIVE {TICKS_SQL}, m AS (SELECT max(n) AS top FROM t),
+wt AS (SELECT CAST(0 AS BIGINT) AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.3 - k) / (k + 1) FROM wt, m WHERE k + 1 < top)
 SELECT a.symbol, a.pos AS pos, round(sum(w * ln(b.price)), 6) + 0.0 AS frac_diff FROM t a JOIN t b ON a.symbol = b.symbol AND b.pos <= a.pos
-  AND b.pos // 128 = a.pos // 128 JOIN wt ON wt.k = a.pos - b.pos GROUP BY ALL""")
+  JOIN wt ON wt.k = a.pos - b.pos GROUP BY ALL""")
 def frac_diff_by_fft(spark, folder):
-    out = X.frac_diff_fft(_logs(spark, folder), "logp", 0.3, block=128)
+    out = X.frac_diff_fft(_logs(spark, folder), "logp", 0.3)
     return out.select("symbol", F.col("_pos").alias("pos"), r("frac_diff").alias("frac_diff"))
 
 
@@ -214,34 +215,45 @@ def change_quantile_bins(spark, folder):
     return X.quantile_bins(_ticks(spark, folder), "price", 4).select("symbol", "id", "bin")
 
 
-def _match_sql(points, reach, log_arg):
-    """Match lengths by the first mismatch of each pair of start points in a block."""
-    return f"""WITH {TICKS_SQL}, d AS (SELECT symbol, pos // 100 AS block, pos % 100 AS i, CAST(floor(price / 50) AS BIGINT) AS s, count(*) OVER (PARTITION BY symbol, pos // 100) AS m FROM t),
-p AS (SELECT d.*, {reach} AS w FROM d), q AS (SELECT * FROM p WHERE {points}),
-x AS (SELECT q.symbol, q.block, q.i, q.w, j, coalesce(min(l) FILTER (u.s <> v.s), q.w) AS len FROM q, range(0, 100) gj(j), range(0, 50) gl(l), d u, d v
-  WHERE j < q.i AND j >= q.i - q.w AND l < q.w AND u.symbol = q.symbol AND u.block = q.block AND u.i = q.i + l AND v.symbol = q.symbol AND v.block = q.block AND v.i = j + l GROUP BY q.symbol, q.block, q.i, q.w, j),
-y AS (SELECT symbol, block, i, w, max(len) + 1 AS best FROM x GROUP BY ALL), z AS (SELECT symbol, block, avg(log2({log_arg} + 1) / best) AS h, count(*) AS n_points FROM y GROUP BY ALL)
-SELECT z.symbol, z.block, round(h, 6) + 0.0 AS entropy, round(1 - h / log2(m), 6) + 0.0 AS redundancy, n_points FROM z JOIN (SELECT DISTINCT symbol, block, m FROM d) k USING (symbol, block)"""
+def _match_sql(near, points, reach):
+    """Match lengths of a whole key: on the diagonal of each lag, the distance to the next mismatch."""
+    return f"""WITH {TICKS_SQL}, d AS (SELECT symbol, pos AS i, n, CAST(floor(price / 50) AS BIGINT) AS s FROM t),
+e AS (SELECT a.symbol, a.i, a.i - b.i AS k, a.n, a.s <> b.s AS miss FROM d a JOIN d b ON a.symbol = b.symbol AND b.i < a.i {near}),
+x AS (SELECT symbol, i, k, n, coalesce(min(CASE WHEN miss THEN i END) OVER (PARTITION BY symbol, k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) - i AS len FROM e),
+y AS (SELECT symbol, i, n, {reach} AS w, least(top, {reach}) + 1 AS best FROM (SELECT symbol, i, n, max(len) AS top FROM x WHERE {points} GROUP BY ALL)),
+z AS (SELECT symbol, n, avg(log2(w + 1) / best) AS h, count(*) AS n_points FROM y GROUP BY ALL)
+SELECT symbol, round(h, 6) + 0.0 AS entropy, round(1 - h / log2(n), 6) + 0.0 AS redundancy, n_points FROM z"""
 
 
-def _block_entropy(spark, folder, window=None):
-    out = X.block_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), 100, window).filter("n_points > 0")
-    return out.select("symbol", "block", r("entropy").alias("entropy"), r("redundancy").alias("redundancy"), "n_points")
+def _entropy(spark, folder, window=None):
+    out = M.sequence_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), window)
+    return out.select("symbol", r("entropy").alias("entropy"), r("redundancy").alias("redundancy"), "n_points")
 
 
-@query("block_sequence_entropy", _match_sql("i BETWEEN 1 AND m // 2", "d.i", "i"))
-def block_sequence_entropy(spark, folder):
-    return _block_entropy(spark, folder)
+@query("sequence_entropy", _match_sql("", "i <= n // 2", "i"))
+def sequence_entropy(spark, folder):
+    return _entropy(spark, folder)
 
 
-@query("windowed_sequence_entropy", _match_sql("i BETWEEN w AND m - w AND w > 0", "least(20, m // 2)", "w"))
+@query("windowed_sequence_entropy", _match_sql("AND a.i - b.i <= 20", "i BETWEEN 20 AND n - 20", "20"))
 def windowed_sequence_entropy(spark, folder):
-    return _block_entropy(spark, folder, 20)
+    return _entropy(spark, folder, 20)
 
 
-@query("block_dictionary_size")
-def block_dictionary_size(spark, folder):
-    return X.block_entropy(_ticks(spark, folder), F.floor(F.col("price") / 50), 100).select("symbol", "block", "n_phrases")
+@query("match_length_counts", _match_sql("", "i <= n // 2", "i").split(",\nz AS")[0] + """
+SELECT symbol, CAST(best - 1 AS BIGINT) AS match_length, count(*) AS n_points FROM y GROUP BY ALL""")
+def match_length_counts(spark, folder):
+    found = M.match_lengths(_ticks(spark, folder), F.floor(F.col("price") / 50))
+    return found.groupBy("symbol", F.col("_match").alias("match_length")).agg(F.count(F.lit(1)).alias("n_points"))
+
+
+@query("dictionary_size", f"""WITH RECURSIVE {TICKS_SQL}, d AS (SELECT symbol, pos, n, CAST(CAST(floor(price / 50) AS BIGINT) AS VARCHAR) || ',' AS s FROM t),
+f AS (SELECT symbol, pos, n, [s] AS lib, '' AS open FROM d WHERE pos = 0
+  UNION ALL SELECT d.symbol, d.pos, d.n, CASE WHEN list_contains(lib, open || s) THEN lib ELSE list_append(lib, open || s) END,
+    CASE WHEN list_contains(lib, open || s) THEN open || s ELSE '' END FROM f JOIN d ON d.symbol = f.symbol AND d.pos = f.pos + 1)
+SELECT symbol, len(lib) AS n_phrases FROM f WHERE pos = n - 1""")
+def dictionary_size(spark, folder):
+    return X.dictionary_of(_ticks(spark, folder), F.floor(F.col("price") / 50))
 
 
 @query("rolling_entropy_rate")
