@@ -72,3 +72,10 @@ def test_no_rows(spark):
     rows = spark.createDataFrame([], "symbol string, ts long, s long")
     assert matching.sequence_entropy(lay_out(rows, ["symbol"], ["ts"]), F.col("s")).count() == 0
     assert matching.sequence_entropy(lay_out(rows, ["symbol"], ["ts"]), F.col("s"), 5).count() == 0
+
+
+@pytest.mark.parametrize("rows", [40, 1 << 20])
+def test_dictionary_is_handed_on_from_run_to_run(series, rows):
+    from tickweave.operators import features as X
+    got = {r.symbol: r.n_phrases for r in X.dictionary_of(series, F.col("s"), rows).collect()}
+    assert got == {k: X.dictionary_size(data) for k, data in sequences().items()}

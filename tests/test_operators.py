@@ -210,7 +210,7 @@ def test_return_weights_sum_to_the_number_of_events(spark, series):
 def test_bootstrap_prefers_unique_events(spark):
     rows = [("x", i, 0, 9) for i in range(9)] + [("x", 9, 50, 59)]
     spans = spark.createDataFrame(rows, "symbol string, id long, p0 long, p1 long")
-    out = WT.sequential_bootstrap(spans, KEYS, "id", ["p0", "id"], replicates=60, block=50, draws=2).toPandas()
+    out = WT.sequential_bootstrap(spans, KEYS, "id", replicates=60, draws=2).toPandas()
     second = out[out["draw"] == 1]
     assert (second["id"] == 9).mean() > 0.1 and len(out) == 120
 

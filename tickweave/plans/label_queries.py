@@ -365,7 +365,7 @@ def time_decay_exponential(spark, folder):
 @query("sequential_bootstrap")
 def sequential_bootstrap(spark, folder):
     _, sp = spans(spark, folder)
-    return WT.sequential_bootstrap(sp, TICK_KEYS, "id", ["p0", "id"], replicates=2, block=100)
+    return WT.sequential_bootstrap(sp, TICK_KEYS, "id", replicates=2)
 
 
 @query("oversample_minority", """WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1)
