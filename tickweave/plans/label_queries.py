@@ -8,6 +8,7 @@ from tickweave.operators import cleaning as C
 from tickweave.operators import events as E
 from tickweave.operators import joins as J
 from tickweave.operators import labels as L
+from tickweave.operators import neighbours as NB
 from tickweave.operators import weights as WT
 from tickweave.operators import windows as W
 from tickweave.plans.join_queries import SPANS_SQL, spans
@@ -392,6 +393,26 @@ def synthetic_minority_by_density(spark, folder):
     return out.select("vec_id", "neighbour", "copy", A.sum_of(F.col("embedding")).alias("total"))
 
 
+@query("minority_neighbours", """WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 0),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) + 0.0 AS distance FROM k WHERE rank <= 5""")
+def minority_neighbours(spark, folder):
+    small = _vectors(spark, folder).filter("minor = 1")
+    out = NB.nearest(small, small, "vec_id", "embedding", 5, "minor")
+    return out.select("vec_id", "rank", "neighbour", r("distance").alias("distance"))
+
+
+@query("minority_density", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, b.label, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.label = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d)
+SELECT vec_id, round(avg(CASE WHEN label <> 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS share FROM k WHERE rank <= 5 GROUP BY vec_id""")
+def minority_density(spark, folder):
+    rows = _vectors(spark, folder)
+    out = NB.nearest(rows, rows.filter("minor = 1"), "vec_id", "embedding", 5, "minor")
+    return out.groupBy("vec_id").agg(r(F.avg((F.col("neighbour_mark") != 1).cast("double"))).alias("share"))
+
+
 @query("append_weight_and_side", f"""WITH {TICKS_SQL} SELECT symbol, id, price, qty, qty / 100 AS weight, CASE WHEN price > 50 THEN 1 ELSE -1 END AS side FROM t""")
 def append_weight_and_side(spark, folder):
     return ticks(spark, folder).withColumns({
