@@ -36,8 +36,10 @@ def test_open_tail_rule(spark):
     assert kept == {1: 1.0, 2: 2.0} and closed == {1: 1.0, 2: None}
 
 
-@pytest.mark.parametrize("chunk", [23, 128, 5000])
-def test_first_touch_matches_brute_force(spark, skewed, chunk):
+@pytest.mark.parametrize("chunk,fan,searches", [(23, 64, 50_000), (23, 2, 7), (23, 3, 50_000), (128, 64, 20), (5000, 64, 50_000)])
+def test_first_touch_matches_brute_force(spark, skewed, monkeypatch, chunk, fan, searches):
+    monkeypatch.setattr(J, "FAN", fan)
+    monkeypatch.setattr(J, "SEARCHES", searches)
     series = lay_out(skewed, KEYS, ORDER, chunk, 3)
     ends = F.when(F.col("id") % 3 == 0, None).otherwise(F.col("_pos") + 40)
     ev = series.df.filter("id % 13 = 0").select(
@@ -53,6 +55,7 @@ def test_first_touch_matches_brute_force(spark, skewed, chunk):
         for column, hit in (("t_lower", path[ret < -e.lower]), ("t_upper", path[ret > e.upper])):
             value = got.at[e.id, column]
             assert (pd.isna(value) and hit.empty) or value == hit["ts"].iloc[0]
+            assert hit.empty or got.at[e.id, column.replace("t_", "price_")] == hit["price"].iloc[0]
 
 
 def test_purge_leaves_no_overlap(spark):

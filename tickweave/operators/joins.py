@@ -11,11 +11,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.series import Series, lay_out
+from tickweave.session import stored
+
+FAN = 64                # children of a node in the tree of extremes
+SEARCHES = 50_000       # barriers that one task looks for in a chunk
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str,
@@ -148,108 +152,120 @@ def align_by_position(left: Series, right: Series, take: Sequence[str]) -> DataF
 
 # -- barriers ----------------------------------------------------------------
 
+def _kids(extremes: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows (node, lo, hi) gathered by parent: ``parent`` and the ``kids`` in order."""
+    return extremes.groupBy(*keys, F.floor(F.col(name) / FAN).alias("parent")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(name, "lo", "hi"))), lambda k: k.dropFields(name)).alias("kids"))
+
+
 def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: str, ts: str,
                 p0: str = "p0", p1: str = "p1", entry: str = "entry", side: str = "side",
                 lower: str = "lower", upper: str = "upper") -> DataFrame:
-    """First time the sided path return leaves (-lower, +upper) inside [p0, p1].
+    """First time the sided path return leaves (-lower, +upper) inside [p0, p1], and the price there.
 
     ``p1`` null means "to the end of the series"; a null width switches its
-    barrier off. An event is sent to its home chunk and, per barrier, to the
-    first later chunk whose extreme price crosses it, found in a table with
-    one row per chunk, so the number of copies per event is at most three.
+    barrier off. Each barrier is looked for in the event's home chunk. Where it
+    is not met, a tree of the chunks' lowest and highest prices, ``FAN``
+    children to a node and one table a level, leads to the only later chunk
+    that can hold the touch: up from the home chunk until a later sibling
+    crosses, then down to the first crossing child, one join a level. A chunk
+    that many events lead to is searched by several tasks.
     """
     keys, size = list(series.keys), series.chunk_rows
-    bars = series.df.select(*keys, "_pos", F.col(ts).alias("_ts"), F.col(price).alias("_price"),
+    bars = series.df.select(*keys, "_pos", F.col(ts).alias("_ts"), F.col(price).cast("double").alias("_price"),
                             F.floor(F.col("_pos") / size).cast("long").alias("_chunk"))
-    wanted = events.select(*keys, *ids, F.col(p0).alias("_p0"), F.col(p1).alias("_p1"),
-                           F.col(entry).alias("_entry"), F.col(side).cast("double").alias("_side"),
-                           F.col(lower).cast("double").alias("_lower"), F.col(upper).cast("double").alias("_upper"))
-
-    extremes = bars.groupBy(*keys, "_chunk").agg(F.min("_price").alias("lo"), F.max("_price").alias("hi"))
-    long_keys = extremes.groupBy(*keys).agg(F.max("_chunk").alias("_m")).filter("_m > 0").drop("_m")
-    later = (extremes.join(long_keys, keys, "left_semi") if keys else extremes.filter("_chunk >= 0"))
-    # one row per chunk of keys longer than a chunk: at most 2 * total / chunk rows
-    table = later.orderBy(*keys, "_chunk").toPandas()
-    paths: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    if len(table):
-        grouped = table.groupby(keys, sort=False) if keys else [((), table)]
-        for name, rows in grouped:
-            name = name if isinstance(name, tuple) else (name,)
-            paths[name] = (rows["lo"].to_numpy(), rows["hi"].to_numpy())
-
-    def first_after(mask_of, a: int, b: int) -> int:
-        width = 64
-        while a <= b:
-            stop = min(b + 1, a + width)
-            found = np.flatnonzero(mask_of(a, stop))
-            if len(found):
-                return a + int(found[0])
-            a, width = stop, width * 4
-        return -1
-
-    def spread(batches):
-        for pdf in batches:
-            rows, chunks = [], []
-            names = list(zip(*[pdf[k] for k in keys])) if keys else [()] * len(pdf)
-            for i, (name, q0, q1, entry_, side_, low, up) in enumerate(zip(
-                    names, pdf["_p0"], pdf["_p1"], pdf["_entry"], pdf["_side"], pdf["_lower"], pdf["_upper"])):
-                home = int(q0) // size
-                rows.append(i)
-                chunks.append(home)
-                path = paths.get(tuple(name))
-                if path is None:
-                    continue
-                lo, hi = path
-                last = len(lo) - 1 if pd.isna(q1) else min(len(lo) - 1, int(q1) // size)
-                if last <= home:
-                    continue
-                best, worst = (hi, lo) if side_ >= 0 else (lo, hi)
-                found = set()
-                if not pd.isna(up):
-                    found.add(first_after(lambda a, b: (best[a:b] / entry_ - 1) * side_ > up, home + 1, last))
-                if not pd.isna(low):
-                    found.add(first_after(lambda a, b: (worst[a:b] / entry_ - 1) * side_ < -low, home + 1, last))
-                for chunk in found - {-1}:
-                    rows.append(i)
-                    chunks.append(chunk)
-            out = pdf.iloc[rows].copy()
-            out["_chunk"] = np.asarray(chunks, dtype="int64")
-            yield out
-
-    visit_schema = wanted.withColumn("_chunk", F.lit(0).cast("long")).schema
-    visits = wanted.mapInPandas(spread, visit_schema)
-
-    id_fields = ", ".join(f"`{c}` {t}" for c, t in events.select(*keys, *ids).dtypes)
-    out_schema = f"{id_fields}, t_lower long, t_upper long"
-
-    def search(ev: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+    extremes = stored(bars.groupBy(*keys, "_chunk").agg(F.min("_price").alias("lo"), F.max("_price").alias("hi")))
+    ends = extremes.groupBy(*keys).agg(F.max("_chunk").alias("_end")) if keys else extremes.agg(F.max("_chunk").alias("_end"))
+    longest = ends.agg(F.max("_end")).first()[0] or 0
+    plain = events.select(*keys, *ids, F.col(p0).alias("_p0"), F.col(p1).alias("_p1"), F.col(entry).alias("_entry"),
+                          F.coalesce(F.col(side).cast("double"), F.lit(float("nan"))).alias("_side"),
+                          F.inline(F.array(F.struct(F.lit(False).alias("_up"), F.col(lower).cast("double").alias("_width")),
+                                           F.struct(F.lit(True).alias("_up"), F.col(upper).cast("double").alias("_width")))))
+    last = F.least(F.coalesce(F.floor(F.col("_p1") / size), F.col("_end")), F.col("_end")).cast("long")
+    wanted = series.attach(plain, ends, "left").withColumns({"_chunk": F.floor(F.col("_p0") / size).cast("long"), "_last": last}).drop("_end")
+    home = stored(_searched(wanted, bars, [*keys, *ids], keys))
+    if not longest:
+        return _by_event(home, [*keys, *ids])
+    levels, nodes = [], extremes.withColumnRenamed("_chunk", "_node")
+    while True:
+        levels.append(stored(_kids(nodes, keys, "_node")))
+        if longest < FAN ** len(levels):
+            break
+        nodes = levels[-1].select(*keys, F.col("parent").alias("_node"), F.array_min(F.transform("kids", lambda k: k["lo"])).alias("lo"),
+                                  F.array_max(F.transform("kids", lambda k: k["hi"])).alias("hi"))
+
+    def crossing(kid: Column) -> Column:
+        best = F.when((F.col("_side") >= 0) == F.col("_up"), kid["hi"]).otherwise(kid["lo"])
+        move = (best / F.col("_entry") - 1) * F.col("_side")
+        return F.when(F.col("_up"), move > F.col("_width")).otherwise(move < -F.col("_width"))
+
+    def first_kid(rows: DataFrame, level: int, parent: Column, after: Column) -> DataFrame:
+        """``_hit``: the first crossing node of the level below, later than ``after`` and not beyond the last; else null."""
+        table = levels[level].withColumnRenamed("parent", "_parent")
+        base, stop = F.col("_parent") * FAN, F.floor(F.col("_last") / FAN ** level)
+        marks = F.transform("kids", lambda k, i: (base + i > after) & (base + i <= stop) & F.coalesce(crossing(k), F.lit(False)))
+        at = F.array_position(marks, True)
+        return rows.withColumn("_parent", parent).join(table, [*keys, "_parent"], "left").withColumn(
+            "_hit", F.when(at > 0, base + at - 1)).drop("kids", "_parent")
+
+    open_rows = home.filter("_t IS NULL AND _width IS NOT NULL AND _last > _chunk").drop("_t", "_at_price")
+    rows = open_rows.withColumns({"_level": F.lit(None).cast("int"), "_node": F.lit(None).cast("long")})
+    for level in range(len(levels)):
+        here = F.floor(F.col("_chunk") / FAN ** level)
+        rows = first_kid(rows, level, F.when(F.col("_node").isNull(), F.floor(here / FAN)), here)
+        new = F.col("_node").isNull() & F.col("_hit").isNotNull()
+        rows = rows.withColumns({"_level": F.when(new, level).otherwise(F.col("_level")),
+                                 "_node": F.when(new, F.col("_hit")).otherwise(F.col("_node"))}).drop("_hit")
+    rows = stored(rows.filter("_node IS NOT NULL"))
+    for level in range(len(levels) - 2, -1, -1):
+        below = F.col("_level") == level + 1
+        rows = first_kid(rows, level, F.when(below, F.col("_node")), F.lit(-1))
+        rows = rows.filter(~below | F.col("_hit").isNotNull()).withColumns({
+            "_level": F.when(below, level).otherwise(F.col("_level")), "_node": F.when(below, F.col("_hit")).otherwise(F.col("_node"))}).drop("_hit")
+    later = _searched(rows.withColumn("_chunk", F.col("_node")).drop("_level", "_node"), bars, [*keys, *ids], keys)
+    return _by_event(home.unionByName(later), [*keys, *ids])
+
+
+def _searched(wanted: DataFrame, bars: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``wanted`` with time ``_t`` and price of the first crossing inside its chunk; ``_t`` null: none."""
+    wanted = stored(wanted)
+    counts = wanted.groupBy(*keys, "_chunk").agg(F.ceil(F.count(F.lit(1)) / SEARCHES).alias("_groups"))
+    dealt = wanted.join(counts, [*keys, "_chunk"]).withColumn("_group", F.pmod(F.xxhash64(*names), F.col("_groups"))).drop("_groups")
+    copies = bars.join(counts, [*keys, "_chunk"]).withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)))
+
+    def search(asked: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         path = path.sort_values("_pos", kind="stable")
         pos, prices, times = (path[c].to_numpy() for c in ("_pos", "_price", "_ts"))
-        hit_low, hit_up = [], []
-        if len(pos):
-            begin = int(pos[0])
-        for q0, q1, entry_, side_, low, up in zip(ev["_p0"], ev["_p1"], ev["_entry"], ev["_side"],
-                                                  ev["_lower"], ev["_upper"]):
-            if not len(pos):
-                hit_low.append(None)
-                hit_up.append(None)
+        found = np.full(len(asked), -1)
+        for row, (q0, q1, entry, side, up, width) in enumerate(zip(*[asked[c] for c in ("_p0", "_p1", "_entry", "_side", "_up", "_width")])):
+            if not len(pos) or pd.isna(width):
                 continue
-            a = max(int(q0), begin) - begin
-            b = (len(pos) - 1) if pd.isna(q1) else min(len(pos) - 1, int(q1) - begin)
-            low_at = -1 if pd.isna(low) else first_after(
-                lambda i, j: (prices[i:j] / entry_ - 1) * side_ < -low, a, b)
-            up_at = -1 if pd.isna(up) else first_after(
-                lambda i, j: (prices[i:j] / entry_ - 1) * side_ > up, a, b)
-            hit_low.append(None if low_at < 0 else int(times[low_at]))
-            hit_up.append(None if up_at < 0 else int(times[up_at]))
-        out = ev[[*keys, *ids]].copy()
-        out["t_lower"] = pd.array(hit_low, dtype="Int64")
-        out["t_upper"] = pd.array(hit_up, dtype="Int64")
-        return out
-
-    touched = (visits.groupBy(*keys, "_chunk").cogroup(bars.groupBy(*keys, "_chunk"))
-               .applyInPandas(search, out_schema))
-    return touched.groupBy(*keys, *ids).agg(F.min("t_lower").alias("t_lower"), F.min("t_upper").alias("t_upper"))
+            a = max(int(q0) - int(pos[0]), 0)
+            b = len(pos) if pd.isna(q1) else min(len(pos), int(q1) - int(pos[0]) + 1)
+            step = 64
+            while a < b and found[row] < 0:
+                moves = (prices[a:min(a + step, b)] / entry - 1) * side
+                hits = np.flatnonzero(moves > width if up else moves < -width)
+                if len(hits):
+                    found[row] = a + hits[0]
+                a, step = a + step, step * 4
+        out = asked.drop(columns="_group")
+        none = pd.Series(found < 0, index=out.index)
+        at = np.maximum(found, 0) if len(pos) else None
+        out["_t"] = pd.Series(times[at] if len(pos) else 0, index=out.index).astype("Int64").mask(none)
+        out["_at_price"] = pd.Series(prices[at] if len(pos) else 0.0, index=out.index).astype("Float64").mask(none)
+        return out[columns]
+
+    schema = dealt.drop("_group").withColumns({"_t": F.lit(None).cast("long"), "_at_price": F.lit(None).cast("double")}).schema
+    columns = [f.name for f in schema]
+    return dealt.groupBy(*keys, "_chunk", "_group").cogroup(
+        copies.select(*keys, "_chunk", "_group", "_pos", "_ts", "_price").groupBy(*keys, "_chunk", "_group")).applyInPandas(search, schema)
+
+
+def _by_event(touches: DataFrame, names: Sequence[str]) -> DataFrame:
+    side = {"lower": ~F.col("_up"), "upper": F.col("_up")}
+    return touches.groupBy(*names).agg(*[F.max(F.when(on, F.col("_t"))).alias(f"t_{n}") for n, on in side.items()],
+                                       *[F.max(F.when(on, F.col("_at_price"))).alias(f"price_{n}") for n, on in side.items()])
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

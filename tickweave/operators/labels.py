@@ -35,7 +35,7 @@ def barrier_events(series: Series, events: DataFrame, ids: Sequence[str], price:
     """First barrier of stop-loss, profit-taking and vertical; ties go in that order.
 
     ``events``: keys, ids, ``ts`` (start), p0, entry, trgt and optionally p1,
-    t1 (vertical barrier) and side. Returns them with ``t_end`` and ``type``.
+    t1 (vertical barrier) and side. Returns them with ``t_end``, ``type`` and the price there, ``exit_price``.
     """
     keys = list(series.keys)
     for name, filler in (("p1", F.lit(None).cast("long")), ("t1", F.lit(None).cast("long")), ("side", F.lit(1))):
@@ -48,7 +48,11 @@ def barrier_events(series: Series, events: DataFrame, ids: Sequence[str], price:
     end = F.least("t_lower", "t_upper", "t1")
     kind = (F.when(F.col("t_lower") == end, "sl").when(F.col("t_upper") == end, "tp")
             .when(F.col("t1") == end, "t1"))
-    return out.withColumns({"t_end": end, "type": kind})
+    out = out.withColumns({"t_end": end, "type": kind})
+    ends = series.df.select(*keys, F.col("_pos").alias("p1"), F.col(price).alias("_p1_price"))
+    out = out.join(ends, [*keys, "p1"], "left")
+    return out.withColumn("exit_price", F.when(F.col("type") == "sl", F.col("price_lower")).when(F.col("type") == "tp", F.col("price_upper"))
+                          .otherwise(F.when(F.col("type") == "t1", F.col("_p1_price")))).drop("_p1_price", "price_lower", "price_upper")
 
 
 def barrier_labels(bars: DataFrame, events: DataFrame, keys: Sequence[str], price: str, ts: str,
@@ -57,9 +61,14 @@ def barrier_labels(bars: DataFrame, events: DataFrame, keys: Sequence[str], pric
     """Return and label of each event from its start to ``t_end``.
 
     With ``sided`` the return is multiplied by the side and anything not above
-    ``min_ret`` gets ``zero_label``; else only moves within +-min_ret do.
+    ``min_ret`` gets ``zero_label``; else only moves within +-min_ret do. The
+    price at the end is looked up in ``bars`` unless events carry ``exit_price``.
     """
-    done = price_at(bars, events.filter(F.col("t_end").isNotNull()), keys, ts, "t_end", price, "_exit", tie)
+    done = events.filter(F.col("t_end").isNotNull())
+    if "exit_price" in events.columns:
+        done = done.withColumn("_exit", F.col("exit_price")).drop("exit_price")
+    else:
+        done = price_at(bars, done, keys, ts, "t_end", price, "_exit", tie)
     ret = ratio(F.col("_exit"), F.col("entry")) - 1
     ret = ret * F.col("side") if sided else ret
     out = done.withColumn("ret", ret)

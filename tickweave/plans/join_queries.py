@@ -83,17 +83,17 @@ def lookback_return_last_before(spark, folder):
         "symbol", "id", r("ret").alias("ret"))
 
 
-def spans(spark, folder, series=None, every=7, length=None):
-    """Events every ``every`` ticks, open until the first tick six hours later."""
+def spans(spark, folder, series=None):
+    """An event at every tick, open until the first tick six hours later."""
     series = series or _ticks(spark, folder)
     bars = series.df.select("symbol", "ts", "id", F.col("_pos").alias("p1"))
-    picked = series.df.filter(F.col("_pos") % every == 0).select("symbol", "ts", "id", F.col("_pos").alias("p0"))
+    picked = series.df.select("symbol", "ts", "id", F.col("_pos").alias("p0"))
     ahead = J.vertical_barrier(bars.withColumnRenamed("id", "bar_id"), picked, ["symbol"], "ts", 6 * HOUR, ["p1"])
     return series, ahead
 
 
 SPANS_SQL = f"""sp AS (SELECT e.symbol, e.id, e.ts AS t0, e.pos AS p0, b.pos AS p1, b.ts AS t1
-  FROM (SELECT *, ts + {6 * HOUR} AS due FROM t WHERE pos % 7 = 0) e ASOF JOIN t b ON e.symbol = b.symbol AND e.due <= b.ts)"""
+  FROM (SELECT *, ts + {6 * HOUR} AS due FROM t) e ASOF JOIN t b ON e.symbol = b.symbol AND e.due <= b.ts)"""
 
 
 @query("purge_overlapping_intervals", f"""WITH {TICKS_SQL}, {SPANS_SQL}

@@ -103,7 +103,7 @@ g AS (SELECT *, CASE WHEN pos >= 20 THEN stddev_pop(mv) OVER f + avg(mv) OVER f
   WINDOW f AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)),
 e AS (SELECT x.symbol, x.id, x.ts, x.pos AS p0, x.price AS entry, x.trgt AS trgt, b.ts AS t1, b.pos AS p1,
     CASE WHEN x.id % 2 = 0 THEN 1 ELSE -1 END AS side
-  FROM (SELECT *, ts + {24 * HOUR} AS due FROM g WHERE pos % 5 = 0) x ASOF LEFT JOIN t b ON x.symbol = b.symbol AND x.due <= b.ts),
+  FROM (SELECT *, ts + {24 * HOUR} AS due FROM g) x ASOF LEFT JOIN t b ON x.symbol = b.symbol AND x.due <= b.ts),
 c AS (SELECT e.*, t.ts AS bt, (t.price / e.entry - 1) * SIDE AS ret FROM e JOIN t ON t.symbol = e.symbol AND t.pos >= e.p0 AND (e.p1 IS NULL OR t.pos <= e.p1)
   WHERE e.trgt > 0.5),
 k AS (SELECT symbol, id, any_value(ts) AS ts, any_value(entry) AS entry, any_value(side) AS side, any_value(t1) AS t1, any_value(trgt) AS trgt,
@@ -114,7 +114,7 @@ z AS (SELECT *, least(t_lower, t_upper, t1) AS t_end, CASE WHEN t_lower = least(
 
 def _events(spark, folder, sided, vertical=True):
     series = _ticks(spark, folder)
-    picked = series.windowed(lambda df, w: W.volatility_level(df, w, "price", 20, "trgt"), before=21).filter("_pos % 5 = 0")
+    picked = series.windowed(lambda df, w: W.volatility_level(df, w, "price", 20, "trgt"), before=21)
     start = picked.select("symbol", "ts", "id", F.col("_pos").alias("p0"), F.col("price").alias("entry"),
                           "trgt",
                           F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("side"))
@@ -141,15 +141,15 @@ def first_barrier_touches(spark, folder):
     return _barriers(spark, folder, True)[1].select("symbol", "id", "t_lower", "t_upper")
 
 
-@query("first_touches_open_end", f"""WITH {TICKS_SQL}, e AS (SELECT symbol, id, pos AS p0, price AS entry FROM t WHERE pos % 50 = 0)
+@query("first_touches_open_end", f"""WITH {TICKS_SQL}, e AS (SELECT symbol, id, pos AS p0, price AS entry FROM t)
 SELECT e.symbol, e.id, min(t.ts) FILTER (t.price / entry - 1 < -0.999) AS t_lower, min(t.ts) FILTER (t.price / entry - 1 > 8.0) AS t_upper
 FROM e JOIN t ON t.symbol = e.symbol AND t.pos >= p0 GROUP BY ALL""")
 def first_touches_open_end(spark, folder):
     series = lay_out(ticks(spark, folder), TICK_KEYS, TICK_ORDER, chunk_rows=256)
-    ev = series.df.filter("_pos % 50 = 0").select("symbol", "id", F.col("_pos").alias("p0"), F.lit(None).cast("long").alias("p1"),
+    ev = series.df.select("symbol", "id", F.col("_pos").alias("p0"), F.lit(None).cast("long").alias("p1"),
                                                    F.col("price").alias("entry"), F.lit(1).alias("side"),
                                                    F.lit(0.999).alias("lower"), F.lit(8.0).alias("upper"))
-    return J.first_touch(series, ev, ["id"], "price", "ts")
+    return J.first_touch(series, ev, ["id"], "price", "ts").select("symbol", "id", "t_lower", "t_upper")
 
 
 @query("triple_barrier_events", f"WITH {TICKS_SQL}, {_esql(False)} SELECT symbol, id, ts, round(trgt, 6) + 0.0 AS trgt, t_end, type FROM z")
