@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.convolution import convolve, fractional_lags, rows_to_skip
+from tickweave.operators.quantiles import exact_quantiles
 from tickweave.operators.windows import decay_of, ewm, rolling
 from tickweave.series import Series, lay_out
 
@@ -30,6 +31,17 @@ def fraction_weights(d: float, threshold: float | None = None, size: int | None
     return np.array(made)
 
 
+def lag_weights(series: Series, d: float, name: str = "weight") -> DataFrame:
+    """The weight with which each row enters the difference at its key's last row, and its lag ``k`` from there."""
+    weigh = fractional_lags(d)
+
+    @F.pandas_udf("double")
+    def at(lags: pd.Series) -> pd.Series:
+        return pd.Series(weigh(lags.to_numpy()))
+
+    return series.with_length().df.withColumn("k", F.col("_n") - 1 - F.col("_pos")).withColumn(name, at("k")).drop("_n")
+
+
 def frac_diff(series: Series, value: str, d: float, threshold: float = 1e-4, limit: int | None = None,
               pad: bool = False, name: str = "frac_diff") -> DataFrame:
     """Fixed-width fractional difference; the first ``width`` rows are null (zero with ``pad``)."""
@@ -323,7 +335,7 @@ def quantile_bins(series: Series, value: str, bins: int) -> DataFrame:
     moved = series.windowed(lambda df, w: df.withColumn(
         "change", ratio(F.col(value), F.lag(value).over(w)) - 1), before=1).filter("change IS NOT NULL")
     keys = list(series.keys)
-    cuts = moved.groupBy(*keys).agg(F.percentile("change", [i / bins for i in range(bins + 1)]).alias("_q"))
+    cuts = exact_quantiles(moved, keys, F.col("change"), [i / bins for i in range(bins + 1)], "_q")
     out = series.attach(moved, cuts)
     index = F.size(F.filter(F.slice("_q", 2, bins - 1), lambda q: q < F.col("change")))
     return out.withColumn("bin", index.cast("long")).withColumn(

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.functions.arrays import dot, mean_of, median_of, std_pop_of, transpose
+from tickweave.operators.quantiles import exact_quantiles
 from tickweave.series import Series
 
 
@@ -228,9 +231,11 @@ def impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """+inf to the column maximum, -inf to the minimum, null/NaN to the median of finite values."""
     inf = float("inf")
     finite = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != inf), F.col(c)) for c in columns}
-    stats = df.agg(*[e for c in columns for e in (
-        F.max(finite[c]).alias(f"_hi_{c}"), F.min(finite[c]).alias(f"_lo_{c}"),
-        F.percentile(finite[c], 0.5).alias(f"_md_{c}"))])
+    stats = df.agg(*[e for c in columns for e in (F.max(finite[c]).alias(f"_hi_{c}"), F.min(finite[c]).alias(f"_lo_{c}"))])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), finite[c].cast("double").alias("v")) for c in columns])
+    middles = exact_quantiles(df.select(F.inline(cells)), ["column"], F.col("v"), [0.5], "m").groupBy().agg(
+        *[F.max(F.when(F.col("column") == c, F.col("m")[0])).alias(f"_md_{c}") for c in columns])
+    stats = stats.crossJoin(middles)  # one row each
     out = df.crossJoin(F.broadcast(stats))  # one row
     return out.withColumns({
         c: F.when(F.col(c) == inf, F.col(f"_hi_{c}")).when(F.col(c) == -inf, F.col(f"_lo_{c}"))
@@ -267,6 +272,50 @@ def window_acf(window: Column, width: int, lags: Sequence[int]) -> Column:
     return F.array(*[ratio(dot(F.slice(centred, 1, width - k), F.slice(centred, k + 1, width - k)), total) for k in lags])
 
 
+def autoregression(window: Column, order: int) -> Column:
+    """Autoregressive coefficients of an array, lag 1 first, by the Levinson-Durbin recursion on its autocovariances.
+
+    At most one coefficient less than values; null for null or constant arrays.
+    """
+    def fit(arrays: pd.Series) -> pd.Series:
+        made: list = [None] * len(arrays)
+        sizes = np.array([-1 if a is None else len(a) for a in arrays])
+        for n in set(sizes.tolist()) - {-1, 0, 1}:           # arrays of one length at once
+            at = np.flatnonzero(sizes == n)
+            x = np.stack([arrays.iloc[i] for i in at]).astype(float)
+            x = x - x.mean(axis=1, keepdims=True)
+            last = min(order, n - 1)
+            cov = np.stack([(x[:, k:] * x[:, :n - k]).sum(axis=1) for k in range(last + 1)], 1)
+            phi, left = np.zeros((len(at), 0)), cov[:, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for k in range(1, last + 1):
+                    tail = ((cov[:, k] - (phi * cov[:, k - 1:0:-1]).sum(axis=1)) / left)[:, None]
+                    phi, left = np.hstack([phi - tail * phi[:, ::-1], tail]), left * (1 - tail[:, 0] ** 2)
+            for i, row in zip(at, phi):
+                made[i] = row.tolist() if np.isfinite(row).all() else None
+        return pd.Series(made, dtype=object)
+    return F.pandas_udf(fit, "array<double>")(window)
+
+
+def power_spectrum(window: Column, width: int) -> Column:
+    """Squared Fourier amplitudes of an array of ``width`` values at the lower half of its frequencies.
+
+    A product with fixed cosines and sines; null if a value is null.
+    """
+    turns = 2 * np.pi * np.outer(np.arange(width), np.arange(width // 2)) / width
+
+    def amplitudes(arrays: pd.Series) -> pd.Series:
+        known = np.array([a is not None and len(a) == width for a in arrays], bool)
+        made: list = [None] * len(arrays)
+        if known.any():
+            x = np.stack(arrays[known].to_list()).astype(float)
+            power = (x @ np.cos(turns)) ** 2 + (x @ np.sin(turns)) ** 2
+            for i, row in zip(np.flatnonzero(known), power):
+                made[i] = row.tolist() if np.isfinite(row).all() else None
+        return pd.Series(made, dtype=object)
+    return F.pandas_udf(amplitudes, "array<double>")(window)
+
+
 def acf(series: Series, value: str, lags: Sequence[int]) -> DataFrame:
     """Autocorrelation function of each whole series, long form."""
     keys = list(series.keys)
@@ -288,9 +337,6 @@ def pacf(acf_table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Each group holds one number per lag.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys)
     fields = ", ".join(f"`{c}` {t}" for c, t in acf_table.select(*keys).dtypes)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickweave.operators import aggregates as G
+from tickweave.operators import bars as B
 from tickweave.operators import windows as W
 from tickweave.plans.cleaning_queries import LINES_SQL, lines
 from tickweave.plans.registry import TICK_KEYS, TICK_ORDER, TICKS_SQL, query, r, table, ticks
@@ -130,10 +131,11 @@ def bar_return_statistics(spark, folder):
 
 
 @query("bar_count_stability", f"""WITH {TICKS_SQL}
-SELECT symbol, ts // {7 * DAY} * {7 * DAY} AS period, count(*) AS n_bars FROM t WHERE pos % 10 = 0 GROUP BY ALL""")
+SELECT symbol, ts // {7 * DAY} * {7 * DAY} AS period, count(*) AS n_bars
+FROM t WHERE pos % 10 = 0 AND pos > 0 GROUP BY ALL""")
 def bar_count_stability(spark, folder):
-    bars = _ticks(spark, folder).df.filter("_pos % 10 = 0")
-    return G.bar_stability(bars, "symbol", "ts", 7 * DAY)
+    bars = B.tick_bars(_ticks(spark, folder), "ts", "id", "price", "qty", 10)
+    return G.bar_stability(bars, "symbol", "bar_ts", 7 * DAY)
 
 
 @query("summary_per_bar_type", """SELECT event_type AS symbol, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY 1""")

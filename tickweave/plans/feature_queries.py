@@ -30,14 +30,11 @@ def _weights_sql(weights):
 _W = X.fraction_weights(0.4, 1e-3)
 
 
-@query("fraction_weights", f"WITH {_weights_sql(_W)}, c AS (SELECT count(*) AS n FROM events) SELECT CAST(k AS BIGINT) AS k, round(w, 9) + 0.0 AS w FROM wt, c WHERE k < n")
+@query("fraction_weights", f"""WITH RECURSIVE {TICKS_SQL}, m AS (SELECT max(n) AS top FROM t),
+wt AS (SELECT CAST(0 AS BIGINT) AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4 - k) / (k + 1) FROM wt, m WHERE k + 1 < top)
+SELECT symbol, id, k, round(w, 9) + 0.0 AS w FROM t JOIN wt ON wt.k = t.n - 1 - t.pos""")
 def fraction_weights(spark, folder):
-    # the weight recurrence as a running product over tick positions: w_k = prod (j - 1 - d) / j
-    rows = table(spark, folder, "events").agg(F.count(F.lit(1)).alias("n")).select(
-        F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(len(_W))) - 1)).alias("k"))
-    terms = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("k"), F.lit(1)).cast("long")), lambda j: (j - 1 - 0.4) / j)
-    product = F.aggregate(terms, F.lit(1.0), lambda acc, t: acc * t)
-    return rows.select(F.col("k").cast("long").alias("k"), r(F.when(F.col("k") == 0, 1.0).otherwise(product), 9).alias("w"))
+    return X.lag_weights(_ticks(spark, folder), 0.4).select("symbol", "id", "k", r("weight", 9).alias("w"))
 
 
 @query("frac_diff_fixed_width", f"""WITH {TICKS_SQL}, {_weights_sql(_W)},

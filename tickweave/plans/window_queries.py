@@ -277,17 +277,43 @@ def interval_and_acf_features(spark, folder):
                       r(F.col("_iv")[2]).alias("iv_slope"), r(F.col("_acf")[0]).alias("acf_1"))
 
 
+_WINDOW_16 = f"""WITH {TICKS_SQL}, a AS (SELECT symbol, id, pos, list(price) OVER f AS x, avg(price) OVER f AS mu
+  FROM t WINDOW f AS (PARTITION BY symbol ORDER BY pos ROWS 15 PRECEDING)), w AS (SELECT *, list_transform(x, lambda v: v - mu) AS c FROM a WHERE pos >= 15)"""
+
+
+def _windows_16(spark, folder):
+    return _ticks(spark, folder).windowed(lambda df, w: W.sliding_window(df, w, F.col("price"), 16), before=15).filter("window IS NOT NULL")
+
+
+@query("window_autoregression", f"""{_WINDOW_16},
+g AS (SELECT symbol, id, list_sum(list_transform(c, lambda v: v * v)) AS g0, list_sum(list_transform(range(1, 16), lambda i: c[i] * c[i + 1])) AS g1,
+  list_sum(list_transform(range(1, 15), lambda i: c[i] * c[i + 2])) AS g2 FROM w),
+q AS (SELECT symbol, id, g1 / g0 AS r1, g2 / g0 AS r2 FROM g)
+SELECT symbol, id, {R('r1 * (1 - r2) / (1 - r1 * r1)')} AS ar_1, {R('(r2 - r1 * r1) / (1 - r1 * r1)')} AS ar_2 FROM q""")
+def window_autoregression(spark, folder):
+    out = _windows_16(spark, folder).withColumn("_ar", W.autoregression(F.col("window"), 2))
+    return out.select("symbol", "id", r(F.col("_ar")[0]).alias("ar_1"), r(F.col("_ar")[1]).alias("ar_2"))
+
+
+@query("window_power_spectrum", f"""{_WINDOW_16}
+SELECT symbol, id, CAST(k AS INTEGER) AS k, round(list_sum(list_transform(range(0, 16), lambda i: x[i + 1] * cos(2 * pi() * i * k / 16))) ** 2
+  + list_sum(list_transform(range(0, 16), lambda i: x[i + 1] * sin(2 * pi() * i * k / 16))) ** 2, 5) + 0.0 AS power FROM w, range(0, 8) g(k)""")
+def window_power_spectrum(spark, folder):
+    out = _windows_16(spark, folder).withColumn("_ps", W.power_spectrum(F.col("window"), 16))
+    return out.select("symbol", "id", F.posexplode("_ps").alias("k", "power")).withColumn("power", r("power", 5))
+
+
 @query("seasonal_decomposition", f"""
 WITH {TICKS_SQL},
-a AS (SELECT *, CASE WHEN pos >= 6 AND pos + 6 < n THEN (sum(price) OVER f
-        - (lag(price, 6) OVER {OW} + lead(price, 6) OVER {OW}) / 2) / 12 END AS trend, pos % 12 AS phase
-  FROM t WINDOW f AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+a AS (SELECT *, CASE WHEN pos >= 30 AND pos + 30 < n THEN (sum(price) OVER f
+        - (lag(price, 30) OVER {OW} + lead(price, 30) OVER {OW}) / 2) / 60 END AS trend, pos % 60 AS phase
+  FROM t WINDOW f AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)),
 m AS (SELECT symbol, phase, avg(price - trend) AS m FROM a GROUP BY ALL),
 s AS (SELECT symbol, phase, m - avg(m) OVER (PARTITION BY symbol) AS seasonal FROM m)
 SELECT symbol, id, {R('trend')} AS trend, {R('seasonal')} AS seasonal, {R('price - trend - seasonal')} AS resid
 FROM a JOIN s USING (symbol, phase)""")
 def seasonal_decomposition(spark, folder):
-    out = W.seasonal_decompose(_ticks(spark, folder), "price", 12)
+    out = W.seasonal_decompose(_ticks(spark, folder), "price", 60)
     return out.select("symbol", "id", r("trend").alias("trend"), r("seasonal").alias("seasonal"), r("resid").alias("resid"))
 
 
