@@ -125,6 +125,59 @@ def assembled(df: DataFrame, features: Sequence[str], label: str, weight: str |
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df.select(*cols))
 
 
+def _test_predictions(ready: DataFrame, make_model: Callable, fold: str, keep: Sequence[str], on_test: Callable | None = None) -> DataFrame:
+    """One fit per fold on the train rows of ``ready`` (assembled, stored); predictions of its test rows."""
+    from functools import reduce
+
+    from pyspark.ml.functions import vector_to_array
+    pieces = []
+    for number in sorted(row[0] for row in ready.select(fold).distinct().collect()):       # folds are few
+        part = ready.filter(F.col(fold) == number)
+        model = make_model().fit(part.filter("role = 'train'"))
+        test = part.filter("role = 'test'")
+        pieces.append(model.transform(on_test(test) if on_test else test).select(
+            *keep, F.lit(number).alias(fold), F.col("label").cast("int").alias("actual"),
+            F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("prob"), "weight"))
+    return reduce(DataFrame.unionByName, pieces)
+
+
+def out_of_fold(splits: DataFrame, features: Sequence[str], label: str, make_model: Callable, ids: Sequence[str],
+                weight: str | None = None, fold: str = "fold") -> DataFrame:
+    """Each test row's prediction by the model of its fold, which never saw it: ``ids``, fold, actual, predicted, prob."""
+    ready = settle(assembled(splits, features, label, weight, [*ids, fold, "role"]))
+    return _test_predictions(ready, make_model, fold, ids).drop("weight")
+
+
+def signals_by_path(splits: DataFrame, paths: DataFrame, features: Sequence[str], label: str, make_model: Callable,
+                    ids: Sequence[str], combo: str = "combo", fold: str = "fold") -> DataFrame:
+    """One out-of-fold signal for every row and path of combinatorial splits.
+
+    One fit per combination; ``paths`` (combination, fold, path) says to which
+    path a test fold of a combination belongs, so each path holds every row
+    once: ``ids``, path, combo, fold and the signal, twice the probability less one.
+    """
+    ready = settle(assembled(splits, features, label, None, [*ids, combo, fold, "role"]))
+    made = _test_predictions(ready, make_model, combo, [*ids, fold])
+    placed = made.join(F.broadcast(paths.select(combo, fold, "path")), [combo, fold])      # one row a combination and test fold
+    return placed.select(*ids, "path", combo, fold, "actual", (2 * F.col("prob") - 1).alias("signal"))
+
+
+def two_stage(splits: DataFrame, features: Sequence[str], label: str, ret: str, make_model: Callable, ids: Sequence[str],
+              fold: str = "fold") -> DataFrame:
+    """A learned side, and a second model that learns whether trading that side pays.
+
+    Stage one predicts ``label`` (1: up) out of fold; its side becomes a column
+    of stage two, whose label is 1 where ``ret`` on that side is positive.
+    Returns ``ids``, side, bin and the out-of-fold probability ``size``.
+    """
+    splits = settle(splits)
+    side = (2 * F.col("predicted") - 1).cast("double")
+    first = out_of_fold(splits, features, label, make_model, ids, fold=fold).select(*ids, side.alias("side"))
+    second = splits.join(first, list(ids)).withColumn("bin", (F.col(ret) * F.col("side") > 0).cast("int"))
+    sized = out_of_fold(second, [*features, "side"], "bin", make_model, ids, fold=fold)
+    return sized.join(first, list(ids)).select(*ids, F.col("side").cast("int").alias("side"), F.col("actual").alias("bin"), F.col("prob").alias("size"))
+
+
 def fold_scores(splits: DataFrame, features: Sequence[str], label: str, make_model: Callable, weight: str | None = None,
                 fold: str = "fold", on_test: Callable | None = None) -> DataFrame:
     """Fit per fold on its train rows, score its test rows (weighted on both sides).
@@ -132,29 +185,18 @@ def fold_scores(splits: DataFrame, features: Sequence[str], label: str, make_mod
     ``splits`` is a (fold, role) table with features; every fit is a
     distributed one.
     """
-    from pyspark.ml.functions import vector_to_array
     ready = settle(assembled(splits, features, label, weight, [fold, "role"]))  # every fit reads it many times
-    folds = sorted(row[0] for row in ready.select(fold).distinct().collect())
-    pieces = None
-    for number in folds:
-        part = ready.filter(F.col(fold) == number)
-        model = make_model().fit(part.filter("role = 'train'"))
-        test = part.filter("role = 'test'")
-        test = on_test(test) if on_test else test
-        scored = model.transform(test).select(
-            F.lit(number).alias(fold), F.col("label").cast("int").alias("actual"),
-            F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("prob"), "weight")
-        pieces = scored if pieces is None else pieces.unionByName(scored)
-    return binary_scores(pieces, "actual", "predicted", "prob", "weight", [fold])
+    return binary_scores(_test_predictions(ready, make_model, fold, [], on_test), "actual", "predicted", "prob", "weight", [fold])
 
 
 def grid_search(splits: DataFrame, features: Sequence[str], label: str, make_model: Callable, grid: Sequence[dict],
                 weight: str | None = None, fold: str = "fold", metric: str = "log_loss") -> DataFrame:
-    """Mean fold score of every parameter setting, best first."""
+    """Mean fold score of every parameter setting, best first; all settings read one stored table."""
     from functools import reduce
-    pieces, splits = [], settle(splits)
+    ready, pieces = settle(assembled(splits, features, label, weight, [fold, "role"])), []
     for i, params in enumerate(grid):
-        scores = fold_scores(splits, features, label, lambda p=params: make_model(**p), weight, fold)
+        made = _test_predictions(ready, lambda p=params: make_model(**p), fold, [])
+        scores = binary_scores(made, "actual", "predicted", "prob", "weight", [fold])
         pieces.append(scores.agg(F.avg(metric).alias("score")).select(
             F.lit(i).alias("setting"), F.lit(str(sorted(params.items()))).alias("params"), "score"))
     return reduce(DataFrame.unionByName, pieces).orderBy("score" if metric == "log_loss" else F.desc("score"))

@@ -362,13 +362,16 @@ def two_stage_side_then_size(spark, folder):
 _FEATURES = ["I_mom_1", "I_mom_3", "R_log_t1", "N_vol_15"]
 
 
-def _model_splits(spark, folder):
-    series = _ticks(spark, folder)
-    rows = X.feature_matrix(series, "price", vols=(15,)).dropna().select(
+def _model_rows(spark, folder):
+    rows = X.feature_matrix(_ticks(spark, folder), "price", vols=(15,)).dropna().select(
         "symbol", "ts", "id", F.col("mom_1").alias("I_mom_1"), F.col("mom_3").alias("I_mom_3"), F.col("log_t1").alias("R_log_t1"),
         F.col("vol_15").alias("N_vol_15"), (F.col("price") > 40).cast("int").alias("target"), (F.col("qty") + 1).alias("w"),
-        (F.col("ts") + HOUR).alias("t1"))
-    return SP.purged_kfold(lay_out(rows, [], ["ts", "id"]), "ts", "t1", 3, embargo=0.01)
+        (F.col("ts") + HOUR).alias("t1"), (F.col("price") / 40 - 1).alias("ret"))
+    return lay_out(rows, [], ["ts", "id"])
+
+
+def _model_splits(spark, folder):
+    return SP.purged_kfold(_model_rows(spark, folder), "ts", "t1", 3, embargo=0.01)
 
 
 def _logistic(regParam=0.01, **_):
@@ -383,10 +386,27 @@ def purged_cv_scores(spark, folder):
 
 @query("purged_grid_search")
 def purged_grid_search(spark, folder):
-    grid = [{"regParam": v} for v in EV.log_uniform(1e-3, 1.0, 2, seed=3)]
+    grid = [{"regParam": v} for v in EV.log_uniform(1e-3, 1.0, 6, seed=3)]
     return EV.grid_search(_model_splits(spark, folder), _FEATURES, "target", _logistic, grid)
 
 
+@query("out_of_fold_predictions")
+def out_of_fold_predictions(spark, folder):
+    return EV.out_of_fold(_model_splits(spark, folder), _FEATURES, "target", _logistic, ["ts", "id"], weight="w")
+
+
+@query("two_stage_learned_side")
+def two_stage_learned_side(spark, folder):
+    return EV.two_stage(_model_splits(spark, folder), _FEATURES, "target", "ret", _logistic, ["ts", "id"])
+
+
+@query("signals_per_path")
+def signals_per_path(spark, folder):
+    paths = spark.createDataFrame(SP.test_paths(4, 2), "combo int, fold int, path int")
+    splits = SP.combinatorial_kfold(_model_rows(spark, folder), "ts", "t1", 4, 2, embargo=0.01)
+    return EV.signals_by_path(splits, paths, _FEATURES, "target", _logistic, ["ts", "id"])
+
+
 @query("impurity_importance")
 def impurity_importance(spark, folder):
     from pyspark.ml.classification import RandomForestClassifier
