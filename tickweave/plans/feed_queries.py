@@ -430,6 +430,29 @@ def stream_cusum_events(spark, folder):
     return _drained(spark, stateful.cusum(_stream(spark, folder).drop("at", "qty"), "symbol", "ts", "id", "price", 150.0))
 
 
+def _out_of_order(spark, folder, build):
+    """The events in five files with times of the whole table in each, one file a trigger, folded as the watermark passes."""
+    path = _scratch(spark, "shuffled")
+    sinks.parquet(table(spark, folder, "events").repartition(5, "event_id"), path)
+    raw = ingest.files(spark, path, spark.read.parquet(path).schema, per_trigger=1)
+    src = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), micros("ts").alias("ts"),
+                     F.col("event_id").alias("id"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("qty"))
+    ingest.drain_windows(src, "at", build, path + "-out", path + "-state", path + "-beat")
+    return spark.read.parquet(path + "-out").drop("batch")
+
+
+@query("stream_volume_bars_out_of_order", _bars_sql("qty", 500))
+def stream_volume_bars_out_of_order(spark, folder):
+    made = _out_of_order(spark, folder, lambda live: stateful.amount_bars(
+        live.withColumn("amt", F.col("qty")), "symbol", "ts", "id", "price", "qty", "amt", 500.0, at="at", late="1000 days", bucket_us=24 * HOUR))
+    return made.withColumn("amount", r("amount", 4))
+
+
+@query("stream_cusum_events_out_of_order", _cusum_sql("mv", 1, "", True, extra=_DIFF, h="150.0"))
+def stream_cusum_events_out_of_order(spark, folder):
+    return _out_of_order(spark, folder, lambda live: stateful.cusum(live, "symbol", "ts", "id", "price", 150.0, at="at", late="1000 days", bucket_us=24 * HOUR))
+
+
 @query("stream_order_book", f"""WITH {_BEST_SQL}, q AS (SELECT symbol, seq, best_bid, best_ask, row_number() OVER w AS k,
   lag(best_bid) OVER w AS pb, lag(best_ask) OVER w AS pa FROM bb WINDOW w AS (PARTITION BY symbol ORDER BY seq))
 SELECT symbol, seq AS last_id, best_bid, best_ask FROM q WHERE k = 1 OR best_bid IS DISTINCT FROM pb OR best_ask IS DISTINCT FROM pa""")

@@ -1,12 +1,17 @@
 """Keyed streaming operators. Each key's state is a few values or one map of price levels.
 
-A micro-batch of one key is sorted before it is folded; its size is set by
-the source's rate limit.
+Without a lateness a micro-batch of one key is sorted before it is folded; its
+size is set by the source's rate limit, and the feed must be in order from
+batch to batch. With one, rows wait in the state, in buckets of event time,
+until the watermark has passed their bucket; a timer then folds the bucket in
+order. Rows may so come in any order within the lateness, and a bucket, not a
+batch, is what is held in memory.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -46,8 +51,61 @@ class _Fold(StatefulProcessor):
         pass
 
 
-def amount_bars(df: DataFrame, key: str, ts: str, tie: str, price: str, qty: str, amount: str, threshold: float) -> DataFrame:
-    """Bars closed when the accumulated ``amount`` reaches the threshold; the open bar lives in the state."""
+class _OrderedFold(StatefulProcessor):
+    """``_Fold`` over rows put in event-time order: buckets of rows in the state, folded by timers of the watermark."""
+
+    def __init__(self, step: Callable, start: Sequence[float], order: Sequence[str], columns: Sequence[str], bucket_us: int):
+        self.step, self.start, self.order, self.columns, self.bucket_us = step, list(start), list(order), list(columns), bucket_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("fold", "s array<double>")
+        self.held = handle.getMapState("held", "bucket long", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:                                  # one Arrow batch after the other
+            pdf = pdf[self.columns].dropna(subset=[self.order[0]])
+            for bucket, part in pdf.groupby(pdf[self.order[0]].astype("int64") // self.bucket_us):
+                bucket, new = int(bucket), [part[c].tolist() for c in self.columns]
+                if self.held.containsKey((bucket,)):
+                    new = [a + b for a, b in zip(pickle.loads(bytes(self.held.getValue((bucket,))[0])), new)]
+                else:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_us // 1000)
+                self.held.updateValue((bucket,), (pickle.dumps(new),))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for bucket in sorted(k[0] for k in self.held.keys()):
+            if (bucket + 1) * self.bucket_us // 1000 > now:
+                break
+            pdf = pd.DataFrame(dict(zip(self.columns, pickle.loads(bytes(self.held.getValue((bucket,))[0]))))).sort_values(self.order, kind="stable")
+            out, state = self.step(key, list(self.state.get()[0]) if self.state.exists() else list(self.start), pdf)
+            self.state.update((state,))
+            self.held.removeKey((bucket,))
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _folded(df: DataFrame, key: str, step: Callable, start: Sequence[float], order: Sequence[str], columns: Sequence[str], schema: str,
+            at: str | None, late: str | None, bucket_us: int) -> DataFrame:
+    if late is None:
+        return df.groupBy(key).transformWithStateInPandas(_Fold(step, start, order), outputStructType=schema, outputMode="Append", timeMode="None")
+    # the beat that ends a source lies beyond the times that pandas knows; it moves the watermark and is no row
+    kept = df.withWatermark(at, late).filter(F.col(at) < F.lit("2262-01-01").cast("timestamp")).select(at, key, *dict.fromkeys([*order, *columns]))
+    return kept.groupBy(key).transformWithStateInPandas(
+        _OrderedFold(step, start, order, list(dict.fromkeys([*order, *columns])), bucket_us),
+        outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def amount_bars(df: DataFrame, key: str, ts: str, tie: str, price: str, qty: str, amount: str, threshold: float,
+                at: str | None = None, late: str | None = None, bucket_us: int = 60_000_000) -> DataFrame:
+    """Bars closed when the accumulated ``amount`` reaches the threshold; the open bar lives in the state.
+
+    With ``late`` (and the timestamp column ``at`` of ``ts``) rows may come that much out of order.
+    """
     rocksdb(df.sparkSession)
     columns = [key, "bar", "open", "high", "low", "close", "volume", "amount", "bar_ts"]
 
@@ -64,14 +122,14 @@ def amount_bars(df: DataFrame, key: str, ts: str, tie: str, price: str, qty: str
         return pd.DataFrame(made, columns=columns), [acc, o, h, low, vol, bar]
 
     nan = float("nan")
-    return df.groupBy(key).transformWithStateInPandas(
-        _Fold(step, [0.0, nan, nan, nan, 0.0, 0.0], [ts, tie]),
-        outputStructType=f"{key} string, bar long, open double, high double, low double, close double, volume double, amount double, bar_ts long",
-        outputMode="Append", timeMode="None")
+    return _folded(df, key, step, [0.0, nan, nan, nan, 0.0, 0.0], [ts, tie], [price, qty, amount],
+                   f"{key} string, bar long, open double, high double, low double, close double, volume double, amount double, bar_ts long",
+                   at, late, bucket_us)
 
 
-def cusum(df: DataFrame, key: str, ts: str, tie: str, price: str, threshold: float) -> DataFrame:
-    """Cumulative-sum events of raw moves, falling side first."""
+def cusum(df: DataFrame, key: str, ts: str, tie: str, price: str, threshold: float, at: str | None = None, late: str | None = None,
+          bucket_us: int = 60_000_000) -> DataFrame:
+    """Cumulative-sum events of raw moves, falling side first; ``late`` as in ``amount_bars``."""
     rocksdb(df.sparkSession)
 
     def step(name, state, pdf):
@@ -89,9 +147,7 @@ def cusum(df: DataFrame, key: str, ts: str, tie: str, price: str, threshold: flo
             last = p
         return pd.DataFrame(made, columns=[key, ts, tie, "side"]), [up, down, last]
 
-    return df.groupBy(key).transformWithStateInPandas(
-        _Fold(step, [0.0, 0.0, float("nan")], [ts, tie]),
-        outputStructType=f"{key} string, {ts} long, {tie} long, side int", outputMode="Append", timeMode="None")
+    return _folded(df, key, step, [0.0, 0.0, float("nan")], [ts, tie], [price], f"{key} string, {ts} long, {tie} long, side int", at, late, bucket_us)
 
 
 class _Book(StatefulProcessor):
