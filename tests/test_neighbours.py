@@ -43,6 +43,7 @@ def test_all_nearest_equal_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(NB, "BLOCK_ROWS", 8)
         monkeypatch.setattr(NB, "PIVOTS", 9)
+        monkeypatch.setattr(NB, "PIVOT_ROWS", 20)
         monkeypatch.setattr(NB, "QUERY_ROWS", 16)
     rows = table()
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)

@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from tickweave.series import lay_out
 from tickweave.session import stored
 
-PIVOTS = 128
+PIVOTS = 128               # at most, and one for PIVOT_ROWS distinct vectors
+PIVOT_ROWS = 512
 BLOCK_ROWS = 2048
 MOST_BLOCKS = 200_000      # rings known to every task; larger inputs get larger blocks
 QUERY_ROWS = 1024          # queries that meet a block in one task
@@ -80,7 +81,8 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         return spark.createDataFrame([], out_schema)
     width, total = shape
     base, asked = base.filter(F.size("v") == width), plain(queries).filter(F.size("v") == width)
-    pivots = np.array([r["v"] for r in base.orderBy(F.xxhash64("v")).limit(PIVOTS).select("v").collect()])      # at most PIVOTS
+    pivots = np.array([r["v"] for r in base.orderBy(F.xxhash64("v")).limit(
+        min(PIVOTS, max(4, total // PIVOT_ROWS))).select("v").collect()])      # at most PIVOTS
 
     @F.pandas_udf("struct<pivot:int,away:double>")
     def home(batch: pd.Series) -> pd.DataFrame:
