@@ -31,6 +31,7 @@ PIVOT_ROWS = 512
 BLOCK_ROWS = 2048
 MOST_BLOCKS = 200_000      # rings known to every task; larger inputs get larger blocks
 QUERY_ROWS = 1024          # queries that meet a block in one task
+PAIRS = 1 << 16            # pairs whose differences are held at once
 
 
 def _first_keys(rows: DataFrame, k: int) -> DataFrame:
@@ -54,11 +55,29 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([((b - x) ** 2).sum(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)))
 
 
-def _best(distance: np.ndarray, members: list, k: int) -> list:
+def _within(asked: np.ndarray, bounds: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of ``asked`` and ``have`` no further apart than the bound, and their distances.
+
+    A matrix product finds the pairs that may be, within its rounding; those few are measured by differences.
+    """
+    sizes, found = (have**2).sum(axis=1), []
+    step = max(1, PAIRS // len(have))
+    for first in range(0, len(asked), step):
+        some, bound = asked[first:first + step], bounds[first:first + step]
+        own = (some**2).sum(axis=1)[:, None]
+        rough = own + sizes - 2 * some @ have.T
+        row, at = np.nonzero(~(rough > bound[:, None] ** 2 * (1 + 1e-9) + 1e-9 * (own + sizes)))
+        distance = np.sqrt(((have[at] - some[row]) ** 2).sum(axis=1))
+        near = distance <= bound[row]
+        found.append((row[near] + first, at[near], distance[near]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best(at: np.ndarray, distance: np.ndarray, members: list, k: int) -> list:
     """The k + 1 first (distance, key, mark) among the members of a few vectors."""
-    order = np.argsort(distance, kind="stable")[:k + 1]
-    limit = distance[order[-1]]
-    found = [(float(distance[i]), *m) for i in np.flatnonzero(distance <= limit) for m in members[i]]
+    order = np.argsort(distance, kind="stable")
+    limit = distance[order[min(k, len(order) - 1)]]
+    found = [(float(d), *m) for i, d in zip(at.tolist(), distance.tolist()) if d <= limit for m in members[i]]
     return sorted(found, key=lambda f: f[:2])[:k + 1]
 
 
@@ -117,7 +136,8 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                         if (pivot, i) != (own, at):
                             found.append((row, pivot, int(block[i])))
             row, pivot, block = (np.array(x, int) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-            yield pd.DataFrame({"pivot": pivot.astype(np.int32), "block": block, "q": pdf["v"].to_numpy()[row]})
+            bound = pdf["bound"].to_numpy()[row] if "bound" in pdf else np.full(len(row), np.inf)
+            yield pd.DataFrame({"pivot": pivot.astype(np.int32), "block": block, "q": pdf["v"].to_numpy()[row], "bound": bound})
 
     def searched(plan: DataFrame) -> DataFrame:
         """The best of each visited block for each query vector; a block is copied to each group of its queries."""
@@ -130,17 +150,20 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                 return pd.DataFrame(columns=["q", "found"])
             have = np.stack(held["v"].to_list()).astype(float)
             members = [[(m["key"], m["mark"]) for m in ms] for ms in held["members"]]
-            found = []
-            for q in ask["q"]:
-                best = _best(np.sqrt(_squared(np.asarray(q, float)[None], have)[0]), members, k)
-                found.append([{"distance": d, "key": a, "mark": b} for d, a, b in best])
-            return pd.DataFrame({"q": ask["q"].to_numpy(), "found": found})
+            row, at, distance = _within(np.stack(ask["q"].to_list()).astype(float), ask["bound"].to_numpy(), have)
+            asking, found = [], []
+            cuts = np.searchsorted(row, np.arange(len(ask) + 1))
+            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):      # a block without a vector in reach adds nothing
+                if lo < hi:
+                    asking.append(ask["q"].iloc[i])
+                    found.append([{"distance": d, "key": a, "mark": b} for d, a, b in _best(at[lo:hi], distance[lo:hi], members, k)])
+            return pd.DataFrame({"q": pd.Series(asking, dtype=object), "found": pd.Series(found, dtype=object)})
 
         schema = T.StructType([T.StructField("q", T.ArrayType(T.DoubleType())), T.StructField("found", T.ArrayType(near))])
-        return dealt.select("pivot", "block", "group", "q").groupBy("pivot", "block", "group").cogroup(
+        return dealt.select("pivot", "block", "group", "q", "bound").groupBy("pivot", "block", "group").cogroup(
             copies.select("pivot", "block", "group", "v", "members").groupBy("pivot", "block", "group")).applyInPandas(search, schema)
 
-    visit_schema = "pivot int, block long, q array<double>"
+    visit_schema = "pivot int, block long, q array<double>, bound double"
     first = stored(searched(stored(vectors.mapInPandas(visits, visit_schema))))
     bound = F.when(F.size("found") > k, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
     more = stored(first.select(F.col("q").alias("v"), bound.alias("bound")).mapInPandas(visits, visit_schema))
