@@ -163,8 +163,8 @@ def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: st
                 lower: str = "lower", upper: str = "upper") -> DataFrame:
     """First time the sided path return leaves (-lower, +upper) inside [p0, p1], and the price there.
 
-    ``p1`` null means "to the end of the series"; a null width switches its
-    barrier off. Each barrier is looked for in the event's home chunk. Where it
+    ``p1`` null means "to the end of the series"; a null width, like an entry
+    of zero, switches its barrier off. Each barrier is looked for in the event's home chunk. Where it
     is not met, a tree of the chunks' lowest and highest prices, ``FAN``
     children to a node and one table a level, leads to the only later chunk
     that can hold the touch: up from the home chunk until a later sibling
@@ -181,6 +181,7 @@ def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: st
                           F.coalesce(F.col(side).cast("double"), F.lit(float("nan"))).alias("_side"),
                           F.inline(F.array(F.struct(F.lit(False).alias("_up"), F.col(lower).cast("double").alias("_width")),
                                            F.struct(F.lit(True).alias("_up"), F.col(upper).cast("double").alias("_width")))))
+    plain = plain.withColumn("_width", F.when(F.col("_entry") != 0, F.col("_width")))       # no return on nothing
     last = F.least(F.coalesce(F.floor(F.col("_p1") / size), F.col("_end")), F.col("_end")).cast("long")
     wanted = series.attach(plain, ends, "left").withColumns({"_chunk": F.floor(F.col("_p0") / size).cast("long"), "_last": last}).drop("_end")
     home = stored(_searched(wanted, bars, [*keys, *ids], keys))
@@ -196,7 +197,7 @@ def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: st
 
     def crossing(kid: Column) -> Column:
         best = F.when((F.col("_side") >= 0) == F.col("_up"), kid["hi"]).otherwise(kid["lo"])
-        move = (best / F.col("_entry") - 1) * F.col("_side")
+        move = (ratio(best, F.col("_entry")) - 1) * F.col("_side")
         return F.when(F.col("_up"), move > F.col("_width")).otherwise(move < -F.col("_width"))
 
     def first_kid(rows: DataFrame, level: int, parent: Column, after: Column) -> DataFrame:
