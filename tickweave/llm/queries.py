@@ -105,7 +105,28 @@ def subword_bag_toxicity(spark, folder):
     return scores.withColumnRenamed("id", "doc_id").select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
-@query("op13_parenthesis_prefix_trie")
+_TRIE_SQL = """WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+h AS (SELECT conv_id, CASE WHEN conv_id % 100 = 0 THEN 0 ELSE h % 6 END AS h FROM crc),
+spliced AS (SELECT h.conv_id, pos, role, text FROM h JOIN own ON own.conv_id = h.conv_id - h.conv_id % 100 AND pos < h
+  UNION ALL SELECT h.conv_id, pos, role, text FROM h JOIN own ON own.conv_id = h.conv_id AND pos >= h),
+turns AS (SELECT conv_id, length(text) AS n, md5(role || chr(1) || text) AS m, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM spliced),
+paths AS (SELECT conv_id, depth, n, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY depth) AS k FROM turns UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, left(k, length(k) - 32) AS up FROM paths GROUP BY k, depth),
+kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.up = nodes.k),
+below AS (SELECT a.k, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.n) AS BIGINT) AS saved_tokens
+  FROM full_nodes a JOIN full_nodes b ON starts_with(b.k, a.k) GROUP BY a.k),
+ends AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(k, depth) AS k FROM paths GROUP BY conv_id) GROUP BY k)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes a JOIN below USING (k) LEFT JOIN ends USING (k) LEFT JOIN full_nodes p ON a.depth > 0 AND p.k = a.up"""
+
+
+@query("op13_parenthesis_prefix_trie", _TRIE_SQL)
 def parenthesis_prefix_trie(spark, folder):
     """All nodes of the trie of conversations that share the first turns of every hundredth."""
     paths = prefix_trie.sequences(table(spark, folder, "conversations"))
