@@ -16,7 +16,7 @@ def test_equal_to_the_sorted_values(spark, monkeypatch, bins, small):
     monkeypatch.setattr(Q, "SMALL", small)
     rng = np.random.default_rng(3)
     data = {"normal": rng.normal(0, 1, 900), "ties": np.r_[np.full(500, 7.0), rng.integers(0, 4, 300)], "one": [3.5], "two": [1.0, 4.0],
-            "tail": np.exp(rng.normal(0, 6, 400)), "wide": [-1.7e308, 0.0, 1.7e308, 5.0, 5.0], "same": [2.0] * 50}
+            "tail": np.exp(rng.normal(0, 6, 400)), "wide": [-1.7e308, 0.0, 1.7e308, 5.0, 5.0], "same": [2.0] * 50, "tiny": [0.0] * 9 + [5e-324] * 9}
     rows = [(k, float(v)) for k, x in data.items() for v in x] + [("normal", None), ("ties", float("nan")), ("none", None)]
     frame = spark.createDataFrame(rows, "symbol string, v double").repartition(3)
     got = {r.symbol: r.quantiles for r in Q.exact_quantiles(frame, ["symbol"], F.col("v"), SHARES).collect()}

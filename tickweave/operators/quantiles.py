@@ -27,8 +27,10 @@ def _narrowed(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame
     inside = rows.join(F.broadcast(ranges), keys) if keys else rows.crossJoin(F.broadcast(ranges))  # one row a range
     inside = inside.filter(F.col("v").between(F.col("lo"), F.col("hi")))
     # halves keep the width finite for ranges that span the number line
-    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    found = inside.groupBy(*keys, "lo", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+    share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+    # ends too close for a width are told apart by being the upper one
+    number = F.when(share.isNotNull(), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise((F.col("v") == F.col("hi")).cast("long"))
+    found = inside.groupBy(*keys, "lo", number.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
     before = Window.partitionBy(*keys, "lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)   # at most BINS rows
     bins = found.withColumn("under", F.coalesce(F.sum("n").over(before), F.lit(0)))
