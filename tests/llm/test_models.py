@@ -39,7 +39,57 @@ def test_filter_never_reads_a_pair_too_low(spark, documents):
     right = scoring.levels(counts)
     assert (read >= right).all() and (read == right).mean() > 0.95
     absent = np.random.default_rng(1).integers(1, 2**63, 20_000).astype(np.uint64)
-    assert (scoring.pair_levels(model, absent) > 0).mean() < 0.06
+    assert (scoring.pair_levels(model, absent) > 0).mean() < 0.01
+
+
+def _taught(spark, documents):
+    """The model of the rows that teach, its exact pair counts and word counts."""
+    train = [r for r in documents if not fold(r.doc_id, 7)]
+    model = scoring.learn(spark.createDataFrame([(r.doc_id, r.text) for r in train], "doc_id long, text string"))
+    lists = [(r.text or "").encode().lower().split() for r in train]
+    words, pairs = Counter(w for ws in lists for w in ws), Counter(p for ws in lists for p in zip(ws, ws[1:]))
+    return model, words, pairs
+
+
+def test_probabilities_after_a_word_sum_to_at_most_one_on_average(spark, documents):
+    model, words, _ = _taught(spark, documents)
+    hashes = scoring.WordHashes()
+    vocabulary = np.append(hashes.of(list(words)), np.uint64(scoring.END))
+    c = scoring.word_counts(model, vocabulary)
+    sums = []
+    for v, n in [*words.most_common(30), *words.most_common()[-30:]]:
+        run = np.repeat(hashes.of([v]), 2 * len(vocabulary))
+        run[1::2] = vocabulary
+        read = scoring.least_count(scoring.pair_levels(model, scoring.pair_hashes(run, np.array([0]))[1::2]))
+        read = np.minimum(read, np.minimum(c, n))
+        word_p = (c + 1) / (model.total + model.distinct + 1)
+        total = ((read + scoring.PRIOR * word_p).sum() + scoring.PRIOR / (model.total + model.distinct + 1)) / (
+            n + scoring.PRIOR + model.rate * (model.distinct + 2 * n))
+        assert 0.5 < total <= 1 + 2 / (n + scoring.PRIOR), v       # no context meets more than two false answers
+        sums.append(total)
+    assert np.mean(sums) <= 1
+
+
+def test_scores_follow_those_of_exact_counts(spark, folder, documents):
+    """No pair is read above its count but by a false answer, none below half of it."""
+    got = {r.doc_id: r for r in queries.bloom_filter_scores(spark, folder).collect()}
+    model, words, pairs = _taught(spark, documents)
+    taught = [r for r in documents if not fold(r.doc_id, 7)]
+    ends = Counter(((r.text or "").encode().lower().split() or [None])[-1] for r in taught)
+    starts = Counter(((r.text or "").encode().lower().split() or [None])[0] for r in taught)
+    exact = read = tokens = 0
+    for r in documents:
+        if not fold(r.doc_id, 7):
+            continue
+        ws = (r.text or "").encode().lower().split()
+        before = [(len(taught), None), *[(words[w], w) for w in ws]]
+        for i, (n, v) in enumerate(before):
+            last, first = i == len(ws), i == 0
+            count = len(taught) if last else words[ws[i]]
+            pair = (ends[v] if last else starts[ws[i]] if first else pairs[(v, ws[i])]) if ws else ends[None]
+            exact += math.log10((pair + 50 * (count + 1) / (model.total + model.distinct + 1)) / (n + 50))
+        read, tokens = read + got[r.doc_id].score, tokens + len(ws) + 1
+    assert exact - 0.15 * tokens < read < exact + 0.002 * tokens
 
 
 def test_scores_of_odd_documents(spark, odd_docs, no_docs):

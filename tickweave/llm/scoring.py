@@ -4,18 +4,25 @@ Counting runs over every training text: tasks count words and word pairs of
 blocks of documents and deal them out by hash; each part sums its words
 exactly and puts its pairs into a Bloom filter. A pair of count c enters at
 levels 1 to 1 + floor(log2 c); a count is read back by probing level after
-level until one is missing, so a false answer can only be too high, and only
-with the filter's small error rate for each further level.
+level until one is missing, and stands for the least count of its level.
+Read counts of one context thus never add up to more than the context has,
+but for false answers of the filter.
+
+Each context meets every word of the vocabulary, so what counts is the number
+of its false answers, rate times vocabulary. The filter takes as many probes
+as keep that below a hundredth of the prior, and the denominator holds the mass
+that false answers are expected to take. Probability of word w after v,
+smoothed by a Dirichlet prior on the add-one word model:
+``(c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR + false(v))``, where c(v) and p(w)
+come from exact word counts, c(v, w) from the filter, never above c(v) or c(w)
+(so 0 for a word never seen), and ``false(v) = rate * (V + 2 * c(v))``. Over
+the vocabulary and the unseen word these sum to at most 1 in expectation. A
+text is its words, then one end; a start stands before them.
 
 The parts' tables are packed into segments of bounded size, which are
 broadcast; a worker holds one segment at a time. The model is as large as the
 corpus has distinct pairs, and has to fit on a worker's disk.
 
-Probability of word w after v, smoothed by a Dirichlet prior on the add-one
-word model: ``(c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR)``, where c(v) and p(w)
-come from exact word counts and c(v, w) from the filter. A text is its words,
-then one end; a start stands before them.
-
 Null texts count as empty: one end token. Without training rows every count
 is 0. Repeated rows count as often as they occur; ties play no part; an empty
 table gives an empty result.
@@ -23,6 +30,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,11 +39,14 @@ from pyspark.sql import functions as F
 
 from tickweave.llm.common import WordHashes, batches, lowered_words, mix, parts_for, stored
 
-BLOCK_WORDS = 2_000_000        # words that a task counts or scores at a time
-PART_WORDS = 2_000_000         # corpus words for each part of the tables
+COUNT_WORDS = 1_000_000        # words that a task counts at a time
+SCORE_WORDS = 400_000          # and scores at a time, beside a segment of the model
+PART_WORDS = 500_000           # corpus words for each part of the tables
 SEGMENT_BYTES = 64 * 2**20     # broadcast at a time
-BITS_PER_ENTRY, PROBES = 8, 4
 PRIOR = 50.0
+FALSE_SHARE = 0.01             # false answers of a context, as a share of the prior
+LEAST_PROBES, MOST_PROBES = 4, 48
+PAIR_BITS = 48                 # of a pair's hash, within its part
 START, END = 0x5374617274, 0x456E64      # hashes that stand for the marks; words never hash to so small a number in practice
 
 
@@ -54,10 +66,10 @@ def pair_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
 
-def _blocks(frames, columns):
+def _blocks(frames, columns, words):
     hashes = WordHashes()
     rows = ((*row[:-1], tokens_of(row[-1], hashes)) for frame in frames for row in zip(*[frame[c] for c in columns], strict=True))
-    yield from batches(rows, lambda r: len(r[-1]), BLOCK_WORDS)
+    yield from batches(rows, lambda r: len(r[-1]), words)
 
 
 def _joined(block) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +79,22 @@ def _joined(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each value (ascending values give ascending parts) and its 32-bit place inside the part."""
+    """Part of each value (ascending values give ascending parts) and its place of PAIR_BITS inside the part."""
     step = np.uint64(2**64 // parts + 1)
     part = values // step
-    shift = np.uint64(max(0, int(step).bit_length() - 32))
-    return part.astype(np.int64), ((values - part * step) >> shift).astype(np.uint32)
+    shift = np.uint64(max(0, int(step).bit_length() - PAIR_BITS))
+    return part.astype(np.int64), (values - part * step) >> shift
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number, all first bytes first: ascending places and small counts compress well so."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(body: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(body) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
 _COUNTS = "kind string, part int, hashes binary, counts binary"
@@ -79,29 +102,33 @@ _COUNTS = "kind string, part int, hashes binary, counts binary"
 
 def _count(parts: int):
     def run(frames):
-        for block in _blocks(frames, ["text"]):
+        for block in _blocks(frames, ["text"], COUNT_WORDS):
             tokens, starts = _joined(block)
             rows = []
             for kind, values in (("word", tokens), ("pair", pair_hashes(tokens, starts))):
                 values, counts = np.unique(values, return_counts=True)
-                part, small = _dealt(values, parts)
+                part, places = _dealt(values, parts)
                 ends = np.searchsorted(part, np.arange(parts + 1))
                 for p in range(parts):
                     i, j = ends[p], ends[p + 1]
                     if j > i:
-                        # pairs are known by 32 bits inside their part, which errs more rarely than the filter does
-                        held = values[i:j] if kind == "word" else small[i:j]
-                        rows.append((kind, p, held.tobytes(), counts[i:j].astype(np.uint32).tobytes()))
+                        held = planes(values[i:j], 8) if kind == "word" else planes(places[i:j], PAIR_BITS // 8)
+                        rows.append((kind, p, held, planes(counts[i:j], 4)))
             yield pd.DataFrame(rows, columns=["kind", "part", "hashes", "counts"])
     return run
 
 
-def _bit_places(part_salt: np.ndarray, fingerprint: np.ndarray, level: int, size: np.ndarray):
-    """PROBES bit places below ``size`` for each fingerprint at a level."""
-    h = mix(fingerprint.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + part_salt + np.uint64(level << 8))
+def _bit_places(values: np.ndarray, level: int, size, probe: int) -> np.ndarray:
+    """Bit place below ``size`` of each pair at a level, for one probe."""
+    h = mix(values * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level << 8))
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    for probe in range(PROBES):
-        yield (low + np.uint64(probe) * high) % size
+    return ((low + np.uint64(probe) * high) % size).astype(np.int64)
+
+
+def probes_for(distinct: int, prior: float) -> int:
+    """Probes that keep a context's expected false answers, rate times vocabulary, below FALSE_SHARE of the prior."""
+    wanted = math.ceil(math.log2(max(2.0, (distinct + 1) / max(FALSE_SHARE * prior, 1e-6))))
+    return min(MOST_PROBES, max(LEAST_PROBES, wanted))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -109,41 +136,56 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def level_count(level: np.ndarray) -> np.ndarray:
-    """Middle of the counts that share a level; 0 at level 0."""
-    return np.where(level > 0, (2.0 ** (level - 1) + 2.0 ** level - 1) / 2, 0.0)
+def least_count(level: np.ndarray) -> np.ndarray:
+    """Smallest of the counts that share a level; 0 at level 0."""
+    return np.where(level > 0, 2.0 ** (level - 1), 0.0)
 
 
 def _finish(frame: pd.DataFrame) -> pd.DataFrame:
+    """A part's distinct hashes, with exact counts of words and levels of pairs."""
     kind, part = frame["kind"].iloc[0], int(frame["part"].iloc[0])
-    width = np.uint64 if kind == "word" else np.uint32
-    hashes = np.concatenate([np.frombuffer(x, width) for x in frame["hashes"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
+    hashes = np.concatenate([from_planes(x, 8 if kind == "word" else PAIR_BITS // 8) for x in frame["hashes"]])
+    counts = np.concatenate([from_planes(x, 4) for x in frame["counts"]]).astype(np.int64)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     hashes, counts = hashes[first], np.add.reduceat(counts, first)
     if kind == "word":
-        body, extra, size = hashes.tobytes(), counts.tobytes(), len(hashes)
+        body, extra = hashes.tobytes(), counts.tobytes()
     else:
-        level = levels(counts)
-        size = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
-        bits = np.zeros(size, bool)
-        salt = np.full(1, part, np.uint64)
-        for q in range(1, int(level.max()) + 1):
-            for places in _bit_places(salt, hashes[level >= q], q, np.uint64(size)):
-                bits[places.astype(np.int64)] = True
-        body, extra = np.packbits(bits, bitorder="little").tobytes(), b""
-    return pd.DataFrame([(kind, part, len(hashes), int(counts.sum()), size, body, extra)],
-                        columns=["kind", "part", "entries", "total", "size", "body", "extra"])
+        body, extra = planes(hashes, PAIR_BITS // 8), levels(counts).astype(np.uint8).tobytes()
+    return pd.DataFrame([(kind, part, len(hashes), int(counts.sum()), body, extra)],
+                        columns=["kind", "part", "entries", "total", "body", "extra"])
+
+
+def _filters(probes: int):
+    """Bloom filter of each part's pairs, and the rate of its false answers."""
+    per_entry = probes / math.log(2)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for part, body, extra in zip(frame["part"], frame["body"], frame["extra"], strict=True):
+                places, level = from_planes(body, PAIR_BITS // 8), np.frombuffer(extra, np.uint8)
+                size = max(64, math.ceil(int(level.sum()) * per_entry / 64) * 64)
+                bits = np.zeros(size, bool)
+                for q in range(1, int(level.max()) + 1):
+                    entered = places[level >= q]
+                    for probe in range(probes):
+                        bits[_bit_places(entered, q, np.uint64(size), probe)] = True
+                rate = float(bits.mean()) ** probes + len(places) / 2.0**PAIR_BITS
+                rows.append((part, size, rate, np.packbits(bits, bitorder="little").tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "size", "rate", "body"])
+    return run
 
 
 class CorpusModel:
     """Segments of the word table and of the pair filter, as broadcasts, and the totals."""
 
-    def __init__(self, parts: int, words: list, pairs: list, total: int, distinct: int, train_docs: int):
+    def __init__(self, parts: int, words: list, pairs: list, total: int, distinct: int, train_docs: int, probes: int, rate: float):
         self.parts, self.words, self.pairs = parts, words, pairs
         self.total, self.distinct, self.train_docs = total, distinct, train_docs
+        self.probes, self.rate = probes, rate
 
 
 def _loaded(segment, release: bool):
@@ -153,38 +195,47 @@ def _loaded(segment, release: bool):
     return value
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> CorpusModel:
+def _broadcast(tables: DataFrame, columns: list[str]) -> list:
+    """(first part, last part, broadcast) of each run of parts of at most SEGMENT_BYTES; each column is one flat byte string."""
+    spark = tables.sparkSession
+    sizes = tables.select("part", sum(F.length(c) for c in columns).alias("bytes")).orderBy("part").collect()   # one number a part
+    bounds, held = [[]], 0
+    for row in sizes:
+        if held + row["bytes"] > SEGMENT_BYTES and bounds[-1]:
+            bounds.append([])
+            held = 0
+        bounds[-1].append(row["part"])
+        held += row["bytes"]
+    segments = []
+    for group in bounds:
+        if group:
+            rows = tables.where(F.col("part").between(group[0], group[-1])).select("part", *columns).collect()
+            rows.sort(key=lambda r: r["part"])
+            value = [r["part"] for r in rows], *[b"".join(r[c] for r in rows) for c in columns]
+            del rows
+            segment = spark.sparkContext.broadcast(value)
+            vars(segment).pop("_value", None)     # the driver need not keep its copy
+            segments.append((group[0], group[-1], segment))
+    return segments
+
+
+def learn(docs: DataFrame, text_col: str = "text", prior: float = PRIOR) -> CorpusModel:
     """Count all rows of ``docs`` and broadcast the tables segment by segment."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.length(text_col)), F.count("*")).first()
     parts = parts_for((size[0] or 0) // 6, PART_WORDS, least=8)
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_count(parts), _COUNTS)
     tables = stored(counted.groupBy("kind", "part").applyInPandas(
-        _finish, "kind string, part int, entries long, total long, size long, body binary, extra binary"))
+        _finish, "kind string, part int, entries long, total long, body binary, extra binary"))
     totals = {r["kind"]: r for r in tables.groupBy("kind").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).collect()}
-    out = {}
-    for kind in ("word", "pair"):
-        sizes = (tables.where(F.col("kind") == kind)
-                 .select("part", (F.length("body") + F.length("extra")).alias("bytes")).orderBy("part").collect())   # one number a part
-        bounds, held = [[]], 0
-        for row in sizes:
-            if held + row["bytes"] > SEGMENT_BYTES and bounds[-1]:
-                bounds.append([])
-                held = 0
-            bounds[-1].append(row["part"])
-            held += row["bytes"]
-        segments = []
-        for group in bounds:
-            if group:
-                rows = (tables.where((F.col("kind") == kind) & F.col("part").between(group[0], group[-1]))
-                        .select("part", "size", "body", "extra").collect())
-                rows.sort(key=lambda r: r["part"])
-                segment = spark.sparkContext.broadcast([(r["part"], r["size"], bytes(r["body"]), bytes(r["extra"])) for r in rows])
-                vars(segment).pop("_value", None)     # the driver need not keep its copy
-                segments.append((group[0], group[-1], segment))
-        out[kind] = segments
     word = totals.get("word")
-    return CorpusModel(parts, out["word"], out["pair"], word["total"] if word else 0, word["entries"] if word else 0, int(size[1]))
+    distinct = word["entries"] if word else 0
+    probes = probes_for(distinct, prior)
+    filters = stored(tables.where("kind = 'pair'").mapInPandas(_filters(probes), "part int, size long, rate double, body binary"))
+    shape = {r["part"]: r for r in filters.select("part", "size", "rate").collect()}     # two numbers a part
+    pairs = [(first, last, segment, np.array([shape[p]["size"] if p in shape else 0 for p in range(first, last + 1)], np.uint64))
+             for first, last, segment in _broadcast(filters, ["body"])]
+    return CorpusModel(parts, _broadcast(tables.where("kind = 'word'"), ["body", "extra"]), pairs, word["total"] if word else 0,
+                       distinct, int(size[1]), probes, max((r["rate"] for r in shape.values()), default=0.0))
 
 
 def word_counts(model: CorpusModel, tokens: np.ndarray) -> np.ndarray:
@@ -192,11 +243,9 @@ def word_counts(model: CorpusModel, tokens: np.ndarray) -> np.ndarray:
     values, inverse = np.unique(tokens, return_inverse=True)
     out = np.zeros(len(values), np.int64)
     for first, last, segment in model.words:
-        part, _ = _dealt(values, model.parts)
-        lo, hi = np.searchsorted(part, [first, last + 1])
-        rows = _loaded(segment, len(model.words) + len(model.pairs) > 4)
-        hashes = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        counts = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+        lo, hi = np.searchsorted(_dealt(values, model.parts)[0], [first, last + 1])
+        _, body, extra = _loaded(segment, len(model.words) + len(model.pairs) > 4)
+        hashes, counts = np.frombuffer(body, np.uint64), np.frombuffer(extra, np.int64)
         at = np.searchsorted(hashes, values[lo:hi])
         at[at == len(hashes)] = 0
         out[lo:hi] = np.where(hashes[at] == values[lo:hi], counts[at], 0)
@@ -207,25 +256,18 @@ def pair_levels(model: CorpusModel, pairs: np.ndarray) -> np.ndarray:
     """Level of every pair's count, read by probing one level after the other."""
     values, inverse = np.unique(pairs, return_inverse=True)
     out = np.zeros(len(values), np.int64)
-    part, small = _dealt(values, model.parts)
-    for first, last, segment in model.pairs:
+    part, held = _dealt(values, model.parts)
+    for first, last, segment, size in model.pairs:
         lo, hi = np.searchsorted(part, [first, last + 1])
-        rows = _loaded(segment, len(model.words) + len(model.pairs) > 4)
-        bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        size, start = np.zeros(model.parts, np.uint64), np.zeros(model.parts, np.uint64)
-        held = 0
-        for r in rows:
-            size[r[0]], start[r[0]] = r[1], held
-            held += r[1]
-        live = lo + np.flatnonzero(size[part[lo:hi]] > 0)
+        _, body = _loaded(segment, len(model.words) + len(model.pairs) > 4)
+        bits, start = np.frombuffer(body, np.uint8), np.cumsum(size).astype(np.int64) - size.astype(np.int64)
+        live = lo + np.flatnonzero(size[part[lo:hi] - first] > 0)
         level = 1
         while len(live):
-            p = part[live]
-            found = np.ones(len(live), bool)
-            for places in _bit_places(p.astype(np.uint64), small[live], level, size[p]):
-                places = (places + start[p]).astype(np.int64)
-                found &= (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
-            live = live[found]
+            for probe in range(model.probes):
+                p = part[live] - first
+                places = _bit_places(held[live], level, size[p], probe) + start[p]
+                live = live[(bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1]
             out[live] = level
             level += 1
     return out[inverse]
@@ -235,15 +277,15 @@ def _score(model: CorpusModel, prior: float):
     denominator = model.total + model.distinct + 1
 
     def run(frames):
-        for block in _blocks(frames, ["id", "held_out", "text"]):
+        for block in _blocks(frames, ["id", "held_out", "text"], SCORE_WORDS):
             tokens, starts = _joined(block)
             c = word_counts(model, tokens)
             word_p = (c + 1) / denominator
             before = np.empty_like(c)
             before[1:] = c[:-1]
             before[starts] = model.train_docs
-            pair = np.minimum(level_count(pair_levels(model, pair_hashes(tokens, starts))), before)
-            p = (pair + prior * word_p) / (before + prior)
+            pair = np.minimum(least_count(pair_levels(model, pair_hashes(tokens, starts))), np.minimum(before, c))
+            p = (pair + prior * word_p) / (before + prior + model.rate * (model.distinct + 2 * before))
             lengths = np.diff(np.append(starts, len(tokens)))
             out = pd.DataFrame({"id": [r[0] for r in block], "held_out": [r[1] for r in block], "n_tokens": lengths,
                                 "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": model.total,
@@ -255,7 +297,7 @@ def _score(model: CorpusModel, prior: float):
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows not held out are learned from."""
-    model = learn(docs.where(~held_out), text_col)
+    model = learn(docs.where(~held_out), text_col, prior)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInPandas(_score(model, prior), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                                   "base_score double, score double")
