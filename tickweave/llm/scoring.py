@@ -10,7 +10,7 @@ but for false answers of the filter.
 
 Each context meets every word of the vocabulary, so what counts is the number
 of its false answers, rate times vocabulary. The filter takes as many probes
-as keep that below a hundredth of the prior, and the denominator holds the mass
+as keep that below a thousandth of the prior, and the denominator holds the mass
 that false answers are expected to take. Probability of word w after v,
 smoothed by a Dirichlet prior on the add-one word model:
 ``(c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR + false(v))``, where c(v) and p(w)
@@ -44,7 +44,7 @@ SCORE_WORDS = 400_000          # and scores at a time, beside a segment of the m
 PART_WORDS = 500_000           # corpus words for each part of the tables
 SEGMENT_BYTES = 64 * 2**20     # broadcast at a time
 PRIOR = 50.0
-FALSE_SHARE = 0.01             # false answers of a context, as a share of the prior
+FALSE_SHARE = 0.001            # false answers of a context, as a share of the prior
 LEAST_PROBES, MOST_PROBES = 4, 48
 PAIR_BITS = 48                 # of a pair's hash, within its part
 START, END = 0x5374617274, 0x456E64      # hashes that stand for the marks; words never hash to so small a number in practice
