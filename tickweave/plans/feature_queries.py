@@ -6,6 +6,7 @@ from tickweave.functions.arrays import sum_of
 from tickweave.operators import bars as B
 from tickweave.operators import features as X
 from tickweave.operators import matching as M
+from tickweave.operators import warping as D
 from tickweave.operators import windows as W
 from tickweave.plans.registry import TICK_KEYS, TICK_ORDER, TICKS_SQL, query, r, table, ticks
 from tickweave.series import lay_out
@@ -303,6 +304,34 @@ def nearest_pattern_by_warping(spark, folder):
     return X.nearest_by_warping(_windows(spark, folder, 12), "window", ["symbol", "id"], shapes)
 
 
+def _panels(spark, folder, width=12):
+    """Runs of ``width`` ticks, labelled by whether the next run's mean price is higher: the first two thirds of a key teach."""
+    series = _ticks(spark, folder).with_length()
+    runs = D.panel(series.df, TICK_KEYS, "_pos", "price", width, "id")
+    mean = F.aggregate("series", F.lit(0.0), lambda a, x: a + x) / width
+    after = runs.select(*TICK_KEYS, (F.col("part") - 1).alias("part"), mean.alias("next_mean"))
+    lengths = series.df.select(*TICK_KEYS, "_n").distinct()
+    rows = (runs.join(after, [*TICK_KEYS, "part"]).join(F.broadcast(lengths), TICK_KEYS)
+            .withColumn("label", F.when(F.col("next_mean") > mean, "up").otherwise("down"))
+            .withColumn("teaches", (F.col("part") + 2) * width <= F.col("_n") * 2 / 3))
+    rows = D.stored(rows)
+    return rows.filter("teaches"), rows.filter(~F.col("teaches"))
+
+
+@query("nearest_labelled_by_warping")
+def nearest_labelled_by_warping(spark, folder):
+    train, test = _panels(spark, folder)
+    return D.nearest_labelled(test, train, "id", "series", "label", k=3, band=3)
+
+
+@query("warping_classifier_score")
+def warping_classifier_score(spark, folder):
+    train, test = _panels(spark, folder)
+    predicted = D.voted(D.nearest_labelled(test, train, "id", "series", "label", k=1), "id")
+    return test.join(predicted, "id").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
+
+
 @query("book_metrics", """
 WITH q AS (SELECT event_id AS id, value AS bid, value + 0.5 AS ask, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS bq, user_id + 1.0::DOUBLE AS aq FROM events),
 m AS (SELECT id, (bid + ask) / 2 AS mid, ask - bid AS spread, bq / nullif(bq - aq, 0) AS i1, bq / (bq + aq) AS i2 FROM q)
