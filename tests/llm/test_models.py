@@ -65,7 +65,7 @@ def test_probabilities_after_a_word_sum_to_at_most_one_on_average(spark, documen
         word_p = (c + 1) / (model.total + model.distinct + 1)
         total = ((read + scoring.PRIOR * word_p).sum() + scoring.PRIOR / (model.total + model.distinct + 1)) / (
             n + scoring.PRIOR + model.rate * (model.distinct + 2 * n))
-        assert 0.5 < total <= 1 + 2 / (n + scoring.PRIOR), v       # no context meets more than two false answers
+        assert 0.5 < total <= 1 + 5 / (n + scoring.PRIOR), v       # half a false answer is expected, five hardly ever
         sums.append(total)
     assert np.mean(sums) <= 1
 

@@ -47,7 +47,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote, when nothing will read it again; disk is held no longer than needed."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key(text: Column | str) -> Column:

@@ -10,7 +10,7 @@ but for false answers of the filter.
 
 Each context meets every word of the vocabulary, so what counts is the number
 of its false answers, rate times vocabulary. The filter takes as many probes
-as keep that below a thousandth of the prior, and the denominator holds the mass
+as keep that below a hundredth of the prior, and the denominator holds the mass
 that false answers are expected to take. Probability of word w after v,
 smoothed by a Dirichlet prior on the add-one word model:
 ``(c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR + false(v))``, where c(v) and p(w)
@@ -37,14 +37,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import WordHashes, batches, lowered_words, mix, parts_for, stored
+from tickweave.llm.common import WordHashes, batches, discard, lowered_words, mix, parts_for, stored
 
 COUNT_WORDS = 1_000_000        # words that a task counts at a time
-SCORE_WORDS = 400_000          # and scores at a time, beside a segment of the model
+SCORE_WORDS = 1_200_000        # and scores at a time, beside a segment of the model
 PART_WORDS = 500_000           # corpus words for each part of the tables
-SEGMENT_BYTES = 64 * 2**20     # broadcast at a time
+SEGMENT_BYTES = 16 * 2**20     # broadcast at a time
 PRIOR = 50.0
-FALSE_SHARE = 0.001            # false answers of a context, as a share of the prior
+FALSE_SHARE = 0.01             # false answers of a context, as a share of the prior
 LEAST_PROBES, MOST_PROBES = 4, 48
 PAIR_BITS = 48                 # of a pair's hash, within its part
 START, END = 0x5374617274, 0x456E64      # hashes that stand for the marks; words never hash to so small a number in practice
@@ -234,7 +234,10 @@ def learn(docs: DataFrame, text_col: str = "text", prior: float = PRIOR) -> Corp
     shape = {r["part"]: r for r in filters.select("part", "size", "rate").collect()}     # two numbers a part
     pairs = [(first, last, segment, np.array([shape[p]["size"] if p in shape else 0 for p in range(first, last + 1)], np.uint64))
              for first, last, segment in _broadcast(filters, ["body"])]
-    return CorpusModel(parts, _broadcast(tables.where("kind = 'word'"), ["body", "extra"]), pairs, word["total"] if word else 0,
+    words = _broadcast(tables.where("kind = 'word'"), ["body", "extra"])
+    discard(tables)
+    discard(filters)
+    return CorpusModel(parts, words, pairs, word["total"] if word else 0,
                        distinct, int(size[1]), probes, max((r["rate"] for r in shape.values()), default=0.0))
 
 
