@@ -42,7 +42,7 @@ from tickweave.llm.common import WordHashes, batches, discard, lowered_words, mi
 COUNT_WORDS = 1_000_000        # words that a task counts at a time
 SCORE_WORDS = 1_200_000        # and scores at a time, beside a segment of the model
 PART_WORDS = 500_000           # corpus words for each part of the tables
-SEGMENT_BYTES = 16 * 2**20     # broadcast at a time
+SEGMENT_BYTES = 4 * 2**20      # broadcast at a time
 PRIOR = 50.0
 FALSE_SHARE = 0.01             # false answers of a context, as a share of the prior
 LEAST_PROBES, MOST_PROBES = 4, 48
