@@ -183,3 +183,22 @@ def test_stages_on_odd_and_no_documents(spark, folder, odd_docs, no_docs, stage)
     assert got.columns[:len(plain.columns)] == plain.columns and got.count() <= plain.count()
     assert run(spark, no_docs.drop("shard"), folder).count() == 0
     assert F is not None
+
+
+def test_columns_named_like_internal_ones_stay_as_they_are(spark, odd_docs):
+    """Stages keep every column of the user; only ``shard`` is replaced by the sharding stage."""
+    from tickweave.llm import similarity
+    names = ["_own_a", "_own_b", "_own_id", "_kept_id", "_key_a", "_cell_source", "_keep_p", "topic", "drawn_id", "_split_a", "_placed_a",
+             "_piece", "_large_shard", "own_a", "a", "b", "part"]
+    docs = odd_docs.select("*", *[F.concat(F.lit(n), F.col("n").cast("string")).alias(n) for n in names])
+    before = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    benchmark = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(40)))], "item_id long, text string")
+    stages = [similarity.keep_one_per_class(docs), decontamination.clean_documents(docs, benchmark), mixing.sampled_mixture(docs),
+              corpus_pipeline.into_shards(spark, docs, "")]
+    for i, out in enumerate(stages):
+        rows = out.collect()
+        assert rows and {(r["doc_id"], r["text"]) for r in rows} <= before
+        assert sorted(out.columns) == sorted(docs.columns)
+        assert all(r[n] == f"{n}{r['n']}" for r in rows for n in names)
+        if i == 3:
+            assert len(rows) == docs.count() and {r["shard"] for r in rows} <= set(range(24)) and len({r["shard"] for r in rows}) > 1

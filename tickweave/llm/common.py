@@ -129,6 +129,21 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(total or 0) // each))
 
 
+def set_apart(docs: DataFrame, **own: Column) -> tuple[DataFrame, Callable]:
+    """``docs`` as one column of whole rows beside the columns ``own``, so that no column of the user can clash with them.
+
+    The second value gives the rows back, with columns named after it in place of any that the user has by that name.
+    """
+    whole = f"row_{uuid.uuid4().hex}"
+    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), *[c.alias(name) for name, c in own.items()])
+
+    def back(rows: DataFrame, *more: str) -> DataFrame:
+        taken = {name.lower() for name in more}
+        return rows.select(*[F.col(whole)[c].alias(c) for c in docs.columns if c.lower() not in taken], *more)
+
+    return apart, back
+
+
 BROADCAST_ROWS = 400_000     # key rows of a few dozen bytes that may be broadcast; more are joined by a shuffle
 
 
@@ -143,7 +158,8 @@ def joined_by_key(docs: DataFrame, keys: DataFrame, how: str, text_col: str) ->
     """Semi or anti join of ``docs`` with text keys (a, b): by broadcast when these are counted to be few, else by a shuffle."""
     keys, _ = small_enough(keys.select(F.col("a").alias("_key_a"), F.col("b").alias("_key_b")))
     own = text_key(text_col)
-    return docs.join(keys, (own["a"] == F.col("_key_a")) & (own["b"] == F.col("_key_b")), how)
+    apart, back = set_apart(docs, _own_a=own["a"], _own_b=own["b"])
+    return back(apart.join(keys, (F.col("_own_a") == F.col("_key_a")) & (F.col("_own_b") == F.col("_key_b")), how))
 
 
 def shared(spark: SparkSession, value) -> Callable:

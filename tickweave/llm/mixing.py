@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import stored
+from tickweave.llm.common import set_apart, stored
 
 ROUNDS = 10
 ONE_TASK_CELLS = 100_000     # so many cells are raked in one task without shuffles; more are shuffled by dimension
@@ -117,7 +117,8 @@ def sampled_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dimensions = _with_cells(docs, text_col, source_col, lang_col)
     digest = docs.select(*[c.alias(d) for d, c in dimensions.items()], token_count(F.col(text_col)).alias("n_tokens"))
     probabilities = _probabilities(digest, temperatures or TEMPERATURES, rounds)
-    return _matched(docs, probabilities, dimensions).where(draw(id_col) < F.col("_keep_p")).select(*docs.columns)
+    apart, back = set_apart(docs, drawn_id=F.col(id_col), **dimensions)
+    return back(_matched(apart, probabilities, {d: F.col(d) for d in dimensions}).where(draw("drawn_id") < F.col("_keep_p")))
 
 
 def oracle(rounds: int = ROUNDS) -> str:

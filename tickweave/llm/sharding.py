@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import parts_for, small_enough, stored, text_key
+from tickweave.llm.common import parts_for, set_apart, small_enough, stored, text_key
 from tickweave.llm.mixing import token_count
 
 FRACTION = 64                # groups above 1/64 of a shard in any dimension are placed by the driver
@@ -86,7 +86,10 @@ def shard_groups(groups: DataFrame, pieces: DataFrame, shards: int, total: np.nd
 
 
 def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, callable]:
-    """(id, a, b, size, tokens, text_crc32, shard) of all rows, and a function that adds ``shard`` to rows of ``docs``."""
+    """(id, a, b, size, tokens, text_crc32, shard) of all rows, and a function that adds ``shard`` to rows of ``docs``.
+
+    A column ``shard`` that the rows have already is replaced; other names never clash.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = text_key(text_col)
     digest = stored(docs.select(F.col(id_col).alias("id"), key["a"].alias("a"), key["b"].alias("b"),
@@ -119,7 +122,11 @@ def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
         rows = rows.join(small, F.col("_large_shard").isNull() & (a == F.col("_small_a")) & (b == F.col("_small_b")), "left")
         return rows.select(*columns, F.coalesce("_large_shard", "_small_shard").alias("shard"))
 
-    return assign(digest, F.col("a"), F.col("b"), F.col("id")), lambda rows: assign(rows, key["a"], key["b"], F.col(id_col))
+    def onto(rows: DataFrame) -> DataFrame:
+        apart, back = set_apart(rows, own_a=key["a"], own_b=key["b"], own_id=F.col(id_col))
+        return back(assign(apart, F.col("own_a"), F.col("own_b"), F.col("own_id")), "shard")
+
+    return assign(digest, F.col("a"), F.col("b"), F.col("id")), onto
 
 
 def with_slots(rows: DataFrame, shards: int) -> DataFrame:

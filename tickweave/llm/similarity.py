@@ -35,8 +35,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import (BROADCAST_ROWS, WordHashes, batches, joined_by_key, lowered_words, mix, odd_multipliers, parts_for,
-                                  small_enough, stored, text_key)
+from tickweave.llm.common import (
+    BROADCAST_ROWS,
+    WordHashes,
+    batches,
+    joined_by_key,
+    lowered_words,
+    mix,
+    odd_multipliers,
+    parts_for,
+    set_apart,
+    small_enough,
+    stored,
+    text_key,
+)
 from tickweave.llm.graph import connected_components
 from tickweave.session import settle
 
@@ -343,8 +355,9 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
               .select(F.col("k.id").alias("_kept_id"), F.col("k.a").alias("_kept_a"), F.col("k.b").alias("_kept_b"))
               .unionByName(classes.where("n_shingles = 0").select(F.col("id").alias("_kept_id"), F.col("a").alias("_kept_a"),
                                                                   F.col("b").alias("_kept_b")).distinct()))
-    keyed = docs.withColumns({"_own_a": text_key(text_col)["a"], "_own_b": text_key(text_col)["b"]})
-    match = ((F.col(id_col).eqNullSafe(F.col("_kept_id"))) & (F.col("_own_a") == F.col("_kept_a"))
+    key = text_key(text_col)
+    keyed, back = set_apart(docs, _own_id=F.col(id_col), _own_a=key["a"], _own_b=key["b"])
+    match = ((F.col("_own_id").eqNullSafe(F.col("_kept_id"))) & (F.col("_own_a") == F.col("_kept_a"))
              & (F.col("_own_b") == F.col("_kept_b")))
     chosen, _ = small_enough(chosen)
-    return keyed.join(chosen, match, "left_semi").dropDuplicates([id_col, "_own_a", "_own_b"]).select(*docs.columns)
+    return back(keyed.join(chosen, match, "left_semi").dropDuplicates(["_own_id", "_own_a", "_own_b"]))
