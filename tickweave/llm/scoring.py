@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tickweave.llm.common import WordHashes, batches, discard, lowered_words, mix, parts_for, stored
 
 COUNT_WORDS = 1_000_000        # words that a task counts at a time
-SCORE_WORDS = 1_200_000        # and scores at a time, beside a segment of the model
+SCORE_WORDS = 600_000          # and scores at a time, beside a segment of the model
 PART_WORDS = 500_000           # corpus words for each part of the tables
 SEGMENT_BYTES = 4 * 2**20      # broadcast at a time
 PRIOR = 50.0
