@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.operators import joins as J
+from tickweave.operators import weights as WT
 from tickweave.series import lay_out
 
 KEYS, ORDER = ["symbol"], ["ts", "id"]
@@ -80,3 +81,26 @@ def test_concurrency_sweep(spark, skewed):
         x = s[s["symbol"] == key]
         want = [((x["p0"] <= p) & (x["p1"] >= p)).sum() for p in g["_pos"]]
         assert g["n_active"].tolist() == want
+
+
+def test_uniqueness_from_runs_of_the_indicator(spark):
+    rng = np.random.default_rng(2)
+    first = rng.integers(0, 90, 70)
+    rows = [("x" if i % 4 else "y", i // 2 * 2, int(a), int(a + rng.integers(0, 25))) for i, a in enumerate(first)]     # ids come twice
+    spans = spark.createDataFrame(rows, "symbol string, id long, p0 long, p1 long")
+    pairs = J.indicator_pairs(spans, ["symbol"], "id")
+    want = {(r.symbol, r.id): r.uniqueness for r in WT.uniqueness_from_pairs(pairs, ["symbol"], "id").collect()}
+    for block in (1, 7, 1000):
+        runs = J.indicator_pairs(spans, ["symbol"], "id", block=block)
+        assert runs.agg(F.sum(F.col("bar_hi") - F.col("bar_lo") + 1)).first()[0] == pairs.count()
+        got = {(r.symbol, r.id): r.uniqueness for r in WT.uniqueness_from_pairs(runs, ["symbol"], "id").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_uniqueness_query_writes_no_pairs(spark, monkeypatch):
+    from tickweave.plans import label_queries as LQ
+    seen, keep = [], J.indicator_pairs
+    monkeypatch.setattr(J, "indicator_pairs", lambda *a, **k: seen.append(keep(*a, **k)) or seen[-1])
+    spans = spark.createDataFrame([("x", i, i, i + 30) for i in range(40)], "symbol string, id long, p0 long, p1 long")
+    monkeypatch.setattr(LQ, "spans", lambda *_: (None, spans))
+    assert LQ.uniqueness_from_indicator(spark, "").count() == 40 and seen[0].count() < 200     # 1,240 pairs
