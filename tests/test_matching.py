@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickweave.operators import features as X
 from tickweave.operators import matching
 from tickweave.series import lay_out
 
@@ -79,3 +80,25 @@ def test_dictionary_is_handed_on_from_run_to_run(series, rows):
     from tickweave.operators import features as X
     got = {r.symbol: r.n_phrases for r in X.dictionary_of(series, F.col("s"), rows).collect()}
     assert got == {k: X.dictionary_size(data) for k, data in sequences().items()}
+
+
+def test_windows_that_share_matches_equal_one_at_a_time():
+    rng = np.random.default_rng(1)
+    for symbols, n in ((2, 60), (5, 300), (30, 200), (1, 50)):
+        data = rng.integers(0, symbols, n)
+        data[n // 3:n // 3 + 20] = data[:20]
+        end = np.sort(rng.integers(0, n + 1, 80))
+        first = np.minimum(np.maximum(0, end - rng.integers(0, n, 80)), end)
+        got = X.window_entropies(data, first, end)
+        assert np.array_equal(got, [X.match_entropy(data[a:b])[0] for a, b in zip(first, end)], equal_nan=True)
+
+
+def test_entropy_rate_of_trailing_time(spark):
+    rows = [("x", (i // 2) * 10, None if i % 9 == 4 else i * i % 5) for i in range(80)] + [("y", 0, 1)]
+    series = lay_out(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "symbol string, ts long, s long, id long"), ["symbol"], ["ts", "id"])
+    got = {r.id: r.entropy_rate for r in X.entropy_rate(series, F.col("s"), "ts", 100).collect()}
+    assert set(got) == {i for i in range(80) if rows[i][1] >= 100}
+    for i, rate in got.items():
+        t = rows[i][1]
+        held = [s for _, u, s in rows[:80] if t - 100 <= u <= t and s is not None]
+        assert rate == X.match_entropy(held)[0]
