@@ -61,3 +61,29 @@ def test_autoregression_and_power_of_arrays(spark):
         want = np.linalg.solve(np.array([[cov[abs(a - b)] for b in range(5)] for a in range(5)]), cov[1:])
         assert np.allclose(got[i].ar, want) and np.allclose(got[i].ps, (np.abs(np.fft.fft(v)) ** 2)[:12])
     assert got[90].ar is None and got[90].ps is None and got[91].ar is None and len(got[92].ar) == 2 and got[92].ps is None and got[93].ar is None
+
+
+def test_discrete_quantile_is_a_value_and_gathers_no_key(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BINS", 8)
+    monkeypatch.setattr(Q, "SMALL", 5)
+    rng = np.random.default_rng(5)
+    data = {"many": rng.integers(0, 10**12, 400).tolist(), "ties": [3] * 200 + [9] * 200, "even": [1, 2, 3, 4], "big": [2**60, 2**60 + 1, 2**60 + 2]}
+    frame = spark.createDataFrame([(k, v) for k, x in data.items() for v in x] + [("many", None), ("none", None)], "symbol string, seq long").repartition(3)
+    for share in (0.0, 0.5):
+        got = {r.symbol: r.snap for r in Q.discrete_quantile(frame, ["symbol"], "seq", share, "snap").collect()}
+        assert got == {k: sorted(x)[max(int(np.ceil(len(x) * share)) - 1, 0)] for k, x in data.items()}
+
+
+def test_updates_after_snapshot_gathers_no_key(spark, tmp_path):
+    from tickweave.plans.feed_queries import updates_after_snapshot
+    rows = [("A" if i % 5 else "B", "F" if i % 2 else "O", 20.0 + i % 31, 1000.0 + i, i % 900, 19000 + i % 7) for i in range(900)]
+    frame = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_orderkey long, d int")
+    frame.withColumn("l_shipdate", F.date_from_unix_date("d").cast("timestamp_ntz")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = updates_after_snapshot(spark, str(tmp_path))
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    from tickweave.plans.feed_queries import book_updates
+    seqs = {}
+    for r in book_updates(spark, str(tmp_path)).collect():
+        seqs.setdefault(r.symbol, []).append(r.seq)
+    want = sum(sum(s > sorted(x)[(len(x) + 1) // 2 - 1] for s in x) for x in seqs.values())
+    assert out.count() == want

@@ -80,3 +80,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: S
     made = got.groupBy(*keys, "at").agg(low.alias("low"), high.alias("high"), F.max("part").alias("part"))
     between = F.when(F.col("part") > 0, F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part")).otherwise(F.col("low"))
     return made.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", between.alias("q")))), lambda e: e["q"]).alias(name))
+
+
+def discrete_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """``name``: for each key the smallest value that at least ``share`` of its values do not exceed. Nulls do not count."""
+    keys = list(keys)
+    rows = stored(df.select(*keys, F.col(value).alias("v")).filter("v IS NOT NULL"))
+    whole = stored(rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 0"))
+    rank = F.greatest(F.ceil(F.col("n") * F.lit(float(share))) - 1, F.lit(0)).cast("long")
+    targets = whole.select(*keys, rank.alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("under"), "n")
+    return values_at_ranks(rows, targets, keys).select(*keys, F.col("value").alias(name))

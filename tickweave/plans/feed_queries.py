@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import arrays as A
 from tickweave.functions import scalars as S
 from tickweave.operators import book as BK
+from tickweave.operators.quantiles import discrete_quantile
 from tickweave.plans.bar_queries import HOUR, OHLC_SQL, _bars_sql
 from tickweave.plans.label_queries import _DIFF, _cusum_sql
 from tickweave.plans.registry import RAW_TICKS_SQL, TICKS_SQL, query, r, table, ticks
@@ -251,7 +252,7 @@ def book_best_prices(spark, folder):
 SELECT up.symbol, side, price, qty, seq FROM up JOIN p USING (symbol) WHERE seq > snap""")
 def updates_after_snapshot(spark, folder):
     up = book_updates(spark, folder)
-    snap = up.groupBy("symbol").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)").alias("snapshot_id"))
+    snap = discrete_quantile(up, ["symbol"], "seq", 0.5, "snapshot_id")
     return BK.after_snapshot(up, snap, ["symbol"], "seq", "snapshot_id").select("symbol", "side", "price", "qty", "seq")
 
 
