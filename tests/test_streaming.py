@@ -134,3 +134,17 @@ def test_out_of_order_cusum_folds_as_the_watermark_passes(spark, later, tmp_path
     batch = E.cusum(lay_out(later, KEYS, ORDER), "price", "fixed", 6.0)
     assert rows(got, ["symbol", "id", "side"]) == rows(batch, ["symbol", "id", "side"])
     assert got.select("batch").distinct().count() > 2
+
+
+def test_order_book_is_fed_in_batches(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from tickweave.plans import feed_queries as FQ
+    rows = [("A" if i % 3 else "B", "F" if i % 2 else "O", 15.0 + i % 31, 1000.0 + i * 37 % 4000, i % 70, 19000 + i % 3) for i in range(180)]
+    frame = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_orderkey long, d int")
+    frame.withColumn("l_shipdate", F.date_from_unix_date("d").cast("timestamp_ntz")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = sorted(FQ.stream_order_book(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(FQ, "FEED_ROWS", 60)
+    sizes, files = [], FQ.ingest.files
+    monkeypatch.setattr(FQ.ingest, "files", lambda s, path, *a, **k: sizes.append([f.count() for f in [s.read.parquet(path)]]) or files(s, path, *a, **k))
+    parts = sorted(FQ.stream_order_book(spark, str(tmp_path)).collect())
+    assert parts == whole and len(whole) > 20 and sizes[0][0] > 60

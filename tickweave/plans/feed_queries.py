@@ -18,6 +18,8 @@ from tickweave.session import checkpoint_folder, micros
 from tickweave.sources import feeds, scans, sinks
 from tickweave.streaming import ingest, stateful
 
+FEED_ROWS = 1 << 19     # messages of a micro-batch of the order book
+
 
 def _scratch(spark, name):
     """A fresh path in the shared checkpoint folder."""
@@ -454,6 +456,21 @@ def stream_cusum_events_out_of_order(spark, folder):
     return _out_of_order(spark, folder, lambda live: stateful.cusum(live, "symbol", "ts", "id", "price", 150.0, at="at", late="1000 days", bucket_us=24 * HOUR))
 
 
+def _fed_in_order(spark, msgs, order, path):
+    """Messages as a stream that brings at most ``FEED_ROWS`` a micro-batch, in ``order`` from batch to batch.
+
+    The folder gets one file a batch, the earlier first, and the source takes them one by one.
+    """
+    by = [f"_by{i}" for i in range(len(order))]
+    laid = lay_out(msgs.withColumns(dict(zip(by, [F.col(o) if isinstance(o, str) else o for o in order]))), [], by)
+    spread = _scratch(spark, "depth-runs")
+    sinks.parquet(laid.df.select(*msgs.columns, F.floor(F.col("_pos") / FEED_ROWS).alias("_feed")), spread, by=["_feed"])
+    for feed in range(max(1, -(-laid.total // FEED_ROWS))):
+        run = spark.read.schema(msgs.schema).parquet(f"{spread}/_feed={feed}") if laid.total else msgs
+        sinks.append(run.coalesce(1), path)
+    return ingest.files(spark, path, msgs.schema, per_trigger=1)
+
+
 @query("stream_order_book", f"""WITH {_BEST_SQL}, q AS (SELECT symbol, seq, best_bid, best_ask, row_number() OVER w AS k,
   lag(best_bid) OVER w AS pb, lag(best_ask) OVER w AS pa FROM bb WINDOW w AS (PARTITION BY symbol ORDER BY seq))
 SELECT symbol, seq AS last_id, best_bid, best_ask FROM q WHERE k = 1 OR best_bid IS DISTINCT FROM pb OR best_ask IS DISTINCT FROM pa""")
@@ -471,7 +488,6 @@ def stream_order_book(spark, folder):
     snaps = up.select("symbol").distinct().select("symbol", F.lit(True).alias("is_snapshot"), zero.alias("first_id"), zero.alias("last_id"),
                                                    zero.alias("previous_id"), empty.alias("bids"), empty.alias("asks"))
     path = _scratch(spark, "depth")
-    sinks.parquet(msgs.unionByName(snaps), path)
-    live = ingest.files(spark, path, spark.read.parquet(path).schema)
+    live = _fed_in_order(spark, msgs.unionByName(snaps), [F.col("last_id").isNull(), "last_id", ~F.col("is_snapshot")], path)
     out = _drained(spark, stateful.rebuild_book(live))
     return out.filter("kind = 'book'").select("symbol", "last_id", "best_bid", "best_ask")
