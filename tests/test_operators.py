@@ -306,3 +306,22 @@ def test_synthetic_rows_lie_between_minority_neighbours(spark):
         a, b = pts[row.id], pts[row.neighbour]
         g = (np.array(row.v) - a) / (b - a)
         assert row.neighbour % 6 == 0 and np.allclose(g, g[0]) and 0 <= g[0] <= 1
+
+
+def test_best_resting_level_of_every_chunk(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        a = int(rng.integers(0, 38))
+        rows.append(("x" if i % 3 else "y", "bid" if i % 2 else "ask", float(i), float(i % 7 + 1), a, int(rng.integers(a, 39))))
+    spans = spark.createDataFrame(rows, "symbol string, side string, price double, _q double, _from long, _to long")
+    chunks = spark.createDataFrame([(k, c) for k in "xy" for c in range(39)], "symbol string, _chunk long")
+    got = BK._best_resting(spans, chunks, KEYS, "side", "price", "qty", 38).collect()
+    want = set()
+    for k in "xy":
+        for c in range(39):
+            for side, pick in (("bid", max), ("ask", min)):
+                held = [(r[2], r[3]) for r in rows if r[:2] == (k, side) and r[4] <= c <= r[5]]
+                if held:
+                    want.add((k, c, side, *pick(held)))
+    assert len(got) == len(want) and {(r.symbol, r._chunk, r.side, r.price, r.qty) for r in got} == want

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.arrays import flat_from_pairs
 from tickweave.series import Series, lay_out
 
+BOOK_ROWS = 1 << 16     # updates that one task replays
 
 def book_metrics(df: DataFrame, imbalance_mode: str = "standard", bids: str = "bids", asks: str = "asks") -> DataFrame:
     """Mid, spread, queue imbalance and microprice from sorted level arrays.
@@ -78,13 +79,35 @@ def book_at(updates: DataFrame, keys: Sequence[str], side: str, price: str, qty:
     return signed.withColumn("level", F.row_number().over(w)).filter(F.col("level") <= depth).drop("_rank_by")
 
 
+def _best_resting(resting: DataFrame, chunks: DataFrame, keys: Sequence[str], side: str, price: str, qty: str, last: int) -> DataFrame:
+    """The best level of each side among those that rest through a chunk: from ``_from`` to ``_to``, both included.
+
+    Each span is cut into at most two blocks a size, of 1, 2, 4 and more chunks; a chunk lies in one block of each size.
+    """
+    sizes, cuts = range(max(last, 1).bit_length() + 1), []
+    for k in sizes:
+        low, high = F.ceil(F.col("_from") / (1 << k)), F.floor((F.col("_to") + 1) / (1 << k))      # blocks of this size inside the span
+        up, down = F.ceil(low / 2) * 2, F.floor(high / 2) * 2                                      # what blocks twice as large cover
+        for at, on in ((low, (low < high) & (low < up)), (high - 1, (low < high) & (down < high) & (high - 1 >= up))):
+            cuts.append(F.when(on, F.struct(F.lit(k).alias("_size"), at.cast("long").alias("_block"))))
+    pieces = resting.select(*keys, side, price, "_q", F.inline(F.array_compact(F.array(*cuts))))
+    best = lambda df, value, *by: df.groupBy(*by).agg(F.max_by(F.struct(price, value), F.when(F.col(side) == "ask", -F.col(price)).otherwise(F.col(price))).alias("_b"))
+    blocks = best(pieces, "_q", *keys, side, "_size", "_block").select(*keys, side, "_size", "_block", "_b.*")
+    inside = chunks.select(*keys, "_chunk", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_size"), F.floor(F.col("_chunk") / (1 << k)).cast("long").alias("_block")) for k in sizes])))
+    met = inside.join(blocks, [*keys, "_size", "_block"])
+    return best(met, "_q", *keys, "_chunk", side).select(*keys, "_chunk", side, f"_b.{price}", F.col("_b._q").alias(qty))
+
+
 def top_of_book(updates: DataFrame, keys: Sequence[str], side: str, price: str, qty: str, seq: str,
                 chunk_rows: int | None = None) -> DataFrame:
     """Best bid and ask after every update id.
 
-    Each chunk of the update sequence starts from the levels alive at its
-    border and replays its own updates; the alive levels per border are a
-    (level count x chunk count) table, not the update history.
+    Each chunk of the update sequence, at most ``BOOK_ROWS`` long, replays its
+    own updates. It starts from the levels that it touches, as they stand at
+    its border; of the levels that rest through it untouched only the best of
+    each side can show, which a dyadic cover of their chunks finds. So no table
+    holds more than a few rows for each update, however many levels rest.
     """
     import heapq
 
@@ -92,7 +115,7 @@ def top_of_book(updates: DataFrame, keys: Sequence[str], side: str, price: str,
 
     keys = list(keys)
     series = lay_out(updates.select(*keys, side, price, qty, seq), keys, [seq, side, price], chunk_rows)
-    size = series.chunk_rows
+    size = chunk_rows or min(series.chunk_rows, BOOK_ROWS)
     chunk = F.floor(F.col("_pos") / size).cast("long")
     rows = series.df.withColumn("_chunk", chunk)
     touched = rows.groupBy(*keys, side, price, "_chunk").agg(F.max_by(qty, "_pos").alias("_q"))
@@ -100,10 +123,11 @@ def top_of_book(updates: DataFrame, keys: Sequence[str], side: str, price: str,
     spans = touched.withColumn("_next", F.lead("_chunk").over(w)).filter("_q > 0")
     ends = rows.groupBy(*keys).agg(F.max("_chunk").alias("_end"))
     spans = series.attach(spans, ends)
-    until = F.coalesce(F.col("_next"), F.col("_end"))
-    alive = (spans.filter(until > F.col("_chunk"))
-             .withColumn("_into", F.explode(F.sequence(F.col("_chunk") + 1, until)))
-             .select(*keys, F.col("_into").alias("_chunk"), side, price, F.col("_q").alias(qty)))
+    entering = spans.filter("_next IS NOT NULL").select(*keys, F.col("_next").alias("_chunk"), side, price, F.col("_q").alias(qty))
+    resting = spans.select(*keys, side, price, "_q", (F.col("_chunk") + 1).alias("_from"),
+                           F.coalesce(F.col("_next") - 1, F.col("_end")).alias("_to")).filter(
+        F.col("_from") <= F.col("_to")).filter(F.col(price).isNotNull() & ~F.isnan(price))
+    alive = entering.unionByName(_best_resting(resting, rows.select(*keys, "_chunk").distinct(), keys, side, price, qty, series.total // size))
     alive = alive.toDF(*alive.columns)  # fresh column identities: both sides of the cogroup share a source
     fields = "".join(f"`{c}` {t}, " for c, t in updates.select(*keys).dtypes)
 
