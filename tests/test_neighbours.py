@@ -73,3 +73,12 @@ def test_synthetic_rows_lie_between_true_neighbours(spark):
             assert r["neighbour"] in [n for n, *_ in near[r["id"]]]
             a, b, p = (np.array(x) for x in (minority[r["id"]], minority[r["neighbour"]], r["v"]))
             assert abs(np.linalg.norm(p - a) + np.linalg.norm(b - p) - np.linalg.norm(b - a)) < 1e-9
+
+
+def test_visits_are_written_in_small_frames(spark, monkeypatch):
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(NB, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(NB, "VISITS", 3)
+    rows = table()
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert listed(NB.nearest(frame, frame.filter("y = 1"), "id", "v", 5, "y")) == brute_force(usable(rows), [r for r in usable(rows) if r[1] == 1], 5)

@@ -32,6 +32,7 @@ BLOCK_ROWS = 2048
 MOST_BLOCKS = 200_000      # rings known to every task; larger inputs get larger blocks
 QUERY_ROWS = 1024          # queries that meet a block in one task
 PAIRS = 1 << 16            # pairs whose differences are held at once
+VISITS = 1 << 13           # visits that are written at once, each with its query's vector
 
 
 def _first_keys(rows: DataFrame, k: int) -> DataFrame:
@@ -123,8 +124,17 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
             if not len(pdf):
                 continue
             away = np.sqrt(_squared(np.stack(pdf["v"].to_list()).astype(float), pivots))
+
+            def written(found: list) -> pd.DataFrame:
+                row, pivot, block = (np.array(x, int) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+                bound = pdf["bound"].to_numpy()[row] if "bound" in pdf else np.full(len(row), np.inf)
+                return pd.DataFrame({"pivot": pivot.astype(np.int32), "block": block, "q": pdf["v"].to_numpy()[row], "bound": bound})
+
             found = []
             for row, d in enumerate(away):
+                while len(found) >= VISITS:
+                    yield written(found[:VISITS])
+                    found = found[VISITS:]
                 own = min(ring_of, key=d.__getitem__)
                 at = min(int(np.searchsorted(ring_of[own][2], d[own])), len(ring_of[own][0]) - 1)
                 if "bound" not in pdf:
@@ -135,9 +145,8 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                     for i in range(np.searchsorted(high, d[pivot] - reach), np.searchsorted(low, d[pivot] + reach, side="right")):
                         if (pivot, i) != (own, at):
                             found.append((row, pivot, int(block[i])))
-            row, pivot, block = (np.array(x, int) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-            bound = pdf["bound"].to_numpy()[row] if "bound" in pdf else np.full(len(row), np.inf)
-            yield pd.DataFrame({"pivot": pivot.astype(np.int32), "block": block, "q": pdf["v"].to_numpy()[row], "bound": bound})
+            for first in range(0, max(len(found), 1), VISITS):      # one row may visit all rings
+                yield written(found[first:first + VISITS])
 
     def searched(plan: DataFrame) -> DataFrame:
         """The best of each visited block for each query vector; a block is copied to each group of its queries."""
