@@ -94,7 +94,7 @@ def test_windows_that_share_matches_equal_one_at_a_time():
 
 
 def test_entropy_rate_of_trailing_time(spark):
-    rows = [("x", (i // 2) * 10, None if i % 9 == 4 else i * i % 5) for i in range(80)] + [("y", 0, 1)]
+    rows = [("x", (i // 2) * 10, None if i % 9 == 4 else i * i % 5) for i in range(80)] + [("y", 0, 1), ("x", None, 2)]
     series = lay_out(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "symbol string, ts long, s long, id long"), ["symbol"], ["ts", "id"])
     got = {r.id: r.entropy_rate for r in X.entropy_rate(series, F.col("s"), "ts", 100).collect()}
     assert set(got) == {i for i in range(80) if rows[i][1] >= 100}
