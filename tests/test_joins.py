@@ -59,6 +59,39 @@ def test_first_touch_matches_brute_force(spark, skewed, monkeypatch, chunk, fan,
             assert hit.empty or got.at[e.id, column.replace("t_", "price_")] == hit["price"].iloc[0]
 
 
+@pytest.mark.parametrize("stride,scan", [(2, 1), (3, 0), (64, 8)])
+def test_first_hits_equal_a_plain_search(monkeypatch, stride, scan):
+    monkeypatch.setattr(J, "STRIDE", stride)
+    monkeypatch.setattr(J, "SCAN", scan)
+    monkeypatch.setattr(J, "PIECE", 37)
+    rng = np.random.default_rng(4)
+    prices = (100 + np.cumsum(rng.normal(0, 1, 700))).round(1)
+    prices[rng.random(700) < 0.1], prices[300:340] = np.nan, np.nan
+    first = rng.integers(0, 700, 400)
+    stop = np.where(rng.random(400) < 0.3, 700, np.minimum(700, first + rng.integers(-3, 300, 400)))
+    entry, side = rng.choice([-50.0, 90.0, 110.0, np.nan], 400, p=[0.1, 0.4, 0.4, 0.1]), rng.choice([-1.0, 0.0, 1.0, 2.0], 400)
+    width = rng.choice([0.0, 0.05, 0.2, 0.4, np.nan, -0.1], 400)
+    for up in (False, True):
+        got = J._first_hits(prices, first, stop, entry, side, width, up)
+        for i in range(400):
+            moves = (prices[first[i]:max(stop[i], first[i])] / entry[i] - 1) * side[i]
+            hits = np.flatnonzero(moves > width[i] if up else moves < -width[i])
+            assert got[i] == (first[i] + hits[0] if len(hits) else -1), i
+
+
+def test_first_touch_copies_no_chunk_for_its_own_events(spark, monkeypatch):
+    monkeypatch.setattr(J, "SEARCHES", 500)
+    monkeypatch.setattr(J, "HOME_ROWS", 400, raising=False)
+    asked, keep = [], J._searched
+    monkeypatch.setattr(J, "_searched", lambda wanted, *a: asked.append(wanted) or keep(wanted, *a))
+    rows = spark.range(2000).select(F.lit("x").alias("symbol"), F.col("id").alias("ts"), "id", (F.col("id") % 7 + 1.0).alias("price"))
+    series = lay_out(rows, KEYS, ORDER, 2000)
+    ev = series.df.select("symbol", "id", F.col("_pos").alias("p0"), F.lit(None).cast("long").alias("p1"), F.col("price").alias("entry"),
+                          F.lit(1).alias("side"), F.lit(0.5).alias("lower"), F.lit(0.5).alias("upper"))
+    assert J.first_touch(series, ev, ["id"], "price", "ts").count() == 2000
+    assert asked[0].groupBy("symbol", "_chunk").count().agg(F.max("count")).first()[0] <= J.SEARCHES     # one task, one copy of the chunk
+
+
 def test_purge_leaves_no_overlap(spark):
     rng = np.random.default_rng(0)
     a = np.sort(rng.integers(0, 1000, 200))

@@ -19,7 +19,11 @@ from tickweave.series import Series, lay_out
 from tickweave.session import stored
 
 FAN = 64                # children of a node in the tree of extremes
-SEARCHES = 50_000       # barriers that one task looks for in a chunk
+HOME_ROWS = 1 << 15     # of a chunk at most; with one event a row a chunk's own events are fewer than SEARCHES, so it is not copied
+SEARCHES = 50_000       # events that one task looks for in a chunk
+SCAN = 8                # rows that every event tries before blocks are asked
+STRIDE = 64             # rows of a block, blocks of a larger block
+PIECE = 1 << 13         # events that are searched at once
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str,
@@ -182,17 +186,16 @@ def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: st
     crosses, then down to the first crossing child, one join a level. A chunk
     that many events lead to is searched by several tasks.
     """
-    keys, size = list(series.keys), series.chunk_rows
+    keys, size = list(series.keys), min(series.chunk_rows, HOME_ROWS)
     bars = series.df.select(*keys, "_pos", F.col(ts).alias("_ts"), F.col(price).cast("double").alias("_price"),
                             F.floor(F.col("_pos") / size).cast("long").alias("_chunk"))
     extremes = stored(bars.groupBy(*keys, "_chunk").agg(F.min("_price").alias("lo"), F.max("_price").alias("hi")))
     ends = extremes.groupBy(*keys).agg(F.max("_chunk").alias("_end")) if keys else extremes.agg(F.max("_chunk").alias("_end"))
     longest = ends.agg(F.max("_end")).first()[0] or 0
+    width = lambda name: F.when(F.col(entry) != 0, F.col(name).cast("double"))       # noqa: E731  no return on nothing
     plain = events.select(*keys, *ids, F.col(p0).alias("_p0"), F.col(p1).alias("_p1"), F.col(entry).alias("_entry"),
                           F.coalesce(F.col(side).cast("double"), F.lit(float("nan"))).alias("_side"),
-                          F.inline(F.array(F.struct(F.lit(False).alias("_up"), F.col(lower).cast("double").alias("_width")),
-                                           F.struct(F.lit(True).alias("_up"), F.col(upper).cast("double").alias("_width")))))
-    plain = plain.withColumn("_width", F.when(F.col("_entry") != 0, F.col("_width")))       # no return on nothing
+                          width(lower).alias("_lower"), width(upper).alias("_upper"))
     last = F.least(F.coalesce(F.floor(F.col("_p1") / size), F.col("_end")), F.col("_end")).cast("long")
     wanted = series.attach(plain, ends, "left").withColumns({"_chunk": F.floor(F.col("_p0") / size).cast("long"), "_last": last}).drop("_end")
     home = stored(_searched(wanted, bars, [*keys, *ids], keys))
@@ -220,7 +223,10 @@ def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: st
         return rows.withColumn("_parent", parent).join(table, [*keys, "_parent"], "left").withColumn(
             "_hit", F.when(at > 0, base + at - 1)).drop("kids", "_parent")
 
-    open_rows = home.filter("_t IS NULL AND _width IS NOT NULL AND _last > _chunk").drop("_t", "_at_price")
+    sides = [F.struct(F.lit(up).alias("_up"), F.col(f"_{n}").alias("_width"), F.col(f"t_{n}").alias("_t"))
+             for up, n in ((False, "lower"), (True, "upper"))]
+    open_rows = (home.filter("_last > _chunk").select(*[c for c in wanted.columns if c not in ("_lower", "_upper")], F.inline(F.array(*sides)))
+                 .filter("_t IS NULL AND _width IS NOT NULL").drop("_t"))
     rows = open_rows.withColumns({"_level": F.lit(None).cast("int"), "_node": F.lit(None).cast("long")})
     for level in range(len(levels)):
         here = F.floor(F.col("_chunk") / FAN ** level)
@@ -234,12 +240,68 @@ def first_touch(series: Series, events: DataFrame, ids: Sequence[str], price: st
         rows = first_kid(rows, level, F.when(below, F.col("_node")), F.lit(-1))
         rows = rows.filter(~below | F.col("_hit").isNotNull()).withColumns({
             "_level": F.when(below, level).otherwise(F.col("_level")), "_node": F.when(below, F.col("_hit")).otherwise(F.col("_node"))}).drop("_hit")
-    later = _searched(rows.withColumn("_chunk", F.col("_node")).drop("_level", "_node"), bars, [*keys, *ids], keys)
+    found = rows.withColumns({"_chunk": F.col("_node"), "_lower": F.when(~F.col("_up"), F.col("_width")), "_upper": F.when(F.col("_up"), F.col("_width"))})
+    later = _searched(found.select(*wanted.columns), bars, [*keys, *ids], keys)
     return _by_event(home.unionByName(later), [*keys, *ids])
 
 
+def _first_hits(prices: np.ndarray, first: np.ndarray, stop: np.ndarray, entry: np.ndarray, side: np.ndarray,
+                width: np.ndarray, up: bool) -> np.ndarray:
+    """Index of the first price in [first, stop) at which each event's return leaves its barrier; -1: none.
+
+    A few prices are tried one by one; then blocks of ``STRIDE`` prices, blocks of blocks and so on are asked whether
+    their lowest or highest price crosses. A return rises or falls with the price, so one of the two crosses whenever any does.
+    """
+    levels = [(prices, prices)]
+    while len(levels[-1][0]) > STRIDE:
+        cuts = np.arange(0, len(levels[-1][0]), STRIDE)
+        levels.append((np.fmin.reduceat(levels[-1][0], cuts), np.fmax.reduceat(levels[-1][1], cuts)))
+
+    def crosses(price: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        at = rows if price.ndim == 1 else rows[:, None]
+        move = (price / entry[at] - 1) * side[at]
+        return move > width[at] if up else move < -width[at]
+
+    def first_of(level: int, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The first crossing node from ``node`` to the end of its block and not beyond the last; -1: none."""
+        low, high = levels[level]
+        last = np.minimum((node // STRIDE + 1) * STRIDE - 1, (stop[rows] - 1) // STRIDE ** level)
+        nodes = node[:, None] + np.arange(min(STRIDE, len(low)))
+        at = np.minimum(nodes, len(low) - 1)
+        hit = crosses(low[at], rows)
+        if level:
+            hit |= crosses(high[at], rows)
+        hit &= nodes <= last[:, None]
+        return np.where(hit.any(axis=1), node + hit.argmax(axis=1), -1)
+
+    found = np.full(len(first), -1)
+    with np.errstate(all="ignore"):
+        rows = np.flatnonzero(~np.isnan(width) & (first < stop))
+        at = first[rows]
+        for _ in range(SCAN):
+            hit = crosses(prices[at], rows)
+            found[rows[hit]] = at[hit]
+            go = ~hit & (at + 1 < stop[rows])
+            rows, at = rows[go], at[go] + 1
+        for begin in range(0, len(rows), PIECE):
+            some, node = rows[begin:begin + PIECE], at[begin:begin + PIECE]
+            for level in range(len(levels)):
+                if not len(some):
+                    break
+                hit = first_of(level, some, node)
+                down, below = some[hit >= 0], hit[hit >= 0]
+                for lower in range(level - 1, -1, -1):
+                    below = first_of(lower, down, below * STRIDE)       # -1 where the block crosses only past the stop
+                    down, below = down[below >= 0], below[below >= 0]
+                found[down] = below
+                node = node // STRIDE + 1
+                go = (hit < 0) & (node <= (stop[some] - 1) // STRIDE ** (level + 1))
+                some, node = some[go], node[go]
+    return found
+
+
 def _searched(wanted: DataFrame, bars: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``wanted`` with time ``_t`` and price of the first crossing inside its chunk; ``_t`` null: none."""
+    """``wanted`` with time and price of the first crossing of either barrier inside its chunk; null: none."""
     wanted = stored(wanted)
     counts = wanted.groupBy(*keys, "_chunk").agg(F.ceil(F.count(F.lit(1)) / SEARCHES).alias("_groups"))
     dealt = wanted.join(counts, [*keys, "_chunk"]).withColumn("_group", F.pmod(F.xxhash64(*names), F.col("_groups"))).drop("_groups")
@@ -248,36 +310,32 @@ def _searched(wanted: DataFrame, bars: DataFrame, names: Sequence[str], keys: Se
     def search(asked: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         path = path.sort_values("_pos", kind="stable")
         pos, prices, times = (path[c].to_numpy() for c in ("_pos", "_price", "_ts"))
-        found = np.full(len(asked), -1)
-        for row, (q0, q1, entry, side, up, width) in enumerate(zip(*[asked[c] for c in ("_p0", "_p1", "_entry", "_side", "_up", "_width")])):
-            if not len(pos) or pd.isna(width):
-                continue
-            a = max(int(q0) - int(pos[0]), 0)
-            b = len(pos) if pd.isna(q1) else min(len(pos), int(q1) - int(pos[0]) + 1)
-            step = 64
-            while a < b and found[row] < 0:
-                moves = (prices[a:min(a + step, b)] / entry - 1) * side
-                hits = np.flatnonzero(moves > width if up else moves < -width)
-                if len(hits):
-                    found[row] = a + hits[0]
-                a, step = a + step, step * 4
         out = asked.drop(columns="_group")
-        none = pd.Series(found < 0, index=out.index)
-        at = np.maximum(found, 0) if len(pos) else None
-        out["_t"] = pd.Series(times[at] if len(pos) else 0, index=out.index).astype("Int64").mask(none)
-        out["_at_price"] = pd.Series(prices[at] if len(pos) else 0.0, index=out.index).astype("Float64").mask(none)
+        number = lambda c: asked[c].to_numpy(dtype=float, na_value=np.nan)       # noqa: E731
+        if len(pos) and len(asked):
+            start, close = number("_p0") - pos[0], number("_p1") - pos[0] + 1
+            first = np.maximum(start, 0).astype(np.int64)
+            stop = np.where(np.isnan(close), len(pos), np.minimum(close, len(pos))).astype(np.int64)
+        for name, up in (("lower", False), ("upper", True)):
+            if len(pos) and len(asked):
+                found = _first_hits(prices.astype(float), first, stop, number("_entry"), number("_side"), number(f"_{name}"), up)
+            else:
+                found = np.full(len(asked), -1)
+            none = pd.Series(found < 0, index=out.index)
+            at = np.maximum(found, 0)
+            out[f"t_{name}"] = pd.Series(times[at] if len(pos) else 0, index=out.index).astype("Int64").mask(none)
+            out[f"price_{name}"] = pd.Series(prices[at] if len(pos) else 0.0, index=out.index).astype("Float64").mask(none)
         return out[columns]
 
-    schema = dealt.drop("_group").withColumns({"_t": F.lit(None).cast("long"), "_at_price": F.lit(None).cast("double")}).schema
+    schema = dealt.drop("_group").withColumns({f"{kind}_{n}": F.lit(None).cast(t) for n in ("lower", "upper")
+                                               for kind, t in (("t", "long"), ("price", "double"))}).schema
     columns = [f.name for f in schema]
     return dealt.groupBy(*keys, "_chunk", "_group").cogroup(
         copies.select(*keys, "_chunk", "_group", "_pos", "_ts", "_price").groupBy(*keys, "_chunk", "_group")).applyInPandas(search, schema)
 
 
 def _by_event(touches: DataFrame, names: Sequence[str]) -> DataFrame:
-    side = {"lower": ~F.col("_up"), "upper": F.col("_up")}
-    return touches.groupBy(*names).agg(*[F.max(F.when(on, F.col("_t"))).alias(f"t_{n}") for n, on in side.items()],
-                                       *[F.max(F.when(on, F.col("_at_price"))).alias(f"price_{n}") for n, on in side.items()])
+    return touches.groupBy(*names).agg(*[F.max(c).alias(c) for c in ("t_lower", "t_upper", "price_lower", "price_upper")])
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
