@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,30 @@ def test_kernel_features_match_brute_force(spark, series):
             assert row.features[2 * k + 1] == pytest.approx(np.mean(np.array(out) > 0))
 
 
+def test_kernel_features_are_handed_over_in_small_frames(spark, monkeypatch):
+    monkeypatch.setattr(X, "KERNEL_ROWS", 3)
+    monkeypatch.setattr(X, "FRAME_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(50, 20, 12).round(1).tolist()) for i in range(29)] + [(29, [None] * 3 + [1.0] * 9), (30, [4.0] * 12)]
+    kernels = X.random_kernels(12, 40, seed=3)
+    df = spark.createDataFrame(rows, "id long, window array<double>").coalesce(1)
+    sizes, keep = [], type(df).mapInArrow
+
+    def spied(self, func, schema):
+        frames = lambda batches: (f.append_column("size", pa.array([len(f)] * len(f), pa.int32())) for f in func(batches))      # noqa: E731
+        return keep(self, frames, f"{schema}, size int")
+    monkeypatch.setattr(type(df), "mapInArrow", spied)
+    for row in X.kernel_features(df, "window", ["id"], kernels).collect():
+        sizes.append(row["size"])
+        x = np.array(rows[row.id][1], dtype=float)
+        for k, (w, bias, dilation, pad) in enumerate(kernels):
+            padded = np.pad(x, pad)
+            out = bias + sum(w[i] * padded[i * dilation:i * dilation + len(padded) - (len(w) - 1) * dilation] for i in range(len(w)))
+            assert row.features[2 * k] == (None if np.isnan(out).any() else pytest.approx(out.max()))
+            assert row.features[2 * k + 1] == pytest.approx((out > 0).mean())
+    assert len(sizes) == 31 and max(sizes) == 8
+
+
 def test_rolling_entropy_rate_matches_brute_force(series, hot):
     span = 40_000_000
     got = X.entropy_rate(series, F.floor(F.col("price") / 5), "ts", span).filter("symbol = 'hot'").toPandas().set_index("id")["entropy_rate"]
