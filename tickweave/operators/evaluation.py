@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.scalars import ratio
 from tickweave.operators.aggregates import binary_scores
 from tickweave.series import Series, lay_out
-from tickweave.session import settle
+from tickweave.session import settle, stored
 
 
 def position_clock(min_prob: float):
@@ -144,7 +144,7 @@ def _test_predictions(ready: DataFrame, make_model: Callable, fold: str, keep: S
 def out_of_fold(splits: DataFrame, features: Sequence[str], label: str, make_model: Callable, ids: Sequence[str],
                 weight: str | None = None, fold: str = "fold") -> DataFrame:
     """Each test row's prediction by the model of its fold, which never saw it: ``ids``, fold, actual, predicted, prob."""
-    ready = settle(assembled(splits, features, label, weight, [*ids, fold, "role"]))
+    ready = stored(assembled(splits, features, label, weight, [*ids, fold, "role"]), [fold, "role"])
     return _test_predictions(ready, make_model, fold, ids).drop("weight")
 
 
@@ -156,7 +156,7 @@ def signals_by_path(splits: DataFrame, paths: DataFrame, features: Sequence[str]
     path a test fold of a combination belongs, so each path holds every row
     once: ``ids``, path, combo, fold and the signal, twice the probability less one.
     """
-    ready = settle(assembled(splits, features, label, None, [*ids, combo, fold, "role"]))
+    ready = stored(assembled(splits, features, label, None, [*ids, combo, fold, "role"]), [combo, "role"])
     made = _test_predictions(ready, make_model, combo, [*ids, fold])
     placed = made.join(F.broadcast(paths.select(combo, fold, "path")), [combo, fold])      # one row a combination and test fold
     return placed.select(*ids, "path", combo, fold, "actual", (2 * F.col("prob") - 1).alias("signal"))
@@ -185,7 +185,7 @@ def fold_scores(splits: DataFrame, features: Sequence[str], label: str, make_mod
     ``splits`` is a (fold, role) table with features; every fit is a
     distributed one.
     """
-    ready = settle(assembled(splits, features, label, weight, [fold, "role"]))  # every fit reads it many times
+    ready = stored(assembled(splits, features, label, weight, [fold, "role"]), [fold, "role"])  # every fit reads its rows many times
     return binary_scores(_test_predictions(ready, make_model, fold, [], on_test), "actual", "predicted", "prob", "weight", [fold])
 
 
@@ -193,7 +193,7 @@ def grid_search(splits: DataFrame, features: Sequence[str], label: str, make_mod
                 weight: str | None = None, fold: str = "fold", metric: str = "log_loss") -> DataFrame:
     """Mean fold score of every parameter setting, best first; all settings read one stored table."""
     from functools import reduce
-    ready, pieces = settle(assembled(splits, features, label, weight, [fold, "role"])), []
+    ready, pieces = stored(assembled(splits, features, label, weight, [fold, "role"]), [fold, "role"]), []
     for i, params in enumerate(grid):
         made = _test_predictions(ready, lambda p=params: make_model(**p), fold, [])
         scores = binary_scores(made, "actual", "predicted", "prob", "weight", [fold])
@@ -224,30 +224,35 @@ def impurity_importance(forest_model, features: Sequence[str], spark, root: bool
     return out.withColumns({"std": ratio(F.col("std"), total), "mean": ratio(F.col("mean"), total)})
 
 
+def permuted(df: DataFrame, columns: Sequence[str], ids: Sequence[str], seed: int) -> DataFrame:
+    """``df`` and ``_moved_<column>`` for each column: rows in id order get the values in a hash order."""
+    a = lay_out(df, [], ids)
+    b = lay_out(df.select(*ids, *[F.col(c).alias(f"_moved_{c}") for c in columns]).withColumn("_h", F.xxhash64(F.lit(seed), *ids)), [], ["_h", *ids])
+    return a.df.join(b.df.select("_pos", *[f"_moved_{c}" for c in columns]), "_pos").drop("_pos")
+
+
 def permute(df: DataFrame, column: str, ids: Sequence[str], seed: int) -> DataFrame:
     """Shuffle one column: rows in id order get the values in a hash order."""
-    a = lay_out(df, [], ids)
-    b = lay_out(df.select(*ids, F.col(column).alias("_moved")).withColumn("_h", F.xxhash64(F.lit(seed), *ids)), [], ["_h", *ids])
-    return a.df.drop(column).join(b.df.select("_pos", F.col("_moved").alias(column)), "_pos").drop("_pos")
+    return permuted(df, [column], ids, seed).drop(column).withColumnRenamed(f"_moved_{column}", column)
 
 
 def permutation_importance(splits: DataFrame, features: Sequence[str], label: str, make_model: Callable, ids: Sequence[str],
                            fold: str = "fold", seed: int = 0) -> DataFrame:
-    """Relative worsening of the log loss in each test fold after shuffling one feature."""
+    """Relative worsening of the log loss in each test fold after shuffling one feature, all by the same order."""
     from functools import reduce
 
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    splits = settle(splits)
+    splits = stored(splits, [fold, "role"])
     folds = sorted(row[0] for row in splits.select(fold).distinct().collect())
     pieces = []
     for number in folds:
         part = splits.filter(F.col(fold) == number)
         ready = assembled(part, features, label, None, [*ids, "role"])
         model = make_model().fit(ready.filter("role = 'train'"))
-        test = ready.filter("role = 'test'").drop("features")
+        test = stored(permuted(ready.filter("role = 'test'").drop("features"), features, ids, seed))
         for feature in [None, *features]:
-            shuffled = test if feature is None else permute(test, feature, ids, seed)
+            shuffled = test if feature is None else test.withColumn(feature, F.col(f"_moved_{feature}"))
             vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(shuffled)
             scored = model.transform(vec).select(
                 F.lit(number).alias(fold), F.lit(feature or "").alias("feature"), F.col("label").cast("int").alias("actual"),
@@ -263,8 +268,9 @@ def single_feature_importance(splits: DataFrame, features: Sequence[str], label:
                               fold: str = "fold", metric: str = "log_loss") -> DataFrame:
     """Fold score of a model that sees one feature only, for each feature."""
     from functools import reduce
-    sign, splits = (-1 if metric == "log_loss" else 1), settle(splits)
-    pieces = [fold_scores(splits, [c], label, make_model, fold=fold).agg(
+    sign, splits = (-1 if metric == "log_loss" else 1), stored(splits.select(*features, label, fold, "role"), [fold, "role"])
+    made = lambda c: _test_predictions(assembled(splits, [c], label, None, [fold, "role"]), make_model, fold, [])       # noqa: E731
+    pieces = [binary_scores(made(c), "actual", "predicted", "prob", "weight", [fold]).agg(
         (sign * F.avg(metric)).alias("mean"), (F.stddev_samp(metric) / F.sqrt(F.count(F.lit(1)))).alias("std")
     ).select(F.lit(c).alias("feature"), "mean", "std") for c in features]
     return reduce(DataFrame.unionByName, pieces)
