@@ -2,10 +2,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
-from tickweave.llm import queries
+from tickweave.llm import queries, similarity
 from tickweave.llm.graph import connected_components
-from tickweave.llm.similarity import keep_one_per_class, near_duplicate_classes, prefix_signatures
+from tickweave.llm.similarity import folded, keep_one_per_class, near_duplicate_classes, parity_sketch, prefix_signatures
 
 
 def sets_of(rows):
@@ -103,3 +105,53 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 200), (300, 301), (None, 5)], "u long, v long")
     roots = {r.node: r.root for r in connected_components(edges, "u", "v").collect()}
     assert {roots[i] for i in range(101)} == {0} and roots[200] == 200 and roots[301] == 300
+
+
+def test_signatures_of_the_same_sets_are_folded(spark):
+    """Two sets that share a hundred signatures are one candidate pair, not a hundred."""
+    rows = [(sig, sid.encode(), 9) for sig in range(100) for sid in ("x", "y")] + [(100, b"x", 9), (100, b"z", 9), (101, b"x", 9)]
+    got = folded(spark.createDataFrame(rows, "sig long, sid binary, n int")).groupBy("sig").agg(F.collect_set("sid").alias("s")).collect()
+    assert sorted(sorted(bytes(x) for x in r.s) for r in got) == [[b"x", b"y"], [b"x", b"z"]]
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(7)
+    for n in (3, 40, 400, 4000):
+        x = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+        for lost in (0, 1, n // 9, n):
+            y = np.unique(np.concatenate([x[lost:], rng.integers(1, 2**63, lost).astype(np.uint64)]))
+            bits = int(np.bitwise_count((parity_sketch(x) ^ parity_sketch(y)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(x, y)) and (bits > 0) == (lost > 0)
+
+
+def test_messages_of_repeats_do_not_grow_with_the_parts():
+    """A hash took up to 24 bytes when a message named its sets anew for each part."""
+    rng = np.random.default_rng(9)
+    sets = [(i, -i, rng.integers(1, 2**63, 200).astype(np.uint64)) for i in range(100)]
+    sent = {parts: sum(f[["owners", "hashes", "known", "own"]].map(len).to_numpy().sum() for f in similarity._repeat_messages(iter(sets), parts))
+            for parts in (8, 2000)}
+    assert sent[2000] == sent[8] <= 7 * 100 * 200
+
+
+def test_heavily_edited_copies_of_one_text_make_few_rows(spark, monkeypatch):
+    """Copies that share their base and seldom link: bounds leave few pairs, blocks of a crowded signature lose none."""
+    monkeypatch.setattr(similarity, "BLOCK_SETS", 16)
+    rng = np.random.default_rng(11)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for n in range(90):
+        words = list(base)
+        for j in rng.integers(0, 200, int(rng.integers(2, 12))):
+            words[int(j)] = f"e{int(rng.integers(0, 40))}"
+        rows.append((n, " ".join(words)))
+    kept = []
+    real = similarity._close_pairs
+    monkeypatch.setattr(similarity, "_close_pairs", lambda percent: kept.append(percent) or real(percent))
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id").collect()
+    assert kept and Counter(tuple(r) for r in got) == brute(rows)
+    sids = [bytes([i]) for i in range(60)]
+    far = [np.unique(rng.integers(1, 2**63, 300).astype(np.uint64)) for _ in sids]
+    frame = pd.DataFrame({"sig": 1, "low": 0, "high": 0, "block": 0, "sid": sids, "n": [len(x) for x in far], "root": sids,
+                          "sketch": [parity_sketch(x) for x in far]})
+    assert len(real(80)(frame)) == 0
+    frame.at[5, "sketch"] = frame.at[9, "sketch"]
+    assert real(80)(frame).values.tolist() == [[sids[5], sids[9]]]

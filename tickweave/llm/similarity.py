@@ -15,11 +15,15 @@ exact, the method only avoids looking at pairs that cannot link:
    prefix is extended until the hashes a partner must share with it can no
    longer miss every indexed single and pair: a class with n prefix hashes
    proves a common signature once n - (k - 1) of them are shared.
-3. *Verification.* Within a signature each class is first compared with one
-   leader; links merge classes into components. Only pairs whose classes are
-   still in different components matter afterwards; while they are many, other
-   leaders are tried, so a large group of near copies costs a few comparisons a
-   member. The pairs left over are all compared: nothing is capped.
+3. *Verification.* Signatures held by the same sets are folded into one.
+   Within a signature each class is first compared with one leader; links merge
+   classes into components. Only pairs whose classes are still in different
+   components matter afterwards; while a round links a good part of the sets
+   left, other leaders are tried, so a large group of near copies costs a few
+   comparisons a member. All pairs left over are held against the bounds of
+   their sizes and parity sketches inside the tasks, crowded signatures block
+   by block, and only those that may link become rows and are compared hash by
+   hash: nothing is capped.
 
 Nulls and texts without words give an empty set that links with nothing; rows
 repeated in full are equal sets and link; a null id takes part, but is never
@@ -39,6 +43,7 @@ from tickweave.llm.common import (
     BROADCAST_ROWS,
     WordHashes,
     batches,
+    discard,
     joined_by_key,
     lowered_words,
     mix,
@@ -54,8 +59,11 @@ from tickweave.session import settle
 
 PART_HASHES = 2_000_000      # hashes that one task of the repeat count holds
 BLOCK_HASHES = 500_000     # hashes that one task gathers before it deals them out
-BUCKET_HASHES = 20_000_000   # hashes of the sets whose credits one task adds up
 RARE_DF = 32                 # hashes in at most so many sets are indexed singly
+SKETCH_WORDS = 16            # 64-bit words of a set's parity sketch
+BLOCK_SETS = 2_000           # sets of one signature that are compared with each other in one piece
+PIECE_ROWS = 20_000          # signature rows that one group of the leftover comparison holds
+WORTH_A_ROUND = 10           # leaders are tried again while a round links one in so many of the sets that are left
 
 
 def shingle_hashes(words: np.ndarray, size: int, multipliers: np.ndarray) -> np.ndarray:
@@ -71,11 +79,15 @@ def shingle_hashes(words: np.ndarray, size: int, multipliers: np.ndarray) -> np.
 
 
 def _repeat_messages(sets: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pd.DataFrame]:
-    """What a task tells the parts: hashes it has seen once, with their sets; hashes it has seen more often, bare."""
+    """What a task tells the parts: hashes it has seen once, with their sets' places; hashes it has seen more often, bare.
+
+    A set is named by its place in its block (two bytes a hash), so a message
+    grows with its hashes and not with the number of parts.
+    """
+    import xxhash
     step = np.uint64(2**64 // parts + 1)
     for block in batches(sets, lambda s: len(s[2]) + 50, BLOCK_HASHES):
-        a = np.array([s[0] for s in block], np.int64)
-        b = np.array([s[1] for s in block], np.int64)
+        names = np.array([s[:2] for s in block], np.int64)
         lengths = np.array([len(s[2]) for s in block], np.int64)
         tokens = np.concatenate([s[2] for s in block])
         owner = np.repeat(np.arange(len(block)), lengths)
@@ -85,59 +97,52 @@ def _repeat_messages(sets: Iterator[tuple[int, int, np.ndarray]], parts: int) ->
         known, single, owner = values[counts > 1], tokens[~again], owner[~again]
         part, known_part = (single // step).astype(np.int32), (known // step).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        single, owner = single[order], owner[order]
+        single, owner = single[order], owner[order].astype(np.uint16)      # a block has at most BLOCK_HASHES / 50 sets
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         known_ends = np.searchsorted(known_part, np.arange(parts + 1))
+        own = np.stack([names[:, 0], names[:, 1], lengths, local]).tobytes()
+        # named by content: a task that runs again in another order makes other blocks, never other sets of the same name
+        label = int(np.array(xxhash.xxh3_64_intdigest(own), np.uint64).view(np.int64))
         rows = []
         for p in range(parts):
-            own = owner[ends[p]:ends[p + 1]]
-            named, held = np.unique(own, return_counts=True)
             base = np.uint64(p) * step
             # 32 bits of the place inside the part are enough: a false repeat only delays a set's dismissal
             shift = np.uint64(max(0, int(step).bit_length() - 32))
-            rows.append((p, np.stack([a[named], b[named]]).tobytes(), held.astype(np.uint32).tobytes(),
+            rows.append((p, label, owner[ends[p]:ends[p + 1]].tobytes(),
                          ((single[ends[p]:ends[p + 1]] - base) >> shift).astype(np.uint32).tobytes(),
-                         ((known[known_ends[p]:known_ends[p + 1]] - base) >> shift).astype(np.uint32).tobytes(),
-                         b"", b""))
-        whole = int(a.sum()) % parts     # the sets' own rows travel with some part
-        rows.append((whole, np.stack([a, b]).tobytes(), b"", b"", b"", lengths.astype(np.int64).tobytes(),
-                     local.astype(np.int64).tobytes()))
-        yield pd.DataFrame(rows, columns=["part", "keys", "held", "hashes", "known", "sizes", "local"])
-
-
-_MESSAGE = "part int, keys binary, held binary, hashes binary, known binary, sizes binary, local binary"
-
-
-def _credit(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    keys, held, hashes, known, out = [], [], [], [], []
-    for row in frame.itertuples(index=False):
-        k = np.frombuffer(row.keys, np.int64).reshape(2, -1)
-        if row.sizes:
-            out.append((k, np.frombuffer(row.sizes, np.int64), np.frombuffer(row.local, np.int64)))
-            continue
-        keys.append(k)
-        held.append(np.frombuffer(row.held, np.uint32))
-        hashes.append(np.frombuffer(row.hashes, np.uint32))
-        known.append(np.unique(np.frombuffer(row.known, np.uint32)))
-    if hashes:
-        singles = np.concatenate(hashes)
-        names = np.concatenate(keys, axis=1)
-        values, inverse, counts = np.unique(np.concatenate([singles, *known]), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(names.shape[1]), np.concatenate(held))
-        credit = np.bincount(owner[counts[inverse[:len(singles)]] > 1], minlength=names.shape[1])
-        some = credit > 0
-        out.append((names[:, some], np.zeros(int(some.sum()), np.int64), credit[some]))
-    names = np.concatenate([o[0] for o in out], axis=1)
-    numbers = np.stack([np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out])]).astype(np.int64)
-    bucket = (names[0].astype(np.int64) & 0xFFFFFFF) % buckets
-    rows = [(int(k), np.concatenate([names[:, bucket == k], numbers[:, bucket == k]]).tobytes()) for k in np.unique(bucket)]
-    return pd.DataFrame(rows, columns=["bucket", "credits"])
+                         ((known[known_ends[p]:known_ends[p + 1]] - base) >> shift).astype(np.uint32).tobytes(), b""))
+        rows.append((label % parts, label, b"", b"", b"", own))     # the sets' own rows travel with some part
+        yield pd.DataFrame(rows, columns=["part", "block", "owners", "hashes", "known", "own"])
+
+
+_MESSAGE = "part int, block long, owners binary, hashes binary, known binary, own binary"
+
+
+def _credit(frame: pd.DataFrame) -> pd.DataFrame:
+    """By block: places of sets and how many of their hashes in this part occur again; or the sets' own rows, handed on."""
+    out = [(row.block, b"", row.own) for row in frame.itertuples(index=False) if row.own]
+    told = [row for row in frame.itertuples(index=False) if not row.own]
+    if told:
+        singles = np.concatenate([np.frombuffer(row.hashes, np.uint32) for row in told])
+        known = [np.unique(np.frombuffer(row.known, np.uint32)) for row in told]
+        _, inverse, counts = np.unique(np.concatenate([singles, *known]), return_inverse=True, return_counts=True)
+        again, at = counts[inverse[:len(singles)]] > 1, 0
+        for row in told:
+            owners = np.frombuffer(row.owners, np.uint16)
+            places, credit = np.unique(owners[again[at:at + len(owners)]], return_counts=True)
+            at += len(owners)
+            if len(places):
+                out.append((row.block, places.tobytes() + credit.astype(np.uint32).tobytes(), b""))
+    return pd.DataFrame(out, columns=["block", "credits", "own"])
 
 
 def _total(frame: pd.DataFrame) -> pd.DataFrame:
-    got = np.concatenate([np.frombuffer(c, np.int64).reshape(4, -1) for c in frame["credits"]], axis=1)
-    got = pd.DataFrame({"a": got[0], "b": got[1], "n": got[2], "credit": got[3]})
-    return got.groupby(["a", "b"], as_index=False).agg({"n": "max", "credit": "sum"})
+    own = np.frombuffer(next(x for x in frame["own"] if x), np.int64).reshape(4, -1)
+    credit = own[3].copy()
+    for body in frame["credits"]:
+        k = len(body) // 6
+        credit[np.frombuffer(body, np.uint16, k)] += np.frombuffer(body, np.uint32, k, 2 * k)
+    return pd.DataFrame({"a": own[0], "b": own[1], "n": own[2], "credit": credit})
 
 
 def repeat_credit(df: DataFrame, columns: list[str], to_sets, expected: int) -> DataFrame:
@@ -153,9 +158,9 @@ def repeat_credit(df: DataFrame, columns: list[str], to_sets, expected: int) ->
         yield from _repeat_messages(to_sets(frames), parts)
 
     messages = df.select(columns).mapInPandas(deal, _MESSAGE)
-    buckets = parts_for(expected, BUCKET_HASHES, least=8)
-    credited = messages.groupBy("part").applyInPandas(lambda frame: _credit(frame, buckets), "bucket int, credits binary")
-    return credited.groupBy("bucket").applyInPandas(_total, "a long, b long, n long, credit long")
+    credited = messages.groupBy("part").applyInPandas(_credit, "block long, credits binary, own binary")
+    sets = credited.groupBy("block").applyInPandas(_total, "a long, b long, n long, credit long")
+    return sets.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("credit").alias("credit"))
 
 
 def _sets_of_texts(size: int):
@@ -228,6 +233,50 @@ def _links(percent: int):
     return verify
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * SKETCH_WORDS classes of hashes: whether the set holds an odd number of them.
+
+    Two sketches differ in no more bits than the sets differ in hashes.
+    """
+    odd = np.bincount((mix(tokens) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _close_pairs(percent: int):
+    """Pairs of different components, among the rows of each signature (and pair of blocks), that may link; each once a piece."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["sig", "low", "high", "n"], ignore_index=True)
+        group = frame.groupby(["sig", "low", "high"], sort=False).ngroup().to_numpy()
+        code, sids = pd.factorize(frame["sid"])
+        root, n, block = pd.factorize(frame["root"])[0], frame["n"].to_numpy(np.int64), frame["block"].to_numpy()
+        across = (frame["low"] != frame["high"]).to_numpy()
+        sketch = np.stack(frame["sketch"].to_numpy()).astype(np.int64).view(np.uint64)      # signed numbers would be counted without their sign
+        found, at, step = [], np.arange(len(frame)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(frame)]
+            to = at + step
+            at = at[(group[to] == group[at]) & (100 * n[at] >= percent * n[to])]     # sizes ascend: what is too large stays so
+            to = at + step
+            live = (root[at] != root[to]) & ~(across[at] & (block[at] == block[to]))
+            x, y = at[live], to[live]
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+            keep = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])      # sets that link differ in no more
+            x, y = code[x[keep]], code[y[keep]]
+            found.append(np.unique(np.minimum(x, y) * len(sids) + np.maximum(x, y)))
+        found = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        pairs = [sorted((sids[p // len(sids)], sids[p % len(sids)])) for p in found]
+        return pd.DataFrame(pairs, columns=["u", "v"])
+    return run
+
+
+def folded(signed: DataFrame) -> DataFrame:
+    """``signed`` without signatures of one set and with one signature for each distinct group of sets; all candidate pairs stay."""
+    groups = (signed.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"),
+                                        F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")).where("m > 1"))
+    return signed.join(groups.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+
+
 def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Components and verified links of distinct token sets (sid binary, n int, tokens binary).
 
@@ -256,16 +305,28 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
         for f in frames:
             sids, sizes, out = [], [], []
             for sid, n, held, df in zip(f["sid"], f["n"], f["held"], f["df"], strict=True):
-                marks = prefix_signatures(np.asarray(held, np.int64).view(np.uint64), np.asarray(df, np.int64), n, percent)
+                marks = set(prefix_signatures(np.asarray(held, np.int64).view(np.uint64), np.asarray(df, np.int64), n, percent))
                 out.extend(marks)
                 sids.extend([sid] * len(marks))
                 sizes.extend([n] * len(marks))
             yield pd.DataFrame({"sig": np.array(out, np.uint64).view(np.int64), "sid": sids, "n": sizes})
 
-    signed = stored(weighed.join(alive.select("sid", "n"), "sid").select("sid", "n", "held", "df")
-                    .mapInPandas(sign, "sig long, sid binary, n int"))
-    crowded = signed.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-    signed = stored(signed.join(crowded, "sig"))
+    every = stored(weighed.join(alive.select("sid", "n"), "sid").select("sid", "n", "held", "df")
+                   .mapInPandas(sign, "sig long, sid binary, n int"))
+    signed = stored(folded(every))
+    discard(every)
+
+    def sketch(frames):
+        for f in frames:
+            yield pd.DataFrame({"sid": f["sid"], "sketch": [parity_sketch(np.frombuffer(t, np.uint64)) for t in f["tokens"]]})
+
+    sketches = stored(alive.select("sid", "tokens").mapInPandas(sketch, "sid binary, sketch array<long>"))
+
+    def not_ruled_out(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sketches.select(F.col("sid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return (pairs.join(side("u"), "u").join(side("v"), "v").where(apart * (100 + percent) <= (100 - percent) * (F.col("nu") + F.col("nv")))
+                .select("u", "v"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: alive.select(F.col("sid").alias(c), F.col("tokens").alias(f"tokens_{c}"))
@@ -274,6 +335,7 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
 
     near = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
     links = roots = tried = None
+    last, spent = False, [alive, signed, sketches]
     for turn in range(2**31):
         # only signatures that still join different components matter
         placed = signed.withColumn("root", F.col("sid"))
@@ -281,34 +343,44 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
             known = roots.select(F.col("node").alias("sid"), "root")
             known = F.broadcast(known) if roots.count() <= BROADCAST_ROWS else known
             placed = signed.join(known, "sid", "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
-        mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+        mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m")
         placed = stored(placed.join(mixed, "sig"))
-        sizes = placed.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        rows, pairs_left = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+        spent.append(placed)
+        rows, sets = placed.agg(F.count("*"), F.countDistinct("sid")).first()
         if not rows:
             break
-        last = pairs_left <= 4 * rows or not found_any if turn else pairs_left <= rows
-        if last:
-            other = placed.select("sig", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-            pairs = (placed.select("sig", F.col("sid").alias("u"), F.col("n").alias("nu"), "root").join(other, "sig")
-                     .where("root <> rv and u < v").where(near).select("u", "v").distinct())
+        if turn and merged * WORTH_A_ROUND < sets:
+            last = True
+            # crowded signatures are compared block by block, so that none is one task's work
+            blocks = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
+            spread = (placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+                      .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                      .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+                      .join(sketches, "sid").select("sig", "low", "high", "block", "sid", "n", "root", "sketch"))
+            pieces = parts_for(rows, PIECE_ROWS, least=8)
+            pairs = (spread.groupBy(F.pmod(F.xxhash64("sig", "low", "high"), F.lit(pieces)).alias("piece"))
+                     .applyInPandas(_close_pairs(percent), "u binary, v binary").distinct())
         else:
             lead = F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), F.col("sid"), F.col("n"), F.col("root"))).alias("lead")
-            pairs = (placed.join(placed.groupBy("sig").agg(lead), "sig").where("root <> lead.root")
-                     .select(F.least("lead.sid", "sid").alias("u"), F.greatest("lead.sid", "sid").alias("v"), F.col("lead.n").alias("nu"), F.col("n").alias("nv"))
-                     .where(near).select("u", "v").distinct())
+            pairs = not_ruled_out(placed.join(placed.groupBy("sig").agg(lead), "sig").where("root <> lead.root")
+                                  .select(F.least("lead.sid", "sid").alias("u"), F.greatest("lead.sid", "sid").alias("v"),
+                                          F.col("lead.n").alias("nu"), F.col("n").alias("nv"))
+                                  .where(near).distinct())
         pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        spent.append(pairs)
         more = verified(pairs)
-        found_any = not more.isEmpty()
+        merged = more.count()
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = more if links is None else links.unionByName(more)
-        if found_any:
+        if merged:
             roots = connected_components(links, "u", "v")
         if last:
             break
     if roots is None:
-        nothing = alive.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
+        nothing = spark.createDataFrame([], "u binary, v binary")
         links, roots = nothing, nothing.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    for done in spent:
+        discard(done)
     return roots.withColumnRenamed("node", "sid"), links
 
 
@@ -337,6 +409,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 .select("id", "a", "b", "n_shingles",
                         F.when(F.col("n_shingles") > 0, F.coalesce(F.hex("root"), F.concat_ws(":", "a", "b"))).alias("label")))
     labelled = stored(labelled)
+    discard(packed)
+    discard(credit)
     named = labelled.groupBy("label").agg(F.min("id").alias("component_id")).where("label is not null")
     return (labelled.join(named, "label", "left")
             .select("id", "a", "b", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "label"))
