@@ -86,3 +86,13 @@ def test_every_window_is_in_one_context():
     data = np.frombuffer(bytes(np.random.default_rng(6).integers(97, 105, 3000).tolist()), np.uint8)
     places = [f + i for _, f, size, _ in contexts_of(data) for i in range(size - 400 + 1)]
     assert places == list(range(3000 - 400 + 1))
+
+
+def test_texts_that_nothing_is_cut_from_are_not_shuffled(spark):
+    """Above 30,000 texts with contexts all texts went through the shuffle; their keys are still few enough to filter by."""
+    rows = spark.range(40_000).select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").cast("string").alias("text"))
+    wanted = rows.where("a < 35000").select("a", "b", F.lit(1).alias("anchor"), F.lit(1).alias("context"), F.lit(0).alias("first"),
+                                            F.lit(1).alias("size"))
+    got = repeats._texts_with(rows, wanted)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 35_000
