@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,28 @@ def test_texts_that_nothing_is_cut_from_are_not_shuffled(spark):
     got = repeats._texts_with(rows, wanted)
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 35_000
+
+
+def test_a_shard_is_indexed_in_pieces_of_whole_anchors(monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = [rng.integers(97, 123, 120, np.uint8).tobytes() for _ in range(30)]
+    bodies = [(anchor, k, bytes([65 + k]) + shared[anchor] + bytes([75 + k]) * 50) for k in range(4) for anchor in range(30)]
+    frame = pd.DataFrame(bodies, columns=["anchor", "context", "body"])
+    whole = RunLengthIndex(list(frame["body"]), 100).long_matches(100)
+    sizes, make = [], repeats.RunLengthIndex
+    monkeypatch.setattr(repeats, "RunLengthIndex", lambda strings, *a: sizes.append(sum(map(len, strings))) or make(strings, *a))
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 2_000, raising=False)
+    got = repeats._index_shard(100)(frame)
+    assert max(sizes) <= 2_000 and sum(sizes) == frame["body"].map(len).sum()
+    # every body shares its passage with the others of its anchor
+    assert whole == [[(1, 121)]] * len(bodies) and len(got) == len(bodies)
+    assert all([(s["start"], s["stop"]) for s in spans] == [(1, 121)] for spans in got["spans"])
+    assert repeats.index_pieces(np.array([1, 1, 2, 3, 3]), np.array([5, 5, 3, 9, 9]), 12) == [(0, 2), (2, 3), (3, 5)]
+    assert repeats.index_pieces(np.array([], np.int64), np.array([], np.int64), 12) == []
+
+
+def test_few_rows_are_gathered_at_a_time():
+    text = "".join(np.random.default_rng(6).choice(list("abcdefghij "), 700))
+    wanted = [[{"anchor": 1, "context": 2, "first": 0, "size": 700} for _ in range(200)]]
+    frames = list(repeats._cut(["anchor", "context", "at", "window"], False, 400)(iter([pd.DataFrame({"text": [text], "wanted": wanted})])))
+    assert sum(map(len, frames)) == 200 * 301 and max(map(len, frames)) <= 31_000
