@@ -4,8 +4,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tickweave.llm import queries
-from tickweave.llm.token_files import (BLOCK, FrequencyTable, decode_blocks, encode_blocks, fresh_folder, joined_crc32, read_token_files,
+from tickweave.llm import queries, token_files
+from tickweave.llm.token_files import (BLOCK, Encoder, FrequencyTable, decode_blocks, encode_blocks, fresh_folder, joined_crc32, read_token_files,
                                        scaled_frequencies, write_token_files)
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -67,3 +67,39 @@ def test_damage_is_noticed(spark, odd_docs):
     spark.read.parquet(f"{path}/blocks").withColumn("payload", F.concat("payload", F.lit(b"x"))).write.parquet(f"{bad}/blocks")
     with pytest.raises(Exception, match="damaged"):
         read_token_files(spark, bad).collect()
+
+
+def test_words_are_coded_as_the_tokenizer_codes_texts():
+    from tokenizers import Tokenizer
+    encoder, tokenizer = Encoder(PATH, 2), Tokenizer.from_file(PATH)
+    assert encoder.plain and encoder.merged
+    words = ["Plain", "comma,", "end.", "don't", "we'LL", "x'", "a1", "12", "7b", "Été", "été,", "cafés", "ét", "ßa", "ǅa",
+             "ΑΣ", "İx", "字字", "́", "a­", "<|endoftext|>", "a<", "a<|", "\x1cb\x1c", "b\x1c", "\x7f", "a b", " ", "\U0001f600a", "ªµ", "ɉɐ"]
+    for word in words:
+        assert np.frombuffer(encoder.ids(word), "<u4").tolist() == [*tokenizer.encode(word, add_special_tokens=False).ids, 2], word
+        alone = Encoder(PATH, 2)[word.encode()] if len(word.split()) == 1 else None
+        assert alone is None or alone + encoder.end == encoder.ids(word), word
+    assert encoder.ids(" ".join(words[:19])) == b"".join(encoder.ids(word)[:-4] for word in words[:19]) + encoder.end
+    text = " ".join(words)
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_every_text_is_tokenised_once(spark, tmp_path, monkeypatch):
+    log, whole = tmp_path / "texts", token_files.Encoder
+
+    class Logged(whole):
+        def words(self, text):
+            with open(log, "a") as file:
+                file.write("x")
+            return super().words(text)
+
+    monkeypatch.setattr(token_files, "Encoder", Logged)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    write_token_files(docs, fresh_folder(spark), PATH, 2)
+    assert len(log.read_text()) == 20
+
+
+def test_ids_are_packed_by_their_size():
+    for top in (5, 1 << 16, 1 << 20):
+        tokens = np.array([1, 0, top - 1, 3], np.uint32)
+        assert (token_files.unpacked(token_files.packed(tokens), 4) == tokens).all()

@@ -1,8 +1,9 @@
 """Token-id files compressed with a static range asymmetric numeral system.
 
-A pass over all texts counts every id; the counts, scaled to 2**PRECISION, are
-the one frequency table that all blocks share. Documents are dealt into ranges
-of ascending id, one per file; a file is a sequence of blocks of BLOCK ids. A
+Documents are dealt into ranges of ascending id, one per file; a file is a
+sequence of blocks of BLOCK ids. Every text is tokenised once, and its ids are
+kept as blocks in a stored table. A pass over them counts every id; the counts,
+scaled to 2**PRECISION, are the one frequency table that all blocks share. A
 block is coded by itself with LANES interleaved states: id k belongs to lane k
 mod LANES, all lanes share one stream of 32-bit words. Every CHECKPOINT steps
 the states and the place in the stream are written down, so a block can be
@@ -25,7 +26,6 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.llm.common import parts_for, shared, stored
+from tickweave.llm.common import discard, parts_for, shared, stored
 from tickweave.session import checkpoint_folder
 
 PRECISION = 20                 # the table's frequencies add up to 2**20
@@ -41,29 +41,21 @@ LOW = np.uint64(1 << 31)       # states stay at or above this
 LANES, STEPS, CHECKPOINT = 16, 1024, 256
 BLOCK = LANES * STEPS
 TOGETHER = 96                  # blocks that a task codes side by side
-FILE_CHARS = 24_000_000        # characters of text for each file
-HELD_WORDS, HELD_LENGTH = 400_000, 64
+FILE_CHARS = 64_000_000        # characters of text for each file: a longer one meets fewer new words
+HELD_WORDS, HELD_LENGTH = 800_000, 64
+MARKS = "<|", "\u03a3", "\u0130"         # begin of special tokens; letters whose lower case depends on their neighbours or on the library
 _HEADER = "<4sIHHI"      # magic, ids, lanes, checkpoints, words
 
 
-class _Pieces(dict):
-    """Ids of the tokenizer's own pieces of words."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= HELD_LENGTH:
-            if len(self) >= HELD_WORDS:
-                self.clear()
-            self[piece] = ids
-        return ids
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: the byte's own, or the next free one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return {b: chr(b if b in own else next(free)) for b in range(256)}
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes; words and pieces met lately are remembered.
+    """Ids of a text as little-endian 32-bit bytes; words met lately are remembered.
 
     A tokenizer that lower-cases, drops white space and codes the matches of
     its split pattern one by one (read from its file) gives a text's ids as
@@ -83,62 +75,88 @@ class Encoder(dict):
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
-        split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        splits = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        split, rest = splits[0], splits[1:]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True
         self.pattern = regex.compile(split["pattern"]["Regex"]) if self.by_word else None
-        self.pieces = _Pieces(self.tokenizer)
+        byte_level = [r for r in rest if r["type"] == "ByteLevel" and r.get("add_prefix_space") is False and r.get("use_regex") is False]
+        merges = len(rest) == len(byte_level) == 1 and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
+        # pieces written with letters that stand for bytes need the merges alone
+        self.merged, self.letters = self.tokenizer.model.tokenize if merges else None, byte_letters()
+        # words of letters alone are one piece, if the pattern has it so
+        self.plain = self.by_word and self.pattern.findall("abc xyz") == ["abc", "xyz"] and "[\\p{L}]+" in split["pattern"]["Regex"].split("|")
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if "<|" in text or "\u03a3" in text or "\u0130" in text:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join(map(self.pieces.__getitem__, self.pattern.findall(unicodedata.normalize("NFC", text).lower())))
+        ids = self._coded(word)
         if len(word) <= HELD_LENGTH:
             if len(self) >= HELD_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def _coded(self, word: bytes) -> bytes:
+        if self.plain:
+            if word.isalpha():
+                return self._piece(word.lower().decode("ascii"))
+            if word[:-1].isalpha() and word[-1] < 128:          # a mark or digit at the end is a piece of its own
+                return self[word[:-1].lower()] + self[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        if any(mark in text for mark in MARKS):
+            return self._whole(text)
+        text = unicodedata.normalize("NFC", text).lower()
+        if self.plain and text.isalpha() and max(text) < "\u0250":
+            return self._piece(text)
+        found = self.pattern.findall(text)
+        return self._piece(found[0]) if len(found) == 1 else b"".join(self[piece.encode()] for piece in found)
+
+    def _piece(self, piece: str) -> bytes:
+        if not self.merged:
+            return self._whole(piece)
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.merged(letters)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def words(self, text: str | None) -> list[bytes]:
         """What the ids of a text are put together from."""
-        raw = (text or "").encode("utf-8", "replace")
+        text = text or ""
+        if self.by_word and not any(mark in text for mark in MARKS):
+            text = unicodedata.normalize("NFC", text).lower()         # all words at once
+        raw = text.encode("utf-8", "replace")
         return raw.split() if self.by_word else [raw]
 
     def word_ids(self, word: bytes) -> bytes:
         if self.by_word:
             return self[word]
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self._whole(word.decode())
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__ if self.by_word else self.word_ids, self.words(text))) + self.end
 
 
-def count_ids(docs: DataFrame, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(symbol, n): occurrences of each id over all texts. Words are counted first, so each distinct word is coded once."""
-    def tally(frames):
-        encoder, texts, held = Encoder(tokenizer, end_id), 0, Counter()
-        for frame in frames:
-            for text in frame["text"]:
-                held.update(encoder.words(text))
-                texts += 1
-            if len(held) > HELD_WORDS:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                held = Counter()
-        yield pd.DataFrame({"word": [*held, None], "n": [*held.values(), texts]})       # null: ends of texts
+def packed(tokens: np.ndarray) -> bytes:
+    """Ids in two bytes each when all fit, else in four."""
+    return tokens.astype("<u2" if len(tokens) and tokens.max() < 1 << 16 else "<u4").tobytes()
+
 
+def unpacked(body: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4").astype(np.uint32)
+
+
+def count_ids(raw: DataFrame) -> DataFrame:
+    """(symbol, n): occurrences of each id over all blocks of uncoded ids."""
     def count(frames):
-        encoder, totals = Encoder(tokenizer, end_id), np.zeros(end_id + 1, np.int64)
+        totals = np.zeros(1, np.int64)
         for frame in frames:
-            coded = [encoder.end if w is None else encoder.word_ids(w) for w in frame["word"]]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-            more = np.bincount(np.frombuffer(b"".join(coded), "<u4"), np.repeat(frame["n"].to_numpy(np.float64), sizes)).astype(np.int64)
-            totals = np.concatenate([totals, np.zeros(max(0, len(more) - len(totals)), np.int64)])
-            totals[:len(more)] += more
+            for body, n in zip(frame["ids"], frame["n_tokens"], strict=True):
+                more = np.bincount(unpacked(body, n))
+                totals = np.concatenate([totals, np.zeros(max(0, len(more) - len(totals)), np.int64)])
+                totals[:len(more)] += more
         used = np.flatnonzero(totals)
         yield pd.DataFrame({"symbol": used, "n": totals[used]})
-    words = (docs.select(F.col(text_col).alias("text")).mapInPandas(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    return words.mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 0")
+    return raw.select("ids", "n_tokens").mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def scaled_frequencies(counts: np.ndarray) -> np.ndarray:
@@ -241,10 +259,14 @@ _BLOCKS = ("file int, block int, first long, n_tokens int, first_doc long, doc_h
            "ids_crc32 long, payload_crc32 long, payload binary")
 
 
-def _write_file(tokenizer: str, end_id: int, table_of):
+_RAW = "file int, block int, first long, n_tokens int, first_doc long, doc_head int, doc_ids binary, doc_null binary, doc_tokens binary, ids binary"
+
+
+def _raw_blocks(tokenizer: str, end_id: int):
+    """Texts of one file, in their order, to its blocks of ids, not yet coded."""
     def run(frames):
         from pyspark import TaskContext
-        encoder, table, file = Encoder(tokenizer, end_id), table_of(), TaskContext.get().partitionId()
+        encoder, file = Encoder(tokenizer, end_id), TaskContext.get().partitionId()
         held: list[bytes] = []
         size = first = block = docs = 0
         starts: list[tuple[int, object, int]] = []       # place in the file, id, number of ids
@@ -252,13 +274,14 @@ def _write_file(tokenizer: str, end_id: int, table_of):
         def rows(tokens: np.ndarray, each: int):
             nonlocal first, block, starts, docs
             out = []
-            for row, payload in zip(tokens.reshape(-1, each), encode_blocks(tokens.reshape(-1, each), table), strict=True):
+            for row in tokens.reshape(-1, each):
                 begun = [s for s in starts if s[0] < first + each]
                 starts = starts[len(begun):]
-                out.append((file, block, first, each, docs, begun[0][0] - first if begun else each, [s[1] for s in begun], [s[2] for s in begun],
-                            zlib.crc32(row.astype("<u4").tobytes()), zlib.crc32(payload), payload))
+                out.append((file, block, first, each, docs, begun[0][0] - first if begun else each,
+                            np.array([s[1] or 0 for s in begun], np.int64).tobytes(), bytes(s[1] is None for s in begun),
+                            np.array([s[2] for s in begun], np.int64).tobytes(), packed(row)))
                 first, block, docs = first + each, block + 1, docs + len(begun)
-            return pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCKS.split(", ")])
+            return pd.DataFrame(out, columns=[c.split()[0] for c in _RAW.split(", ")])
 
         place = 0
         for frame in frames:
@@ -283,19 +306,40 @@ def _write_file(tokenizer: str, end_id: int, table_of):
     return run
 
 
+def _coded_blocks(table_of):
+    def run(frames):
+        table = table_of()
+        for frame in frames:
+            for n, same in frame.groupby("n_tokens"):
+                for i in range(0, len(same), TOGETHER):
+                    part, out = same.iloc[i:i + TOGETHER], []
+                    tokens = np.stack([unpacked(body, n) for body in part["ids"]])
+                    for row, ids, payload in zip(part.itertuples(index=False), tokens, encode_blocks(tokens, table), strict=True):
+                        docs = np.frombuffer(row.doc_ids, np.int64).tolist()
+                        out.append((row.file, row.block, row.first, n, row.first_doc, row.doc_head,
+                                    [None if null else doc for doc, null in zip(docs, row.doc_null, strict=True)],
+                                    np.frombuffer(row.doc_tokens, np.int64).tolist(),
+                                    zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload), payload))
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCKS.split(", ")])
+    return run
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise all texts, append ``end_id`` to each, and write the ids in ascending id order under ``path``."""
     spark = docs.sparkSession
-    counts = count_ids(docs, text_col, tokenizer, end_id).toPandas().sort_values("symbol")      # at most the vocabulary
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    files = parts_for(docs.agg(F.sum(F.length(text_col))).first()[0], FILE_CHARS, least=8)
+    ordered = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+    # tokenising is nearly all of the work, so ids are kept until they are counted and coded
+    raw = stored(ordered.mapInPandas(_raw_blocks(tokenizer, end_id), _RAW), compression="zstd")
+    counts = count_ids(raw).toPandas().sort_values("symbol")      # at most the vocabulary
     symbols, n = counts["symbol"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
     frequencies = scaled_frequencies(n) if len(n) else n.astype(np.int64)
     spark.createDataFrame(pd.DataFrame({"symbol": symbols, "frequency": frequencies}), "symbol long, frequency long") \
         .coalesce(1).write.parquet(f"{path}/table")
     table = shared(spark, FrequencyTable(symbols, frequencies))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    files = parts_for(docs.agg(F.sum(F.length(text_col))).first()[0], FILE_CHARS, least=8)
-    ordered = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
-    (ordered.mapInPandas(_write_file(tokenizer, end_id, table), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
+    raw.mapInPandas(_coded_blocks(table), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(raw)
 
 
 _POLYNOMIAL = 0xEDB88320      # fixed value: crc32, bits reversed
