@@ -155,3 +155,18 @@ def test_heavily_edited_copies_of_one_text_make_few_rows(spark, monkeypatch):
     assert len(real(80)(frame)) == 0
     frame.at[5, "sketch"] = frame.at[9, "sketch"]
     assert real(80)(frame).values.tolist() == [[sids[5], sids[9]]]
+
+
+def test_close_pairs_of_a_crowd_take_little_memory():
+    import tracemalloc
+    names = [bytes([i % 251, i // 251]) * 8 for i in range(1_000)]
+    sketch = similarity.parity_sketch(np.arange(50, dtype=np.uint64))
+    frame = pd.DataFrame({"sig": 1, "low": 0, "high": 0, "block": 0, "sid": names, "n": 50, "root": names, "sketch": [sketch] * len(names)})
+    tracemalloc.start()
+    got = similarity._close_pairs(80)(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    names.sort()
+    assert len(got) == 1_000 * 999 // 2 and (got["u"] < got["v"]).all()
+    assert set(zip(got["u"][:2_000], got["v"][:2_000])) <= {(u, v) for i, u in enumerate(names) for v in names[i + 1:]}
+    assert peak < 80 * len(got)

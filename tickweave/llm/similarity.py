@@ -63,6 +63,7 @@ RARE_DF = 32                 # hashes in at most so many sets are indexed singly
 SKETCH_WORDS = 16            # 64-bit words of a set's parity sketch
 BLOCK_SETS = 2_000           # sets of one signature that are compared with each other in one piece
 PIECE_ROWS = 20_000          # signature rows that one group of the leftover comparison holds
+SIGNATURES_HELD = 50_000     # signatures that a task gathers before it hands them on
 WORTH_A_ROUND = 10           # leaders are tried again while a round links one in so many of the sets that are left
 
 
@@ -247,7 +248,7 @@ def _close_pairs(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["sig", "low", "high", "n"], ignore_index=True)
         group = frame.groupby(["sig", "low", "high"], sort=False).ngroup().to_numpy()
-        code, sids = pd.factorize(frame["sid"])
+        code, sids = pd.factorize(frame["sid"], sort=True)
         root, n, block = pd.factorize(frame["root"])[0], frame["n"].to_numpy(np.int64), frame["block"].to_numpy()
         across = (frame["low"] != frame["high"]).to_numpy()
         sketch = np.stack(frame["sketch"].to_numpy()).astype(np.int64).view(np.uint64)      # signed numbers would be counted without their sign
@@ -265,8 +266,7 @@ def _close_pairs(percent: int):
             x, y = code[x[keep]], code[y[keep]]
             found.append(np.unique(np.minimum(x, y) * len(sids) + np.maximum(x, y)))
         found = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        pairs = [sorted((sids[p // len(sids)], sids[p % len(sids)])) for p in found]
-        return pd.DataFrame(pairs, columns=["u", "v"])
+        return pd.DataFrame({"u": sids[found // max(1, len(sids))], "v": sids[found % max(1, len(sids))]})     # codes ascend with the sets' names
     return run
 
 
@@ -309,6 +309,9 @@ def similar_sets(sets: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
                 out.extend(marks)
                 sids.extend([sid] * len(marks))
                 sizes.extend([n] * len(marks))
+                if len(out) > SIGNATURES_HELD:
+                    yield pd.DataFrame({"sig": np.array(out, np.uint64).view(np.int64), "sid": sids, "n": sizes})
+                    sids, sizes, out = [], [], []
             yield pd.DataFrame({"sig": np.array(out, np.uint64).view(np.int64), "sid": sids, "n": sizes})
 
     every = stored(weighed.join(alive.select("sid", "n"), "sid").select("sid", "n", "held", "df")
