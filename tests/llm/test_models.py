@@ -92,6 +92,32 @@ def test_scores_follow_those_of_exact_counts(spark, folder, documents):
     assert exact - 0.15 * tokens < read < exact + 0.002 * tokens
 
 
+def test_scoring_asks_the_parts_and_reads_what_the_whole_model_holds(spark, documents, odd_docs, monkeypatch):
+    """No table of the model goes to every task; blocks of a few texts get the counts that a look-up in the model gives."""
+    rows = [(r.doc_id, r.text) for r in documents[:120]] + [(r.doc_id, r.text) for r in odd_docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = language.held_out("doc_id", 7, 2)
+    model, hashes = scoring.learn(docs.where(~held)), scoring.WordHashes()
+    n_docs = docs.where(~held).count()
+    want = []
+    for r in docs.withColumn("held", held).collect():
+        tokens = scoring.tokens_of(r.text, hashes)
+        c = scoring.word_counts(model, tokens)
+        before = np.append(n_docs, c[:-1])
+        word_p = (c + 1) / (model.total + model.distinct + 1)
+        pair = np.minimum(scoring.least_count(scoring.pair_levels(model, scoring.pair_hashes(tokens, np.array([0])))), np.minimum(before, c))
+        p = (pair + scoring.PRIOR * word_p) / (before + scoring.PRIOR + model.rate * (model.distinct + 2 * before))
+        want.append((str(r.doc_id), r.held, len(tokens), int((c > 0).sum()), round(np.log10(word_p).sum(), 6), round(np.log10(p).sum(), 6)))
+
+    def refuse(*args):
+        raise AssertionError("a table of the model is broadcast")
+    monkeypatch.setattr(scoring, "_broadcast", refuse)
+    for size in (scoring.BLOCK_BYTES, 20_000):
+        monkeypatch.setattr(scoring, "BLOCK_BYTES", size)
+        got = scoring.score_texts(docs, held).collect()
+        assert sorted((str(r.id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
+
+
 def test_scores_of_odd_documents(spark, odd_docs, no_docs):
     got = scoring.score_texts(odd_docs, language.held_out("doc_id", 7, 2)).collect()
     assert len(got) == odd_docs.count() and all(r.n_tokens >= 1 and r.score < 0 for r in got)

@@ -19,9 +19,17 @@ come from exact word counts, c(v, w) from the filter, never above c(v) or c(w)
 the vocabulary and the unseen word these sum to at most 1 in expectation. A
 text is its words, then one end; a start stands before them.
 
-The parts' tables are packed into segments of bounded size, which are
-broadcast; a worker holds one segment at a time. The model is as large as the
-corpus has distinct pairs, and has to fit on a worker's disk.
+Scoring asks the parts by a shuffle, so no task reads more of the model than
+its own part. Texts are packed into blocks, stored once; a block deals its
+distinct words and pairs out to the parts, those it learns from and those it
+only asks for in the same rows. A part sums what is learned, puts its pairs
+into its filter, reads every pair that is asked for back from it, and answers
+each block in the order in which that asked. Blocks meet their answers in one
+more shuffle.
+
+``learn`` gives the same model to callers that look counts up themselves: the
+parts' tables as broadcast segments of bounded size, of which a worker holds
+one at a time. All of it has to fit on a worker's disk.
 
 Null texts count as empty: one end token. Without training rows every count
 is 0. Repeated rows count as often as they occur; ties play no part; an empty
@@ -31,16 +39,22 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import WordHashes, batches, discard, lowered_words, mix, parts_for, stored
+from tickweave.llm.common import WordHashes, batch_bytes, batches, discard, lowered_words, mix, parts_for, stored
 
 COUNT_WORDS = 1_000_000        # words that a task counts at a time
-SCORE_WORDS = 600_000          # and scores at a time, beside a segment of the model
+BLOCK_BYTES = 3_000_000        # of the texts of a block, about half a million words
+ROW_BYTES = 6                  # that a text counts for besides its own, for its end
+BLOCKS_A_TASK = 4              # scored by a task
+BATCH_BYTES = "4m"             # of rows that a worker is handed at a time
 PART_WORDS = 500_000           # corpus words for each part of the tables
 SEGMENT_BYTES = 4 * 2**20      # broadcast at a time
 PRIOR = 50.0
@@ -158,23 +172,25 @@ def _finish(frame: pd.DataFrame) -> pd.DataFrame:
                         columns=["kind", "part", "entries", "total", "body", "extra"])
 
 
+def _filter(places: np.ndarray, level: np.ndarray, probes: int) -> tuple[np.ndarray, float]:
+    """Bits of a part's pairs (at least one) entered at all levels up to their own, and the rate of false answers."""
+    size = max(64, math.ceil(int(level.sum()) * (probes / math.log(2)) / 64) * 64)
+    bits = np.zeros(size, bool)
+    for q in range(1, int(level.max()) + 1):
+        entered = places[level >= q]
+        for probe in range(probes):
+            bits[_bit_places(entered, q, np.uint64(size), probe)] = True
+    return bits, float(bits.mean()) ** probes + len(places) / 2.0**PAIR_BITS
+
+
 def _filters(probes: int):
     """Bloom filter of each part's pairs, and the rate of its false answers."""
-    per_entry = probes / math.log(2)
-
     def run(frames):
         for frame in frames:
             rows = []
             for part, body, extra in zip(frame["part"], frame["body"], frame["extra"], strict=True):
-                places, level = from_planes(body, PAIR_BITS // 8), np.frombuffer(extra, np.uint8)
-                size = max(64, math.ceil(int(level.sum()) * per_entry / 64) * 64)
-                bits = np.zeros(size, bool)
-                for q in range(1, int(level.max()) + 1):
-                    entered = places[level >= q]
-                    for probe in range(probes):
-                        bits[_bit_places(entered, q, np.uint64(size), probe)] = True
-                rate = float(bits.mean()) ** probes + len(places) / 2.0**PAIR_BITS
-                rows.append((part, size, rate, np.packbits(bits, bitorder="little").tobytes()))
+                bits, rate = _filter(from_planes(body, PAIR_BITS // 8), np.frombuffer(extra, np.uint8), probes)
+                rows.append((part, len(bits), rate, np.packbits(bits, bitorder="little").tobytes()))
             yield pd.DataFrame(rows, columns=["part", "size", "rate", "body"])
     return run
 
@@ -276,31 +292,146 @@ def pair_levels(model: CorpusModel, pairs: np.ndarray) -> np.ndarray:
     return out[inverse]
 
 
-def _score(model: CorpusModel, prior: float):
-    denominator = model.total + model.distinct + 1
+def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts in blocks, one row a block, numbered by task; ``docs`` and ``chars`` are those to learn from."""
+    from pyspark import TaskContext
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def packed():
+        rows = pa.Table.from_batches(held)
+        learned = rows.filter(rows["learns"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows)
+        chars = pc.sum(pc.utf8_length(learned["text"])).as_py() or 0
+        return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "docs": pa.array([len(learned)], pa.int64()),
+                                           "chars": pa.array([chars], pa.int64()), "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    for batch in frames:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES)
+        at = before = 0
+        while at < len(batch):
+            end = min(int(np.searchsorted(upto, before + BLOCK_BYTES - size)) + 1, len(batch))
+            held.append(batch.slice(at, end - at))
+            size, before, at = size + int(upto[end - 1]) - before, int(upto[end - 1]), end
+            if size >= BLOCK_BYTES:
+                yield packed()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield packed()
+
+
+def _opened(body: bytes, hashes: WordHashes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of a block, its tokens and the places of first tokens."""
+    rows = pa.ipc.open_stream(body).read_all()
+    return rows, *_joined([(tokens_of(text, hashes),) for text in rows["text"].to_pylist()])
+
+
+_ASKED = "part int, block long, hashes binary, counts binary"
+_ANSWERED = "kind string, part int, block long, entries long, total long, rate double, answer binary"
+WIDTHS = {"word": (8, 6), "pair": (PAIR_BITS // 8, 1)}       # bytes of a hash that is dealt out, and of an answer
+
+
+def _ask(kind: str, parts: int):
+    """Distinct words or pairs of each block for each part, and how often they are learned here (0: only asked for)."""
+    width = WIDTHS[kind][0]
 
     def run(frames):
-        for block in _blocks(frames, ["id", "held_out", "text"], SCORE_WORDS):
-            tokens, starts = _joined(block)
-            c = word_counts(model, tokens)
+        hashes = WordHashes()
+        for frame in frames:
+            for block, body in zip(frame["block"], frame["body"], strict=True):
+                rows, tokens, starts = _opened(body, hashes)
+                learns = np.repeat(rows["learns"].to_numpy(), np.diff(np.append(starts, len(tokens))))
+                values, inverse = np.unique(tokens if kind == "word" else pair_hashes(tokens, starts), return_inverse=True)
+                counts = np.bincount(inverse[learns], minlength=len(values))
+                part, places = _dealt(values, parts)
+                held, ends = values if kind == "word" else places, np.searchsorted(part, np.arange(parts + 1))
+                asked = [(p, block, planes(held[i:j], width), planes(counts[i:j], 4))
+                         for p, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
+                yield pd.DataFrame(asked, columns=["part", "block", "hashes", "counts"])
+    return run
+
+
+def _read_levels(places: np.ndarray, bits: np.ndarray, probes: int) -> np.ndarray:
+    """Level of every pair's count, read from its part's filter by probing one level after the other."""
+    out, size = np.zeros(len(places), np.uint8), np.uint64(len(bits))
+    live, level = np.arange(len(places)), 1
+    while len(live):
+        for probe in range(probes):
+            live = live[bits[_bit_places(places[live], level, size, probe)]]
+        out[live] = level
+        level += 1
+    return out
+
+
+def _answer(kind: str, probes: int = 0):
+    """What a part answers each block: exact counts of its words, or levels of its pairs as the part's filter has them."""
+    width, answer_width = WIDTHS[kind]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        hashes = np.concatenate([from_planes(x, width) for x in frame["hashes"]])
+        values, inverse = np.unique(hashes, return_inverse=True)
+        counts = np.zeros(len(values), np.int64)
+        np.add.at(counts, inverse, np.concatenate([from_planes(x, 4) for x in frame["counts"]]).astype(np.int64))
+        learned, rate, answers = counts > 0, 0.0, counts
+        if kind == "pair":
+            answers = np.zeros(len(values), np.uint8)
+            if learned.any():
+                bits, rate = _filter(values[learned], levels(counts[learned]), probes)
+                answers = _read_levels(values, bits, probes)
+        cuts = np.cumsum([len(x) // width for x in frame["hashes"]])[:-1]
+        rows = [(kind, part, block, 0, 0, rate, planes(answer, answer_width)) for part, block, answer in
+                zip(frame["part"], frame["block"], np.split(answers[inverse], cuts), strict=True)]
+        rows[0] = (*rows[0][:3], int(learned.sum()), int(counts.sum()), *rows[0][5:])
+        return pd.DataFrame(rows, columns=["kind", "part", "block", "entries", "total", "rate", "answer"])
+    return run
+
+
+def _score(total: int, distinct: int, train_docs: int, rate: float, prior: float):
+    denominator = total + distinct + 1
+
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        made, answers = [], answers.sort_values("part")
+        given = {kind: [from_planes(x, WIDTHS[kind][1]) for x in answers["answer"][answers["kind"] == kind]] for kind in WIDTHS}
+        for body in blocks["body"]:
+            rows, tokens, starts = _opened(body, WordHashes())
+            c, level = (np.concatenate(given[kind])[np.unique(values, return_inverse=True)[1]].astype(np.int64)
+                        for kind, values in (("word", tokens), ("pair", pair_hashes(tokens, starts))))
             word_p = (c + 1) / denominator
             before = np.empty_like(c)
             before[1:] = c[:-1]
-            before[starts] = model.train_docs
-            pair = np.minimum(least_count(pair_levels(model, pair_hashes(tokens, starts))), np.minimum(before, c))
-            p = (pair + prior * word_p) / (before + prior + model.rate * (model.distinct + 2 * before))
+            before[starts] = train_docs
+            pair = np.minimum(least_count(level), np.minimum(before, c))
+            p = (pair + prior * word_p) / (before + prior + rate * (distinct + 2 * before))
             lengths = np.diff(np.append(starts, len(tokens)))
-            out = pd.DataFrame({"id": [r[0] for r in block], "held_out": [r[1] for r in block], "n_tokens": lengths,
-                                "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": model.total,
-                                "base_score": np.add.reduceat(np.log10(word_p), starts), "score": np.add.reduceat(np.log10(p), starts)})
-            out["id"] = out["id"].astype("Int64")
-            yield out
+            made.append(pd.DataFrame({
+                "id": pd.array(rows["id"].to_pylist(), "Int64"), "held_out": pd.Series(rows["held_out"].to_pylist(), dtype=object),
+                "n_tokens": lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": total,
+                "base_score": np.add.reduceat(np.log10(word_p), starts), "score": np.add.reduceat(np.log10(p), starts)}))
+        return pd.concat(made)
     return run
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows not held out are learned from."""
-    model = learn(docs.where(~held_out), text_col, prior)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_score(model, prior), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                                  "base_score double, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"),
+                       F.coalesce(~held_out, F.lit(False)).alias("learns"), F.col(text_col).alias("text"))
+    blocks = stored(rows.mapInArrow(_pack, "block long, docs long, chars long, body binary"))
+    size = blocks.agg(F.sum("chars"), F.sum("docs"), F.count("*")).first()
+    parts = parts_for((size[0] or 0) // 6, PART_WORDS, least=8)
+
+    def answered(kind: str, probes: int = 0) -> DataFrame:
+        asked = blocks.select("block", "body").mapInPandas(_ask(kind, parts), _ASKED)
+        with batch_bytes(docs.sparkSession, BATCH_BYTES):       # a row is a whole block
+            return stored(asked.groupBy("part").applyInPandas(_answer(kind, probes), _ANSWERED), compression="zstd")
+
+    words = answered("word")
+    total, distinct = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("entries")).first())
+    pairs = answered("pair", probes_for(distinct, prior))
+    rate = pairs.agg(F.max("rate")).first()[0] or 0.0
+    # few bytes but long work: not to be put together by size
+    tasks = max(min(size[2], 4 * docs.sparkSession.sparkContext.defaultParallelism), size[2] // BLOCKS_A_TASK, 1)
+    answers = words.unionByName(pairs).select("block", "kind", "part", "answer").repartition(tasks, "block")
+    return blocks.select("block", "body").repartition(tasks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        _score(total, distinct, int(size[1] or 0), rate, prior),
+        "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
