@@ -148,3 +148,48 @@ def test_order_book_is_fed_in_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(FQ.ingest, "files", lambda s, path, *a, **k: sizes.append([f.count() for f in [s.read.parquet(path)]]) or files(s, path, *a, **k))
     parts = sorted(FQ.stream_order_book(spark, str(tmp_path)).collect())
     assert parts == whole and len(whole) > 20 and sizes[0][0] > 60
+
+
+def test_order_book_keeps_few_partitions_of_state_and_takes_feeds_in_order(spark, tmp_path, monkeypatch):
+    """Four partitions a symbol whatever the session deals out to; feeds in order also where files keep no times of change."""
+    import os
+
+    from pyspark.sql import functions as F
+    from tickweave.plans import feed_queries as FQ
+    rows = [("A" if i % 3 else "B", "F" if i % 2 else "O", 15.0 + i % 31, 1000.0 + i * 37 % 4000, i % 70, 19000 + i % 3) for i in range(180)]
+    frame = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_orderkey long, d int")
+    frame.withColumn("l_shipdate", F.date_from_unix_date("d").cast("timestamp_ntz")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = sorted(FQ.stream_order_book(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(FQ, "FEED_ROWS", 60)
+    states, drain = [], FQ.ingest.drain
+    monkeypatch.setattr(FQ.ingest, "drain", lambda df, path, checkpoint, *a, **k: states.append(checkpoint) or drain(df, path, checkpoint, *a, **k))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        parts = sorted(FQ.stream_order_book(spark, str(tmp_path)).collect())
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    state = states[0].removeprefix("file:")
+    assert parts == whole and len([d for d in os.listdir(f"{state}/state/0") if d.isdigit()]) == 8
+    assert len([f for f in os.listdir(f"{state}/offsets") if f.isdigit()]) > 2
+    monkeypatch.setattr(FQ.ingest, "by_time", lambda spark, paths: False)
+    assert sorted(FQ.stream_order_book(spark, str(tmp_path)).collect()) == whole
+
+
+def test_messages_come_in_order_with_their_levels(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from tickweave.streaming import stateful as S
+    monkeypatch.setattr(S, "FOLD_ROWS", 2)
+    nan = float("nan")
+    made = [(False, 5, 5, 3, 1, [10.0, 1.0, 20.0, 2.0]), (False, 2, 3, 1, 2, [11.0, 3.0, 12.0, 4.0, 21.0, 5.0]), (False, 9, nan, 0, 0, []),
+            (False, 1, 1, 0, 1, [nan, 6.0, 22.0, 0.0]), (True, 1, 1, 0, 0, [23.0, 8.0])]
+    cols = ["is_snapshot", "first_id", "last_id", "previous_id", "n_bids", "levels"]
+    frame = pd.DataFrame([(*m[:5], np.array(m[5])) for m in made], columns=cols)
+    got = [c for some in S._messages(iter([frame.iloc[:2], frame.iloc[2:]])) for c in [some]]
+    heads = [row for some in got for row in zip(*some[:6])]
+    assert [h[:3] for h in heads][:4] == [(True, 1, 1.0), (False, 1, 1.0), (False, 2, 3.0), (False, 5, 5.0)] and heads[4][2] != heads[4][2]
+    assert [h[4:] for h in heads] == [(0, 1), (0, 1), (2, 1), (1, 1), (0, 0)]
+    assert sum((some[6] for some in got), []) == [23.0, 22.0, 11.0, 12.0, 21.0, 10.0, 20.0]
+    assert sum((some[7] for some in got), []) == [8.0, 0.0, 3.0, 4.0, 5.0, 1.0, 2.0]

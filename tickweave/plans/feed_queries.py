@@ -14,11 +14,13 @@ from tickweave.plans.label_queries import _DIFF, _cusum_sql
 from tickweave.plans.registry import RAW_TICKS_SQL, TICKS_SQL, query, r, table, ticks
 from tickweave.schemas import KLINE_FIELDS
 from tickweave.series import lay_out
-from tickweave.session import checkpoint_folder, micros
+from tickweave.session import checkpoint_folder, micros, stored
 from tickweave.sources import feeds, scans, sinks
 from tickweave.streaming import ingest, stateful
 
-FEED_ROWS = 1 << 19     # messages of a micro-batch of the order book
+FEED_ROWS = 1 << 21     # messages of a micro-batch of the order book
+FEED_BLOCK_BYTES = 8 * 2**20        # read by a task at least
+STATE_PARTS = 4         # partitions of a symbol's state, so that symbols seldom share one
 
 
 def _scratch(spark, name):
@@ -211,16 +213,20 @@ _BOOK_SQL = """u AS (SELECT l_returnflag AS symbol, CASE WHEN l_linestatus = 'F'
 up AS (SELECT symbol, side, price, max(qty) AS qty, day * 100000 + seq0 % 100000 AS seq FROM u GROUP BY symbol, side, price, day * 100000 + seq0 % 100000)"""
 
 
-def book_updates(spark, folder):
-    """Level updates with one quantity per (symbol, side, price, update id)."""
+def _book_lines(spark, folder):
+    """Level updates as line items tell them."""
     line = table(spark, folder, "lineitem")
     bid = F.col("l_linestatus") == "F"
-    u = line.select(
+    return line.select(
         F.col("l_returnflag").alias("symbol"), F.when(bid, "bid").otherwise("ask").alias("side"),
         (F.round(F.col("l_extendedprice") / F.col("l_quantity"), -2) + F.when(bid, 0).otherwise(6000)).alias("price"),
         F.when(F.col("l_quantity") <= 20, 0.0).otherwise(F.col("l_quantity")).alias("qty"),
         (F.floor(micros("l_shipdate") / 86_400_000_000) * 100_000 + F.col("l_orderkey") % 100_000).cast("long").alias("seq"))
-    return u.groupBy("symbol", "side", "price", "seq").agg(F.max("qty").alias("qty"))
+
+
+def book_updates(spark, folder):
+    """Level updates with one quantity per (symbol, side, price, update id)."""
+    return _book_lines(spark, folder).groupBy("symbol", "side", "price", "seq").agg(F.max("qty").alias("qty"))
 
 
 @query("book_top_levels", f"""WITH {_BOOK_SQL}, l AS (SELECT symbol, side, price, arg_max(qty, seq) AS qty FROM up GROUP BY ALL),
@@ -403,9 +409,9 @@ def _stream(spark, folder):
                       F.col("event_id").alias("id"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("qty"))
 
 
-def _drained(spark, df, mode="append"):
+def _drained(spark, df, mode="append", parts=None):
     path = _scratch(spark, "stream")
-    ingest.drain(df, path, path + "-state", mode)
+    ingest.drain(df, path, path + "-state", mode, parts)
     return spark.read.parquet(path).drop("batch")
 
 
@@ -456,38 +462,48 @@ def stream_cusum_events_out_of_order(spark, folder):
     return _out_of_order(spark, folder, lambda live: stateful.cusum(live, "symbol", "ts", "id", "price", 150.0, at="at", late="1000 days", bucket_us=24 * HOUR))
 
 
-def _fed_in_order(spark, msgs, order, path):
-    """Messages as a stream that brings at most ``FEED_ROWS`` a micro-batch, in ``order`` from batch to batch.
+def _fed_in_order(spark, msgs, feed, feeds):
+    """Messages as a stream that brings one ``feed`` (a column, 0 to ``feeds - 1``) a micro-batch, the lowest first.
 
-    The folder gets one file a batch, the earlier first, and the source takes them one by one.
+    Each is one file, and the source takes files by their time of change. Where that cannot be set, the files are written
+    once more one after the other.
     """
-    by = [f"_by{i}" for i in range(len(order))]
-    laid = lay_out(msgs.withColumns(dict(zip(by, [F.col(o) if isinstance(o, str) else o for o in order]))), [], by)
-    spread = _scratch(spark, "depth-runs")
-    sinks.parquet(laid.df.select(*msgs.columns, F.floor(F.col("_pos") / FEED_ROWS).alias("_feed")), spread, by=["_feed"])
-    for feed in range(max(1, -(-laid.total // FEED_ROWS))):
-        run = spark.read.schema(msgs.schema).parquet(f"{spread}/_feed={feed}") if laid.total else msgs
-        sinks.append(run.coalesce(1), path)
-    return ingest.files(spark, path, msgs.schema, per_trigger=1)
+    path = _scratch(spark, "depth")
+    laid = msgs.withColumn("_feed", feed.cast("int")).repartition(feeds, "_feed").sortWithinPartitions("_feed", "symbol", "last_id")
+    laid.write.option("parquet.block.size", FEED_BLOCK_BYTES).partitionBy("_feed").parquet(path)
+    schema = spark.read.schema(laid.schema).parquet(path).schema
+    files = {f: n for f, n in spark.read.schema(schema).parquet(path).select("_feed", F.col("_metadata.file_path")).distinct().collect()}   # one a feed
+    if not ingest.by_time(spark, [files[f] for f in sorted(files)]):
+        spread, path = path, _scratch(spark, "depth")
+        for f in sorted(files):
+            sinks.append(spark.read.schema(schema).parquet(spread).filter(F.col("_feed") == f).coalesce(1), path)
+    return ingest.files(spark, path, schema, per_trigger=1).drop("_feed")
 
 
 @query("stream_order_book", f"""WITH {_BEST_SQL}, q AS (SELECT symbol, seq, best_bid, best_ask, row_number() OVER w AS k,
   lag(best_bid) OVER w AS pb, lag(best_ask) OVER w AS pa FROM bb WINDOW w AS (PARTITION BY symbol ORDER BY seq))
 SELECT symbol, seq AS last_id, best_bid, best_ask FROM q WHERE k = 1 OR best_bid IS DISTINCT FROM pb OR best_ask IS DISTINCT FROM pa""")
 def stream_order_book(spark, folder):
-    up = book_updates(spark, folder)
-    level = F.struct("price", "qty")
-    diffs = up.groupBy("symbol", "seq").agg(F.collect_list(F.when(F.col("side") == "bid", level)).alias("bids"),
-                                            F.collect_list(F.when(F.col("side") == "ask", level)).alias("asks"))
-    chained = lay_out(diffs, ["symbol"], ["seq"]).windowed(
-        lambda df, w: df.withColumn("previous_id", F.coalesce(F.lag("seq").over(w), F.lit(0).cast("long"))), before=1)
+    lines = _book_lines(spark, folder)
+    # all lines of a message meet once: both groupings keep to that
+    up = lines.repartition("symbol", "seq").groupBy("symbol", "side", "price", "seq").agg(F.max("qty").alias("qty"))
+    side = lambda name: F.transform(F.filter("levels", lambda x: x["side"] == name), lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
+    # stored, since a layout reads its input twice
+    diffs = stored(up.groupBy("symbol", "seq").agg(F.collect_list(F.struct("side", "price", "qty")).alias("levels")).select(
+        "symbol", "seq", side("bid").alias("bids"), side("ask").alias("asks")))
+    series = lay_out(diffs, ["symbol"], ["seq"]).with_length()
+    chained = series.windowed(lambda df, w: df.withColumn("previous_id", F.coalesce(F.lag("seq").over(w), F.lit(0).cast("long"))), before=1)
+    feeds = max(1, -(-series.total // FEED_ROWS))
+    # each feed takes the same share of every symbol; what has no id comes last
+    feed = F.when(F.col("last_id").isNull(), feeds - 1).otherwise(F.floor(F.col("_at") * feeds))
     msgs = chained.select("symbol", F.lit(False).alias("is_snapshot"), F.when(F.col("_pos") == 0, F.lit(1).cast("long")).otherwise(F.col("seq")).alias("first_id"),
-                          F.col("seq").alias("last_id"), "previous_id", "bids", "asks")
+                          F.col("seq").alias("last_id"), "previous_id", "bids", "asks", (F.col("_pos") / F.col("_n")).alias("_at"))
     empty = F.array().cast("array<struct<price:double,qty:double>>")
     zero = F.lit(0).cast("long")
-    snaps = up.select("symbol").distinct().select("symbol", F.lit(True).alias("is_snapshot"), zero.alias("first_id"), zero.alias("last_id"),
-                                                   zero.alias("previous_id"), empty.alias("bids"), empty.alias("asks"))
-    path = _scratch(spark, "depth")
-    live = _fed_in_order(spark, msgs.unionByName(snaps), [F.col("last_id").isNull(), "last_id", ~F.col("is_snapshot")], path)
-    out = _drained(spark, stateful.rebuild_book(live))
+    symbols = stored(lines.select("symbol").distinct())           # each has a book of its own
+    snaps = symbols.select(
+        "symbol", F.lit(True).alias("is_snapshot"), zero.alias("first_id"), zero.alias("last_id"),
+        zero.alias("previous_id"), empty.alias("bids"), empty.alias("asks"), F.lit(0.0).alias("_at"))
+    live = _fed_in_order(spark, msgs.unionByName(snaps), feed, feeds)
+    out = _drained(spark, stateful.rebuild_book(live), parts=STATE_PARTS * max(1, symbols.count()))
     return out.filter("kind = 'book'").select("symbol", "last_id", "best_bid", "best_ask")

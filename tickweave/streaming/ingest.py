@@ -34,9 +34,32 @@ def to_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
     return writer.start()
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available now and stop."""
-    to_batches(df, path, checkpoint, mode).awaitTermination()
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", parts: int | None = None) -> None:
+    """Process everything available now and stop.
+
+    State lies in at most ``parts`` partitions, if given: each costs a task and a commit in every micro-batch, full or empty.
+    """
+    name, conf = "spark.sql.shuffle.partitions", df.sparkSession.conf
+    kept = conf.get(name)
+    if parts is not None:
+        conf.set(name, str(min(parts, int(kept))))
+    try:
+        to_batches(df, path, checkpoint, mode).awaitTermination()
+    finally:
+        conf.set(name, kept)
+
+
+def by_time(spark: SparkSession, paths: list[str]) -> bool:
+    """Give files times of change in this order, as a file stream takes them; False where the file system does not keep them."""
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    files = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    first = jvm.java.lang.System.currentTimeMillis() // 1000 * 1000 - 1000 * len(files)
+    try:
+        for i, file in enumerate(files):
+            file.getFileSystem(hadoop).setTimes(file, first + 1000 * i, -1)
+    except Exception:  # noqa: BLE001  not every file system has times to set
+        return False
+    return all(file.getFileSystem(hadoop).getFileStatus(file).getModificationTime() == first + 1000 * i for i, file in enumerate(files))
 
 
 def drain_windows(source: DataFrame, ts: str, build, path: str, checkpoint: str, beat: str) -> None:

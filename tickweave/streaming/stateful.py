@@ -14,6 +14,7 @@ import heapq
 import pickle
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickweave.streaming.ingest import rocksdb
 
+FOLD_ROWS = 1 << 16     # messages of the order book that are Python objects at a time
+
 
 def time_bars(df: DataFrame, keys: Sequence[str], ts: str, tie: str, price: str, qty: str, width: str, late: str) -> DataFrame:
     """Tumbling bars labelled by their right edge; ``ts`` is a timestamp column."""
@@ -150,12 +153,45 @@ def cusum(df: DataFrame, key: str, ts: str, tie: str, price: str, threshold: flo
     return _folded(df, key, step, [0.0, 0.0, float("nan")], [ts, tie], [price], f"{key} string, {ts} long, {tie} long, side int", at, late, bucket_us)
 
 
+def _messages(rows):
+    """A key's messages of a micro-batch by ``last_id``, snapshots first: lists of their columns and of the prices and quantities
+    of their levels, bids before asks, for ``FOLD_ROWS`` messages at a time. Levels without a price are left out.
+    """
+    heads, levels = [], []
+    for pdf in rows:                                      # one Arrow batch after the other; only flat arrays are kept
+        if not len(pdf):
+            continue
+        counts = np.fromiter(map(len, pdf["levels"]), np.int64, len(pdf)) // 2
+        n_bids = pdf["n_bids"].to_numpy()
+        flat = np.concatenate(pdf["levels"].tolist()).astype(float).reshape(-1, 2)      # bids before asks
+        known = flat[:, 0] == flat[:, 0]
+        if not known.all():
+            message = np.repeat(np.arange(len(pdf)), counts)
+            bid = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(n_bids, counts)
+            n_bids, counts = np.bincount(message[known & bid], minlength=len(pdf)), np.bincount(message[known], minlength=len(pdf))
+            flat = flat[known]
+        heads.append([pdf[c].to_numpy() for c in ("is_snapshot", "first_id", "last_id", "previous_id")] + [n_bids, counts - n_bids])
+        levels.append((flat[:, 0], flat[:, 1]))
+    if not heads:
+        return
+    heads = [np.concatenate(x) for x in zip(*heads)]
+    levels = [np.concatenate(x) for x in zip(*levels)]
+    order = np.lexsort((~heads[0].astype(bool), heads[2]))
+    ends = np.cumsum(heads[4] + heads[5])
+    for at in range(0, len(order), FOLD_ROWS):
+        some = order[at:at + FOLD_ROWS]
+        counts = heads[4][some] + heads[5][some]
+        upto = np.cumsum(counts)
+        places = np.repeat(ends[some] - upto, counts) + np.arange(upto[-1] if len(upto) else 0)
+        yield *(h[some].tolist() for h in heads), *(x[places].tolist() for x in levels)
+
+
 class _Book(StatefulProcessor):
     """Price levels per side in map states; sequence position in a value state.
 
     The first update after a snapshot must straddle its id; later ones must
     chain. A break drops the levels and waits for the next snapshot. Levels
-    are written back only where an update touched them.
+    are written back only where they changed.
     """
 
     def __init__(self, chained: bool):
@@ -166,68 +202,76 @@ class _Book(StatefulProcessor):
         self.position = handle.getValueState("position", "last long, snapshot long, synced boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["last_id", "is_snapshot"], ascending=[True, False], kind="stable")
         last, snapshot, synced = self.position.get() if self.position.exists() else (-1, -1, False)
-        levels = {s: {k[0]: v[0] for k, v in state.iterator()} for s, state in self.sides.items()}
-        touched = {"bid": set(), "ask": set()}
-        heaps = {"bid": [-p for p in levels["bid"]], "ask": list(levels["ask"])}
-        for heap in heaps.values():
-            heapq.heapify(heap)
-
-        def put(side, price, qty):
-            touched[side].add(price)
-            if qty > 0:
-                if price not in levels[side]:
-                    heapq.heappush(heaps[side], -price if side == "bid" else price)
-                levels[side][price] = qty
-            else:
-                levels[side].pop(price, None)
-
-        def best(side):
-            heap, sign = heaps[side], -1 if side == "bid" else 1
-            while heap and sign * heap[0] not in levels[side]:
-                heapq.heappop(heap)
-            return (sign * heap[0], levels[side][sign * heap[0]]) if heap else (None, None)
-
-        def clear():
-            for side in levels:
-                touched[side] |= set(levels[side])
-                levels[side].clear()
-                heaps[side].clear()
-
-        made, shown = [], (best("bid")[0], best("ask")[0])
-        for row in pdf.itertuples(index=False):
-            if row.is_snapshot:
-                if synced and row.last_id <= last:
-                    continue
-                clear()
-                snapshot, last, synced = int(row.last_id), int(row.last_id), False
-            else:
-                if snapshot < 0 or row.last_id <= snapshot:
-                    continue  # stale, or nothing to build on yet
-                fits = (row.first_id <= snapshot + 1 <= row.last_id + 1) if not synced else (
-                    row.previous_id == last if self.chained else row.first_id == last + 1)
-                if not fits:
-                    made.append((key[0], int(row.last_id), "gap", None, None, None, None))
-                    clear()
-                    snapshot, synced = -1, False
-                    continue
-                last, synced = int(row.last_id), True
-            for side, changes in (("bid", row.bids), ("ask", row.asks)):
-                for level in changes:
-                    put(side, float(level["price"]), float(level["qty"]))
-            bid, ask = best("bid"), best("ask")
-            if (bid[0], ask[0]) != shown:
-                shown = (bid[0], ask[0])
-                made.append((key[0], int(row.last_id), "book", *bid, *ask))
-        for side, prices in touched.items():
-            for price in prices:
-                if price in levels[side]:
-                    self.sides[side].updateValue((price,), (levels[side][price],))
-                elif self.sides[side].containsKey((price,)):
-                    self.sides[side].removeKey((price,))
+        kept = {s: {k[0]: v[0] for k, v in state.iterator()} for s, state in self.sides.items()}
+        bids, asks = dict(kept["bid"]), dict(kept["ask"])
+        low, high = [-p for p in bids], list(asks)         # heaps; the best bid is the least of the negated ones
+        heapq.heapify(low)
+        heapq.heapify(high)
+
+        def best():
+            while low and -low[0] not in bids:
+                heapq.heappop(low)
+            while high and high[0] not in asks:
+                heapq.heappop(high)
+            return -low[0] if low else None, high[0] if high else None
+
+        made, shown = [], best()
+        for is_snapshot, first_id, last_id, previous_id, n_bids, n_asks, prices, quantities in _messages(rows):
+            at = 0
+            for snap, first, here, previous, n_bid, n_ask in zip(is_snapshot, first_id, last_id, previous_id, n_bids, n_asks):
+                start, middle = at, at + n_bid
+                at = middle + n_ask
+                if here != here:
+                    continue                                # without an id it has no place
+                if snap:
+                    if synced and here <= last:
+                        continue
+                    for held in (bids, asks, low, high):
+                        held.clear()
+                    snapshot, last, synced = int(here), int(here), False
+                else:
+                    if snapshot < 0 or here <= snapshot:
+                        continue  # stale, or nothing to build on yet
+                    fits = (first <= snapshot + 1 <= here + 1) if not synced else (
+                        previous == last if self.chained else first == last + 1)
+                    if not fits:
+                        made.append((key[0], int(here), "gap", None, None, None, None))
+                        for held in (bids, asks, low, high):
+                            held.clear()
+                        snapshot, synced = -1, False
+                        continue
+                    last, synced = int(here), True
+                for i in range(start, middle):
+                    price = prices[i]
+                    if quantities[i] > 0:
+                        if price not in bids:
+                            heapq.heappush(low, -price)
+                        bids[price] = quantities[i]
+                    else:
+                        bids.pop(price, None)
+                for i in range(middle, at):
+                    price = prices[i]
+                    if quantities[i] > 0:
+                        if price not in asks:
+                            heapq.heappush(high, price)
+                        asks[price] = quantities[i]
+                    else:
+                        asks.pop(price, None)
+                now = best()
+                if now != shown:
+                    shown = now
+                    made.append((key[0], int(here), "book", now[0], bids.get(now[0]), now[1], asks.get(now[1])))
+            if made:
+                yield pd.DataFrame(made, columns=["symbol", "last_id", "kind", "best_bid", "bid_qty", "best_ask", "ask_qty"])
+                made = []
+        for side, levels in (("bid", bids), ("ask", asks)):
+            for price, qty in levels.items():
+                if kept[side].get(price) != qty:
+                    self.sides[side].updateValue((price,), (qty,))
+            for price in kept[side].keys() - levels.keys():
+                self.sides[side].removeKey((price,))
         self.position.update((last, snapshot, synced))
-        yield pd.DataFrame(made, columns=["symbol", "last_id", "kind", "best_bid", "bid_qty", "best_ask", "ask_qty"])
 
     def close(self) -> None:
         pass
@@ -240,7 +284,11 @@ def rebuild_book(messages: DataFrame, chained: bool = True) -> DataFrame:
     asks (arrays of price/qty). Runs on many symbols at once.
     """
     rocksdb(messages.sparkSession)
-    return messages.groupBy("symbol").transformWithStateInPandas(
+    none = F.array().cast("array<struct<price:double,qty:double>>")
+    bids, asks = (F.coalesce(F.col(side).cast("array<struct<price:double,qty:double>>"), none) for side in ("bids", "asks"))
+    flat = messages.select("symbol", "is_snapshot", "first_id", "last_id", "previous_id", F.size(bids).cast("long").alias("n_bids"),
+                           F.flatten(F.transform(F.concat(bids, asks), lambda x: F.array(x["price"], x["qty"]))).alias("levels"))
+    return flat.groupBy("symbol").transformWithStateInPandas(
         _Book(chained),
         outputStructType="symbol string, last_id long, kind string, best_bid double, bid_qty double, best_ask double, ask_qty double",
         outputMode="Append", timeMode="None")
